@@ -38,7 +38,148 @@ def q_e3_top20(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.top_k(res, 20)
 
 
+def _docs(spark, sf_dir):
+    from .sources.tables import evidence_docs
+    return evidence_docs(spark, sf_dir)
+
+
+def _stops(spark):
+    from .sources.stoplist import stop_list
+    return stop_list(spark)
+
+
+# ------------------------------------------------------------ C: analysis
+
+def q_c1_tokens(spark, sf_dir):
+    from .operators import analysis as A
+    return A.raw_tokens(A.by_document(_docs(spark, sf_dir))).select("ID", "pos", "term")
+
+
+def q_c2_stop_removal(spark, sf_dir):
+    return index_for(spark, sf_dir).postings.select("ID", "pos", "term")
+
+
+def q_c3_postings(spark, sf_dir):
+    from .operators import analysis as A
+    return A.postings_with_offsets(A.by_document(_docs(spark, sf_dir)), _stops(spark))
+
+
+def q_c4_doc_terms(spark, sf_dir):
+    return index_for(spark, sf_dir).doc_terms.select("ID", "term", "tf")
+
+
+def q_c5_doc_freq(spark, sf_dir):
+    return index_for(spark, sf_dir).term_stats.select("term", "df")
+
+
+def q_c6_total_term_freq(spark, sf_dir):
+    return index_for(spark, sf_dir).term_stats.select("term", "ttf")
+
+
+def q_c7_corpus_tokens(spark, sf_dir):
+    return index_for(spark, sf_dir).corpus.select("num_tokens")
+
+
+def q_c8_docs_and_terms(spark, sf_dir):
+    return index_for(spark, sf_dir).corpus.select("num_docs", "num_terms")
+
+
+def q_c9_field_length(spark, sf_dir):
+    return index_for(spark, sf_dir).doc_stats.select("ID", "length")
+
+
+# ------------------------------------------------------------ D: clauses
+
+def _scored(clause):
+    def run(spark, sf_dir):
+        res = R.search(_ctx(spark, sf_dir), clause)
+        return res.select("ID", r6(F.col("score")).alias("score"))
+    return run
+
+
+def _ids(clause):
+    def run(spark, sf_dir):
+        return Q.evaluate(_ctx(spark, sf_dir), clause).select("ID")
+    return run
+
+
+def q_d8_phrase(spark, sf_dir):
+    occ = Q.Phrase(PHRASE_TERMS).occurrences(_ctx(spark, sf_dir))
+    return occ.groupBy("ID").agg(F.count(F.lit(1)).alias("freq"))
+
+
+def q_d9_proximity(spark, sf_dir):
+    occ = Q.Phrase(PHRASE_TERMS, slop=2).occurrences(_ctx(spark, sf_dir))
+    return occ.groupBy("ID").agg(r6(F.sum("freq")).alias("freq"))
+
+
+# ------------------------------------------------------------ E: ranking
+
+def _flagship(spark, sf_dir):
+    ctx = _ctx(spark, sf_dir)
+    return ctx, R.search(ctx, Q.Terms(FLAGSHIP_TERMS)).select("ID", r6(F.col("score")).alias("score"))
+
+
+def q_e2_total_hits(spark, sf_dir):
+    return R.total_hits(_flagship(spark, sf_dir)[1])
+
+
+def q_e4_page(spark, sf_dir):
+    return R.page(_flagship(spark, sf_dir)[1], 10, 30)
+
+
+def q_e6_files_view(spark, sf_dir):
+    ctx, res = _flagship(spark, sf_dir)
+    return R.files_view(res, ctx.index.docs, None, start=0, length=20)
+
+
+def q_e7_result_page(spark, sf_dir):
+    ctx, res = _flagship(spark, sf_dir)
+    return R.with_fields(R.page(res, 20, 40), ctx.index.docs, None).drop("cell", "som_cell_distance")
+
+
+def q_a14_fetch_document(spark, sf_dir):
+    ix = index_for(spark, sf_dir)
+    return R.fetch_document(ix.docs, "42").select("ID", "name", "path", "body_len", "body")
+
+
+def q_a5_open_index(spark, sf_dir):
+    ix = index_for(spark, sf_dir)
+    return ix.corpus.select(F.md5(F.lit("evidence")).alias("Id"), F.col("num_docs").alias("NumDocs"))
+
+
 QUERIES = {
+    "c1_tokens": q_c1_tokens,
+    "c2_stop_removal": q_c2_stop_removal,
+    "c3_postings_offsets": q_c3_postings,
+    "c4_doc_terms": q_c4_doc_terms,
+    "c5_doc_freq": q_c5_doc_freq,
+    "c6_total_term_freq": q_c6_total_term_freq,
+    "c7_corpus_tokens": q_c7_corpus_tokens,
+    "c8_docs_and_terms": q_c8_docs_and_terms,
+    "c9_field_length": q_c9_field_length,
+    "d1_match_all": _scored(None),
+    "d2_term": _scored(Q.Term("from")),
+    "d3_field_exact": _scored(Q.FieldEquals("extension", "pdf")),
+    "d4_or": _scored(Q.Or(Q.Term("from"), Q.Term("tion"), Q.Term("des"))),
+    "d5_and": _scored(Q.And(Q.Term("from"), Q.Term("tion"))),
+    "d6_not": _scored(Q.AndNot(Q.Term("from"), Q.Term("des"))),
+    "d7_nested": _ids(Q.Bool(must=[Q.Or(Q.Term("from"), Q.Term("des"))],
+                             should=[Q.Phrase(PHRASE_TERMS)], must_not=[Q.Term("tion")])),
+    "d8_phrase": q_d8_phrase,
+    "d9_proximity": q_d9_proximity,
+    "d10_prefix": _ids(Q.Prefix(prefix="tion")),
+    "d11_wildcard": _ids(Q.Wildcard(pattern="an?a*")),
+    "d12_fuzzy": _ids(Q.Fuzzy(term="eriner", max_edits=1)),
+    "d13_regexp": _ids(Q.Regexp(regex="t[io]+n[a-z]*")),
+    "d14_range": _ids(Q.Range("size", 1000, 5000, include_lo=True, include_hi=False)),
+    "d15_boost": _scored(Q.Or(Q.Boost(Q.Term("from"), 2.0), Q.Term("des"))),
     "e1_tfidf_or": q_e1_tfidf,
+    "e2_total_hits": q_e2_total_hits,
     "e3_top20": q_e3_top20,
+    "e4_page": q_e4_page,
+    "e6_files_view": q_e6_files_view,
+    "e7_result_page": q_e7_result_page,
+    "a5_open_index": q_a5_open_index,
+    "a14_fetch_document": q_a14_fetch_document,
 }

@@ -220,7 +220,7 @@ class Boost(Clause):
         return self.inner.sum_sq(ctx) * self.boost ** 2
 
     def scores(self, ctx, qnorm):
-        return self.inner.scores(ctx, qnorm * self.boost * self.boost)
+        return self.inner.scores(ctx, qnorm * self.boost)
 
     def body_terms(self, ctx):
         return self.inner.body_terms(ctx)

@@ -96,3 +96,219 @@ def _e3():
     return with_ctes(EVIDENCE, TOKENS, DOC_TERMS, or_query_scores(FLAGSHIP),
                      body="SELECT ID, round(score, 6) AS score FROM sc "
                           "ORDER BY round(score, 6) DESC, CAST(ID AS BIGINT) LIMIT 20")
+
+
+# ------------------------------------------------------------ C: analysis
+
+@oracle("c1_tokens")
+def _c1():
+    return with_ctes(EVIDENCE, TOKENS, body="SELECT ID, CAST(pos AS INTEGER) AS pos, term FROM raw_tok")
+
+
+@oracle("c2_stop_removal")
+def _c2():
+    return with_ctes(EVIDENCE, TOKENS, body="SELECT ID, CAST(pos AS INTEGER) AS pos, term FROM tok")
+
+
+PIECES = f"""pieces AS (
+  SELECT ID, unnest(a) AS piece, generate_subscripts(a, 1) AS k
+  FROM (SELECT ID, regexp_extract_all(body, {q(TOKEN_OR_GAP_RE)}) AS a FROM ev)),
+loc AS (
+  SELECT ID, piece, regexp_matches(piece, {q('^[\\p{L}\\p{M}\\p{N}_]')}) AS is_tok,
+         SUM(length(piece)) OVER (PARTITION BY ID ORDER BY k ROWS UNBOUNDED PRECEDING) AS e,
+         SUM(CASE WHEN regexp_matches(piece, {q('^[\\p{L}\\p{M}\\p{N}_]')}) THEN 1 ELSE 0 END)
+           OVER (PARTITION BY ID ORDER BY k ROWS UNBOUNDED PRECEDING) AS ntok
+  FROM pieces)"""
+
+
+@oracle("c3_postings_offsets")
+def _c3():
+    return with_ctes(EVIDENCE, TOKENS, PIECES, body="""
+SELECT ID, lower(piece) AS term, CAST(ntok - 1 AS INTEGER) AS pos,
+       CAST(e - length(piece) AS INTEGER) AS start, CAST(e AS INTEGER) AS "end"
+FROM loc WHERE is_tok AND lower(piece) NOT IN (SELECT term FROM stops)""")
+
+
+@oracle("c4_doc_terms")
+def _c4():
+    return base("SELECT ID, term, tf FROM dt")
+
+
+@oracle("c5_doc_freq")
+def _c5():
+    return base("SELECT term, df FROM ts")
+
+
+@oracle("c6_total_term_freq")
+def _c6():
+    return base("SELECT term, CAST(ttf AS BIGINT) AS ttf FROM ts")
+
+
+@oracle("c7_corpus_tokens")
+def _c7():
+    return base("SELECT CAST(SUM(ttf) AS BIGINT) AS num_tokens FROM ts")
+
+
+@oracle("c8_docs_and_terms")
+def _c8():
+    return base("SELECT (SELECT n FROM nd) AS num_docs, (SELECT COUNT(*) FROM ts) AS num_terms")
+
+
+@oracle("c9_field_length")
+def _c9():
+    return base("SELECT ID, CAST(len AS BIGINT) AS length FROM ds")
+
+
+# ------------------------------------------------------------ D: clauses
+
+def idf_cte(name: str, term: str) -> str:
+    return (f"{name} AS (SELECT 1 + ln(nd.n / (COALESCE((SELECT df FROM ts WHERE term = {q(term)}), 0) + 1.0))"
+            f" AS idf FROM nd)")
+
+
+@oracle("d1_match_all")
+def _d1():
+    return with_ctes(EVIDENCE, body="SELECT ID, 1.0 AS score FROM ev")
+
+
+@oracle("d2_term")
+def _d2():
+    return base(f""",{idf_cte('i1', 'from')}
+SELECT dt.ID, round(sqrt(tf) * i1.idf / sqrt(ds.len), 6) AS score
+FROM dt JOIN ds USING (ID) CROSS JOIN i1 WHERE dt.term = 'from'""")
+
+
+@oracle("d3_field_exact")
+def _d3():
+    return with_ctes(EVIDENCE, body="""
+, f AS (SELECT 1 + ln((SELECT COUNT(*) FROM ev) / ((SELECT COUNT(*) FROM ev WHERE extension = 'pdf') + 1.0)) AS idf)
+SELECT ID, round(f.idf, 6) AS score FROM ev CROSS JOIN f WHERE extension = 'pdf'""".lstrip("\n")).replace(
+        "\n, f AS", ",\nf AS")
+
+
+@oracle("d4_or")
+def _d4():
+    return with_ctes(EVIDENCE, TOKENS, DOC_TERMS, or_query_scores(FLAGSHIP),
+                     body="SELECT ID, round(score, 6) AS score FROM sc")
+
+
+@oracle("d5_and")
+def _d5():
+    return base(f""",{idf_cte('i1', 'from')}, {idf_cte('i2', 'tion')},
+qn AS (SELECT 1 / sqrt(i1.idf * i1.idf + i2.idf * i2.idf) AS qnorm FROM i1, i2)
+SELECT a.ID, round((sqrt(a.tf) * i1.idf * i1.idf + sqrt(b.tf) * i2.idf * i2.idf) / sqrt(ds.len) * qn.qnorm, 6) AS score
+FROM dt a JOIN dt b ON a.ID = b.ID AND a.term = 'from' AND b.term = 'tion'
+JOIN ds ON ds.ID = a.ID CROSS JOIN i1 CROSS JOIN i2 CROSS JOIN qn""")
+
+
+@oracle("d6_not")
+def _d6():
+    return base(f""",{idf_cte('i1', 'from')}
+SELECT dt.ID, round(sqrt(tf) * i1.idf / sqrt(ds.len), 6) AS score
+FROM dt JOIN ds USING (ID) CROSS JOIN i1
+WHERE dt.term = 'from' AND dt.ID NOT IN (SELECT ID FROM dt WHERE term = 'des')""")
+
+
+@oracle("d7_nested")
+def _d7():
+    return base("""
+SELECT DISTINCT ID FROM dt WHERE term IN ('from', 'des')
+  AND ID NOT IN (SELECT ID FROM dt WHERE term = 'tion')""")
+
+
+@oracle("d8_phrase")
+def _d8():
+    return base("""
+SELECT a.ID, COUNT(*) AS freq FROM tok a JOIN tok b ON a.ID = b.ID AND b.pos = a.pos + 1
+WHERE a.term = 'anea' AND b.term = 'eriner' GROUP BY a.ID""")
+
+
+@oracle("d9_proximity")
+def _d9():
+    return base("""
+, occ AS (
+  SELECT a.ID, a.pos, MIN(abs((b.pos - 1) - a.pos)) AS span
+  FROM tok a JOIN tok b ON a.ID = b.ID AND abs((b.pos - 1) - a.pos) <= 2
+  WHERE a.term = 'anea' AND b.term = 'eriner' GROUP BY a.ID, a.pos)
+SELECT ID, round(SUM(1.0 / (span + 1)), 6) AS freq FROM occ GROUP BY ID""".replace("\n, occ", ",\nocc", 1))
+
+
+@oracle("d10_prefix")
+def _d10():
+    return base("SELECT DISTINCT ID FROM dt WHERE starts_with(term, 'tion')")
+
+
+@oracle("d11_wildcard")
+def _d11():
+    return base("SELECT DISTINCT ID FROM dt WHERE term LIKE 'an_a%'")
+
+
+@oracle("d12_fuzzy")
+def _d12():
+    return base("SELECT DISTINCT ID FROM dt WHERE levenshtein(term, 'eriner') <= 1")
+
+
+@oracle("d13_regexp")
+def _d13():
+    return base("SELECT DISTINCT ID FROM dt WHERE regexp_full_match(term, 't[io]+n[a-z]*')")
+
+
+@oracle("d14_range")
+def _d14():
+    return with_ctes(EVIDENCE, body="SELECT ID FROM ev WHERE size >= 1000 AND size < 5000")
+
+
+@oracle("d15_boost")
+def _d15():
+    return base(f""",{idf_cte('i1', 'from')}, {idf_cte('i2', 'des')},
+qn AS (SELECT 1 / sqrt(4 * i1.idf * i1.idf + i2.idf * i2.idf) AS qnorm FROM i1, i2),
+parts AS (
+  SELECT dt.ID, CASE dt.term WHEN 'from' THEN sqrt(tf) * i1.idf * i1.idf * 2
+                             ELSE sqrt(tf) * i2.idf * i2.idf END AS s
+  FROM dt CROSS JOIN i1 CROSS JOIN i2 WHERE dt.term IN ('from', 'des'))
+SELECT parts.ID, round(SUM(s) / sqrt(MAX(ds.len)) * MAX(qn.qnorm) * COUNT(*) / 2.0, 6) AS score
+FROM parts JOIN ds USING (ID) CROSS JOIN qn GROUP BY parts.ID""")
+
+
+# ------------------------------------------------------------ E: ranking
+
+def flagship_scores() -> list[str]:
+    return [EVIDENCE, TOKENS, DOC_TERMS, or_query_scores(FLAGSHIP),
+            "r AS (SELECT ID, round(score, 6) AS score FROM sc)"]
+
+
+@oracle("e2_total_hits")
+def _e2():
+    return with_ctes(*flagship_scores(), body="SELECT COUNT(*) AS total_hits FROM r")
+
+
+@oracle("e4_page")
+def _e4():
+    return with_ctes(*flagship_scores(),
+                     body="SELECT ID, score FROM r ORDER BY score DESC, CAST(ID AS BIGINT) LIMIT 20 OFFSET 10")
+
+
+@oracle("e6_files_view")
+def _e6():
+    return with_ctes(*flagship_scores(), body="""
+SELECT false AS selected, p.ID, p.score, ev.name, ev.path, ev.extension, ev.size,
+       ev.modified * 1000 AS modified_ms, ev.accessed * 1000 AS accessed_ms, ev.created * 1000 AS created_ms,
+       CAST(NULL AS VARCHAR) AS cell, CAST(NULL AS DOUBLE) AS som_cell_distance
+FROM (SELECT * FROM r ORDER BY score DESC, CAST(ID AS BIGINT) LIMIT 20) p JOIN ev USING (ID)""")
+
+
+@oracle("e7_result_page")
+def _e7():
+    return with_ctes(*flagship_scores(), body="""
+SELECT p.ID, p.score, ev.name, ev.path, ev.extension, ev.size, ev.modified, ev.accessed, ev.created
+FROM (SELECT * FROM r ORDER BY score DESC, CAST(ID AS BIGINT) LIMIT 20 OFFSET 20) p JOIN ev USING (ID)""")
+
+
+@oracle("a5_open_index")
+def _a5():
+    return with_ctes(EVIDENCE, body="SELECT md5('evidence') AS Id, COUNT(*) AS NumDocs FROM ev")
+
+
+@oracle("a14_fetch_document")
+def _a14():
+    return with_ctes(EVIDENCE, body="SELECT ID, name, path, body_len, body FROM ev WHERE ID = '42'")
