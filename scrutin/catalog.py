@@ -148,6 +148,106 @@ def q_a5_open_index(spark, sf_dir):
     return ix.corpus.select(F.md5(F.lit("evidence")).alias("Id"), F.col("num_docs").alias("NumDocs"))
 
 
+# ------------------------------------------------------------ F: hits
+
+def _hit_parts(spark, sf_dir):
+    from .operators import hits as H
+    ctx = _ctx(spark, sf_dir)
+    q = Q.Terms(FLAGSHIP_TERMS)
+    hits = H.rank_hits(ctx, q, REF_DATE_MS)
+    return ctx, q, hits
+
+
+def _round_all(df, cols):
+    return df.select(*[r6(F.col(c)).alias(c) if t == "double" else F.col(c)
+                       for c, t in df.select(*cols).dtypes])
+
+
+def q_f1_sentences(spark, sf_dir):
+    from .operators import analysis as A
+    from .operators import hits as H
+    docs = A.by_document(_docs(spark, sf_dir)).select("ID", "body")
+    return H.sentences(docs).select("ID", "s_idx", "s_start", "s_end")
+
+
+def q_f2_hit_sentences(spark, sf_dir):
+    _, _, h = _hit_parts(spark, sf_dir)
+    return h.select("ID", "s_idx", "s_start", "s_end", "first_match", "last_match")
+
+
+def q_f3_term_sets(spark, sf_dir):
+    _, _, h = _hit_parts(spark, sf_dir)
+    return h.select("ID", "s_idx", F.array_join("terms", " ").alias("terms"))
+
+
+def q_f4_f6_boundaries(spark, sf_dir):
+    _, _, h = _hit_parts(spark, sf_dir)
+    return h.select("ID", "s_idx", "next_first", "prev_last", "distance")
+
+
+def q_f7_snippet(spark, sf_dir):
+    _, _, h = _hit_parts(spark, sf_dir)
+    return h.select("ID", "s_idx", "snippet")
+
+
+def q_f8_query_term_weights(spark, sf_dir):
+    from .operators import hits as H
+    ctx = _ctx(spark, sf_dir)
+    st = H.query_term_stats(ctx, Q.query_terms(ctx, Q.Terms(FLAGSHIP_TERMS)))
+    return st.table.select("term", "term_len", r6(F.col("tfidf")).alias("tfidf"),
+                           F.lit(round(st.max_tfidf, 6)).alias("max_tfidf"),
+                           F.lit(st.max_len).alias("max_len"))
+
+
+DOC_FEATURES = ["f_created", "f_modified", "f_accessed", "f_avg_recency", "f_filename_direct",
+                "f_filename_indirect", "f_system_dir", "f_high_type", "f_med_type", "f_low_type",
+                "f_similarity", "f_term_cardinality", "max_doc_tf"]
+HIT_FEATURES = ["f_term_tfidf", "f_hit_frequency", "f_proximity", "f_term_length",
+                "f_term_priority", "f_unused", "f_hit_offset"]
+
+
+def q_f9_f17_doc_features(spark, sf_dir):
+    _, _, h = _hit_parts(spark, sf_dir)
+    return _round_all(h.select("ID", *DOC_FEATURES).distinct(), ["ID", *DOC_FEATURES])
+
+
+def q_f18_f24_hit_features(spark, sf_dir):
+    _, _, h = _hit_parts(spark, sf_dir)
+    return _round_all(h, ["ID", "s_idx", *HIT_FEATURES, "raw_score"])
+
+
+def q_f25_score_ranges(spark, sf_dir):
+    from .operators import hits as H
+    _, _, h = _hit_parts(spark, sf_dir)
+    return _round_all(H.score_ranges(h.drop("min_score", "max_score", "score_range")),
+                      ["is_unallocated", "min_score", "max_score", "score_range"])
+
+
+def q_f26_normalized(spark, sf_dir):
+    _, _, h = _hit_parts(spark, sf_dir)
+    return _round_all(h, ["ID", "s_idx", "is_unallocated", "score"])
+
+
+def q_f27_f28_hits_page(spark, sf_dir):
+    from .operators import hits as H
+    ctx, _, h = _hit_parts(spark, sf_dir)
+    view = H.hits_view(h.withColumn("score", r6(F.col("score"))), ctx.index.docs, None)
+    return H.ranked_hits(view).limit(20)
+
+
+def q_f29_docs_with_hits(spark, sf_dir):
+    from .operators import hits as H
+    _, _, h = _hit_parts(spark, sf_dir)
+    return H.docs_with_hits(h)
+
+
+def q_f31_query_terms(spark, sf_dir):
+    ctx = _ctx(spark, sf_dir)
+    q = Q.Bool(should=[Q.Terms(FLAGSHIP_TERMS), Q.Prefix(prefix="eriner")],
+               must_not=[Q.Term("anea")])
+    return Q.query_terms(ctx, q)
+
+
 QUERIES = {
     "c1_tokens": q_c1_tokens,
     "c2_stop_removal": q_c2_stop_removal,
@@ -180,6 +280,19 @@ QUERIES = {
     "e4_page": q_e4_page,
     "e6_files_view": q_e6_files_view,
     "e7_result_page": q_e7_result_page,
+    "f1_sentences": q_f1_sentences,
+    "f2_hit_sentences": q_f2_hit_sentences,
+    "f3_term_sets": q_f3_term_sets,
+    "f4_f6_boundaries": q_f4_f6_boundaries,
+    "f7_snippet": q_f7_snippet,
+    "f8_query_term_weights": q_f8_query_term_weights,
+    "f9_f17_doc_features": q_f9_f17_doc_features,
+    "f18_f24_hit_features": q_f18_f24_hit_features,
+    "f25_score_ranges": q_f25_score_ranges,
+    "f26_normalized_scores": q_f26_normalized,
+    "f27_f28_hits_page": q_f27_f28_hits_page,
+    "f29_docs_with_hits": q_f29_docs_with_hits,
+    "f31_query_terms": q_f31_query_terms,
     "a5_open_index": q_a5_open_index,
     "a14_fetch_document": q_a14_fetch_document,
 }

@@ -312,3 +312,202 @@ def _a5():
 @oracle("a14_fetch_document")
 def _a14():
     return with_ctes(EVIDENCE, body="SELECT ID, name, path, body_len, body FROM ev WHERE ID = '42'")
+
+
+# ------------------------------------------------------------ F: hits
+
+def _contains_any(col: str, items) -> str:
+    return "(" + " OR ".join(f"contains({col}, {q(d)})" for d in items) + ")"
+
+
+def _isin(col: str, items) -> str:
+    return f"{col} IN (" + ", ".join(q(i) for i in items) + ")"
+
+
+def hits_ctes(terms: list[str], ref_ms: int = 1400000000000) -> list[str]:
+    tok_start = q("^[\\p{L}\\p{M}\\p{N}_]")
+    feats_a = " + ".join(f"{f} * ({w!r})" for f, w in zip(
+        ["f_" + x for x in K.HIT_FEATURES], K.ALLOCATED_WEIGHTS))
+    feats_u = " + ".join(f"{f} * ({w!r})" for f, w in zip(
+        ["f_" + x for x in K.HIT_FEATURES], K.UNALLOCATED_WEIGHTS))
+
+    def esc(x):
+        return (f"replace(replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), "
+                f"'\"', '&quot;')")
+
+    def ddiff(c):
+        return (f"CASE WHEN NOT ev.is_unallocated THEN abs(ev.{c} * 1000 - {ref_ms}) / {ref_ms}.0 "
+                f"ELSE 0.0 END")
+
+    low = "lower(ev.extension)"
+    return [EVIDENCE, TOKENS, DOC_TERMS, f"""qt AS (SELECT DISTINCT unnest({sql_list(terms)}) AS term),
+corp AS (SELECT (SELECT n FROM nd) AS n, (SELECT SUM(ttf) FROM ts) AS tokens),
+qs AS (SELECT qt.term, CAST(strlen(qt.term) AS INTEGER) AS term_len,
+              CASE WHEN ts.ttf > 0 THEN -ln(ts.ttf / corp.tokens) * ln(corp.n / (1.0 + ts.df)) END AS tfidf
+       FROM qt CROSS JOIN corp LEFT JOIN ts ON ts.term = qt.term),
+qagg AS (SELECT COUNT(*) AS nq, greatest(0.0, COALESCE(MAX(tfidf), 0.0)) AS max_tfidf,
+                COALESCE(MAX(term_len), 0) AS max_len FROM qs),
+res AS (SELECT DISTINCT ID FROM dt WHERE term IN (SELECT term FROM qt)),
+sent0 AS (SELECT ID, unnest(a) AS sentence, generate_subscripts(a, 1) - 1 AS s_idx
+          FROM (SELECT ID, regexp_extract_all(body, {q(SENTENCE_RE)}) AS a
+                FROM ev WHERE ID IN (SELECT ID FROM res))),
+sent AS (SELECT *, CAST(SUM(length(sentence)) OVER (PARTITION BY ID ORDER BY s_idx ROWS UNBOUNDED PRECEDING) AS BIGINT) AS s_end
+         FROM sent0),
+sent2 AS (SELECT ID, s_idx, sentence, s_end, s_end - length(sentence) AS s_start FROM sent),
+pc AS (SELECT ID, s_idx, sentence, s_start, s_end, unnest(a) AS piece, generate_subscripts(a, 1) AS k
+       FROM (SELECT *, regexp_extract_all(sentence, {q(TOKEN_OR_GAP_RE)}) AS a FROM sent2)),
+pc2 AS (SELECT *, CAST(SUM(length(piece)) OVER (PARTITION BY ID, s_idx ORDER BY k ROWS UNBOUNDED PRECEDING) AS BIGINT) AS rel_end
+        FROM pc),
+mt AS (SELECT pc2.ID, s_idx, sentence, s_start, s_end, lower(piece) AS term,
+              rel_end - length(piece) AS rel_start, rel_end, s_start + rel_end - length(piece) AS m_start,
+              qs.tfidf, qs.term_len
+       FROM pc2 JOIN qs ON lower(pc2.piece) = qs.term
+       WHERE regexp_matches(piece, {tok_start}) AND qs.tfidf IS NOT NULL),
+mtf AS (SELECT *, COUNT(*) OVER (PARTITION BY ID, term) AS tf,
+               lag(rel_end, 1, 0) OVER (PARTITION BY ID, s_idx ORDER BY rel_start) AS prev_end FROM mt),
+ps AS (SELECT ID, s_idx, MIN(s_start) AS s_start, MIN(s_end) AS s_end,
+              MIN(m_start) AS first_match, MAX(m_start) AS last_match,
+              list_sort(list_distinct(list(term))) AS terms, MAX(tf) AS max_hit_tf,
+              greatest(0.0, MAX(tfidf)) AS max_hit_tfidf, MAX(term_len) AS max_hit_len,
+              string_agg({esc('substring(sentence, prev_end + 1, rel_start - prev_end)')}
+                         || {q(K.HIGHLIGHT_OPEN)}
+                         || {esc('substring(sentence, rel_start + 1, rel_end - rel_start)')}
+                         || {q(K.HIGHLIGHT_CLOSE)}, '' ORDER BY rel_start)
+                || {esc('substring(MIN(sentence), MAX(rel_end) + 1)')} AS snippet
+       FROM mtf GROUP BY ID, s_idx),
+b1 AS (SELECT ps.*, ev.body_len, array_to_string(terms, chr(1)) AS tkey,
+              lead(array_to_string(terms, chr(1))) OVER w AS nkey, lead(len(terms)) OVER w AS nn,
+              lead(first_match) OVER w AS nxt_first
+       FROM ps JOIN ev USING (ID) WINDOW w AS (PARTITION BY ID ORDER BY s_idx)),
+b2 AS (SELECT *, COALESCE(nkey IS NOT NULL AND (len(terms) > 1 OR nn > 1 OR tkey <> nkey), false) AS b FROM b1),
+b3 AS (SELECT *,
+         MIN(CASE WHEN b THEN nxt_first END) OVER (PARTITION BY ID ORDER BY s_idx
+             ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS next_first,
+         MAX(CASE WHEN b THEN last_match END) OVER (PARTITION BY ID ORDER BY s_idx
+             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev_last FROM b2),
+b4 AS (SELECT *, least(COALESCE(first_match - prev_last, body_len),
+                       COALESCE(next_first - first_match, body_len)) AS distance FROM b3),
+pt AS (SELECT ID, term, COUNT(*) AS tf FROM mt GROUP BY ID, term),
+pd AS (SELECT ID, SUM(tf) AS dot, COUNT(*) AS present, MAX(tf) AS max_doc_tf FROM pt GROUP BY ID),
+dfe AS (SELECT ev.ID, ev.is_unallocated, pd.max_doc_tf,
+          {ddiff('created')} AS f_created, {ddiff('modified')} AS f_modified, {ddiff('accessed')} AS f_accessed,
+          0.0 AS f_filename_direct,
+          CASE WHEN NOT ev.is_unallocated AND EXISTS (SELECT 1 FROM qt WHERE instr(ev.path || ev.name, qt.term) > 1)
+               THEN 1.0 ELSE 0.0 END AS f_filename_indirect,
+          CASE WHEN NOT ev.is_unallocated AND {_contains_any('ev.path', K.SYSTEM_DIRS)} THEN 1.0 ELSE 0.0 END
+            AS f_system_dir,
+          CASE WHEN {_isin(low, K.HIGH_PRIORITY_TYPES)} THEN 1.0 ELSE 0.0 END AS f_high_type,
+          CASE WHEN {_isin(low, K.MED_PRIORITY_TYPES)} THEN 1.0 ELSE 0.0 END AS f_med_type,
+          CASE WHEN {_isin(low, K.HIGH_PRIORITY_TYPES)} OR {_isin(low, K.MED_PRIORITY_TYPES)}
+               THEN 0.0 ELSE 1.0 END AS f_low_type,
+          pd.dot / (sqrt(ds.sum_tf2) + sqrt(pd.present)) AS f_similarity,
+          pd.present / qagg.nq AS f_term_cardinality
+        FROM ev JOIN pd ON pd.ID = ev.ID JOIN ds ON ds.ID = ev.ID CROSS JOIN qagg),
+dfe2 AS (SELECT *, (f_created + f_modified + f_accessed) / 3 AS f_avg_recency FROM dfe),
+hf AS (SELECT b4.ID, b4.s_idx, b4.s_start, b4.s_end, b4.snippet, dfe2.*  EXCLUDE (ID),
+          CASE WHEN qagg.max_tfidf = 0 THEN 0.0 ELSE max_hit_tfidf / qagg.max_tfidf END AS f_term_tfidf,
+          CASE WHEN max_doc_tf = 0 THEN 0.0 ELSE max_hit_tf / max_doc_tf END AS f_hit_frequency,
+          distance / (CASE WHEN body_len = 0 THEN 1 ELSE body_len END) AS f_proximity,
+          CASE WHEN qagg.max_len = 0 THEN 0.0 ELSE max_hit_len / qagg.max_len END AS f_term_length,
+          0.0 AS f_term_priority, 0.0 AS f_unused,
+          b4.s_start / (CASE WHEN body_len = 0 THEN 1 ELSE body_len END) AS f_hit_offset
+       FROM b4 JOIN dfe2 ON dfe2.ID = b4.ID CROSS JOIN qagg),
+rawh AS (SELECT *, CASE WHEN is_unallocated THEN {feats_u} ELSE {feats_a} END AS raw_score FROM hf),
+rng AS (SELECT is_unallocated, MIN(raw_score) AS min_score, MAX(raw_score) AS max_score,
+               MAX(raw_score) - MIN(raw_score) AS score_range FROM rawh GROUP BY is_unallocated),
+hits AS (SELECT rawh.*, 10.0 * (raw_score - min_score) / CASE WHEN score_range = 0 THEN 1.0 ELSE score_range END AS score
+         FROM rawh JOIN rng USING (is_unallocated))"""]
+
+
+def _r(cols):
+    return ", ".join(f"round({c}, 6) AS {c}" for c in cols)
+
+
+@oracle("f1_sentences")
+def _f1():
+    return with_ctes(EVIDENCE, f"""sent0 AS (SELECT ID, unnest(a) AS sentence, generate_subscripts(a, 1) - 1 AS s_idx
+          FROM (SELECT ID, regexp_extract_all(body, {q(SENTENCE_RE)}) AS a FROM ev)),
+sent AS (SELECT *, CAST(SUM(length(sentence)) OVER (PARTITION BY ID ORDER BY s_idx ROWS UNBOUNDED PRECEDING) AS BIGINT) AS s_end
+         FROM sent0)""", body="""SELECT ID, CAST(s_idx AS INTEGER) AS s_idx,
+       CAST(s_end - length(sentence) AS BIGINT) AS s_start, CAST(s_end AS BIGINT) AS s_end FROM sent""")
+
+
+def _hits_sql(body: str) -> str:
+    return with_ctes(*hits_ctes(FLAGSHIP), body=body)
+
+
+@oracle("f2_hit_sentences")
+def _f2():
+    return _hits_sql("SELECT ID, CAST(s_idx AS INTEGER) AS s_idx, CAST(s_start AS BIGINT) AS s_start, "
+                     "CAST(s_end AS BIGINT) AS s_end, CAST(first_match AS BIGINT) AS first_match, "
+                     "CAST(last_match AS BIGINT) AS last_match FROM ps")
+
+
+@oracle("f3_term_sets")
+def _f3():
+    return _hits_sql("SELECT ID, CAST(s_idx AS INTEGER) AS s_idx, array_to_string(terms, ' ') AS terms FROM ps")
+
+
+@oracle("f4_f6_boundaries")
+def _f4():
+    return _hits_sql("SELECT ID, CAST(s_idx AS INTEGER) AS s_idx, CAST(next_first AS BIGINT) AS next_first, "
+                     "CAST(prev_last AS BIGINT) AS prev_last, CAST(distance AS BIGINT) AS distance FROM b4")
+
+
+@oracle("f7_snippet")
+def _f7():
+    return _hits_sql("SELECT ID, CAST(s_idx AS INTEGER) AS s_idx, snippet FROM ps")
+
+
+@oracle("f8_query_term_weights")
+def _f8():
+    return _hits_sql("SELECT term, term_len, round(tfidf, 6) AS tfidf, round(max_tfidf, 6) AS max_tfidf, "
+                     "max_len FROM qs CROSS JOIN qagg WHERE tfidf IS NOT NULL")
+
+
+_DOCF = ["f_created", "f_modified", "f_accessed", "f_avg_recency", "f_filename_direct",
+         "f_filename_indirect", "f_system_dir", "f_high_type", "f_med_type", "f_low_type",
+         "f_similarity", "f_term_cardinality"]
+_HITF = ["f_term_tfidf", "f_hit_frequency", "f_proximity", "f_term_length",
+         "f_term_priority", "f_unused", "f_hit_offset", "raw_score"]
+
+
+@oracle("f9_f17_doc_features")
+def _f9():
+    return _hits_sql(f"SELECT ID, {_r(_DOCF)}, max_doc_tf FROM dfe2")
+
+
+@oracle("f18_f24_hit_features")
+def _f18():
+    return _hits_sql(f"SELECT ID, CAST(s_idx AS INTEGER) AS s_idx, {_r(_HITF)} FROM rawh")
+
+
+@oracle("f25_score_ranges")
+def _f25():
+    return _hits_sql(f"SELECT is_unallocated, {_r(['min_score', 'max_score', 'score_range'])} FROM rng")
+
+
+@oracle("f26_normalized_scores")
+def _f26():
+    return _hits_sql("SELECT ID, CAST(s_idx AS INTEGER) AS s_idx, is_unallocated, round(score, 6) AS score FROM hits")
+
+
+@oracle("f27_f28_hits_page")
+def _f27():
+    return _hits_sql("""SELECT h.ID, round(h.score, 6) AS score, ev.name, h.snippet AS passage,
+       CAST(h.s_start AS BIGINT) AS start, CAST(h.s_end AS BIGINT) AS "end", ev.path, ev.extension, ev.size,
+       ev.modified * 1000 AS modified, ev.accessed * 1000 AS accessed, ev.created * 1000 AS created,
+       CAST(NULL AS VARCHAR) AS cell, CAST(NULL AS DOUBLE) AS som_cell_distance
+FROM hits h JOIN ev USING (ID)
+ORDER BY round(h.score, 6) DESC, CAST(h.ID AS BIGINT), h.s_start LIMIT 20""")
+
+
+@oracle("f29_docs_with_hits")
+def _f29():
+    return _hits_sql("SELECT COUNT(DISTINCT ID) AS num_docs FROM hits")
+
+
+@oracle("f31_query_terms")
+def _f31():
+    return base("SELECT unnest(['from', 'tion', 'des']) AS term UNION "
+                "SELECT term FROM ts WHERE starts_with(term, 'eriner')")
