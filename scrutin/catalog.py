@@ -248,6 +248,209 @@ def q_f31_query_terms(spark, sf_dir):
     return Q.query_terms(ctx, q)
 
 
+# ------------------------------------------------------------ G: clustering
+
+def oracle_som():
+    from .operators.som import SomConfig
+    return SomConfig(width=3, height=3, max_vector_features=20, max_radius=1, min_radius=0,
+                     max_alpha=0.05, min_alpha=0.01, iterations=2, top_terms=5)
+
+
+def _cluster(spark, sf_dir):
+    from .plans.cluster import cluster_for
+    ix = index_for(spark, sf_dir)
+    return ix, cluster_for(ix, oracle_som())
+
+
+def q_g1_feature_terms(spark, sf_dir):
+    return _cluster(spark, sf_dir)[1].features.select("term", "df")
+
+
+def q_g2_feature_index(spark, sf_dir):
+    return _cluster(spark, sf_dir)[1].features.select("term", "idx")
+
+
+def q_g3_doc_vectors(spark, sf_dir):
+    v = _cluster(spark, sf_dir)[1].vectors
+    return v.select("ID", F.array_join(F.transform("features", lambda x: x.cast("string")), ",")
+                    .alias("features"))
+
+
+def q_g4_outliers(spark, sf_dir):
+    return _cluster(spark, sf_dir)[1].vectors.where(F.size("features") == 0).select("ID")
+
+
+def q_g5_vector_stats(spark, sf_dir):
+    from .operators import som as S
+    st = S.vector_stats(_cluster(spark, sf_dir)[1].vectors)
+    return st.select("num_docs", "num_outliers", "max_doc_terms", r6(F.col("avg_doc_terms")).alias("avg_doc_terms"))
+
+
+def _init_w(spark, sf_dir):
+    from .operators import som as S
+    _, cr = _cluster(spark, sf_dir)
+    return cr, S.initial_weights(spark, cr.cfg, cr.dims)
+
+
+def q_g6_g7_initial_weights(spark, sf_dir):
+    from .operators import som as S
+    _, w = _init_w(spark, sf_dir)
+    n = S.squared_norms(w)
+    return (w.select("cell", F.posexplode("w").alias("idx", "w")).join(n, "cell")
+            .select("cell", "idx", r6(F.col("w")).alias("w"), r6(F.col("s2")).alias("s2")))
+
+
+def _init_bmat(spark, cr, w):
+    from .operators import som as S
+    return spark.sparkContext.broadcast(S.weight_matrix(w, cr.cfg, cr.dims))
+
+
+def q_g8_distances(spark, sf_dir):
+    from .operators import som as S
+    cr, w = _init_w(spark, sf_dir)
+    d = S.cell_distances(cr.vectors, _init_bmat(spark, cr, w), cr.cfg)
+    return d.select("ID", "cell", r6(F.col("distance")).alias("distance"))
+
+
+def q_g9_nearest_cell(spark, sf_dir):
+    from .operators import som as S
+    cr, w = _init_w(spark, sf_dir)
+    a = S.assign_cells(cr.vectors, _init_bmat(spark, cr, w), cr.cfg).where(F.col("cell") != "-1")
+    return a.select("ID", F.col("cell").cast("int").alias("cell"),
+                    r6(F.col("som_cell_distance")).alias("distance"))
+
+
+def q_g10_neighbourhood_counts(spark, sf_dir):
+    from .operators import som as S
+    cr, w = _init_w(spark, sf_dir)
+    counts = S.winner_counts(cr.vectors, _init_bmat(spark, cr, w), cr.dims)
+    radius = cr.cfg.schedule()[0][1]
+    sums = S.neighbourhood_sums(counts, cr.cfg, radius)
+    return sums.where(F.col("idx") == -1).select("cell", F.col("cnt").alias("n"))
+
+
+def _explode_w(w):
+    return w.select("cell", F.posexplode("w").alias("idx", "w")).select(
+        "cell", "idx", r6(F.col("w")).alias("w"))
+
+
+def q_g11_epoch_update(spark, sf_dir):
+    from .operators import som as S
+    cr, w = _init_w(spark, sf_dir)
+    alpha, radius = cr.cfg.schedule()[0]
+    counts = S.winner_counts(cr.vectors, _init_bmat(spark, cr, w), cr.dims)
+    return _explode_w(S.update_weights(w, S.neighbourhood_sums(counts, cr.cfg, radius), alpha))
+
+
+def q_g12_trained_weights(spark, sf_dir):
+    return _explode_w(_cluster(spark, sf_dir)[1].weights)
+
+
+def q_g13_epoch_counts(spark, sf_dir):
+    e = _cluster(spark, sf_dir)[1].epochs
+    return e.select("epoch", r6(F.col("alpha")).alias("alpha"), "radius", "docs", "matched")
+
+
+def q_g14_assignments(spark, sf_dir):
+    a = _cluster(spark, sf_dir)[1].assignments
+    return a.select("ID", "cell", "som_x", "som_y", r6(F.col("som_cell_distance")).alias("som_cell_distance"))
+
+
+def q_g15_cell_stats(spark, sf_dir):
+    st = _cluster(spark, sf_dir)[1].stats()
+    return st.select("cell", "num", r6(F.col("ssd")).alias("ssd"), r6(F.col("std_dev")).alias("std_dev"))
+
+
+def q_g17_top_terms(spark, sf_dir):
+    return _cluster(spark, sf_dir)[1].tops()
+
+
+def q_g18_regions(spark, sf_dir):
+    return _cluster(spark, sf_dir)[1].regions().select("cell", "region")
+
+
+def q_g19_region_adjacency(spark, sf_dir):
+    return _cluster(spark, sf_dir)[1].adjacency()
+
+
+def q_g20_region_colors(spark, sf_dir):
+    from .operators import cellmap as C
+    cr = _cluster(spark, sf_dir)[1]
+    regs = cr.regions()
+    n = regs.select("region").distinct().count()
+    colors = C.region_colors(cr.adjacency(), n)
+    return spark.createDataFrame(sorted(colors.items()), "region int, color int")
+
+
+def q_g21_term_diffs(spark, sf_dir):
+    return _cluster(spark, sf_dir)[1].diffs()
+
+
+def q_g22_signed_diffs(spark, sf_dir):
+    from .operators import cellmap as C
+    return C.signed_differences(_cluster(spark, sf_dir)[1].diffs())
+
+
+def q_g23_map_summary(spark, sf_dir):
+    from .operators import cellmap as C
+    cr = _cluster(spark, sf_dir)[1]
+    s = C.map_summary(cr.stats(), cr.assignments, cr.regions())
+    return s.select(*[r6(F.col(c)).alias(c) if t == "double" else F.col(c) for c, t in s.dtypes])
+
+
+def q_g24_cell_info(spark, sf_dir):
+    from .operators import cellmap as C
+    cr = _cluster(spark, sf_dir)[1]
+    ci = C.cell_info(cr.stats(), cr.tops(), cr.regions(), cr.diffs())
+    return ci.withColumn("std_dev", r6(F.col("std_dev")))
+
+
+def q_g25_saturation(spark, sf_dir):
+    cr = _cluster(spark, sf_dir)[1]
+    st = cr.stats()
+    mx = st.agg(F.max("std_dev")).first()[0] or 0.0
+    sat = F.lit(-100.0) * (F.col("std_dev") - F.lit(mx)) / F.lit(mx) if mx else F.lit(None).cast("double")
+    return st.select("cell", r6(sat).alias("saturation"))
+
+
+def q_g26_luminance(spark, sf_dir):
+    from .operators import cellmap as C
+    lum = C.luminance_curve(_cluster(spark, sf_dir)[1].stats())
+    return lum.select("num", r6(F.col("luminance")).alias("luminance"))
+
+
+def q_g27_result_distribution(spark, sf_dir):
+    from .operators import cellmap as C
+    ix, cr = _cluster(spark, sf_dir)
+    res = R.search(Q.Context(ix), Q.Terms(FLAGSHIP_TERMS))
+    return C.result_distribution(res, cr.assignments, cr.regions())
+
+
+def q_g28_cell_members(spark, sf_dir):
+    from .operators import cellmap as C
+    a = C.cell_members(_cluster(spark, sf_dir)[1].assignments, 8, lo=0.5, hi=20.0)
+    return a.select("ID", r6(F.col("som_cell_distance")).alias("som_cell_distance"))
+
+
+def q_d16_cell_clause(spark, sf_dir):
+    ix, cr = _cluster(spark, sf_dir)
+    ctx = Q.Context(ix, assignments=cr.assignments)
+    return Q.evaluate(ctx, Q.Or(Q.Cell(8), Q.Terms(["anea"]))).select("ID")
+
+
+def q_d17_outliers(spark, sf_dir):
+    ix, cr = _cluster(spark, sf_dir)
+    ctx = Q.Context(ix, assignments=cr.assignments)
+    return Q.evaluate(ctx, Q.Outliers()).select("ID")
+
+
+def q_h9_som_join(spark, sf_dir):
+    ix, cr = _cluster(spark, sf_dir)
+    return (ix.docs.select("ID", "name").join(cr.assignments, "ID", "left")
+            .select("ID", "name", "cell", "som_x", "som_y",
+                    r6(F.col("som_cell_distance")).alias("som_cell_distance")))
+
+
 QUERIES = {
     "c1_tokens": q_c1_tokens,
     "c2_stop_removal": q_c2_stop_removal,
@@ -293,6 +496,35 @@ QUERIES = {
     "f27_f28_hits_page": q_f27_f28_hits_page,
     "f29_docs_with_hits": q_f29_docs_with_hits,
     "f31_query_terms": q_f31_query_terms,
+    "g1_feature_terms": q_g1_feature_terms,
+    "g2_feature_index": q_g2_feature_index,
+    "g3_doc_vectors": q_g3_doc_vectors,
+    "g4_outliers": q_g4_outliers,
+    "g5_vector_stats": q_g5_vector_stats,
+    "g6_g7_initial_weights": q_g6_g7_initial_weights,
+    "g8_distances": q_g8_distances,
+    "g9_nearest_cell": q_g9_nearest_cell,
+    "g10_neighbourhood_counts": q_g10_neighbourhood_counts,
+    "g11_epoch_update": q_g11_epoch_update,
+    "g12_trained_weights": q_g12_trained_weights,
+    "g13_epoch_counts": q_g13_epoch_counts,
+    "g14_assignments": q_g14_assignments,
+    "g15_cell_stats": q_g15_cell_stats,
+    "g17_top_terms": q_g17_top_terms,
+    "g18_regions": q_g18_regions,
+    "g19_region_adjacency": q_g19_region_adjacency,
+    "g20_region_colors": q_g20_region_colors,
+    "g21_term_diffs": q_g21_term_diffs,
+    "g22_signed_diffs": q_g22_signed_diffs,
+    "g23_map_summary": q_g23_map_summary,
+    "g24_cell_info": q_g24_cell_info,
+    "g25_saturation": q_g25_saturation,
+    "g26_luminance": q_g26_luminance,
+    "g27_result_distribution": q_g27_result_distribution,
+    "g28_cell_members": q_g28_cell_members,
+    "d16_cell_clause": q_d16_cell_clause,
+    "d17_outliers": q_d17_outliers,
+    "h9_som_join": q_h9_som_join,
     "a5_open_index": q_a5_open_index,
     "a14_fetch_document": q_a14_fetch_document,
 }

@@ -511,3 +511,261 @@ def _f29():
 def _f31():
     return base("SELECT unnest(['from', 'tion', 'des']) AS term UNION "
                 "SELECT term FROM ts WHERE starts_with(term, 'eriner')")
+
+
+# ------------------------------------------------------------ G: clustering
+# 3×3 map, 20 features, 2 epochs (alpha 0.05 → 0.01, radius 1 → 0), seed 17.
+
+SOM_W, SOM_H, SOM_K, SOM_SEED, SOM_TOP = 3, 3, 20, 17, 5
+SOM_EPOCHS = [(0.05, 1), (0.05 - (0.05 - 0.01), 0)]
+
+
+def _epoch(e: int, alpha: float, radius: int) -> str:
+    return f"""s2_{e} AS (SELECT cell, SUM(w * w) AS s2 FROM w{e} GROUP BY cell),
+d_{e} AS (SELECT v.ID, w.cell, MAX(vs.k) + MAX(s.s2) - 2 * SUM(w.w) AS d
+          FROM vec v JOIN w{e} w ON w.idx = v.idx JOIN vsize vs ON vs.ID = v.ID JOIN s2_{e} s ON s.cell = w.cell
+          GROUP BY v.ID, w.cell),
+win_{e} AS (SELECT ID, cell AS winner, greatest(d, 0.0) AS dist FROM (
+            SELECT ID, cell, d, row_number() OVER (PARTITION BY ID ORDER BY d, cell) AS rn FROM d_{e}) WHERE rn = 1),
+nb_{e} AS (SELECT c.cell, x.ID FROM cells c JOIN win_{e} x
+           ON abs(c.cell % {SOM_W} - x.winner % {SOM_W}) <= {radius}
+          AND abs(c.cell // {SOM_W} - x.winner // {SOM_W}) <= {radius}),
+n_{e} AS (SELECT cell, COUNT(*) AS n FROM nb_{e} GROUP BY cell),
+m_{e} AS (SELECT nb.cell, v.idx, COUNT(*) AS m FROM nb_{e} nb JOIN vec v ON v.ID = nb.ID GROUP BY nb.cell, v.idx),
+w{e + 1} AS (SELECT w.cell, w.idx,
+               CASE WHEN COALESCE(n.n, 0) > 0
+                    THEN pow(1 - CAST({alpha!r} AS DOUBLE), n.n) * w.w
+                         + (1 - pow(1 - CAST({alpha!r} AS DOUBLE), n.n)) * COALESCE(m.m, 0) / n.n
+                    ELSE w.w END AS w
+             FROM w{e} w LEFT JOIN n_{e} n ON n.cell = w.cell
+             LEFT JOIN m_{e} m ON m.cell = w.cell AND m.idx = w.idx)"""
+
+
+def _final(e: int) -> str:
+    return f"""s2_{e} AS (SELECT cell, SUM(w * w) AS s2 FROM w{e} GROUP BY cell),
+d_{e} AS (SELECT v.ID, w.cell, MAX(vs.k) + MAX(s.s2) - 2 * SUM(w.w) AS d
+          FROM vec v JOIN w{e} w ON w.idx = v.idx JOIN vsize vs ON vs.ID = v.ID JOIN s2_{e} s ON s.cell = w.cell
+          GROUP BY v.ID, w.cell),
+win_{e} AS (SELECT ID, cell AS winner, greatest(d, 0.0) AS dist FROM (
+            SELECT ID, cell, d, row_number() OVER (PARTITION BY ID ORDER BY d, cell) AS rn FROM d_{e}) WHERE rn = 1)"""
+
+
+def som_ctes() -> list[str]:
+    n = len(SOM_EPOCHS)
+    epochs = [_epoch(e, a, r) for e, (a, r) in enumerate(SOM_EPOCHS)] + [_final(n)]
+    return [EVIDENCE, TOKENS, DOC_TERMS, f"""feats AS (
+  SELECT term, df, CAST(row_number() OVER (ORDER BY df DESC, term) - 1 AS INTEGER) AS idx
+  FROM (SELECT term, df FROM ts, nd
+        WHERE df / nd.n >= 1e-4 AND df / nd.n <= 0.66 AND length(term) >= 3
+        ORDER BY df DESC, term LIMIT {SOM_K})),
+dims AS (SELECT COUNT(*) AS k FROM feats),
+vec AS (SELECT dt.ID, f.idx FROM dt JOIN feats f ON f.term = dt.term),
+vsize AS (SELECT ID, COUNT(*) AS k FROM vec GROUP BY ID),
+cells AS (SELECT CAST(c AS INTEGER) AS cell FROM range(0, {SOM_W * SOM_H}) t(c)),
+w0 AS (SELECT cell, CAST(i AS INTEGER) AS idx,
+              ((cell * 7919 + i * 104729 + {SOM_SEED * 31}) % 1000003) / 1000003.0 AS w
+       FROM cells, range(0, (SELECT k FROM dims)) r(i))""", *epochs, f"""fin AS (
+  SELECT ev.ID, COALESCE(CAST(x.winner AS VARCHAR), '-1') AS cell,
+         CAST(x.winner % {SOM_W} AS INTEGER) AS som_x, CAST(x.winner // {SOM_W} AS INTEGER) AS som_y,
+         x.dist AS som_cell_distance
+  FROM ev LEFT JOIN win_{n} x ON x.ID = ev.ID),
+stats AS (SELECT c.cell, COUNT(f.ID) AS num, COALESCE(SUM(f.som_cell_distance * f.som_cell_distance), 0.0) AS ssd
+          FROM cells c LEFT JOIN fin f ON f.cell = CAST(c.cell AS VARCHAR) GROUP BY c.cell),
+stats2 AS (SELECT *, sqrt(CASE WHEN num > 2 THEN ssd / (num - 1) ELSE ssd END) AS std_dev FROM stats),
+tops AS (SELECT cell, CAST(rk - 1 AS INTEGER) AS rank, term FROM (
+           SELECT w.cell, f.term, row_number() OVER (PARTITION BY w.cell ORDER BY CAST(trunc(w.w * 1000) AS INTEGER) DESC, w.idx) AS rk
+           FROM w{n} w JOIN feats f ON f.idx = w.idx) WHERE rk <= {SOM_TOP}),
+firsts AS (SELECT cell, term FROM tops WHERE rank = 0),
+rid AS (SELECT term, CAST(row_number() OVER (ORDER BY MIN(cell)) - 1 AS INTEGER) AS region FROM firsts GROUP BY term),
+regs AS (SELECT f.cell, r.region FROM firsts f JOIN rid r ON r.term = f.term),
+pairs AS (SELECT a.cell AS a, b.cell AS b FROM cells a, cells b
+          WHERE a.cell <> b.cell AND abs(a.cell % {SOM_W} - b.cell % {SOM_W}) <= 1
+            AND abs(a.cell // {SOM_W} - b.cell // {SOM_W}) <= 1),
+adj AS (SELECT DISTINCT ra.region, rb.region AS other FROM pairs p
+        JOIN regs ra ON ra.cell = p.a JOIN regs rb ON rb.cell = p.b WHERE ra.region <> rb.region),
+wd AS (SELECT p.a, p.b, wa.idx, wa.w - wb.w AS d FROM pairs p
+       JOIN w{n} wa ON wa.cell = p.a JOIN w{n} wb ON wb.cell = p.b AND wb.idx = wa.idx WHERE p.a < p.b),
+wdx AS (SELECT a, b, MAX(d) AS mx, MIN(d) AS mn FROM wd GROUP BY a, b),
+diffs AS (SELECT x.a, x.b, f.term, CASE WHEN x.mn < 0 AND abs(x.mn) > x.mx THEN -1 ELSE 1 END AS sign
+          FROM wdx x JOIN feats f ON f.idx = (
+            SELECT MIN(idx) FROM wd WHERE wd.a = x.a AND wd.b = x.b
+              AND wd.d = CASE WHEN x.mn < 0 AND abs(x.mn) > x.mx THEN x.mn ELSE x.mx END)),
+sdiffs AS (SELECT a, b, term, sign FROM diffs UNION ALL SELECT b AS a, a AS b, term, -sign AS sign FROM diffs)"""]
+
+
+def _som(body: str) -> str:
+    return with_ctes(*som_ctes(), body=body)
+
+
+@oracle("g1_feature_terms")
+def _g1():
+    return _som("SELECT term, df FROM feats")
+
+
+@oracle("g2_feature_index")
+def _g2():
+    return _som("SELECT term, idx FROM feats")
+
+
+@oracle("g3_doc_vectors")
+def _g3():
+    return _som("""SELECT ev.ID, COALESCE(array_to_string(list(CAST(v.idx AS VARCHAR) ORDER BY v.idx)
+                                              FILTER (WHERE v.idx IS NOT NULL), ','), '') AS features
+FROM ev LEFT JOIN vec v ON v.ID = ev.ID GROUP BY ev.ID""")
+
+
+@oracle("g4_outliers")
+def _g4():
+    return _som("SELECT ID FROM ev WHERE ID NOT IN (SELECT ID FROM vec)")
+
+
+@oracle("g5_vector_stats")
+def _g5():
+    return _som("""SELECT (SELECT COUNT(*) FROM ev) AS num_docs,
+       (SELECT COUNT(*) FROM ev WHERE ID NOT IN (SELECT ID FROM vsize)) AS num_outliers,
+       CAST((SELECT MAX(k) FROM vsize) AS INTEGER) AS max_doc_terms,
+       round((SELECT AVG(k) FROM vsize), 6) AS avg_doc_terms""")
+
+
+@oracle("g6_g7_initial_weights")
+def _g6():
+    return _som("""SELECT w0.cell, w0.idx, round(w0.w, 6) AS w, round(s.s2, 6) AS s2
+FROM w0 JOIN (SELECT cell, SUM(w * w) AS s2 FROM w0 GROUP BY cell) s ON s.cell = w0.cell""")
+
+
+@oracle("g8_distances")
+def _g8():
+    return _som("SELECT ID, cell, round(greatest(d, 0.0), 6) AS distance FROM d_0")
+
+
+@oracle("g9_nearest_cell")
+def _g9():
+    return _som("SELECT ID, winner AS cell, round(dist, 6) AS distance FROM win_0")
+
+
+@oracle("g10_neighbourhood_counts")
+def _g10():
+    return _som("SELECT cell, n FROM n_0")
+
+
+@oracle("g11_epoch_update")
+def _g11():
+    return _som("SELECT cell, idx, round(w, 6) AS w FROM w1")
+
+
+@oracle("g12_trained_weights")
+def _g12():
+    return _som(f"SELECT cell, idx, round(w, 6) AS w FROM w{len(SOM_EPOCHS)}")
+
+
+@oracle("g13_epoch_counts")
+def _g13():
+    rows = " UNION ALL ".join(
+        f"SELECT {e} AS epoch, round(CAST({a!r} AS DOUBLE), 6) AS alpha, {r} AS radius" for e, (a, r) in
+        enumerate(SOM_EPOCHS))
+    return _som(f"""SELECT e.epoch, e.alpha, e.radius, (SELECT COUNT(*) FROM ev) AS docs,
+       (SELECT COUNT(*) FROM vsize) AS matched FROM ({rows}) e""")
+
+
+@oracle("g14_assignments")
+def _g14():
+    return _som("SELECT ID, cell, som_x, som_y, round(som_cell_distance, 6) AS som_cell_distance FROM fin")
+
+
+@oracle("g15_cell_stats")
+def _g15():
+    return _som("SELECT cell, num, round(ssd, 6) AS ssd, round(std_dev, 6) AS std_dev FROM stats2")
+
+
+@oracle("g17_top_terms")
+def _g17():
+    return _som("SELECT cell, rank, term FROM tops")
+
+
+@oracle("g18_regions")
+def _g18():
+    return _som("SELECT cell, region FROM regs")
+
+
+@oracle("g19_region_adjacency")
+def _g19():
+    return _som("SELECT region, other FROM adj")
+
+
+@oracle("g21_term_diffs")
+def _g21():
+    return _som("SELECT a, b, term, sign FROM diffs")
+
+
+@oracle("g22_signed_diffs")
+def _g22():
+    return _som("SELECT a, b, term, sign FROM sdiffs")
+
+
+@oracle("g23_map_summary")
+def _g23():
+    return _som("""SELECT COUNT(*) FILTER (WHERE num = 0) AS num_zero,
+       COUNT(*) FILTER (WHERE num > 0) AS num_with,
+       CAST(COALESCE(SUM(num) FILTER (WHERE num > 0), 0) AS BIGINT) AS total_with,
+       CAST((SELECT COUNT(*) FROM fin WHERE cell = '-1') AS BIGINT) AS num_outliers,
+       round(SUM(ssd), 6) AS ssd,
+       (SELECT COUNT(DISTINCT region) FROM regs) AS num_regions,
+       MAX(num) AS max_cell_num, round(MAX(ssd), 6) AS max_cell_ssd, round(MAX(std_dev), 6) AS max_cell_std,
+       round(CASE WHEN COUNT(*) FILTER (WHERE num > 0) = 0 THEN 0.0
+                  ELSE SUM(num) FILTER (WHERE num > 0) / COUNT(*) FILTER (WHERE num > 0) END, 6) AS avg_num
+FROM stats2""")
+
+
+@oracle("g24_cell_info")
+def _g24():
+    return _som("""SELECT s.cell, s.num, r.region,
+       (SELECT string_agg(term, ', ' ORDER BY rank) FROM tops t WHERE t.cell = s.cell) AS top_terms,
+       round(s.std_dev, 6) AS std_dev,
+       (SELECT string_agg(CAST(d.b AS VARCHAR) || ':' || CASE WHEN d.sign < 0 THEN '-' ELSE '' END || d.term, ' '
+                          ORDER BY d.b) FROM sdiffs d WHERE d.a = s.cell) AS neighbour_terms
+FROM stats2 s LEFT JOIN regs r ON r.cell = s.cell""")
+
+
+@oracle("g25_saturation")
+def _g25():
+    return _som("""SELECT cell, round(-100.0 * (std_dev - mx) / mx, 6) AS saturation
+FROM stats2, (SELECT MAX(std_dev) AS mx FROM stats2) m""")
+
+
+@oracle("g26_luminance")
+def _g26():
+    return _som("""SELECT DISTINCT num, round(CASE WHEN num = 0 THEN 100.0
+       ELSE 95.0 - (le - 1 - i0) * (60.0 / (n - i0)) END, 6) AS luminance
+FROM (SELECT num, COUNT(*) OVER (ORDER BY num RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS le,
+             COUNT(*) OVER () AS n FROM stats2) x,
+     (SELECT COUNT(*) - 1 AS i0 FROM stats2 WHERE num <= (SELECT MIN(num) FROM stats2 WHERE num > 0)) y""")
+
+
+@oracle("g27_result_distribution")
+def _g27():
+    return _som("""SELECT f.cell, r.region, COUNT(*) AS n
+FROM (SELECT DISTINCT ID FROM dt WHERE term IN ('from', 'tion', 'des')) res
+JOIN fin f ON f.ID = res.ID LEFT JOIN regs r ON CAST(r.cell AS VARCHAR) = f.cell
+GROUP BY f.cell, r.region""")
+
+
+@oracle("g28_cell_members")
+def _g28():
+    return _som("""SELECT ID, round(som_cell_distance, 6) AS som_cell_distance FROM fin
+WHERE cell = '8' AND som_cell_distance >= 0.5 AND som_cell_distance <= 20.0""")
+
+
+@oracle("d16_cell_clause")
+def _d16():
+    return _som("SELECT ID FROM fin WHERE cell = '8' UNION SELECT ID FROM dt WHERE term = 'anea'")
+
+
+@oracle("d17_outliers")
+def _d17():
+    return _som("SELECT ID FROM fin WHERE cell = '-1'")
+
+
+@oracle("h9_som_join")
+def _h9():
+    return _som("""SELECT ev.ID, ev.name, f.cell, f.som_x, f.som_y, round(f.som_cell_distance, 6) AS som_cell_distance
+FROM ev LEFT JOIN fin f ON f.ID = ev.ID""")
