@@ -451,6 +451,326 @@ def q_h9_som_join(spark, sf_dir):
                     r6(F.col("som_cell_distance")).alias("som_cell_distance")))
 
 
+# ------------------------------------------------------------ B: records → documents
+
+def _records(spark, sf_dir):
+    from .sources.records import records_view
+    from .sources.tables import read_table
+    return records_view(read_table(spark, sf_dir, "documents"))
+
+
+def _parsed(spark, sf_dir):
+    from .operators import docs as D
+    r = _records(spark, sf_dir)
+    r = r.select("*", (F.col("seq") * 2).cast("string").alias("file_id"),
+                 (F.col("seq") * 2 + 1).cast("string").alias("slack_id"))
+    return D.parse_metadata(r)
+
+
+def q_b1_parse_metadata(spark, sf_dir):
+    return _parsed(spark, sf_dir).select("seq", "path", "name", "file_size", "slack_size")
+
+
+def q_b2_flatten_metadata(spark, sf_dir):
+    from .operators import docs as D
+    from .sources.tables import read_table
+    return D.flatten_json(read_table(spark, sf_dir, "events"), "event_id", "props")
+
+
+def q_b3_full_path(spark, sf_dir):
+    return _parsed(spark, sf_dir).select("seq", F.concat("path", "name").alias("full_path"))
+
+
+def _rdocs(spark, sf_dir):
+    from .operators import docs as D
+    return D.to_documents(_parsed(spark, sf_dir))
+
+
+def q_b4_extension(spark, sf_dir):
+    return _rdocs(spark, sf_dir).select("ID", "name", "extension")
+
+
+def q_b5_unallocated(spark, sf_dir):
+    return _rdocs(spark, sf_dir).select("ID", "is_unallocated")
+
+
+def q_b6_slack_docs(spark, sf_dir):
+    d = _rdocs(spark, sf_dir).where("is_slack")
+    return d.select("ID", "name", "extension", "size", "is_slack")
+
+
+def q_b7_html_text(spark, sf_dir):
+    from .functions.text import html_to_text
+    from .sources.tables import read_table
+    p = read_table(spark, sf_dir, "pages")
+    return p.select("page_id", html_to_text(F.col("html")).alias("text"))
+
+
+def q_b8_raw_text(spark, sf_dir):
+    from .operators import docs as D
+    from .sources.tables import read_table
+    d = read_table(spark, sf_dir, "documents")
+    return d.select("doc_id", D.scrape_text(F.encode("text", "UTF-8")).alias("text"))
+
+
+def q_b9_drop_empty(spark, sf_dir):
+    from .operators import docs as D
+    from .sources.stoplist import default_stop_terms
+    return D.drop_empty(_docs(spark, sf_dir), default_stop_terms(), mode="all").select("ID")
+
+
+def q_b10_body_len(spark, sf_dir):
+    return _docs(spark, sf_dir).select("ID", F.length("body").cast("long").alias("body_len"))
+
+
+def q_b11_byte_ngrams(spark, sf_dir):
+    from .operators import filetype as T
+    from .sources.tables import read_table
+    d = read_table(spark, sf_dir, "documents").select(
+        F.col("doc_id").cast("string").alias("ID"), F.encode("text", "UTF-8").alias("content"))
+    return T.byte_ngram_counts(d)
+
+
+def q_b12_filetype_model(spark, sf_dir):
+    from .operators import filetype as T
+    from .sources.tables import read_table
+    d = read_table(spark, sf_dir, "documents").select(
+        F.col("doc_id").cast("string").alias("ID"), F.encode("text", "UTF-8").alias("content"),
+        F.col("lang").alias("label"))
+    counts = T.byte_ngram_counts(d)
+    model = T.train_classifier(counts, d.select("ID", "label"))
+    return T.predict(model, counts)
+
+
+def _classified(spark, sf_dir):
+    from .operators import filetype as T
+    from .sources.tables import read_table
+    docs = read_table(spark, sf_dir, "documents").select(
+        (F.col("doc_id") * 2).cast("string").alias("ID"), (F.col("n_chars") % 50).cast("int").alias("class"))
+    return T.class_extension(docs)
+
+
+def q_b13_class_extension(spark, sf_dir):
+    return _classified(spark, sf_dir).select("ID", "class", "class_extension")
+
+
+def q_b14_unallocated_override(spark, sf_dir):
+    from .operators import filetype as T
+    ev = _docs(spark, sf_dir).select("ID", "extension", "is_unallocated")
+    j = ev.join(_classified(spark, sf_dir).select("ID", "class_extension"), "ID")
+    return T.override_extension(j).select("ID", "extension")
+
+
+def q_b15_type_priority(spark, sf_dir):
+    from .functions.text import type_priority
+    return _docs(spark, sf_dir).select("ID", "extension", type_priority(F.col("extension")).alias("priority"))
+
+
+def q_b16_ingest_counters(spark, sf_dir):
+    from .operators import docs as D
+    return D.ingest_counters(_records(spark, sf_dir))
+
+
+def q_b17_display_times(spark, sf_dir):
+    d = _docs(spark, sf_dir)
+    fmt = "yyyy-MM-dd HH:mm:ss"
+    return d.select("ID", (F.col("modified") * 1000).alias("modified_ms"),
+                    F.date_format(F.to_utc_timestamp(F.timestamp_seconds("modified"), F.current_timezone()),
+                                  fmt).alias("modified_str"))
+
+
+# ------------------------------------------------------------ A: sources and sinks
+
+def _dump_dir(spark, sf_dir):
+    import hashlib
+    import os
+    from .session import scratch_path
+    from .sources.records import write_dump
+    key = hashlib.md5(os.path.abspath(sf_dir).encode()).hexdigest()[:12]
+    path = scratch_path(spark, "dumps", key).replace("file:", "")
+    if not os.path.exists(os.path.join(path, "_DONE")):
+        write_dump(_records(spark, sf_dir).repartition(4), path).collect()
+        open(os.path.join(path, "_DONE"), "w").close()
+    return path
+
+
+def _dump_records(spark, sf_dir):
+    from .sources.records import register
+    register(spark)
+    return spark.read.format("evidence_dump").load(_dump_dir(spark, sf_dir))
+
+
+def q_a1_dump_source(spark, sf_dir):
+    r = _dump_records(spark, sf_dir)
+    return r.select(F.get_json_object("metadata", "$.name.name").alias("name"),
+                    F.get_json_object("metadata", "$.path").alias("path"),
+                    F.octet_length("content").cast("long").alias("content_len"))
+
+
+def q_a2_record_ids(spark, sf_dir):
+    from .sources.records import with_ordinals
+    return with_ordinals(_dump_records(spark, sf_dir)).select("n", "file_id", "slack_id")
+
+
+def q_a3_stop_list(spark, sf_dir):
+    from .operators import analysis as A
+    from .sources.stoplist import stop_list
+    raw = A.raw_tokens(A.by_document(_docs(spark, sf_dir)))
+    return (raw.join(F.broadcast(stop_list(spark)), "term", "left_semi")
+            .groupBy("term").agg(F.count(F.lit(1)).alias("removed")))
+
+
+def q_a4_index_append(spark, sf_dir):
+    import uuid
+    from .plans.index import open_index, write_index
+    from .session import scratch_path
+    from .sources.stoplist import stop_list
+    docs = _docs(spark, sf_dir)
+    path = scratch_path(spark, "index_append", uuid.uuid4().hex[:12])
+    half = (F.col("ID").cast("long") / 2) % 2 == 0
+    write_index(docs.where(half), stop_list(spark), path)
+    write_index(docs.where(~half), stop_list(spark), path, mode="append")
+    return open_index(spark, path).term_stats.select("term", "df", "ttf")
+
+
+def q_a6_doc_vectors_sink(spark, sf_dir):
+    ix, cr = _cluster(spark, sf_dir)
+    return q_g3_doc_vectors(spark, sf_dir)
+
+
+def q_a7_assignments_sink(spark, sf_dir):
+    return q_g14_assignments(spark, sf_dir)
+
+
+def _map_doc(spark, sf_dir):
+    from .operators import cellmap as C
+    from .operators import export as X
+    cr = _cluster(spark, sf_dir)[1]
+    regs = cr.regions()
+    summary = C.map_summary(cr.stats(), cr.assignments, regs)
+    info = C.cell_info(cr.stats(), cr.tops(), regs, cr.diffs())
+    n = regs.select("region").distinct().count()
+    colors = spark.createDataFrame(sorted(C.region_colors(cr.adjacency(), n).items()), "region int, color int")
+    return X.map_json(summary, info, colors, cr.cfg.width, cr.cfg.height)
+
+
+def q_a8_map_json(spark, sf_dir):
+    return _map_doc(spark, sf_dir)
+
+
+def q_a9_map_json_source(spark, sf_dir):
+    import uuid
+    from .operators import export as X
+    from .session import scratch_path
+    path = scratch_path(spark, "mapjson", uuid.uuid4().hex[:12])
+    X.write_map_json(_map_doc(spark, sf_dir), path)
+    m = X.read_map_json(spark, path)
+    return m.select("width", "height", "numZero", "numWith", "numOutliers", "numRegions", "maxCellNum",
+                    F.size("cells").alias("num_cells"))
+
+
+def _bookmarks(spark, sf_dir):
+    from .sources.tables import derived_bookmarks
+    return derived_bookmarks(_docs(spark, sf_dir))
+
+
+def q_a10_document_csv(spark, sf_dir):
+    from .operators import export as X
+    ctx, res = _flagship(spark, sf_dir)
+    return X.document_rows(R.with_fields(res, ctx.index.docs, None), _bookmarks(spark, sf_dir))
+
+
+def _hits_view(spark, sf_dir):
+    from .operators import hits as H
+    ctx, _, h = _hit_parts(spark, sf_dir)
+    return H.hits_view(h.withColumn("score", r6(F.col("score"))), ctx.index.docs, None)
+
+
+def q_a11_hit_csv(spark, sf_dir):
+    from .operators import export as X
+    return X.hit_rows(_hits_view(spark, sf_dir), _bookmarks(spark, sf_dir))
+
+
+def q_a12_document_features(spark, sf_dir):
+    from .operators import export as X
+    _, _, h = _hit_parts(spark, sf_dir)
+    f = X.document_features(h)
+    return f.select("ID", *[r6(F.col(c)).alias(c) for c in f.columns if c != "ID"])
+
+
+def q_a13_hit_features(spark, sf_dir):
+    from .operators import export as X
+    _, _, h = _hit_parts(spark, sf_dir)
+    return X.hit_features_long(h).select("ID", "start", "feature", r6(F.col("value")).alias("value"))
+
+
+# ------------------------------------------------------------ H: bookmarks
+
+def q_h1_create_bookmark(spark, sf_dir):
+    import uuid
+    from .operators import bookmarks as B
+    from .session import scratch_path
+    _, res = _flagship(spark, sf_dir)
+    top = [r["ID"] for r in R.top_k(res, 5).collect()]
+    path = scratch_path(spark, "bookmarks", uuid.uuid4().hex[:12])
+    B.create_bookmark(spark, path, " ".join(top), "top five", created_ms=1500000000000)
+    return B.read_bookmarks(spark, path)
+
+
+def q_h2_bookmarks_for_docs(spark, sf_dir):
+    from .operators import bookmarks as B
+    _, res = _flagship(spark, sf_dir)
+    return B.bookmarks_for_docs(_bookmarks(spark, sf_dir), R.top_k(res, 20))
+
+
+def q_h3_all_bookmarks(spark, sf_dir):
+    return _bookmarks(spark, sf_dir)
+
+
+def q_h4_comment_search(spark, sf_dir):
+    from .operators import bookmarks as B
+    from .sources.tables import read_table
+    c = read_table(spark, sf_dir, "conversations").withColumnRenamed("text", "Comment")
+    return B.search_comments(c, ["des", "the"]).select("conv_id", "turn")
+
+
+def q_h5_bookmark_limit(spark, sf_dir):
+    from .operators import bookmarks as B
+    return B.limit_bookmarks(_bookmarks(spark, sf_dir), 3)
+
+
+def q_h6_results_bookmarks(spark, sf_dir):
+    from .operators import bookmarks as B
+    _, res = _flagship(spark, sf_dir)
+    return B.with_bookmarks(res, _bookmarks(spark, sf_dir))
+
+
+def q_h7_hits_bookmarks(spark, sf_dir):
+    from .operators import bookmarks as B
+    hv = _hits_view(spark, sf_dir).select("ID", "start", "score")
+    return B.with_bookmarks(hv, _bookmarks(spark, sf_dir))
+
+
+def q_h8_bookmarked_flag(spark, sf_dir):
+    from .operators import bookmarks as B
+    _, res = _flagship(spark, sf_dir)
+    return B.bookmarked_flag(R.page(res, 0, 20), _bookmarks(spark, sf_dir))
+
+
+# ------------------------------------------------------------ I: streaming ingest
+
+def q_i1_streaming_ingest(spark, sf_dir):
+    import uuid
+    from .session import scratch_path
+    from .sources.stoplist import stop_list
+    from .streaming.ingest import start_ingest, streamed_term_stats
+    run = scratch_path(spark, "stream", uuid.uuid4().hex[:12])
+    _records(spark, sf_dir).repartition(4).write.parquet(f"{run}/landing")
+    q = start_ingest(spark, f"{run}/landing", f"{run}/index", f"{run}/checkpoint", stop_list(spark))
+    q.awaitTermination()
+    return streamed_term_stats(spark, f"{run}/index")
+
+
 QUERIES = {
     "c1_tokens": q_c1_tokens,
     "c2_stop_removal": q_c2_stop_removal,
@@ -525,6 +845,44 @@ QUERIES = {
     "d16_cell_clause": q_d16_cell_clause,
     "d17_outliers": q_d17_outliers,
     "h9_som_join": q_h9_som_join,
+    "b1_parse_metadata": q_b1_parse_metadata,
+    "b2_flatten_metadata": q_b2_flatten_metadata,
+    "b3_full_path": q_b3_full_path,
+    "b4_extension": q_b4_extension,
+    "b5_unallocated": q_b5_unallocated,
+    "b6_slack_docs": q_b6_slack_docs,
+    "b7_html_text": q_b7_html_text,
+    "b8_raw_text": q_b8_raw_text,
+    "b9_drop_empty": q_b9_drop_empty,
+    "b10_body_len": q_b10_body_len,
+    "b11_byte_ngrams": q_b11_byte_ngrams,
+    "b12_filetype_model": q_b12_filetype_model,
+    "b13_class_extension": q_b13_class_extension,
+    "b14_unallocated_override": q_b14_unallocated_override,
+    "b15_type_priority": q_b15_type_priority,
+    "b16_ingest_counters": q_b16_ingest_counters,
+    "b17_display_times": q_b17_display_times,
+    "a1_dump_source": q_a1_dump_source,
+    "a2_record_ids": q_a2_record_ids,
+    "a3_stop_list": q_a3_stop_list,
+    "a4_index_append": q_a4_index_append,
+    "a6_doc_vectors_sink": q_a6_doc_vectors_sink,
+    "a7_assignments_sink": q_a7_assignments_sink,
+    "a8_map_json": q_a8_map_json,
+    "a9_map_json_source": q_a9_map_json_source,
+    "a10_document_csv": q_a10_document_csv,
+    "a11_hit_csv": q_a11_hit_csv,
+    "a12_document_features": q_a12_document_features,
+    "a13_hit_features": q_a13_hit_features,
+    "h1_create_bookmark": q_h1_create_bookmark,
+    "h2_bookmarks_for_docs": q_h2_bookmarks_for_docs,
+    "h3_all_bookmarks": q_h3_all_bookmarks,
+    "h4_comment_search": q_h4_comment_search,
+    "h5_bookmark_limit": q_h5_bookmark_limit,
+    "h6_results_bookmarks": q_h6_results_bookmarks,
+    "h7_hits_bookmarks": q_h7_hits_bookmarks,
+    "h8_bookmarked_flag": q_h8_bookmarked_flag,
+    "i1_streaming_ingest": q_i1_streaming_ingest,
     "a5_open_index": q_a5_open_index,
     "a14_fetch_document": q_a14_fetch_document,
 }

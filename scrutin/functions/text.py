@@ -17,6 +17,10 @@ TOKEN_OR_GAP_RE = TOKEN_RE + r"|[^\p{L}\p{M}\p{N}_]+"
 # Lossless split into sentences: a sentence runs to (and includes) its
 # terminators; a trailing fragment without terminator is a sentence too.
 SENTENCE_RE = r"[^.!?\n]*[.!?\n]+|[^.!?\n]+"
+WHITESPACE_RUN = r"[ \t\n\x0B\f\r]+"
+HTML_SCRIPT_RE = r"(?is)<script[^>]*>.*?</script>"
+HTML_STYLE_RE = r"(?is)<style[^>]*>.*?</style>"
+HTML_TAG_RE = r"<[^>]*>"
 TOKEN_START_RE = "^" + WORD
 
 
@@ -66,7 +70,7 @@ def strip_control(text: Column) -> Column:
 
 def html_to_text(html: Column) -> Column:
     """B7 for HTML: drop script/style bodies and tags, collapse whitespace."""
-    t = F.regexp_replace(html, r"(?is)<script[^>]*>.*?</script>", " ")
-    t = F.regexp_replace(t, r"(?is)<style[^>]*>.*?</style>", " ")
-    t = F.regexp_replace(t, r"<[^>]*>", " ")
-    return F.trim(F.regexp_replace(t, r"\s+", " "))
+    t = F.regexp_replace(html, HTML_SCRIPT_RE, " ")
+    t = F.regexp_replace(t, HTML_STYLE_RE, " ")
+    t = F.regexp_replace(t, HTML_TAG_RE, " ")
+    return F.trim(F.regexp_replace(t, WHITESPACE_RUN, " "))

@@ -769,3 +769,274 @@ def _d17():
 def _h9():
     return _som("""SELECT ev.ID, ev.name, f.cell, f.som_x, f.som_y, round(f.som_cell_distance, 6) AS som_cell_distance
 FROM ev LEFT JOIN fin f ON f.ID = ev.ID""")
+
+
+# ------------------------------------------------------------ B: records → documents
+
+from .functions.text import HTML_SCRIPT_RE, HTML_STYLE_RE, HTML_TAG_RE, WHITESPACE_RUN  # noqa: E402
+
+RECORDS = """rec AS (
+  SELECT CAST(ID AS BIGINT) // 2 AS seq, ev.*, CAST(strlen(body) AS BIGINT) AS total,
+         CAST(CASE WHEN (CAST(ID AS BIGINT) // 2) % 10 = 0 AND strlen(body) > 200 THEN strlen(body) - 200
+                   ELSE strlen(body) END AS BIGINT) AS msize
+  FROM ev),
+rdocs AS (
+  SELECT CAST(seq * 2 AS VARCHAR) AS ID, name, lower(regexp_extract(name, '\\.([^.]+)$', 1)) AS extension,
+         least(total, msize) AS size, path, false AS is_slack FROM rec
+  UNION ALL
+  SELECT CAST(seq * 2 + 1 AS VARCHAR) AS ID, name || ':slack' AS name, '' AS extension,
+         total - msize AS size, path, true AS is_slack FROM rec WHERE total > msize)"""
+
+
+def _rec(body: str) -> str:
+    return with_ctes(EVIDENCE, RECORDS, body=body)
+
+
+@oracle("b1_parse_metadata")
+def _b1():
+    return _rec("SELECT seq, path, name, least(total, msize) AS file_size, "
+                "greatest(total - msize, 0) AS slack_size FROM rec")
+
+
+@oracle("b2_flatten_metadata")
+def _b2():
+    return """
+SELECT event_id, key,
+       CASE WHEN json_type(v) IN ('BIGINT', 'UBIGINT', 'DOUBLE')
+            THEN CAST(CAST(trunc(CAST(v AS DOUBLE)) AS BIGINT) AS VARCHAR)
+            ELSE json_extract_string(v, '$') END AS value
+FROM (SELECT event_id, k AS key, json_extract(props, '$."' || k || '"') AS v
+      FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events))
+WHERE json_type(v) NOT IN ('BOOLEAN', 'NULL')"""
+
+
+@oracle("b3_full_path")
+def _b3():
+    return _rec("SELECT seq, path || name AS full_path FROM rec")
+
+
+@oracle("b4_extension")
+def _b4():
+    return _rec("SELECT ID, name, extension FROM rdocs")
+
+
+@oracle("b5_unallocated")
+def _b5():
+    return _rec("SELECT ID, starts_with(path, '$Unallocated/') AS is_unallocated FROM rdocs")
+
+
+@oracle("b6_slack_docs")
+def _b6():
+    return _rec("SELECT ID, name, extension, size, is_slack FROM rdocs WHERE is_slack")
+
+
+@oracle("b7_html_text")
+def _b7():
+    t = f"regexp_replace(html, {q(HTML_SCRIPT_RE)}, ' ', 'g')"
+    t = f"regexp_replace({t}, {q(HTML_STYLE_RE)}, ' ', 'g')"
+    t = f"regexp_replace({t}, {q(HTML_TAG_RE)}, ' ', 'g')"
+    t = f"trim(regexp_replace({t}, {q(WHITESPACE_RUN)}, ' ', 'g'))"
+    return f"SELECT page_id, {t} AS text FROM pages"
+
+
+@oracle("b8_raw_text")
+def _b8():
+    return "SELECT doc_id, regexp_replace(text, '[\\x00-\\x1f]', '', 'g') AS text FROM documents"
+
+
+@oracle("b9_drop_empty")
+def _b9():
+    return with_ctes(EVIDENCE, TOKENS, body="SELECT ID FROM ev WHERE ID IN (SELECT ID FROM tok)")
+
+
+@oracle("b10_body_len")
+def _b10():
+    return with_ctes(EVIDENCE, body="SELECT ID, CAST(length(body) AS BIGINT) AS body_len FROM ev")
+
+
+@oracle("b11_byte_ngrams")
+def _b11():
+    nib = "(instr('0123456789ABCDEF', substring(hx, {p}, 1)) - 1)"
+    byte = f"({nib.format(p='2 * i + 1')} * 16 + {nib.format(p='2 * i + 2')})"
+    return f"""WITH h AS (SELECT CAST(doc_id AS VARCHAR) AS ID, hex(encode(text)) AS hx, strlen(text) AS n
+           FROM documents WHERE strlen(text) > 0),
+idx AS (SELECT ID, hx, unnest(range(0, n)) AS i FROM h),
+b AS (SELECT ID, i, {byte} AS b FROM idx),
+nb AS (SELECT ID, b, lead(b) OVER (PARTITION BY ID ORDER BY i) AS nxt FROM b),
+feat AS (SELECT ID, b AS feature FROM nb
+         UNION ALL SELECT ID, 256 + b * 256 + nxt AS feature FROM nb WHERE nxt IS NOT NULL)
+SELECT ID, CAST(feature AS INTEGER) AS feature, COUNT(*) AS count FROM feat GROUP BY ID, feature"""
+
+
+CLASS_EXT = "[" + ", ".join(q("" if i == 0 else e) for i, e in enumerate(K.FILE_TYPE_CLASSES)) + "]"
+
+
+@oracle("b13_class_extension")
+def _b13():
+    return f"""SELECT CAST(doc_id * 2 AS VARCHAR) AS ID, CAST(n_chars % 50 AS INTEGER) AS class,
+       CASE WHEN n_chars % 50 BETWEEN 0 AND {len(K.FILE_TYPE_CLASSES) - 1}
+            THEN {CLASS_EXT}[CAST(n_chars % 50 AS INTEGER) + 1] ELSE '' END AS class_extension
+FROM documents"""
+
+
+@oracle("b14_unallocated_override")
+def _b14():
+    return with_ctes(EVIDENCE, body=f"""SELECT ev.ID, CASE WHEN ev.is_unallocated THEN
+         CASE WHEN d.n_chars % 50 BETWEEN 0 AND {len(K.FILE_TYPE_CLASSES) - 1}
+              THEN {CLASS_EXT}[CAST(d.n_chars % 50 AS INTEGER) + 1] ELSE '' END
+       ELSE ev.extension END AS extension
+FROM ev JOIN documents d ON CAST(d.doc_id * 2 AS VARCHAR) = ev.ID""")
+
+
+@oracle("b15_type_priority")
+def _b15():
+    return with_ctes(EVIDENCE, body=f"""SELECT ID, extension,
+       CASE WHEN {_isin('lower(extension)', K.HIGH_PRIORITY_TYPES)} THEN 'high'
+            WHEN {_isin('lower(extension)', K.MED_PRIORITY_TYPES)} THEN 'medium' ELSE 'low' END AS priority
+FROM ev""")
+
+
+@oracle("b16_ingest_counters")
+def _b16():
+    js = ("'{\"path\":\"' || path || '\",\"name\":{\"name\":\"' || name || '\"},\"meta\":{\"size\":' "
+          "|| msize || ',\"mtime\":' || modified || ',\"crtime\":' || created || ',\"atime\":' || accessed || '}}'")
+    return _rec(f"""SELECT COUNT(*) AS files_read, CAST(SUM(16 + strlen({js}) + total) AS BIGINT) AS bytes_read,
+       CAST(SUM(total) AS BIGINT) AS file_bytes_read FROM rec""")
+
+
+@oracle("b17_display_times")
+def _b17():
+    return with_ctes(EVIDENCE, body="""SELECT ID, modified * 1000 AS modified_ms,
+       strftime(make_timestamp(modified * 1000000), '%Y-%m-%d %H:%M:%S') AS modified_str FROM ev""")
+
+
+# ------------------------------------------------------------ A: sources and sinks
+
+@oracle("a1_dump_source")
+def _a1():
+    return with_ctes(EVIDENCE, body="SELECT name, path, CAST(strlen(body) AS BIGINT) AS content_len FROM ev")
+
+
+@oracle("a2_record_ids")
+def _a2():
+    return ("SELECT i AS n, CAST(2 * i AS VARCHAR) AS file_id, CAST(2 * i + 1 AS VARCHAR) AS slack_id "
+            "FROM range(0, (SELECT COUNT(*) FROM documents)) t(i)")
+
+
+@oracle("a3_stop_list")
+def _a3():
+    return with_ctes(EVIDENCE, TOKENS, body="""SELECT term, COUNT(*) AS removed FROM raw_tok
+WHERE term IN (SELECT term FROM stops) GROUP BY term""")
+
+
+@oracle("a4_index_append")
+def _a4():
+    return base("SELECT term, df, CAST(ttf AS BIGINT) AS ttf FROM ts")
+
+
+ORACLE_SQL["a6_doc_vectors_sink"] = ORACLE_SQL["g3_doc_vectors"]
+ORACLE_SQL["a7_assignments_sink"] = ORACLE_SQL["g14_assignments"]
+
+
+@oracle("a9_map_json_source")
+def _a9():
+    return _som(f"""SELECT CAST({SOM_W} AS BIGINT) AS width, CAST({SOM_H} AS BIGINT) AS height,
+       COUNT(*) FILTER (WHERE num = 0) AS numZero, COUNT(*) FILTER (WHERE num > 0) AS numWith,
+       (SELECT COUNT(*) FROM fin WHERE cell = '-1') AS numOutliers,
+       (SELECT COUNT(DISTINCT region) FROM regs) AS numRegions, MAX(num) AS maxCellNum,
+       CAST(COUNT(*) AS INTEGER) AS num_cells FROM stats2""")
+
+
+BOOKMARKS = """bm AS (SELECT 'note ' || CAST(k AS VARCHAR) AS Comment, CAST(1500000000000 + k * 1000 AS BIGINT) AS Created, ev.ID
+       FROM ev, (VALUES (0), (1), (2), (3), (4), (25)) t(k)
+       WHERE (CAST(ev.ID AS BIGINT) // 2) % 25 = k % 25)"""
+
+
+@oracle("a10_document_csv")
+def _a10():
+    return with_ctes(*flagship_scores(), BOOKMARKS, body="""SELECT r.ID, r.score AS Score, ev.name AS Name,
+       ev.path AS Path, ev.extension AS Extension, ev.size AS Size, ev.modified * 1000 AS Modified,
+       ev.accessed * 1000 AS Accessed, ev.created * 1000 AS Created, '' AS Cell,
+       CAST(NULL AS DOUBLE) AS CellDistance, COALESCE(bm.Created, 0) AS "Bookmark Created",
+       COALESCE(bm.Comment, '') AS "Bookmark Comment"
+FROM r JOIN ev ON ev.ID = r.ID LEFT JOIN bm ON bm.ID = r.ID""")
+
+
+@oracle("a11_hit_csv")
+def _a11():
+    return with_ctes(*hits_ctes(FLAGSHIP), BOOKMARKS, body="""SELECT h.ID, round(h.score, 6) AS Score,
+       ev.name AS Name, ev.path AS Path, ev.extension AS Extension, ev.size AS Size,
+       ev.modified * 1000 AS Modified, ev.accessed * 1000 AS Accessed, ev.created * 1000 AS Created,
+       '' AS Cell, CAST(NULL AS DOUBLE) AS CellDistance, CAST(h.s_start AS BIGINT) AS Start,
+       CAST(h.s_end AS BIGINT) AS "End", regexp_replace(h.snippet, '[\\r\\n]', ' ', 'g') AS Snippet,
+       COALESCE(bm.Created, 0) AS "Bookmark Created", COALESCE(bm.Comment, '') AS "Bookmark Comment"
+FROM hits h JOIN ev ON ev.ID = h.ID LEFT JOIN bm ON bm.ID = h.ID""")
+
+
+_ALLF = ["f_" + f for f in K.HIT_FEATURES]
+
+
+@oracle("a12_document_features")
+def _a12():
+    return _hits_sql(f"""SELECT ID, {_r(_ALLF)} FROM (
+  SELECT *, row_number() OVER (PARTITION BY ID ORDER BY raw_score DESC) AS rn FROM rawh) WHERE rn = 1""")
+
+
+@oracle("a13_hit_features")
+def _a13():
+    names = sql_list(list(K.HIT_FEATURES))
+    vals = "[" + ", ".join(f"CAST({c} AS DOUBLE)" for c in _ALLF) + "]"
+    return _hits_sql(f"""SELECT ID, start, feature, round(value, 6) AS value FROM (
+  SELECT ID, CAST(s_start AS BIGINT) AS start, unnest({names}) AS feature, unnest({vals}) AS value FROM rawh)""")
+
+
+# ------------------------------------------------------------ H: bookmarks
+
+@oracle("h1_create_bookmark")
+def _h1():
+    return with_ctes(*flagship_scores(), body="""SELECT 'top five' AS Comment, CAST(1500000000000 AS BIGINT) AS Created, ID
+FROM (SELECT ID FROM r ORDER BY score DESC, CAST(ID AS BIGINT) LIMIT 5)""")
+
+
+@oracle("h2_bookmarks_for_docs")
+def _h2():
+    return with_ctes(*flagship_scores(), BOOKMARKS, body="""SELECT Comment, Created, ID FROM bm WHERE Comment IN (
+  SELECT Comment FROM bm WHERE ID IN (SELECT ID FROM r ORDER BY score DESC, CAST(ID AS BIGINT) LIMIT 20))""")
+
+
+@oracle("h3_all_bookmarks")
+def _h3():
+    return with_ctes(EVIDENCE, BOOKMARKS, body="SELECT Comment, Created, ID FROM bm")
+
+
+@oracle("h4_comment_search")
+def _h4():
+    return (f"SELECT conv_id, turn FROM conversations WHERE "
+            f"list_has_any(regexp_extract_all(lower(text), {q(TOKEN_RE)}), ['des', 'the'])")
+
+
+@oracle("h5_bookmark_limit")
+def _h5():
+    return with_ctes(EVIDENCE, BOOKMARKS, body="""SELECT Comment, Created, ID FROM bm WHERE Created IN (
+  SELECT DISTINCT Created FROM bm ORDER BY Created LIMIT 3)""")
+
+
+@oracle("h6_results_bookmarks")
+def _h6():
+    return with_ctes(*flagship_scores(), BOOKMARKS, body="""SELECT r.ID, r.score,
+       COALESCE(bm.Created, 0) AS bookmark_created, COALESCE(bm.Comment, '') AS bookmark_comment
+FROM r LEFT JOIN bm ON bm.ID = r.ID""")
+
+
+@oracle("h7_hits_bookmarks")
+def _h7():
+    return with_ctes(*hits_ctes(FLAGSHIP), BOOKMARKS, body="""SELECT h.ID, CAST(h.s_start AS BIGINT) AS start,
+       round(h.score, 6) AS score, COALESCE(bm.Created, 0) AS bookmark_created,
+       COALESCE(bm.Comment, '') AS bookmark_comment
+FROM hits h LEFT JOIN bm ON bm.ID = h.ID""")
+
+
+@oracle("h8_bookmarked_flag")
+def _h8():
+    return with_ctes(*flagship_scores(), BOOKMARKS, body="""SELECT p.ID, p.score, p.ID IN (SELECT ID FROM bm) AS bookmarked
+FROM (SELECT * FROM r ORDER BY score DESC, CAST(ID AS BIGINT) LIMIT 20) p""")
