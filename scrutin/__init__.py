@@ -10,4 +10,20 @@ Layout
 - ``streaming``  incremental ingest with Structured Streaming
 """
 
-__version__ = "0.1.0"
+__version__ = "0.1.4"
+
+
+def _ship_by_value() -> None:
+    """Python functions of this package run inside Spark tasks (Arrow batch
+    kernels, small UDF helpers). Pickle them by value so executors do not
+    need the package installed."""
+    try:
+        import sys
+
+        from pyspark import cloudpickle
+        cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    except Exception:  # pragma: no cover - pyspark missing or very old
+        pass
+
+
+_ship_by_value()

@@ -50,17 +50,17 @@ def query_term_stats(ctx: Q.Context, qterms: DataFrame) -> QueryTermStats:
          .select("term", F.octet_length("term").alias("term_len"),
                  (F.when(F.col("ttf") > 0, -F.ln(F.col("ttf") / F.lit(float(max(tokens, 1))))
                          * F.ln(F.lit(float(num_docs)) / (F.lit(1.0) + F.col("df"))))).alias("tfidf")))
+    rows = t.limit(LITERAL_TERMS_MAX + 1).collect()
+    table = t.where(F.col("tfidf").isNotNull())
+    if len(rows) <= LITERAL_TERMS_MAX:
+        tf = [r["tfidf"] for r in rows if r["tfidf"] is not None]
+        return QueryTermStats(
+            table, len(rows), max([0.0] + tf), max([0] + [int(r["term_len"]) for r in rows]),
+            sorted(r["term"] for r in rows), sorted(r["term"] for r in rows if r["tfidf"] is not None))
     agg = t.agg(F.count(F.lit(1)).alias("n"),
                 F.greatest(F.lit(0.0), F.coalesce(F.max("tfidf"), F.lit(0.0))).alias("max_tfidf"),
                 F.coalesce(F.max("term_len"), F.lit(0)).alias("max_len")).first()
-    n = int(agg["n"])
-    terms = present = None
-    if n <= LITERAL_TERMS_MAX:
-        rows = t.select("term", "tfidf").collect()
-        terms = sorted(r["term"] for r in rows)
-        present = sorted(r["term"] for r in rows if r["tfidf"] is not None)
-    table = t.where(F.col("tfidf").isNotNull())
-    return QueryTermStats(table, n, float(agg["max_tfidf"]), int(agg["max_len"]), terms, present)
+    return QueryTermStats(table, int(agg["n"]), float(agg["max_tfidf"]), int(agg["max_len"]), None, None)
 
 
 def sentences(docs: DataFrame) -> DataFrame:
@@ -105,8 +105,16 @@ def passages(m: DataFrame) -> DataFrame:
     """F3/F7/F17–F19/F21 per hit sentence: first/last match start, distinct
     term set, highest doc-tf / tf-idf / byte length among its terms, and the
     highlighted snippet. Grouping by (ID, s_idx) reuses the ID partitioning."""
+    by_doc = Window.partitionBy("ID")
     m = m.withColumn("tf", F.count(F.lit(1)).over(Window.partitionBy("ID", "term")))
+    # F15–F17 inputs per document, computed on the same rows: every
+    # occurrence of a query term is a match, so Σtf = matches in the document
+    m = (m.withColumn("dot", F.count(F.lit(1)).over(by_doc))
+          .withColumn("max_doc_tf", F.max("tf").over(by_doc))
+          .withColumn("present", F.size(F.collect_set("term").over(by_doc))))
     per = m.groupBy("ID", "s_idx").agg(
+        F.first("dot").alias("dot"), F.first("max_doc_tf").alias("max_doc_tf"),
+        F.first("present").alias("present"),
         F.first("s_start").alias("s_start"), F.first("s_end").alias("s_end"),
         F.first("sentence").alias("sentence"),
         F.min("m_start").alias("first_match"),
@@ -154,14 +162,11 @@ def boundaries(p: DataFrame, body_len: Column) -> DataFrame:
     return p.withColumn("distance", dist)
 
 
-def doc_features(docs: DataFrame, m: DataFrame, doc_stats: DataFrame, stats: QueryTermStats,
+def doc_features(docs: DataFrame, doc_stats: DataFrame, stats: QueryTermStats,
                  ref_date_ms: int) -> DataFrame:
-    """F9–F17 per document with hits."""
-    per_term = m.groupBy("ID", "term").agg(F.count(F.lit(1)).alias("tf"))
-    per_doc = per_term.groupBy("ID").agg(F.sum("tf").alias("dot"), F.count(F.lit(1)).alias("present"),
-                                         F.max("tf").alias("max_doc_tf"))
-    per_doc = per_doc.join(doc_stats.select("ID", "sum_tf2"), "ID")
-    d = docs.join(per_doc, "ID")
+    """F9–F14 per document, plus ``sum_tf2`` for F15 (the query-term parts
+    of F15–F17 come with the hit rows)."""
+    d = docs.join(doc_stats.select("ID", "sum_tf2"), "ID")
     alloc = ~F.col("is_unallocated")
     ref = float(ref_date_ms)
 
@@ -185,9 +190,8 @@ def doc_features(docs: DataFrame, m: DataFrame, doc_stats: DataFrame, stats: Que
     low = F.lower("extension")
     high = low.isin(*K.HIGH_PRIORITY_TYPES)
     med = low.isin(*K.MED_PRIORITY_TYPES)
-    nq = float(stats.n) if stats.n else 1.0
     return d.select(
-        "ID", "is_unallocated", "body_len", "max_doc_tf",
+        "ID", "is_unallocated", "sum_tf2",
         ddiff("created").alias("f_created"), ddiff("modified").alias("f_modified"),
         ddiff("accessed").alias("f_accessed"),
         F.lit(0.0).alias("f_filename_direct"),
@@ -196,8 +200,6 @@ def doc_features(docs: DataFrame, m: DataFrame, doc_stats: DataFrame, stats: Que
         F.when(high, 1.0).otherwise(0.0).alias("f_high_type"),
         F.when(med, 1.0).otherwise(0.0).alias("f_med_type"),
         F.when(high | med, 0.0).otherwise(1.0).alias("f_low_type"),
-        (F.col("dot") / (F.sqrt("sum_tf2") + F.sqrt("present"))).alias("f_similarity"),
-        (F.col("present") / F.lit(nq)).alias("f_term_cardinality"),
     ).withColumn("f_avg_recency", (F.col("f_created") + F.col("f_modified") + F.col("f_accessed")) / 3)
 
 
@@ -209,8 +211,11 @@ def hit_features(p: DataFrame, dfeat: DataFrame, stats: QueryTermStats) -> DataF
     """Per-hit features and the raw linear score."""
     h = p.join(dfeat, "ID")
     blen = F.when(F.col("body_len") == 0, F.lit(1)).otherwise(F.col("body_len")).cast("double")
+    nq = float(stats.n) if stats.n else 1.0
     h = h.select(
         "*",
+        (F.col("dot") / (F.sqrt("sum_tf2") + F.sqrt("present"))).alias("f_similarity"),
+        (F.col("present") / F.lit(nq)).alias("f_term_cardinality"),
         _ratio(F.col("max_hit_tfidf"), F.lit(stats.max_tfidf)).alias("f_term_tfidf"),
         _ratio(F.col("max_hit_tf").cast("double"), F.col("max_doc_tf").cast("double")).alias("f_hit_frequency"),
         (F.col("distance") / blen).alias("f_proximity"),
@@ -239,20 +244,27 @@ def normalize(h: DataFrame) -> DataFrame:
 
 
 def rank_hits(ctx: Q.Context, q: Q.Clause, ref_date_ms: int,
-              results: DataFrame | None = None) -> DataFrame:
-    """Every hit of the query with its features, raw and normalised score."""
+              results: DataFrame | None = None, materialize_raw: bool = True) -> DataFrame:
+    """Every hit of the query with its features, raw and normalised score.
+
+    The raw-scored hits (one row per hit sentence) are written to the shared
+    folder before normalisation, because the per-class range is a second
+    pass over them: the text pipeline runs once."""
+    from ..session import materialize
     ix = ctx.index
     results = results if results is not None else Q.evaluate(ctx, q)
     stats = query_term_stats(ctx, Q.query_terms(ctx, q))
     docs = ix.docs.join(results.select("ID"), "ID", "left_semi")
     docs = docs.repartition(default_parallelism(ix.spark), "ID")
     sents = sentences(docs.select("ID", "body"))
-    m = matches(sents, stats)
-    p = passages(m)
+    p = passages(matches(sents, stats))
     meta = docs.drop("body")
-    p = boundaries(p.join(meta.select("ID", "body_len"), "ID"), F.col("body_len")).drop("body_len")
-    dfeat = doc_features(meta, m, ix.doc_stats, stats, ref_date_ms)
-    return normalize(hit_features(p, dfeat, stats))
+    p = boundaries(p.join(meta.select("ID", "body_len"), "ID"), F.col("body_len"))
+    dfeat = doc_features(meta.drop("body_len"), ix.doc_stats, stats, ref_date_ms)
+    raw = hit_features(p, dfeat, stats)
+    if materialize_raw:
+        raw = materialize(raw)
+    return normalize(raw)
 
 
 HIT_COLUMNS = ("ID", "score", "name", "passage", "start", "end", "path", "extension", "size",

@@ -11,10 +11,13 @@ Per epoch
 2. ``mapInArrow`` finds each document's winner with numpy and pre-aggregates,
    inside the task, document counts per winner and term counts per
    (winner, term) — a hot cell costs one row per task;
-3. a ``groupBy`` finishes the counts; the square neighbourhood is applied as two
-   separable box sums (x, then y) through tiny broadcast offset tables;
-4. one array expression updates every cell; the weights are written to the
+3. a ``groupBy`` finishes the counts — a table bounded by the map
+   (cells × features), never by the corpus;
+4. the square neighbourhood (two separable box sums) and the update are a
+   dense numpy step over that map-sized table; the weights are written to the
    shared folder, which cuts lineage between epochs.
+The same neighbourhood sums and update also exist as DataFrame operators
+(:func:`neighbourhood_sums`, :func:`update_weights`), checked against SQL.
 Only counts are aggregated, so results do not depend on partitioning.
 """
 
@@ -143,27 +146,27 @@ def weight_matrix(weights: DataFrame, cfg: SomConfig, dims: int) -> np.ndarray:
 # ------------------------------------------------------------ G8–G9 batch kernels
 
 def _nearest(mat: np.ndarray, s2: np.ndarray, offsets: np.ndarray, flat: np.ndarray,
-             chunk_terms: int = 4096):
+             chunk_docs: int = 1024):
     """Winner (lowest id on ties) and squared distance
-    ``|x| + Σw² − 2·Σ_{t∈x} w_t`` for each non-empty document."""
-    wt = mat.T  # dims × cells
+    ``|x| + Σw² − 2·Σ_{t∈x} w_t`` for each non-empty document: the binary
+    document vectors of a chunk are laid out densely and multiplied with the
+    weight matrix (one BLAS call per chunk)."""
+    cells, dims = mat.shape
+    wt = np.ascontiguousarray(mat.T)
     n = len(offsets) - 1
     win = np.empty(n, dtype=np.int32)
     dist = np.empty(n, dtype=np.float64)
-    i = 0
-    while i < n:
-        j = i + 1
-        while j < n and offsets[j + 1] - offsets[i] <= chunk_terms:
-            j += 1
+    for i in range(0, n, chunk_docs):
+        j = min(i + chunk_docs, n)
         lo, hi = offsets[i], offsets[j]
-        g = wt[flat[lo:hi]]
-        sums = np.add.reduceat(g, offsets[i:j] - lo, axis=0)
+        rows = np.repeat(np.arange(j - i), np.diff(offsets[i:j + 1]))
+        x = np.zeros((j - i, dims), dtype=np.float64)
+        x[rows, flat[lo:hi]] = 1.0
         k = np.diff(offsets[i:j + 1]).astype(np.float64)
-        d = k[:, None] + s2[None, :] - 2.0 * sums
+        d = k[:, None] + s2[None, :] - 2.0 * (x @ wt)
         a = np.argmin(d, axis=1)
         win[i:j] = a
         dist[i:j] = np.maximum(d[np.arange(j - i), a], 0.0)
-        i = j
     return win, dist
 
 
@@ -311,29 +314,87 @@ class TrainedMap:
     epochs: DataFrame           # G13: (epoch, alpha, radius, docs, matched)
 
 
+def initial_matrix(cfg: SomConfig, dims: int) -> np.ndarray:
+    """G6 as a matrix — the same integer hash as :func:`initial_weights`."""
+    cell = np.arange(cfg.cells, dtype=np.int64)[:, None]
+    idx = np.arange(dims, dtype=np.int64)[None, :]
+    return ((cell * 7919 + idx * 104729 + cfg.seed * 31) % 1000003) / 1000003.0
+
+
+def _box_sum(grid: np.ndarray, r: int) -> np.ndarray:
+    """Sum over the clipped square of radius r around every (y, x) of a
+    (H, W, …) array, via prefix sums (separable)."""
+    out = grid
+    for axis in (0, 1):
+        n = out.shape[axis]
+        c = np.cumsum(out, axis=axis)
+        zero = np.zeros_like(np.take(c, [0], axis=axis))
+        c = np.concatenate([zero, c], axis=axis)
+        hi = np.minimum(np.arange(n) + r + 1, n)
+        lo = np.maximum(np.arange(n) - r, 0)
+        out = np.take(c, hi, axis=axis) - np.take(c, lo, axis=axis)
+    return out
+
+
+def epoch_update(mat: np.ndarray, counts, cfg: SomConfig, alpha: float, radius: int) -> np.ndarray:
+    """G10/G11 on the map-sized count table (≤ cells × (features + 1) rows):
+    neighbourhood sums by prefix sums, then the closed-form batch update."""
+    cells, dims = mat.shape
+    win = counts.column("winner").to_numpy()
+    idx = counts.column("idx").to_numpy()
+    cnt = counts.column("cnt").to_numpy().astype(np.float64)
+    n = np.zeros(cells)
+    m = np.zeros((cells, dims))
+    doc = idx < 0
+    np.add.at(n, win[doc], cnt[doc])
+    np.add.at(m, (win[~doc], idx[~doc]), cnt[~doc])
+    n = _box_sum(n.reshape(cfg.height, cfg.width), radius).reshape(cells)
+    m = _box_sum(m.reshape(cfg.height, cfg.width, dims), radius).reshape(cells, dims)
+    keep = np.power(1.0 - alpha, n)
+    safe = np.where(n > 0, n, 1.0)
+    new = keep[:, None] * mat + (1.0 - keep)[:, None] * m / safe[:, None]
+    return np.where((n > 0)[:, None], new, mat)
+
+
+def matrix_frame(spark: SparkSession, mat: np.ndarray) -> DataFrame:
+    """(cell, w array<double>) from the matrix (map-sized)."""
+    tbl = pa.table({"cell": pa.array(np.arange(mat.shape[0], dtype=np.int32)),
+                    "w": pa.array(list(mat), type=pa.list_(pa.float64()))})
+    return spark.createDataFrame(tbl)
+
+
 def train(vectors: DataFrame, cfg: SomConfig, dims: int, weights: DataFrame | None = None,
           checkpoint: bool = True) -> TrainedMap:
-    """Run the epochs. Each epoch's weights are written to the shared
-    folder (cut lineage) before the next broadcast."""
+    """Run the epochs.
+
+    Each epoch makes one distributed pass over the document vectors (winner
+    search and count pre-aggregation in the tasks, a ``groupBy`` to finish);
+    the result is a count table bounded by the map (cells × features), from
+    which the neighbourhood sums and the update are one dense numpy step.
+    The weights of every epoch are written to the shared folder, so a
+    restarted job resumes from the last epoch instead of recomputing."""
     spark = vectors.sparkSession
     sc = spark.sparkContext
+    if 8 * cfg.cells * max(dims, 1) > MAX_MATRIX_BYTES:
+        raise ValueError("SOM weight matrix exceeds the broadcast bound")
     run_id = uuid.uuid4().hex[:12]
-    w = weights if weights is not None else initial_weights(spark, cfg, dims)
-    if checkpoint:
-        w = materialize(w, f"som_{run_id}_init")
+    mat = weight_matrix(weights, cfg, dims) if weights is not None else initial_matrix(cfg, dims)
     nz = vectors.where(F.size("features") > 0)
     stats = vectors.agg(F.count(F.lit(1)).alias("docs"), F.count_if(F.size("features") > 0)
                         .alias("matched")).first()
     rows = []
+    w = None
     for e, (alpha, radius) in enumerate(cfg.schedule()):
-        bmat = sc.broadcast(weight_matrix(w, cfg, dims))
-        counts = winner_counts(nz, bmat, dims)
-        sums = neighbourhood_sums(counts, cfg, radius)
-        w = update_weights(w, sums, alpha)
+        bmat = sc.broadcast(mat)
+        counts = winner_counts(nz, bmat, dims).toArrow()
+        bmat.unpersist()
+        mat = epoch_update(mat, counts, cfg, alpha, radius)
+        w = matrix_frame(spark, mat)
         if checkpoint:
             w = materialize(w, f"som_{run_id}_{e}")
-        bmat.unpersist()
         rows.append((e, float(alpha), int(radius), int(stats["docs"]), int(stats["matched"])))
+    if w is None:
+        w = matrix_frame(spark, mat)
     epochs = spark.createDataFrame(rows, "epoch int, alpha double, radius int, docs long, matched long")
     return TrainedMap(cfg, dims, w, epochs)
 

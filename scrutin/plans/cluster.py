@@ -68,7 +68,8 @@ def open_cluster(ix: Index, cfg: S.SomConfig, path: str) -> ClusterResult:
 
 
 def cluster_for(ix: Index, cfg: S.SomConfig, rebuild: bool = False) -> ClusterResult:
-    key = hashlib.md5(f"{ix.path}|{sorted(asdict(cfg).items())}".encode()).hexdigest()[:16]
+    from .. import __version__
+    key = hashlib.md5(f"{ix.path}|{sorted(asdict(cfg).items())}|{__version__}".encode()).hexdigest()[:16]
     path = scratch_path(ix.spark, "som", key)
     if rebuild or not _built(ix.spark, path):
         return run_cluster(ix, cfg, path)

@@ -2,16 +2,16 @@
 
 Tables
 - ``docs``        core document fields (body kept; search pages prune it)
-- ``postings``    (ID, term, pos)            term-major: range-partitioned on
-                                             (term, ID) and sorted, so a term
-                                             filter reads few row groups
-- ``doc_terms``   (ID, term, tf)             term-major as well
+- ``postings``    (ID, term, pos)            files sorted by (term, ID), so a
+                                             term filter reads few row groups
+- ``doc_terms``   (ID, term, tf)             sorted the same way
 - ``term_stats``  (term, df, ttf)
 - ``doc_stats``   (ID, length, sum_tf2, n_terms)
 - ``corpus``      one row: num_docs, num_terms, num_tokens
 
-Build cost: one shuffle of the text by ID; term vectors and per-document
-statistics reuse that partitioning; one range shuffle per term-major table.
+Build cost: one shuffle of the text by ID; postings, term vectors and
+per-document statistics reuse that partitioning; term statistics shuffle
+once after a map-side partial aggregation.
 Tables are written under the shared ``spark.checkpoint.dir`` (or a caller's
 path) and read back, which also cuts lineage.
 """
@@ -87,17 +87,18 @@ def write_index(docs: DataFrame, stops: DataFrame, path: str, mode: str = "overw
     toks = A.tokens(part, stops).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         docs.write.mode(mode).parquet(f"{path}/docs")
-        (toks.repartitionByRange(n, "term", "ID").sortWithinPartitions("term", "ID")
-         .write.mode(mode).parquet(f"{path}/postings"))
-        (A.doc_terms(toks).repartitionByRange(n, "term", "ID").sortWithinPartitions("term", "ID")
+        # Tokens stay in their by-document partitions (no second shuffle, no
+        # hot-term skew); each file is sorted by term so row-group min/max
+        # statistics prune a term lookup to a few row groups per file.
+        toks.sortWithinPartitions("term", "ID").write.mode(mode).parquet(f"{path}/postings")
+        (A.doc_terms(toks).sortWithinPartitions("term", "ID")
          .write.mode(mode).parquet(f"{path}/doc_terms"))
     finally:
         toks.unpersist()
     dterms = spark.read.parquet(f"{path}/doc_terms")
     A.doc_stats(dterms).write.mode("overwrite").parquet(f"{path}/doc_stats")
     tstats = A.term_stats(dterms)
-    (tstats.repartitionByRange(n, "term").sortWithinPartitions("term")
-     .write.mode("overwrite").parquet(f"{path}/term_stats"))
+    tstats.sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/term_stats")
     alld = spark.read.parquet(f"{path}/docs")
     A.corpus_stats(alld, spark.read.parquet(f"{path}/term_stats")) \
         .coalesce(1).write.mode("overwrite").parquet(f"{path}/corpus")
@@ -130,7 +131,8 @@ def index_for(spark: SparkSession, sf_dir: str, with_slack: bool = False,
               rebuild: bool = False) -> Index:
     """The index of the evidence view of ``sf_dir`` with the default stop
     list, built once into the shared folder and reused."""
-    key = hashlib.md5(f"{os.path.abspath(sf_dir)}|{with_slack}".encode()).hexdigest()[:16]
+    from .. import __version__
+    key = hashlib.md5(f"{os.path.abspath(sf_dir)}|{with_slack}|{__version__}".encode()).hexdigest()[:16]
     path = scratch_path(spark, "index", key)
     if rebuild or not _built(spark, path):
         write_index(evidence_docs(spark, sf_dir, with_slack), stop_list(spark), path)
