@@ -43,13 +43,23 @@ class QueryTermStats:
     present: list[str] | None     # indexed query terms when n <= LITERAL_TERMS_MAX
 
 
+def term_weight(ttf: Column, df: Column, tokens: int, num_docs: int) -> Column:
+    """F8: ``-ln(ttf/tokens) · ln(N/(1+df))``; null for terms not in the index."""
+    return F.when(ttf > 0, -F.ln(ttf / F.lit(float(max(tokens, 1))))
+                  * F.ln(F.lit(float(num_docs)) / (F.lit(1.0) + df)))
+
+
+def date_difference(seconds: Column, ref_date_ms: int) -> Column:
+    """``|t − ref| / ref`` with t in milliseconds."""
+    return F.abs(seconds * 1000 - F.lit(ref_date_ms)) / F.lit(float(ref_date_ms))
+
+
 def query_term_stats(ctx: Q.Context, qterms: DataFrame) -> QueryTermStats:
     num_docs, _, tokens = ctx.index.corpus_row()
     qterms = qterms.select("term").distinct()
     t = (qterms.join(ctx.index.term_stats, "term", "left")
          .select("term", F.octet_length("term").alias("term_len"),
-                 (F.when(F.col("ttf") > 0, -F.ln(F.col("ttf") / F.lit(float(max(tokens, 1))))
-                         * F.ln(F.lit(float(num_docs)) / (F.lit(1.0) + F.col("df"))))).alias("tfidf")))
+                 term_weight(F.col("ttf"), F.col("df"), tokens, num_docs).alias("tfidf")))
     rows = t.limit(LITERAL_TERMS_MAX + 1).collect()
     table = t.where(F.col("tfidf").isNotNull())
     if len(rows) <= LITERAL_TERMS_MAX:
@@ -168,10 +178,9 @@ def doc_features(docs: DataFrame, doc_stats: DataFrame, stats: QueryTermStats,
     of F15–F17 come with the hit rows)."""
     d = docs.join(doc_stats.select("ID", "sum_tf2"), "ID")
     alloc = ~F.col("is_unallocated")
-    ref = float(ref_date_ms)
 
     def ddiff(c):
-        return F.when(alloc, F.abs(F.col(c) * 1000 - F.lit(ref_date_ms)) / F.lit(ref)).otherwise(F.lit(0.0))
+        return F.when(alloc, date_difference(F.col(c), ref_date_ms)).otherwise(F.lit(0.0))
 
     full_path = F.concat("path", "name")
     if stats.terms is not None:
