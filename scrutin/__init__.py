@@ -10,7 +10,7 @@ Layout
 - ``streaming``  incremental ingest with Structured Streaming
 """
 
-__version__ = "0.1.4"
+__version__ = "0.1.6"
 
 
 def _ship_by_value() -> None:

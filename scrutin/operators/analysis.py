@@ -1,10 +1,14 @@
 """Tokens, postings, term vectors and corpus statistics.
 
-Partitioning: documents are hash-partitioned by ``ID`` once
-(:func:`by_document`). Tokenising is a generator, which keeps that
-partitioning, so every per-document aggregate below (term vectors, field
-lengths, offset windows) runs without another shuffle; only the per-term
-statistics shuffle, after a map-side partial aggregation.
+Partitioning. Bodies are cut into chunks of at most ``CHUNK_CHARS``
+characters that end at whitespace (so no token is cut), and the chunks —
+not whole documents — are hash-partitioned by (ID, chunk). One enormous
+document (an unallocated-space blob may hold a third of all text) is
+therefore tokenised by many tasks. Global token positions and character
+offsets are the chunk's base (a running sum over the small per-chunk
+summary table: one row per chunk) plus the position inside the chunk.
+Term vectors aggregate map-side before their (ID, term) shuffle; term
+statistics aggregate map-side before their term shuffle.
 """
 
 from __future__ import annotations
@@ -15,16 +19,61 @@ from pyspark.sql import functions as F
 from ..functions.text import TOKEN_OR_GAP_RE, TOKEN_START_RE, tokens_of
 from ..session import bounded_broadcast, default_parallelism
 
+CHUNK_CHARS = 1 << 16
 
-def by_document(docs: DataFrame, num_partitions: int | None = None) -> DataFrame:
-    """Hash-partition documents by ID (the only shuffle of the text)."""
+
+def chunk_pattern(chunk_chars: int = CHUNK_CHARS) -> str:
+    """Lossless cut into pieces of at most ``chunk_chars`` characters that
+    end after a whitespace, '!' or '?' (never inside a token); a run longer
+    than that without any of them is cut at the limit."""
+    return rf"(?s).{{1,{chunk_chars}}}(?:[\s!?]|\z)|(?s).{{1,{chunk_chars}}}"
+
+
+def by_document(docs: DataFrame, num_partitions: int | None = None,
+                chunk_chars: int = CHUNK_CHARS) -> DataFrame:
+    """(ID, multi, chunk, text) — bodies cut into chunks and spread over
+    tasks by (ID, chunk): the only shuffle of the text. ``multi`` marks
+    documents longer than one chunk (only those need chunk bases)."""
+    n = num_partitions or default_parallelism(docs.sparkSession)
+    ch = docs.select("ID", (F.length("body") > chunk_chars).alias("multi"), F.posexplode(
+        F.regexp_extract_all(F.col("body"), F.lit(chunk_pattern(chunk_chars)), 0)).alias("chunk", "text"))
+    return ch.repartition(n, "ID", "chunk")
+
+
+def by_id(docs: DataFrame, num_partitions: int | None = None) -> DataFrame:
+    """Whole documents hash-partitioned by ID (for per-document windows)."""
     n = num_partitions or default_parallelism(docs.sparkSession)
     return docs.repartition(n, "ID")
 
 
-def raw_tokens(docs: DataFrame) -> DataFrame:
-    """(ID, pos, term) for every token, stop words included."""
-    return docs.select("ID", F.posexplode(tokens_of(F.col("body"))).alias("pos", "term"))
+def chunk_bases(summary: DataFrame, *cols: str) -> DataFrame:
+    """Running sums of per-chunk counts within each document, exclusive of
+    the chunk itself: (ID, chunk, base_<col>…). Input has one row per chunk
+    of a multi-chunk document, so the window is over small rows."""
+    w = Window.partitionBy("ID").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    return summary.select("ID", "chunk", *[
+        F.coalesce(F.sum(c).over(w), F.lit(0)).cast("long").alias(f"base_{c}") for c in cols])
+
+
+def _add_bases(local: DataFrame, summary_aggs: dict, out_cols) -> DataFrame:
+    """Rows of multi-chunk documents joined with their chunk bases (the
+    exclusive running sums of ``summary_aggs`` per document). The base
+    table has one row per chunk; a shuffled hash join keeps the token rows
+    in their (ID, chunk) partitions without sorting them."""
+    summary = local.groupBy("ID", "chunk").agg(*[e.alias(k) for k, e in summary_aggs.items()])
+    bases = chunk_bases(summary, *summary_aggs)
+    return local.join(bases.hint("shuffle_hash"), ["ID", "chunk"], "left").select(*out_cols)
+
+
+def raw_tokens(chunks: DataFrame) -> DataFrame:
+    """(ID, pos, term) for every token, stop words included; ``pos`` is
+    the position in the whole body. Documents within one chunk (the usual
+    case) need no base; longer ones add their chunk's token base."""
+    local = chunks.select("ID", "chunk", "multi", F.posexplode(tokens_of(F.col("text"))).alias("p", "term"))
+    single = local.where(~F.col("multi")).select("ID", F.col("p").alias("pos"), "term")
+    multi = _add_bases(local.where(F.col("multi")), {"n": F.max("p") + 1}, [
+        "ID", (F.coalesce("base_n", F.lit(0)) + F.col("p")).cast("int").alias("pos"), "term"])
+    return single.unionByName(multi)
 
 
 def remove_stops(tokens: DataFrame, stops: DataFrame) -> DataFrame:
@@ -37,27 +86,36 @@ def tokens(docs: DataFrame, stops: DataFrame) -> DataFrame:
     return remove_stops(raw_tokens(docs), stops).select("ID", "term", "pos")
 
 
-def postings_with_offsets(docs: DataFrame, stops: DataFrame) -> DataFrame:
+def postings_with_offsets(chunks: DataFrame, stops: DataFrame) -> DataFrame:
     """(ID, term, pos, start, end) with character offsets into ``body``.
 
-    The body is split losslessly into token and gap pieces; a running sum of
-    piece lengths per document gives the end offset of each piece. The window
-    is partitioned by ID, which the input already is, so it only sorts.
+    Each chunk is split losslessly into token and gap pieces; a running sum
+    of piece lengths inside the chunk (a window over (ID, chunk), which the
+    input is partitioned by) gives local offsets. Multi-chunk documents add
+    their chunk's base character offset and token count.
     """
-    pieces = docs.select("ID", F.posexplode(
-        F.regexp_extract_all(F.col("body"), F.lit(TOKEN_OR_GAP_RE), 0)).alias("k", "piece"))
-    w = Window.partitionBy("ID").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    pieces = chunks.select("ID", "chunk", "multi", F.posexplode(
+        F.regexp_extract_all(F.col("text"), F.lit(TOKEN_OR_GAP_RE), 0)).alias("k", "piece"))
+    w = Window.partitionBy("ID", "chunk").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
     is_tok = F.col("piece").rlike(TOKEN_START_RE)
     located = pieces.select(
-        "ID", "piece", is_tok.alias("is_tok"),
+        "ID", "chunk", "multi", "piece", is_tok.alias("is_tok"),
         F.sum(F.length("piece")).over(w).alias("end"),
         F.sum(is_tok.cast("int")).over(w).alias("ntok"))
-    toks = located.where("is_tok").select(
-        "ID", F.lower("piece").alias("term"),
-        (F.col("ntok") - 1).cast("int").alias("pos"),
-        (F.col("end") - F.length("piece")).cast("int").alias("start"),
-        F.col("end").cast("int").alias("end"))
-    return remove_stops(toks, stops).select("ID", "term", "pos", "start", "end")
+
+    def out(base_chars, base_toks):
+        return ["ID", F.lower("piece").alias("term"),
+                (base_toks + F.col("ntok") - 1).cast("int").alias("pos"),
+                (base_chars + F.col("end") - F.length("piece")).cast("int").alias("start"),
+                (base_chars + F.col("end")).cast("int").alias("end")]
+
+    single = located.where(~F.col("multi") & F.col("is_tok")).select(*out(F.lit(0), F.lit(0)))
+    multi = _add_bases(
+        located.where(F.col("multi")), {"chars": F.max("end"), "toks": F.max("ntok")},
+        ["ID", "piece", "is_tok", "end", "ntok", "base_chars", "base_toks"])
+    multi = multi.where("is_tok").select(*out(F.coalesce("base_chars", F.lit(0)),
+                                              F.coalesce("base_toks", F.lit(0))))
+    return remove_stops(single.unionByName(multi), stops).select("ID", "term", "pos", "start", "end")
 
 
 def doc_terms(toks: DataFrame) -> DataFrame:

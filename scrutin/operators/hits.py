@@ -23,6 +23,7 @@ from ..functions.text import SENTENCE_RE, TOKEN_OR_GAP_RE, TOKEN_START_RE, TOKEN
 from ..functions.text import in_system_dir
 from ..session import bounded_broadcast, default_parallelism
 from . import query as Q
+from .analysis import by_id
 
 # Above this many query terms the literal forms give way to joins.
 LITERAL_TERMS_MAX = 5000
@@ -264,7 +265,7 @@ def rank_hits(ctx: Q.Context, q: Q.Clause, ref_date_ms: int,
     results = results if results is not None else Q.evaluate(ctx, q)
     stats = query_term_stats(ctx, Q.query_terms(ctx, q))
     docs = ix.docs.join(results.select("ID"), "ID", "left_semi")
-    docs = docs.repartition(default_parallelism(ix.spark), "ID")
+    docs = by_id(docs)
     sents = sentences(docs.select("ID", "body"))
     p = passages(matches(sents, stats))
     meta = docs.drop("body")

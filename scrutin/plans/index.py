@@ -87,9 +87,10 @@ def write_index(docs: DataFrame, stops: DataFrame, path: str, mode: str = "overw
     toks = A.tokens(part, stops).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         docs.write.mode(mode).parquet(f"{path}/docs")
-        # Tokens stay in their by-document partitions (no second shuffle, no
-        # hot-term skew); each file is sorted by term so row-group min/max
-        # statistics prune a term lookup to a few row groups per file.
+        # Tokens stay in their chunk partitions (no second shuffle, no
+        # hot-term or hot-document skew); each file is sorted by term so
+        # row-group min/max statistics prune a term lookup to a few row
+        # groups per file.
         toks.sortWithinPartitions("term", "ID").write.mode(mode).parquet(f"{path}/postings")
         (A.doc_terms(toks).sortWithinPartitions("term", "ID")
          .write.mode(mode).parquet(f"{path}/doc_terms"))

@@ -77,3 +77,22 @@ def test_dump_source_round_trip_and_truncation(spark, tmp_path):
     assert list(read_records(io.BytesIO(data))) == [('{"a":1}', b"xyz"), ("{}", b"")]
     with pytest.raises(ValueError):
         list(read_records(io.BytesIO(data[:-3])))
+
+
+def test_chunked_tokenising_equals_whole_documents(spark):
+    """Huge documents are cut into chunks; positions and offsets must not
+    change. A tiny chunk size forces many chunks per document."""
+    from scrutin.operators import analysis as A
+    from scrutin.sources.stoplist import stop_list
+    from scrutin.sources.tables import evidence_docs
+    docs = evidence_docs(spark, SF_SMALL)
+    whole = A.raw_tokens(A.by_document(docs, chunk_chars=1 << 20))
+    tiny = A.raw_tokens(A.by_document(docs, chunk_chars=40))
+    assert tiny.exceptAll(whole).count() == 0 and whole.exceptAll(tiny).count() == 0
+    pw = A.postings_with_offsets(A.by_document(docs, chunk_chars=1 << 20), stop_list(spark))
+    pt = A.postings_with_offsets(A.by_document(docs, chunk_chars=40), stop_list(spark))
+    assert pt.exceptAll(pw).count() == 0 and pw.exceptAll(pt).count() == 0
+    # offsets point at the term in the body
+    b = docs.select("ID", "body")
+    bad = pt.join(b, "ID").where(F.lower(F.expr("substring(body, start + 1, `end` - start)")) != F.col("term"))
+    assert bad.count() == 0
