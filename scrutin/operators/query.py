@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import TOKEN_RE
-from ..session import bounded_broadcast
+from ..session import bounded_broadcast, literal_frame
 
 
 # ----------------------------------------------------------------- context
@@ -103,8 +103,7 @@ class Clause:
 
 
 def _terms_df(ctx: Context, terms: list[str]) -> DataFrame:
-    spark = ctx.index.spark
-    return spark.createDataFrame([(t,) for t in dict.fromkeys(terms)], "term string")
+    return literal_frame(ctx.index.spark, dict.fromkeys(terms), "term")
 
 
 @dataclass
@@ -458,5 +457,5 @@ def query_terms(ctx: Context, q: Clause | None) -> DataFrame:
     """distinct body terms of the non-prohibited clauses."""
     got = q.body_terms(ctx) if q is not None else None
     if got is None:
-        return ctx.index.spark.createDataFrame([], "term string")
+        return literal_frame(ctx.index.spark, [], "term")
     return got.distinct()

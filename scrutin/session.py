@@ -93,3 +93,14 @@ def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> Data
     from pyspark.sql import functions as F
     n = df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df
+
+
+def literal_frame(spark: SparkSession, values, name: str = "value", dtype: str = "string") -> DataFrame:
+    """A small one-column DataFrame built from literals inside the JVM (no
+    Python round trip); for query-sized or configuration-sized lists."""
+    from pyspark.sql import functions as F
+    vals = list(values)
+    if not vals:
+        return spark.range(0).select(F.lit(None).cast(dtype).alias(name))
+    arr = F.array(*[F.lit(v).cast(dtype) for v in vals])
+    return spark.range(1).select(F.explode(arr).alias(name))

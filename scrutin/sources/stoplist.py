@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
+from ..session import literal_frame
 
 
 def default_stop_terms() -> list[str]:
@@ -18,8 +19,7 @@ def default_stop_terms() -> list[str]:
 def stop_list(spark: SparkSession, path: str | None = None,
               extra: list[str] | None = None) -> DataFrame:
     """(term string) — one row per distinct lower-cased stop term."""
-    base = spark.createDataFrame([(t,) for t in default_stop_terms() + list(extra or [])],
-                                 "term string")
+    base = literal_frame(spark, default_stop_terms() + list(extra or []), "term")
     if path:
         lines = spark.read.text(path).select(F.col("value").alias("term"))
         base = base.unionByName(lines)

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import literal_frame
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -87,7 +89,7 @@ def derived_bookmarks(docs: DataFrame) -> DataFrame:
     holding the documents with ``doc_id % 25 == k % 25``. Long form keeps a
     bookmark's document list distributed however large it grows."""
     spark = docs.sparkSession
-    ks = spark.createDataFrame([(k,) for k in (0, 1, 2, 3, 4, 25)], "k int")
+    ks = literal_frame(spark, (0, 1, 2, 3, 4, 25), "k", "int")
     ids = docs.select("ID", ((F.col("ID").cast("long") / 2).cast("long") % 25).alias("m"))
     # six bookmark keys: a fixed-size side, broadcast by construction
     return (ids.join(F.broadcast(ks), ks.k % 25 == ids.m)
