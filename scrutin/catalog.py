@@ -586,7 +586,8 @@ def _dump_dir(spark, sf_dir):
     import os
     from .session import scratch_path
     from .sources.records import write_dump
-    key = hashlib.md5(os.path.abspath(sf_dir).encode()).hexdigest()[:12]
+    from . import CODE_VERSION
+    key = hashlib.md5(f"{os.path.abspath(sf_dir)}|{CODE_VERSION}".encode()).hexdigest()[:12]
     path = scratch_path(spark, "dumps", key).replace("file:", "")
     if not os.path.exists(os.path.join(path, "_DONE")):
         write_dump(_records(spark, sf_dir).repartition(4), path).collect()

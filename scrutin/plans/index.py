@@ -132,7 +132,7 @@ def index_for(spark: SparkSession, sf_dir: str, with_slack: bool = False,
               rebuild: bool = False) -> Index:
     """The index of the evidence view of ``sf_dir`` with the default stop
     list, built once into the shared folder and reused."""
-    from .. import __version__
+    from .. import CODE_VERSION as __version__
     key = hashlib.md5(f"{os.path.abspath(sf_dir)}|{with_slack}|{__version__}".encode()).hexdigest()[:16]
     path = scratch_path(spark, "index", key)
     if rebuild or not _built(spark, path):

@@ -113,16 +113,21 @@ def write_dump(records: DataFrame, directory: str) -> DataFrame:
 
     def run(batches):
         import pyarrow as pa
-        import uuid as _uuid
-        path = os.path.join(directory, f"part-{_uuid.uuid4().hex}.dump")
+        from pyspark import TaskContext
+        ctx = TaskContext.get()
+        # deterministic name per partition, written under a temporary name and
+        # renamed at the end: a retried task replaces, never duplicates
+        path = os.path.join(directory, f"part-{ctx.partitionId():05d}.dump")
+        tmp = os.path.join(directory, f".part-{ctx.partitionId():05d}-{ctx.attemptNumber()}.tmp")
         n = 0
-        with open(path, "wb") as fh:
+        with open(tmp, "wb") as fh:
             for b in batches:
                 metas = b.column(b.schema.get_field_index("metadata")).to_pylist()
                 contents = b.column(b.schema.get_field_index("content")).to_pylist()
                 for m, c in zip(metas, contents):
                     fh.write(encode_record(m, c or b""))
                     n += 1
+        os.replace(tmp, path)
         yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([n], pa.int64())],
                                          names=["file", "records"])
 
