@@ -166,8 +166,8 @@ def _round_all(df, cols):
 def q_f1_sentences(spark, sf_dir):
     from .operators import analysis as A
     from .operators import hits as H
-    docs = A.by_id(_docs(spark, sf_dir)).select("ID", "body")
-    return H.sentences(docs).select("ID", "s_idx", "s_start", "s_end")
+    docs = _docs(spark, sf_dir).select("ID", "body")
+    return H.sentences(H.sentence_chunks(docs)).select("ID", "s_idx", "s_start", "s_end")
 
 
 def q_f2_hit_sentences(spark, sf_dir):

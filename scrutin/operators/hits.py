@@ -23,7 +23,7 @@ from ..functions.text import SENTENCE_RE, TOKEN_OR_GAP_RE, TOKEN_START_RE, TOKEN
 from ..functions.text import in_system_dir
 from ..session import bounded_broadcast, default_parallelism
 from . import query as Q
-from .analysis import by_id
+from .analysis import CHUNK_CHARS, _add_bases
 
 # Above this many query terms the literal forms give way to joins.
 LITERAL_TERMS_MAX = 5000
@@ -74,29 +74,58 @@ def query_term_stats(ctx: Q.Context, qterms: DataFrame) -> QueryTermStats:
     return QueryTermStats(table, int(agg["n"]), float(agg["max_tfidf"]), int(agg["max_len"]), None, None)
 
 
-def sentences(docs: DataFrame) -> DataFrame:
-    """(ID, s_idx, sentence, s_start, s_end) — lossless sentence pieces
-    and their offsets (running sum of lengths per document)."""
-    w = Window.partitionBy("ID").orderBy("s_idx").rowsBetween(Window.unboundedPreceding, 0)
-    s = docs.select("ID", F.posexplode(F.regexp_extract_all("body", F.lit(SENTENCE_RE), 0))
-                    .alias("s_idx", "sentence"))
-    s = s.withColumn("s_end", F.sum(F.length("sentence")).over(w))
-    return s.withColumn("s_start", F.col("s_end") - F.length("sentence"))
+def sentence_chunk_pattern(chunk_chars: int) -> str:
+    """Lossless cut into pieces of at most ``chunk_chars`` characters that end
+    where a sentence ends (after a maximal run of terminators), so sentence
+    pieces never cross a chunk; a longer run without any terminator is cut at
+    the limit."""
+    c = chunk_chars
+    return rf"(?s).{{1,{c}}}\z|(?s).{{1,{c}}}[.!?\n](?![.!?\n])|(?s).{{1,{c}}}"
+
+
+def sentence_chunks(docs: DataFrame, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
+    """(ID, multi, chunk, text) spread over tasks by (ID, chunk)."""
+    ch = docs.select("ID", (F.length("body") > chunk_chars).alias("multi"), F.posexplode(
+        F.regexp_extract_all("body", F.lit(sentence_chunk_pattern(chunk_chars)), 0)).alias("chunk", "text"))
+    return ch.repartition(default_parallelism(docs.sparkSession), "ID", "chunk")
+
+
+def sentences(chunks: DataFrame) -> DataFrame:
+    """(ID, chunk, s_idx, sentence, s_start, s_end) — lossless sentence
+    pieces with their index and offsets in the whole body. A running sum of
+    lengths inside each chunk gives local offsets; documents longer than one
+    chunk add the chunk's base offset and sentence count."""
+    w = Window.partitionBy("ID", "chunk").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    s = chunks.select("ID", "chunk", "multi", F.posexplode(
+        F.regexp_extract_all("text", F.lit(SENTENCE_RE), 0)).alias("k", "sentence"))
+    s = s.withColumn("le", F.sum(F.length("sentence")).over(w))
+
+    def out(base_chars, base_sents):
+        return ["ID", "chunk", (base_sents + F.col("k")).cast("int").alias("s_idx"), "sentence",
+                (base_chars + F.col("le") - F.length("sentence")).cast("long").alias("s_start"),
+                (base_chars + F.col("le")).cast("long").alias("s_end")]
+
+    single = s.where(~F.col("multi")).select(*out(F.lit(0), F.lit(0)))
+    multi = _add_bases(s.where(F.col("multi")), {"chars": F.max("le"), "sents": F.max("k") + 1},
+                       ["ID", "chunk", "k", "sentence", "le", "base_chars", "base_sents"])
+    multi = multi.select(*out(F.coalesce("base_chars", F.lit(0)), F.coalesce("base_sents", F.lit(0))))
+    return single.unionByName(multi)
 
 
 def matches(sents: DataFrame, stats: QueryTermStats) -> DataFrame:
     """one row per occurrence of an indexed query term: (ID, s_idx,
     term, tfidf, term_len, rel_start, rel_end, m_start, sentence, s_start,
     s_end). With a small term set, sentences without any query term are
-    dropped before their pieces are exploded."""
+    dropped before their pieces are exploded. Windows are partitioned by
+    (ID, chunk, s_idx), so the chunk partitioning is reused."""
     if stats.present is not None:
         lit_terms = (F.array(*[F.lit(t) for t in stats.present]) if stats.present
                      else F.array().cast("array<string>"))
         sents = sents.where(F.arrays_overlap(
             F.regexp_extract_all(F.lower("sentence"), F.lit(TOKEN_RE), 0), lit_terms))
-    pieces = sents.select("ID", "s_idx", "sentence", "s_start", "s_end", F.posexplode(
+    pieces = sents.select("ID", "chunk", "s_idx", "sentence", "s_start", "s_end", F.posexplode(
         F.regexp_extract_all("sentence", F.lit(TOKEN_OR_GAP_RE), 0)).alias("k", "piece"))
-    w = Window.partitionBy("ID", "s_idx").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy("ID", "chunk", "s_idx").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
     pieces = pieces.withColumn("rel_end", F.sum(F.length("piece")).over(w))
     toks = pieces.where(F.col("piece").rlike(TOKEN_START_RE)).select(
         "ID", "s_idx", F.lower("piece").alias("term"),
@@ -113,31 +142,36 @@ def _lit_map(d: dict) -> Column:
 
 
 def passages(m: DataFrame) -> DataFrame:
-    """F3/F7/F17–F19/F21 per hit sentence: first/last match start, distinct
-    term set, highest doc-tf / tf-idf / byte length among its terms, and the
-    highlighted snippet. Grouping by (ID, s_idx) reuses the ID partitioning."""
-    by_doc = Window.partitionBy("ID")
-    m = m.withColumn("tf", F.count(F.lit(1)).over(Window.partitionBy("ID", "term")))
-    # F15–F17 inputs per document, computed on the same rows: every
-    # occurrence of a query term is a match, so Σtf = matches in the document
-    m = (m.withColumn("dot", F.count(F.lit(1)).over(by_doc))
-          .withColumn("max_doc_tf", F.max("tf").over(by_doc))
-          .withColumn("present", F.size(F.collect_set("term").over(by_doc))))
+    """F3/F7/F18/F21 per hit sentence: first/last match start, distinct term
+    set, every matched term (for term frequencies), highest tf-idf and byte
+    length among its terms, and the highlighted snippet. Partial aggregation
+    runs before the (ID, s_idx) shuffle."""
     per = m.groupBy("ID", "s_idx").agg(
-        F.first("dot").alias("dot"), F.first("max_doc_tf").alias("max_doc_tf"),
-        F.first("present").alias("present"),
         F.first("s_start").alias("s_start"), F.first("s_end").alias("s_end"),
         F.first("sentence").alias("sentence"),
         F.min("m_start").alias("first_match"),
         F.max("m_start").alias("last_match"),
         F.sort_array(F.collect_set("term")).alias("terms"),
-        F.max("tf").alias("max_hit_tf"),
+        F.collect_list("term").alias("terms_all"),
         F.greatest(F.lit(0.0), F.max("tfidf")).alias("max_hit_tfidf"),
         F.max("term_len").alias("max_hit_len"),
         F.array_sort(F.collect_list(F.struct("rel_start", "rel_end"))).alias("ms"))
     return per.withColumn("snippet", snippet(F.col("sentence"), F.col("ms"))).drop("ms", "sentence")
 
 
+def term_frequencies(p: DataFrame) -> DataFrame:
+    """F17/F19 and the query-term parts of F15/F16: every occurrence of a
+    query term is a match, so a document's tf of a query term is the number
+    of its matches. Adds max_hit_tf, dot (Σtf), present and max_doc_tf."""
+    per_term = (p.select("ID", F.explode("terms_all").alias("term"))
+                .groupBy("ID", "term").agg(F.count(F.lit(1)).alias("tf")))
+    per_doc = per_term.groupBy("ID").agg(F.sum("tf").alias("dot"), F.count(F.lit(1)).alias("present"),
+                                         F.max("tf").alias("max_doc_tf"))
+    hit_tf = (p.select("ID", "s_idx", F.explode("terms").alias("term"))
+              .join(per_term, ["ID", "term"]).groupBy("ID", "s_idx").agg(F.max("tf").alias("max_hit_tf")))
+    return p.drop("terms_all").join(hit_tf, ["ID", "s_idx"]).join(per_doc, "ID")
+
+
 def snippet(sentence: Column, ms: Column) -> Column:
     """the sentence with every match wrapped in the highlight span,
     HTML-escaped; built as an array of parts joined once (linear)."""
@@ -164,7 +198,9 @@ def boundaries(p: DataFrame, body_len: Column) -> DataFrame:
     nxt_n = F.lead(F.size("terms")).over(w)
     b = F.coalesce((F.size("terms") > 1) | (nxt_n > 1) | (key != nxt_key), F.lit(False)) & nxt_key.isNotNull()
     p = p.withColumn("b", b).withColumn("nxt_first", F.lead("first_match").over(w))
-    fwd = w.rowsBetween(0, Window.unboundedFollowing)
+    # suffix minimum as a running minimum in descending order: both frames
+    # grow row by row (linear), never an unbounded-following frame
+    fwd = Window.partitionBy("ID").orderBy(F.col("s_idx").desc()).rowsBetween(Window.unboundedPreceding, 0)
     back = w.rowsBetween(Window.unboundedPreceding, -1)
     p = (p.withColumn("next_first", F.min(F.when(F.col("b"), F.col("nxt_first"))).over(fwd))
           .withColumn("prev_last", F.max(F.when(F.col("b"), F.col("last_match"))).over(back)))
@@ -254,22 +290,27 @@ def normalize(h: DataFrame) -> DataFrame:
 
 
 def rank_hits(ctx: Q.Context, q: Q.Clause, ref_date_ms: int,
-              results: DataFrame | None = None, materialize_raw: bool = True) -> DataFrame:
+              results: DataFrame | None = None, materialize_raw: bool = True,
+              chunk_chars: int = CHUNK_CHARS) -> DataFrame:
     """Every hit of the query with its features, raw and normalised score.
 
-    The raw-scored hits (one row per hit sentence) are written to the shared
-    folder before normalisation, because the per-class range is a second
-    pass over them: the text pipeline runs once."""
+    Matching documents are cut into sentence-aligned chunks spread over tasks
+    (one huge matching document is split too); the text work ends with one
+    row per hit sentence, which is written to the shared folder. Term
+    frequencies, boundaries and features run on those rows; the raw-scored
+    hits are written once more, because the per-class range is a second pass.
+    """
     from ..session import materialize
     ix = ctx.index
     results = results if results is not None else Q.evaluate(ctx, q)
     stats = query_term_stats(ctx, Q.query_terms(ctx, q))
     docs = ix.docs.join(results.select("ID"), "ID", "left_semi")
-    docs = by_id(docs)
-    sents = sentences(docs.select("ID", "body"))
-    p = passages(matches(sents, stats))
+    p = passages(matches(sentences(sentence_chunks(docs.select("ID", "body"), chunk_chars)), stats))
+    if materialize_raw:
+        p = materialize(p)
     meta = docs.drop("body")
-    p = boundaries(p.join(meta.select("ID", "body_len"), "ID"), F.col("body_len"))
+    p = term_frequencies(p).join(meta.select("ID", "body_len"), "ID")
+    p = boundaries(p, F.col("body_len"))
     dfeat = doc_features(meta.drop("body_len"), ix.doc_stats, stats, ref_date_ms)
     raw = hit_features(p, dfeat, stats)
     if materialize_raw:

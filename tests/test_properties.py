@@ -96,3 +96,27 @@ def test_chunked_tokenising_equals_whole_documents(spark):
     b = docs.select("ID", "body")
     bad = pt.join(b, "ID").where(F.lower(F.expr("substring(body, start + 1, `end` - start)")) != F.col("term"))
     assert bad.count() == 0
+
+
+def test_chunked_hit_ranking_equals_whole_documents(spark):
+    """Matching documents are cut into sentence-aligned chunks; with chunks
+    longer than any sentence but shorter than most documents the hits must
+    not change."""
+    from scrutin.functions.text import SENTENCE_RE
+    from scrutin.operators.hits import sentence_chunks, sentences
+    from scrutin.sources.tables import evidence_docs
+    docs = evidence_docs(spark, SF_SMALL).select("ID", "body")
+    longest = docs.select(F.explode(F.regexp_extract_all("body", F.lit(SENTENCE_RE), 0)).alias("s")) \
+        .agg(F.max(F.length("s"))).first()[0]
+    size = longest + 1
+    whole = sentences(sentence_chunks(docs, 1 << 24)).drop("chunk")
+    parts = sentences(sentence_chunks(docs, size)).drop("chunk")
+    assert sentence_chunks(docs, size).where("chunk > 0").count() > 0
+    assert whole.exceptAll(parts).count() == 0 and parts.exceptAll(whole).count() == 0
+    ctx = Q.Context(index_for(spark, SF_SMALL))
+    cols = ["ID", "s_idx", "s_start", "s_end", "distance", "snippet", "raw_score", "score"]
+    a = H.rank_hits(ctx, Q.Terms(FLAGSHIP_TERMS), REF_DATE_MS).select(*cols)
+    b = H.rank_hits(ctx, Q.Terms(FLAGSHIP_TERMS), REF_DATE_MS, chunk_chars=size).select(*cols)
+    ra = {tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in a.collect()}
+    rb = {tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in b.collect()}
+    assert ra == rb and ra
