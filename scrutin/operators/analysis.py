@@ -94,14 +94,16 @@ def postings_with_offsets(chunks: DataFrame, stops: DataFrame) -> DataFrame:
     input is partitioned by) gives local offsets. Multi-chunk documents add
     their chunk's base character offset and token count.
     """
-    pieces = chunks.select("ID", "chunk", "multi", F.posexplode(
-        F.regexp_extract_all(F.col("text"), F.lit(TOKEN_OR_GAP_RE), 0)).alias("k", "piece"))
     w = Window.partitionBy("ID", "chunk").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
     is_tok = F.col("piece").rlike(TOKEN_START_RE)
-    located = pieces.select(
-        "ID", "chunk", "multi", "piece", is_tok.alias("is_tok"),
-        F.sum(F.length("piece")).over(w).alias("end"),
-        F.sum(is_tok.cast("int")).over(w).alias("ntok"))
+
+    def located(ch):
+        pieces = ch.select("ID", "chunk", F.posexplode(
+            F.regexp_extract_all(F.col("text"), F.lit(TOKEN_OR_GAP_RE), 0)).alias("k", "piece"))
+        return pieces.select(
+            "ID", "chunk", "piece", is_tok.alias("is_tok"),
+            F.sum(F.length("piece")).over(w).alias("end"),
+            F.sum(is_tok.cast("int")).over(w).alias("ntok"))
 
     def out(base_chars, base_toks):
         return ["ID", F.lower("piece").alias("term"),
@@ -109,9 +111,10 @@ def postings_with_offsets(chunks: DataFrame, stops: DataFrame) -> DataFrame:
                 (base_chars + F.col("end") - F.length("piece")).cast("int").alias("start"),
                 (base_chars + F.col("end")).cast("int").alias("end")]
 
-    single = located.where(~F.col("multi") & F.col("is_tok")).select(*out(F.lit(0), F.lit(0)))
+    # filter on the chunks, before the windows, so each text is split once
+    single = located(chunks.where(~F.col("multi"))).where("is_tok").select(*out(F.lit(0), F.lit(0)))
     multi = _add_bases(
-        located.where(F.col("multi")), {"chars": F.max("end"), "toks": F.max("ntok")},
+        located(chunks.where(F.col("multi"))), {"chars": F.max("end"), "toks": F.max("ntok")},
         ["ID", "piece", "is_tok", "end", "ntok", "base_chars", "base_toks"])
     multi = multi.where("is_tok").select(*out(F.coalesce("base_chars", F.lit(0)),
                                               F.coalesce("base_toks", F.lit(0))))

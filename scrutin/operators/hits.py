@@ -96,17 +96,21 @@ def sentences(chunks: DataFrame) -> DataFrame:
     lengths inside each chunk gives local offsets; documents longer than one
     chunk add the chunk's base offset and sentence count."""
     w = Window.partitionBy("ID", "chunk").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
-    s = chunks.select("ID", "chunk", "multi", F.posexplode(
-        F.regexp_extract_all("text", F.lit(SENTENCE_RE), 0)).alias("k", "sentence"))
-    s = s.withColumn("le", F.sum(F.length("sentence")).over(w))
+
+    def local(ch):
+        s = ch.select("ID", "chunk", F.posexplode(
+            F.regexp_extract_all("text", F.lit(SENTENCE_RE), 0)).alias("k", "sentence"))
+        return s.withColumn("le", F.sum(F.length("sentence")).over(w))
 
     def out(base_chars, base_sents):
         return ["ID", "chunk", (base_sents + F.col("k")).cast("int").alias("s_idx"), "sentence",
                 (base_chars + F.col("le") - F.length("sentence")).cast("long").alias("s_start"),
                 (base_chars + F.col("le")).cast("long").alias("s_end")]
 
-    single = s.where(~F.col("multi")).select(*out(F.lit(0), F.lit(0)))
-    multi = _add_bases(s.where(F.col("multi")), {"chars": F.max("le"), "sents": F.max("k") + 1},
+    # the multi-chunk filter is applied to the chunks, before any window,
+    # so each document's text is split by exactly one of the branches
+    single = local(chunks.where(~F.col("multi"))).select(*out(F.lit(0), F.lit(0)))
+    multi = _add_bases(local(chunks.where(F.col("multi"))), {"chars": F.max("le"), "sents": F.max("k") + 1},
                        ["ID", "chunk", "k", "sentence", "le", "base_chars", "base_sents"])
     multi = multi.select(*out(F.coalesce("base_chars", F.lit(0)), F.coalesce("base_sents", F.lit(0))))
     return single.unionByName(multi)
@@ -119,10 +123,18 @@ def matches(sents: DataFrame, stats: QueryTermStats) -> DataFrame:
     dropped before their pieces are exploded. Windows are partitioned by
     (ID, chunk, s_idx), so the chunk partitioning is reused."""
     if stats.present is not None:
-        lit_terms = (F.array(*[F.lit(t) for t in stats.present]) if stats.present
-                     else F.array().cast("array<string>"))
-        sents = sents.where(F.arrays_overlap(
-            F.regexp_extract_all(F.lower("sentence"), F.lit(TOKEN_RE), 0), lit_terms))
+        # cheap superset test (substring containment) before exploding pieces;
+        # the exact token match is the join with the term table below
+        low = F.lower("sentence")
+        if not stats.present:
+            keep = F.lit(False)
+        elif len(stats.present) <= 64:
+            keep = F.lit(False)
+            for t in stats.present:
+                keep = keep | F.contains(low, F.lit(t))
+        else:
+            keep = F.exists(F.array(*[F.lit(t) for t in stats.present]), lambda t: F.contains(low, t))
+        sents = sents.where(keep)
     pieces = sents.select("ID", "chunk", "s_idx", "sentence", "s_start", "s_end", F.posexplode(
         F.regexp_extract_all("sentence", F.lit(TOKEN_OR_GAP_RE), 0)).alias("k", "piece"))
     w = Window.partitionBy("ID", "chunk", "s_idx").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
