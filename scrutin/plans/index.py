@@ -76,26 +76,22 @@ def write_index(docs: DataFrame, stops: DataFrame, path: str, mode: str = "overw
     """Write the index tables. ``mode='append'`` adds documents to an index;
     statistics tables are then recomputed from all term vectors.
 
-    Tokens are persisted (memory and disk) between the two term-major writes,
-    so the text is tokenised once; statistics are read back from the written
-    term vectors rather than recomputed from text.
+    The text is tokenised once: term vectors are aggregated from the written
+    postings and statistics from the written term vectors.
     """
-    from pyspark import StorageLevel
     spark = docs.sparkSession
-    n = num_files or default_parallelism(spark)
-    part = A.by_document(docs)
-    toks = A.tokens(part, stops).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        docs.write.mode(mode).parquet(f"{path}/docs")
-        # Tokens stay in their chunk partitions (no second shuffle, no
-        # hot-term or hot-document skew); each file is sorted by term so
-        # row-group min/max statistics prune a term lookup to a few row
-        # groups per file.
-        toks.sortWithinPartitions("term", "ID").write.mode(mode).parquet(f"{path}/postings")
-        (A.doc_terms(toks).sortWithinPartitions("term", "ID")
-         .write.mode(mode).parquet(f"{path}/doc_terms"))
-    finally:
-        toks.unpersist()
+    toks = A.tokens(A.by_document(docs), stops)
+    docs.write.mode(mode).parquet(f"{path}/docs")
+    # Tokens stay in their chunk partitions (no second shuffle, no hot-term
+    # or hot-document skew); each file is sorted by term so row-group
+    # min/max statistics prune a term lookup to a few row groups per file.
+    toks.sortWithinPartitions("term", "ID").write.mode(mode).parquet(f"{path}/postings")
+    # Term vectors are aggregated from the written postings (the text is
+    # tokenised once); the (ID, term) shuffle follows a map-side partial
+    # aggregation.
+    written = toks if mode == "append" else spark.read.parquet(f"{path}/postings")
+    (A.doc_terms(written).sortWithinPartitions("term", "ID")
+     .write.mode(mode).parquet(f"{path}/doc_terms"))
     dterms = spark.read.parquet(f"{path}/doc_terms")
     A.doc_stats(dterms).write.mode("overwrite").parquet(f"{path}/doc_stats")
     tstats = A.term_stats(dterms)
