@@ -10,7 +10,7 @@ Layout
 - ``streaming``  incremental ingest with Structured Streaming
 """
 
-__version__ = "0.1.6"
+__version__ = "0.1.7"
 
 
 def _code_version() -> str:

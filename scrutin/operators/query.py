@@ -155,15 +155,15 @@ class Terms(Clause):
         # per-term factor idf² · boost as a literal map (query-sized)
         fac = F.create_map(*[x for t, (idf, b) in wts.items()
                              for x in (F.lit(t), F.lit(idf * idf * b * self.boost))])
+        # term vectors carry the field length: one pruned scan, no join
         dt = ctx.index.doc_terms.where(F.col("term").isin(list(wts)))
         per_doc = dt.groupBy("ID").agg(
             F.sum(F.sqrt("tf") * fac[F.col("term")]).alias("raw"),
-            F.count(F.lit(1)).alias("overlap"))
+            F.count(F.lit(1)).alias("overlap"), F.first("length").alias("length"))
         n = len(wts)
         coord_c = (F.col("overlap") / F.lit(float(n))) if coord and n > 1 else F.lit(1.0)
-        return (per_doc.join(ctx.index.doc_stats.select("ID", "length"), "ID")
-                .select("ID", (F.col("raw") * ctx.norm(F.col("length")) * coord_c
-                               * F.lit(qnorm)).alias("score")))
+        return per_doc.select("ID", (F.col("raw") * ctx.norm(F.col("length")) * coord_c
+                                     * F.lit(qnorm)).alias("score"))
 
     def body_terms(self, ctx):
         return _terms_df(ctx, self.terms)
@@ -313,7 +313,8 @@ class Phrase(Clause):
     def scores(self, ctx, qnorm):
         idf = self._idf(ctx)
         occ = self.occurrences(ctx).groupBy("ID").agg(F.sum("freq").alias("freq"))
-        return (occ.join(ctx.index.doc_stats.select("ID", "length"), "ID")
+        lengths = ctx.index.doc_terms.where(F.col("term") == self.terms[0]).select("ID", "length")
+        return (occ.join(lengths, "ID")
                 .select("ID", (F.sqrt("freq") * F.lit(idf * idf * self.boost * qnorm)
                                * ctx.norm(F.col("length"))).alias("score")))
 

@@ -4,7 +4,8 @@ Tables
 - ``docs``        core document fields (body kept; search pages prune it)
 - ``postings``    (ID, term, pos)            files sorted by (term, ID), so a
                                              term filter reads few row groups
-- ``doc_terms``   (ID, term, tf)             sorted the same way
+- ``doc_terms``   (ID, term, tf, length)     sorted the same way; ``length``
+                                             is the document's field length
 - ``term_stats``  (term, df, ttf)
 - ``doc_stats``   (ID, length, sum_tf2, n_terms)
 - ``corpus``      one row: num_docs, num_terms, num_tokens
@@ -77,7 +78,9 @@ def write_index(docs: DataFrame, stops: DataFrame, path: str, mode: str = "overw
     statistics tables are then recomputed from all term vectors.
 
     The text is tokenised once: term vectors are aggregated from the written
-    postings and statistics from the written term vectors.
+    postings and statistics from the written term vectors. In append mode
+    the appended documents' statistics are appended and term statistics are
+    recomputed from all term vectors.
     """
     spark = docs.sparkSession
     toks = A.tokens(A.by_document(docs), stops)
@@ -90,10 +93,19 @@ def write_index(docs: DataFrame, stops: DataFrame, path: str, mode: str = "overw
     # tokenised once); the (ID, term) shuffle follows a map-side partial
     # aggregation.
     written = toks if mode == "append" else spark.read.parquet(f"{path}/postings")
-    (A.doc_terms(written).sortWithinPartitions("term", "ID")
+    # the new term vectors are written once (a lineage cut) and read twice
+    A.doc_terms(written).write.mode("overwrite").parquet(f"{path}/_staged_doc_terms")
+    new_dt = spark.read.parquet(f"{path}/_staged_doc_terms")
+    # per-document statistics are complete once a document's term vector is
+    # (documents are never split between appends)
+    A.doc_stats(new_dt).write.mode(mode).parquet(f"{path}/doc_stats")
+    # the field length travels with every term-vector row, so ranking needs
+    # no per-query join with the document table; the join on ID is a build
+    # step (a document with very many terms is a skewed key: AQE splits it)
+    ds = spark.read.parquet(f"{path}/doc_stats").select("ID", "length")
+    (new_dt.join(ds, "ID").sortWithinPartitions("term", "ID")
      .write.mode(mode).parquet(f"{path}/doc_terms"))
     dterms = spark.read.parquet(f"{path}/doc_terms")
-    A.doc_stats(dterms).write.mode("overwrite").parquet(f"{path}/doc_stats")
     tstats = A.term_stats(dterms)
     tstats.sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/term_stats")
     alld = spark.read.parquet(f"{path}/docs")

