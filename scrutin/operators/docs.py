@@ -16,20 +16,29 @@ from ..functions.text import extension_of, html_to_text, is_unallocated, strip_c
 from ..functions.text import type_priority
 
 
+META_SCHEMA = ("path string, name struct<name: string>, "
+               "meta struct<size: double, mtime: double, crtime: double, atime: double>")
+
+
 def parse_metadata(records: DataFrame) -> DataFrame:
-    """Core fields from the JSON, file and slack sizes.
-    ``size`` = meta.size else the content length; file = min(total, size),
-    slack = max(total − size, 0)."""
-    m = F.col("metadata")
+    """Core fields from the JSON (parsed once per record), file and
+    slack sizes. ``size`` = meta.size else the content length (numbers are
+    truncated to integers); file = min(total, size), slack = max(total − size, 0)."""
+    j = F.from_json(F.col("metadata"), META_SCHEMA)
     total = F.octet_length("content").cast("long")
-    size = F.coalesce(F.get_json_object(m, "$.meta.size").cast("double").cast("long"), total)
-    return records.select(
-        "*",
-        F.coalesce(F.get_json_object(m, "$.path"), F.lit("")).alias("path"),
-        F.coalesce(F.get_json_object(m, "$.name.name"), F.lit("")).alias("name"),
-        F.coalesce(F.get_json_object(m, "$.meta.mtime").cast("double").cast("long"), F.lit(0)).alias("modified"),
-        F.coalesce(F.get_json_object(m, "$.meta.crtime").cast("double").cast("long"), F.lit(0)).alias("created"),
-        F.coalesce(F.get_json_object(m, "$.meta.atime").cast("double").cast("long"), F.lit(0)).alias("accessed"),
+
+    def num(c):
+        return c.cast("long")
+
+    r = records.select("*", j.alias("_m"))
+    size = F.coalesce(num(F.col("_m.meta.size")), total)
+    return r.select(
+        *records.columns,
+        F.coalesce(F.col("_m.path"), F.lit("")).alias("path"),
+        F.coalesce(F.col("_m.name.name"), F.lit("")).alias("name"),
+        F.coalesce(num(F.col("_m.meta.mtime")), F.lit(0)).cast("long").alias("modified"),
+        F.coalesce(num(F.col("_m.meta.crtime")), F.lit(0)).cast("long").alias("created"),
+        F.coalesce(num(F.col("_m.meta.atime")), F.lit(0)).cast("long").alias("accessed"),
         total.alias("total_size"),
         F.least(total, size).alias("file_size"),
         F.greatest(total - size, F.lit(0)).cast("long").alias("slack_size"))

@@ -395,7 +395,10 @@ def train(vectors: DataFrame, cfg: SomConfig, dims: int, weights: DataFrame | No
         rows.append((e, float(alpha), int(radius), int(stats["docs"]), int(stats["matched"])))
     if w is None:
         w = matrix_frame(spark, mat)
-    epochs = spark.createDataFrame(rows, "epoch int, alpha double, radius int, docs long, matched long")
+    epochs = spark.createDataFrame(pa.table({
+        "epoch": pa.array([r[0] for r in rows], pa.int32()), "alpha": pa.array([r[1] for r in rows], pa.float64()),
+        "radius": pa.array([r[2] for r in rows], pa.int32()), "docs": pa.array([r[3] for r in rows], pa.int64()),
+        "matched": pa.array([r[4] for r in rows], pa.int64())}))
     return TrainedMap(cfg, dims, w, epochs)
 
 
