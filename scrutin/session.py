@@ -44,18 +44,33 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     return spark
 
 
+_LOCAL_CHECKPOINT_DIRS: dict = {}
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and materialised tables.
 
-    Read from ``spark.checkpoint.dir``; only when it is unset (local runs,
-    tests) a fresh scratch folder is created and registered.
+    Read from ``spark.checkpoint.dir`` (or a directory already given to
+    ``setCheckpointDir``); only when neither exists (local runs, tests) a
+    scratch folder is created and registered with the SparkContext.
     """
+    sc = spark.sparkContext
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
-    if not conf_dir:
-        conf_dir = tempfile.mkdtemp(prefix="scrutin-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", conf_dir)
-    spark.sparkContext.setCheckpointDir(conf_dir)
-    return conf_dir
+    if conf_dir:
+        if sc.getCheckpointDir() is None:
+            sc.setCheckpointDir(conf_dir)
+        return conf_dir
+    key = id(sc)
+    if key not in _LOCAL_CHECKPOINT_DIRS:
+        existing = sc.getCheckpointDir()
+        if existing:
+            # setCheckpointDir adds a random sub-folder; use its parent
+            _LOCAL_CHECKPOINT_DIRS[key] = existing.rsplit("/", 1)[0]
+        else:
+            d = tempfile.mkdtemp(prefix="scrutin-ckpt-")
+            sc.setCheckpointDir(d)
+            _LOCAL_CHECKPOINT_DIRS[key] = d
+    return _LOCAL_CHECKPOINT_DIRS[key]
 
 
 def scratch_path(spark: SparkSession, *parts: str) -> str:
