@@ -402,7 +402,7 @@ def q_g24_cell_info(spark, sf_dir):
     from .operators import cellmap as C
     cr = _cluster(spark, sf_dir)[1]
     ci = C.cell_info(cr.stats(), cr.tops(), cr.regions(), cr.diffs())
-    return ci.withColumn("std_dev", r6(F.col("std_dev")))
+    return ci.withColumn("std_dev", r6(F.col("std_dev"))).withColumn("ssd", r6(F.col("ssd")))
 
 
 def q_g25_saturation(spark, sf_dir):
@@ -652,7 +652,8 @@ def _map_doc(spark, sf_dir):
     info = C.cell_info(cr.stats(), cr.tops(), regs, cr.diffs())
     n = regs.select("region").distinct().count()
     colors = spark.createDataFrame(sorted(C.region_colors(cr.adjacency(), n).items()), "region int, color int")
-    return X.map_json(summary, info, colors, cr.cfg.width, cr.cfg.height)
+    return X.map_json(summary, info, colors, cr.cfg.width, cr.cfg.height,
+                      adjacency=cr.adjacency(), signed_diffs=C.signed_differences(cr.diffs()))
 
 
 def q_a8_map_json(spark, sf_dir):

@@ -145,7 +145,7 @@ def cell_info(stats: DataFrame, tops: DataFrame, regs: DataFrame, diffs: DataFra
         " ").alias("neighbour_terms"))
     return (stats.join(regs.select("cell", "region"), "cell", "left").join(terms, "cell", "left")
             .join(nb, "cell", "left")
-            .select("cell", "num", "region", "top_terms", "std_dev", "neighbour_terms"))
+            .select("cell", "num", "region", "top_terms", "std_dev", "ssd", "neighbour_terms"))
 
 
 def cell_colors(stats: DataFrame, regs: DataFrame, colors: DataFrame, max_std: float) -> DataFrame:

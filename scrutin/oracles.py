@@ -720,7 +720,7 @@ FROM stats2""")
 def _g24():
     return _som("""SELECT s.cell, s.num, r.region,
        (SELECT string_agg(term, ', ' ORDER BY rank) FROM tops t WHERE t.cell = s.cell) AS top_terms,
-       round(s.std_dev, 6) AS std_dev,
+       round(s.std_dev, 6) AS std_dev, round(s.ssd, 6) AS ssd,
        (SELECT string_agg(CAST(d.b AS VARCHAR) || ':' || CASE WHEN d.sign < 0 THEN '-' ELSE '' END || d.term, ' '
                           ORDER BY d.b) FROM sdiffs d WHERE d.a = s.cell) AS neighbour_terms
 FROM stats2 s LEFT JOIN regs r ON r.cell = s.cell""")
