@@ -128,6 +128,13 @@ def q_e4_page(spark, sf_dir):
     return R.page(_flagship(spark, sf_dir)[1], 10, 30)
 
 
+def q_e4_keyset_page(spark, sf_dir):
+    """E4 keyset form: the cursor is the last row of the first page."""
+    res = _flagship(spark, sf_dir)[1]
+    last = R.page(res, 0, 10).collect()[-1]
+    return R.page_after(res, last["score"], last["ID"], 20)
+
+
 def q_e6_files_view(spark, sf_dir):
     ctx, res = _flagship(spark, sf_dir)
     return R.files_view(res, ctx.index.docs, None, start=0, length=20)
@@ -803,6 +810,7 @@ QUERIES = {
     "e2_total_hits": q_e2_total_hits,
     "e3_top20": q_e3_top20,
     "e4_page": q_e4_page,
+    "e4_keyset_page": q_e4_keyset_page,
     "e6_files_view": q_e6_files_view,
     "e7_result_page": q_e7_result_page,
     "f1_sentences": q_f1_sentences,

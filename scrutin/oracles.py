@@ -288,6 +288,9 @@ def _e4():
                      body="SELECT ID, score FROM r ORDER BY score DESC, CAST(ID AS BIGINT) LIMIT 20 OFFSET 10")
 
 
+ORACLE_SQL["e4_keyset_page"] = ORACLE_SQL["e4_page"]
+
+
 @oracle("e6_files_view")
 def _e6():
     return with_ctes(*flagship_scores(), body="""
