@@ -316,7 +316,9 @@ def rank_hits(ctx: Q.Context, q: Q.Clause, ref_date_ms: int,
     ix = ctx.index
     results = results if results is not None else Q.evaluate(ctx, q)
     stats = query_term_stats(ctx, Q.query_terms(ctx, q))
-    docs = ix.docs.join(results.select("ID"), "ID", "left_semi")
+    # the matching ids are broadcast when a count proves them small, so the
+    # document bodies are not shuffled for the semi-join
+    docs = ix.docs.join(bounded_broadcast(results.select("ID")), "ID", "left_semi")
     p = passages(matches(sentences(sentence_chunks(docs.select("ID", "body"), chunk_chars)), stats))
     if materialize_raw:
         p = materialize(p)

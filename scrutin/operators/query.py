@@ -358,17 +358,32 @@ class _DictClause(Clause):
     def predicate(self) -> Column:  # pragma: no cover - abstract
         raise NotImplementedError
 
+    def literal_prefix(self) -> str:
+        """A literal prefix every matching term starts with ("" if none)."""
+        return ""
+
+    def _pruned(self, df: DataFrame) -> DataFrame:
+        pf = self.literal_prefix()
+        # startswith reaches the parquet scan; files sorted by term then skip
+        # every row group outside the prefix range
+        return df.where(F.col("term").startswith(pf)) if pf else df
+
     def expand(self, ctx) -> DataFrame:
         """Dictionary terms the clause stands for."""
-        return ctx.index.term_stats.where(self.predicate()).select("term")
+        return self._pruned(ctx.index.term_stats).where(self.predicate()).select("term")
 
     def sum_sq(self, ctx):
         return self.boost ** 2
 
     def scores(self, ctx, qnorm):
-        terms = bounded_broadcast(self.expand(ctx))
-        return (ctx.index.doc_terms.join(terms, "term", "left_semi").select("ID").distinct()
-                .select("ID", F.lit(self.boost * qnorm).alias("score")))
+        if self.literal_prefix():
+            # pruned scan of the term vectors, exact predicate on the survivors
+            hits = self._pruned(ctx.index.doc_terms).where(self.predicate())
+        else:
+            # expand the dictionary first (far smaller than the term vectors),
+            # then a semi-join: broadcast when the expansion is small
+            hits = ctx.index.doc_terms.join(bounded_broadcast(self.expand(ctx)), "term", "left_semi")
+        return hits.select("ID").distinct().select("ID", F.lit(self.boost * qnorm).alias("score"))
 
     def body_terms(self, ctx):
         return self.expand(ctx)
@@ -382,6 +397,9 @@ class Prefix(_DictClause):
     def predicate(self):
         return F.col("term").startswith(self.prefix)
 
+    def literal_prefix(self):
+        return self.prefix
+
 
 @dataclass
 class Wildcard(_DictClause):
@@ -391,6 +409,9 @@ class Wildcard(_DictClause):
     def predicate(self):
         return F.col("term").rlike(wildcard_regex(self.pattern))
 
+    def literal_prefix(self):
+        return re.split(r"[*?]", self.pattern, maxsplit=1)[0]
+
 
 def wildcard_regex(pattern: str) -> str:
     out = []

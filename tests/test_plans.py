@@ -51,3 +51,9 @@ def test_tokenising_shuffles_text_once_and_never_sorts_tokens_for_joins(spark):
     # term vectors: one (ID, term) exchange after partial aggregation
     assert plan.count("Exchange hashpartitioning(ID") >= 1
     assert "SortMergeJoin" not in plan and "CartesianProduct" not in plan
+
+
+def test_prefix_and_wildcard_prefix_reach_the_scan(spark):
+    ctx = Q.Context(index_for(spark, SF_SMALL))
+    assert "StringStartsWith(term,tion)" in _plan(R.search(ctx, Q.Prefix(prefix="tion")))
+    assert "StringStartsWith(term,an)" in _plan(R.search(ctx, Q.Wildcard(pattern="an?a*")))
