@@ -120,3 +120,29 @@ def test_chunked_hit_ranking_equals_whole_documents(spark):
     ra = {tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in a.collect()}
     rb = {tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in b.collect()}
     assert ra == rb and ra
+
+
+def test_som_is_independent_of_partitioning_and_error_does_not_rise(spark):
+    """Only counts are aggregated, so the trained map must not depend on how
+    the vectors are partitioned; on a corpus the quantization error (mean
+    distance to the winner) must not rise from the first to the last epoch."""
+    import numpy as np
+
+    from scrutin.operators import som as S
+    ix = index_for(spark, SF_SMALL)
+    cfg = S.SomConfig(width=3, height=3, max_vector_features=30, max_radius=1, min_radius=0,
+                      max_alpha=0.5, min_alpha=0.1, iterations=3, top_terms=3)
+    feats = S.feature_terms(ix.term_stats, ix.corpus_row()[0], cfg)
+    vec = S.doc_vectors(ix.docs, ix.doc_terms, feats)
+    dims = feats.count()
+    a = S.weight_matrix(S.train(vec.repartition(1), cfg, dims).weights, cfg, dims)
+    b = S.weight_matrix(S.train(vec.repartition(7), cfg, dims).weights, cfg, dims)
+    assert np.allclose(a, b, atol=1e-12)
+
+    def qerr(mat):
+        bm = spark.sparkContext.broadcast(mat)
+        d = S.assign_cells(vec, bm, cfg).where("cell != '-1'").agg(F.avg("som_cell_distance")).first()[0]
+        return d
+
+    first = S.train(vec, S.SomConfig(**{**cfg.__dict__, "iterations": 1}), dims)
+    assert qerr(a) <= qerr(S.weight_matrix(first.weights, cfg, dims)) + 1e-9
