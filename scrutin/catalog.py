@@ -416,7 +416,8 @@ def q_g25_saturation(spark, sf_dir):
     cr = _cluster(spark, sf_dir)[1]
     st = cr.stats()
     mx = st.agg(F.max("std_dev")).first()[0] or 0.0
-    sat = F.lit(-100.0) * (F.col("std_dev") - F.lit(mx)) / F.lit(mx) if mx else F.lit(None).cast("double")
+    # −100·(std − max)/max written as 100·(max − std)/max (no negative zero)
+    sat = F.lit(100.0) * (F.lit(mx) - F.col("std_dev")) / F.lit(mx) if mx else F.lit(None).cast("double")
     return st.select("cell", r6(sat).alias("saturation"))
 
 

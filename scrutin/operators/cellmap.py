@@ -151,7 +151,7 @@ def cell_info(stats: DataFrame, tops: DataFrame, regs: DataFrame, diffs: DataFra
 def cell_colors(stats: DataFrame, regs: DataFrame, colors: DataFrame, max_std: float) -> DataFrame:
     """hue = region colour · 40, saturation = −100·(std − max)/max."""
     j = stats.join(regs.select("cell", "region"), "cell", "left").join(colors, "region", "left")
-    sat = (F.lit(-100.0) * (F.col("std_dev") - F.lit(max_std)) / F.lit(max_std)) if max_std else F.lit(None)
+    sat = (F.lit(100.0) * (F.lit(max_std) - F.col("std_dev")) / F.lit(max_std)) if max_std else F.lit(None)
     return j.select("cell", (F.coalesce("color", F.lit(0)) * 40).alias("hue"), sat.cast("double").alias("saturation"))
 
 

@@ -731,7 +731,7 @@ FROM stats2 s LEFT JOIN regs r ON r.cell = s.cell""")
 
 @oracle("g25_saturation")
 def _g25():
-    return _som("""SELECT cell, round(-100.0 * (std_dev - mx) / mx, 6) AS saturation
+    return _som("""SELECT cell, round(100.0 * (mx - std_dev) / mx, 6) AS saturation
 FROM stats2, (SELECT MAX(std_dev) AS mx FROM stats2) m""")
 
 
