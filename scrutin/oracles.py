@@ -168,7 +168,7 @@ def idf_cte(name: str, term: str) -> str:
 
 @oracle("d1_match_all")
 def _d1():
-    return with_ctes(EVIDENCE, body="SELECT ID, 1.0 AS score FROM ev")
+    return with_ctes(EVIDENCE, body="SELECT ID, CAST(1.0 AS DOUBLE) AS score FROM ev")
 
 
 @oracle("d2_term")
@@ -423,7 +423,7 @@ hits AS (SELECT rawh.*, 10.0 * (raw_score - min_score) / CASE WHEN score_range =
 
 
 def _r(cols):
-    return ", ".join(f"round({c}, 6) AS {c}" for c in cols)
+    return ", ".join(f"round(CAST({c} AS DOUBLE), 6) AS {c}" for c in cols)
 
 
 @oracle("f1_sentences")
