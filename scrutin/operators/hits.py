@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
-from ..functions.text import SENTENCE_RE, TOKEN_OR_GAP_RE, TOKEN_START_RE, TOKEN_RE, html_escape
+from ..functions.text import SENTENCE_RE, TOKEN_OR_GAP_RE, TOKEN_START_RE, html_escape
 from ..functions.text import in_system_dir
 from ..session import bounded_broadcast, default_parallelism
 from . import query as Q
@@ -147,12 +147,6 @@ def matches(sents: DataFrame, stats: QueryTermStats) -> DataFrame:
     return m.withColumn("m_start", F.col("s_start") + F.col("rel_start"))
 
 
-def _lit_map(d: dict) -> Column:
-    if not d:
-        return F.create_map().cast("map<string,double>")
-    return F.create_map(*[x for k, v in sorted(d.items()) for x in (F.lit(k), F.lit(float(v)))])
-
-
 def passages(m: DataFrame) -> DataFrame:
     """F3/F7/F18/F21 per hit sentence: first/last match start, distinct term
     set, every matched term (for term frequencies), highest tf-idf and byte
