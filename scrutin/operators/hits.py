@@ -140,7 +140,7 @@ def matches(sents: DataFrame, stats: QueryTermStats) -> DataFrame:
     w = Window.partitionBy("ID", "chunk", "s_idx").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
     pieces = pieces.withColumn("rel_end", F.sum(F.length("piece")).over(w))
     toks = pieces.where(F.col("piece").rlike(TOKEN_START_RE)).select(
-        "ID", "s_idx", F.lower("piece").alias("term"),
+        "ID", "chunk", "s_idx", F.lower("piece").alias("term"),
         (F.col("rel_end") - F.length("piece")).alias("rel_start"), "rel_end",
         "sentence", "s_start", "s_end")
     m = toks.join(bounded_broadcast(stats.table), "term")
@@ -153,7 +153,7 @@ def passages(m: DataFrame) -> DataFrame:
     length among its terms, and the highlighted snippet. Partial aggregation
     runs before the (ID, s_idx) shuffle."""
     per = m.groupBy("ID", "s_idx").agg(
-        F.first("s_start").alias("s_start"), F.first("s_end").alias("s_end"),
+        F.first("chunk").alias("chunk"), F.first("s_start").alias("s_start"), F.first("s_end").alias("s_end"),
         F.first("sentence").alias("sentence"),
         F.min("m_start").alias("first_match"),
         F.max("m_start").alias("last_match"),
@@ -197,22 +197,56 @@ def boundaries(p: DataFrame, body_len: Column) -> DataFrame:
     ``b_i``: hit sentences i and i+1 differ in term set or either has more
     than one term. Next boundary = first match of sentence j+1 for the first
     j ≥ i with b_j; previous = last match of the last j < i with b_j. Match
-    offsets grow with the sentence index, so these are a running min / max."""
-    w = Window.partitionBy("ID").orderBy("s_idx")
+    offsets grow with the sentence index, so both are running min / max.
+
+    Two levels, so a document with a huge number of hit sentences is not one
+    task: windows run within (ID, chunk); a per-chunk summary (one row per
+    chunk with hits) supplies the neighbour across a chunk edge and the
+    carries from earlier and later chunks.
+    """
+    if "chunk" not in p.columns:
+        p = p.withColumn("chunk", F.lit(0))
     key = F.array_join("terms", "\u0001")
-    nxt_key = F.lead(key).over(w)
-    nxt_n = F.lead(F.size("terms")).over(w)
-    b = F.coalesce((F.size("terms") > 1) | (nxt_n > 1) | (key != nxt_key), F.lit(False)) & nxt_key.isNotNull()
-    p = p.withColumn("b", b).withColumn("nxt_first", F.lead("first_match").over(w))
-    # suffix minimum as a running minimum in descending order: both frames
-    # grow row by row (linear), never an unbounded-following frame
-    fwd = Window.partitionBy("ID").orderBy(F.col("s_idx").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    back = w.rowsBetween(Window.unboundedPreceding, -1)
-    p = (p.withColumn("next_first", F.min(F.when(F.col("b"), F.col("nxt_first"))).over(fwd))
-          .withColumn("prev_last", F.max(F.when(F.col("b"), F.col("last_match"))).over(back)))
+    p = p.withColumn("tkey", key).withColumn("tn", F.size("terms"))
+    wc = Window.partitionBy("ID", "chunk").orderBy("s_idx")
+    p = (p.withColumn("l_key", F.lead("tkey").over(wc)).withColumn("l_n", F.lead("tn").over(wc))
+          .withColumn("l_first", F.lead("first_match").over(wc)))
+    # chunk summaries: first and last hit sentence of every chunk
+    cs = p.groupBy("ID", "chunk").agg(
+        F.min_by("tkey", "s_idx").alias("c_first_key"), F.min_by("tn", "s_idx").alias("c_first_n"),
+        F.min("first_match").alias("c_first_first"))
+    wk = Window.partitionBy("ID").orderBy("chunk")
+    nxt = cs.select("ID", "chunk", F.lead("c_first_key").over(wk).alias("x_key"),
+                    F.lead("c_first_n").over(wk).alias("x_n"),
+                    F.lead("c_first_first").over(wk).alias("x_first"))
+    p = p.join(nxt, ["ID", "chunk"], "left")
+    last = F.col("l_key").isNull()
+    n_key = F.when(last, F.col("x_key")).otherwise(F.col("l_key"))
+    n_n = F.when(last, F.col("x_n")).otherwise(F.col("l_n"))
+    p = (p.withColumn("nxt_first", F.when(last, F.col("x_first")).otherwise(F.col("l_first")))
+          .withColumn("b", F.coalesce((F.col("tn") > 1) | (n_n > 1) | (F.col("tkey") != n_key), F.lit(False))
+                      & n_key.isNotNull()))
+    # carries between chunks: nearest boundary after / before each chunk
+    agg = p.groupBy("ID", "chunk").agg(
+        F.min(F.when(F.col("b"), F.col("nxt_first"))).alias("c_next"),
+        F.max(F.when(F.col("b"), F.col("last_match"))).alias("c_prev"))
+    later = Window.partitionBy("ID").orderBy(F.col("chunk").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = wk.rowsBetween(Window.unboundedPreceding, -1)
+    carry = agg.select("ID", "chunk", F.min("c_next").over(later).alias("carry_next"),
+                       F.max("c_prev").over(earlier).alias("carry_prev"))
+    p = p.join(carry, ["ID", "chunk"], "left")
+    # within the chunk: suffix minimum as a running minimum in descending
+    # order, prefix maximum excluding the row — linear frames only
+    fwd = Window.partitionBy("ID", "chunk").orderBy(F.col("s_idx").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    back = wc.rowsBetween(Window.unboundedPreceding, -1)
+    p = (p.withColumn("next_first", F.coalesce(F.min(F.when(F.col("b"), F.col("nxt_first"))).over(fwd),
+                                               F.col("carry_next")))
+          .withColumn("prev_last", F.coalesce(F.max(F.when(F.col("b"), F.col("last_match"))).over(back),
+                                              F.col("carry_prev"))))
     dist = F.least(F.coalesce(F.col("first_match") - F.col("prev_last"), body_len),
                    F.coalesce(F.col("next_first") - F.col("first_match"), body_len))
-    return p.withColumn("distance", dist)
+    return p.withColumn("distance", dist).drop(
+        "tkey", "tn", "l_key", "l_n", "l_first", "x_key", "x_n", "x_first", "carry_next", "carry_prev")
 
 
 def doc_features(docs: DataFrame, doc_stats: DataFrame, stats: QueryTermStats,

@@ -178,3 +178,18 @@ def test_norm_quantization(spark):
     got = [r[0] for r in df.select(length_norm(F.col("n"), quantized=True)).collect()]
     # largest 2^e·{1, 1.25, 1.5, 1.75} not above 1/sqrt(n)
     assert got == [1.0, 0.625, 0.5, 0.09375]
+
+
+def test_hit_boundaries_across_chunks(spark):
+    """The same five passages spread over chunks give the same boundaries."""
+    from scrutin.operators.hits import boundaries
+    rows = [("d", 0, ["a"], 10, 10), ("d", 1, ["a"], 40, 40), ("d", 2, ["b"], 70, 70),
+            ("d", 3, ["a", "b"], 100, 120), ("d", 4, ["a"], 160, 160)]
+    p = spark.createDataFrame(rows, "ID string, s_idx int, terms array<string>, first_match int, last_match int")
+    for split in ([0, 0, 1, 1, 2], [0, 1, 2, 3, 4], [0, 2, 2, 5, 5]):
+        c = spark.createDataFrame(list(enumerate(split)), "s_idx int, chunk int")
+        out = boundaries(p.join(c, "s_idx").withColumn("body_len", F.lit(200)), F.col("body_len")) \
+            .orderBy("s_idx").collect()
+        assert [r["distance"] for r in out] == [60, 30, 30, 30, 40]
+        assert [r["next_first"] for r in out] == [70, 70, 100, 160, None]
+        assert [r["prev_last"] for r in out] == [None, None, 40, 70, 120]
