@@ -352,6 +352,9 @@ def rank_hits(ctx: Q.Context, q: Q.Clause, ref_date_ms: int,
         p = materialize(p)
     meta = docs.drop("body")
     p = term_frequencies(p).join(meta.select("ID", "body_len"), "ID")
+    if materialize_raw:
+        # read three times by the two-level boundary scan
+        p = materialize(p)
     p = boundaries(p, F.col("body_len"))
     dfeat = doc_features(meta.drop("body_len"), ix.doc_stats, stats, ref_date_ms)
     raw = hit_features(p, dfeat, stats)
