@@ -46,13 +46,26 @@ def by_id(docs: DataFrame, num_partitions: int | None = None) -> DataFrame:
     return docs.repartition(n, "ID")
 
 
+CHUNK_GROUP = 4096
+
+
 def chunk_bases(summary: DataFrame, *cols: str) -> DataFrame:
-    """Running sums of per-chunk counts within each document, exclusive of
-    the chunk itself: (ID, chunk, base_<col>…). Input has one row per chunk
-    of a multi-chunk document, so the window is over small rows."""
-    w = Window.partitionBy("ID").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    return summary.select("ID", "chunk", *[
-        F.coalesce(F.sum(c).over(w), F.lit(0)).cast("long").alias(f"base_{c}") for c in cols])
+    """Exclusive running sums of per-chunk counts within each document:
+    (ID, chunk, base_<col>…). Input has one row per chunk of a multi-chunk
+    document. Two levels, so even a document with millions of chunks is not
+    one task: running sums inside groups of ``CHUNK_GROUP`` chunks, plus the
+    running sum of the group totals (one row per group)."""
+    g = (F.col("chunk") / CHUNK_GROUP).cast("long")
+    s = summary.withColumn("grp", g)
+    inner = Window.partitionBy("ID", "grp").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    local = s.select("ID", "chunk", "grp", *[F.coalesce(F.sum(c).over(inner), F.lit(0)).alias(f"l_{c}")
+                                             for c in cols])
+    totals = s.groupBy("ID", "grp").agg(*[F.sum(c).alias(f"t_{c}") for c in cols])
+    outer = Window.partitionBy("ID").orderBy("grp").rowsBetween(Window.unboundedPreceding, -1)
+    gbase = totals.select("ID", "grp", *[F.coalesce(F.sum(f"t_{c}").over(outer), F.lit(0)).alias(f"g_{c}")
+                                         for c in cols])
+    return local.join(gbase, ["ID", "grp"]).select(
+        "ID", "chunk", *[(F.col(f"g_{c}") + F.col(f"l_{c}")).cast("long").alias(f"base_{c}") for c in cols])
 
 
 def _add_bases(local: DataFrame, summary_aggs: dict, out_cols) -> DataFrame:

@@ -146,3 +146,18 @@ def test_som_is_independent_of_partitioning_and_error_does_not_rise(spark):
 
     first = S.train(vec, S.SomConfig(**{**cfg.__dict__, "iterations": 1}), dims)
     assert qerr(a) <= qerr(S.weight_matrix(first.weights, cfg, dims)) + 1e-9
+
+
+def test_chunk_bases_two_levels(spark, monkeypatch):
+    from scrutin.operators import analysis as A
+    monkeypatch.setattr(A, "CHUNK_GROUP", 3)
+    rows = [("d", c, c + 1) for c in range(10)] + [("e", c, 2) for c in range(4)]
+    df = spark.createDataFrame(rows, "ID string, chunk int, n int")
+    got = {(r["ID"], r["chunk"]): r["base_n"] for r in A.chunk_bases(df, "n").collect()}
+    exp = {}
+    for d in ("d", "e"):
+        acc = 0
+        for _, c, n in [r for r in rows if r[0] == d]:
+            exp[(d, c)] = acc
+            acc += n
+    assert got == exp
