@@ -191,6 +191,47 @@ def snippet(sentence: Column, ms: Column) -> Column:
     return F.concat(F.array_join(F.transform(ms, part), ""), html_escape(tail))
 
 
+def _groups(df: DataFrame) -> DataFrame:
+    from .analysis import CHUNK_GROUP
+    return df.withColumn("grp", (F.col("chunk") / CHUNK_GROUP).cast("long"))
+
+
+def _next_chunk_first(cs: DataFrame) -> DataFrame:
+    """(ID, chunk, x_key, x_n, x_first): the first hit sentence of the next
+    chunk that has hits — a lead within groups of chunks, and for a group's
+    last chunk the first chunk of the next group (two levels: no window over
+    all chunks of one document)."""
+    g = _groups(cs).withColumn("f", F.struct("c_first_key", "c_first_n", "c_first_first"))
+    inner = Window.partitionBy("ID", "grp").orderBy("chunk")
+    local = g.select("ID", "chunk", "grp", F.lead("f").over(inner).alias("lf"))
+    gfirst = g.groupBy("ID", "grp").agg(F.min_by("f", "chunk").alias("gf"))
+    outer = Window.partitionBy("ID").orderBy("grp")
+    gnext = gfirst.select("ID", "grp", F.lead("gf").over(outer).alias("ngf"))
+    j = local.join(gnext, ["ID", "grp"], "left")
+    nf = F.coalesce("lf", "ngf")
+    return j.select("ID", "chunk", nf["c_first_key"].alias("x_key"), nf["c_first_n"].alias("x_n"),
+                    nf["c_first_first"].alias("x_first"))
+
+
+def _chunk_carries(agg: DataFrame) -> DataFrame:
+    """(ID, chunk, carry_next, carry_prev): min of ``c_next`` over later
+    chunks and max of ``c_prev`` over earlier chunks, in two levels (within
+    groups of chunks, then over group totals)."""
+    g = _groups(agg)
+    later = Window.partitionBy("ID", "grp").orderBy(F.col("chunk").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("ID", "grp").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    local = g.select("ID", "chunk", "grp", F.min("c_next").over(later).alias("ln"),
+                     F.max("c_prev").over(earlier).alias("lp"))
+    tot = g.groupBy("ID", "grp").agg(F.min("c_next").alias("gn"), F.max("c_prev").alias("gp"))
+    glater = Window.partitionBy("ID").orderBy(F.col("grp").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    gearlier = Window.partitionBy("ID").orderBy("grp").rowsBetween(Window.unboundedPreceding, -1)
+    gt = tot.select("ID", "grp", F.min("gn").over(glater).alias("gln"), F.max("gp").over(gearlier).alias("glp"))
+    j = local.join(gt, ["ID", "grp"], "left")
+    # least/greatest skip nulls
+    return j.select("ID", "chunk", F.least("ln", "gln").alias("carry_next"),
+                    F.greatest("lp", "glp").alias("carry_prev"))
+
+
 def boundaries(p: DataFrame, body_len: Column) -> DataFrame:
     """Nearest term boundary before and after each hit sentence.
 
@@ -211,15 +252,11 @@ def boundaries(p: DataFrame, body_len: Column) -> DataFrame:
     wc = Window.partitionBy("ID", "chunk").orderBy("s_idx")
     p = (p.withColumn("l_key", F.lead("tkey").over(wc)).withColumn("l_n", F.lead("tn").over(wc))
           .withColumn("l_first", F.lead("first_match").over(wc)))
-    # chunk summaries: first and last hit sentence of every chunk
+    # chunk summaries: the first hit sentence of every chunk with hits
     cs = p.groupBy("ID", "chunk").agg(
         F.min_by("tkey", "s_idx").alias("c_first_key"), F.min_by("tn", "s_idx").alias("c_first_n"),
         F.min("first_match").alias("c_first_first"))
-    wk = Window.partitionBy("ID").orderBy("chunk")
-    nxt = cs.select("ID", "chunk", F.lead("c_first_key").over(wk).alias("x_key"),
-                    F.lead("c_first_n").over(wk).alias("x_n"),
-                    F.lead("c_first_first").over(wk).alias("x_first"))
-    p = p.join(nxt, ["ID", "chunk"], "left")
+    p = p.join(_next_chunk_first(cs), ["ID", "chunk"], "left")
     last = F.col("l_key").isNull()
     n_key = F.when(last, F.col("x_key")).otherwise(F.col("l_key"))
     n_n = F.when(last, F.col("x_n")).otherwise(F.col("l_n"))
@@ -230,11 +267,7 @@ def boundaries(p: DataFrame, body_len: Column) -> DataFrame:
     agg = p.groupBy("ID", "chunk").agg(
         F.min(F.when(F.col("b"), F.col("nxt_first"))).alias("c_next"),
         F.max(F.when(F.col("b"), F.col("last_match"))).alias("c_prev"))
-    later = Window.partitionBy("ID").orderBy(F.col("chunk").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    earlier = wk.rowsBetween(Window.unboundedPreceding, -1)
-    carry = agg.select("ID", "chunk", F.min("c_next").over(later).alias("carry_next"),
-                       F.max("c_prev").over(earlier).alias("carry_prev"))
-    p = p.join(carry, ["ID", "chunk"], "left")
+    p = p.join(_chunk_carries(agg), ["ID", "chunk"], "left")
     # within the chunk: suffix minimum as a running minimum in descending
     # order, prefix maximum excluding the row — linear frames only
     fwd = Window.partitionBy("ID", "chunk").orderBy(F.col("s_idx").desc()).rowsBetween(Window.unboundedPreceding, 0)

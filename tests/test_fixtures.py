@@ -193,3 +193,21 @@ def test_hit_boundaries_across_chunks(spark):
         assert [r["distance"] for r in out] == [60, 30, 30, 30, 40]
         assert [r["next_first"] for r in out] == [70, 70, 100, 160, None]
         assert [r["prev_last"] for r in out] == [None, None, 40, 70, 120]
+
+
+def test_hit_boundaries_across_chunk_groups(spark, monkeypatch):
+    """Chunk summaries are scanned in groups; tiny groups force every carry
+    and every chunk-edge neighbour to cross a group."""
+    from scrutin.operators import analysis as A
+    from scrutin.operators.hits import boundaries
+    monkeypatch.setattr(A, "CHUNK_GROUP", 2)
+    rows = [("d", 0, ["a"], 10, 10), ("d", 1, ["a"], 40, 40), ("d", 2, ["b"], 70, 70),
+            ("d", 3, ["a", "b"], 100, 120), ("d", 4, ["a"], 160, 160)]
+    p = spark.createDataFrame(rows, "ID string, s_idx int, terms array<string>, first_match int, last_match int")
+    for split in ([0, 1, 2, 3, 4], [0, 3, 3, 7, 9], [1, 1, 2, 5, 8]):
+        c = spark.createDataFrame(list(enumerate(split)), "s_idx int, chunk int")
+        out = boundaries(p.join(c, "s_idx").withColumn("body_len", F.lit(200)),
+                         F.col("body_len")).orderBy("s_idx").collect()
+        assert [r["distance"] for r in out] == [60, 30, 30, 30, 40]
+        assert [r["next_first"] for r in out] == [70, 70, 100, 160, None]
+        assert [r["prev_last"] for r in out] == [None, None, 40, 70, 120]
