@@ -33,10 +33,24 @@ def _write(df: DataFrame, path: str) -> None:
 
 def process_batch(stops: DataFrame, index_path: str):
     def run(batch: DataFrame, batch_id: int) -> None:
-        docs = records_to_docs(batch).withColumn("batch_id", F.lit(batch_id))
-        part = A.by_document(docs.drop("batch_id"))
-        toks = A.tokens(part, stops)
+        from pyspark.sql import Observation
+        # B16 counters observed while the documents are written (no extra pass)
+        obs = Observation(f"ingest_{batch_id}")
+        observed = batch.observe(
+            obs, F.count(F.lit(1)).alias("files_read"),
+            F.sum(F.lit(16) + F.octet_length("metadata") + F.octet_length("content")).alias("bytes_read"),
+            F.sum(F.octet_length("content")).alias("file_bytes_read"))
+        docs = records_to_docs(observed).withColumn("batch_id", F.lit(batch_id))
         _write(docs.drop("priority"), f"{index_path}/docs")
+        counters = obs.get
+        spark = batch.sparkSession
+        (spark.range(1).select(F.lit(batch_id).cast("long").alias("batch_id"),
+                               *[F.lit(int(counters.get(k) or 0)).cast("long").alias(k)
+                                 for k in ("files_read", "bytes_read", "file_bytes_read")])
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("batch_id").parquet(f"{index_path}/ingest_counters"))
+        part = A.by_document(records_to_docs(batch))
+        toks = A.tokens(part, stops)
         _write(toks.withColumn("batch_id", F.lit(batch_id)), f"{index_path}/postings")
         _write(A.doc_terms(toks).withColumn("batch_id", F.lit(batch_id)), f"{index_path}/doc_terms")
     return run
@@ -53,6 +67,12 @@ def start_ingest(spark: SparkSession, landing_dir: str, index_path: str, checkpo
     return w.start()
 
 
+def ingest_counters(spark: SparkSession, index_path: str) -> DataFrame:
+    """B16 totals over all micro-batches (one counter row per batch)."""
+    c = spark.read.parquet(f"{index_path}/ingest_counters")
+    return c.agg(*[F.sum(k).cast("long").alias(k) for k in ("files_read", "bytes_read", "file_bytes_read")])
+
+
 def streamed_term_stats(spark: SparkSession, index_path: str) -> DataFrame:
     """(term, df, ttf) re-aggregated from every appended batch."""
     return A.term_stats(spark.read.parquet(f"{index_path}/doc_terms").drop("batch_id"))

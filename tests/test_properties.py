@@ -161,3 +161,16 @@ def test_chunk_bases_two_levels(spark, monkeypatch):
             exp[(d, c)] = acc
             acc += n
     assert got == exp
+
+
+def test_streaming_ingest_counters_match_batch(spark, tmp_path):
+    from scrutin.catalog import _records
+    from scrutin.operators.docs import ingest_counters as batch_counters
+    from scrutin.sources.stoplist import stop_list
+    from scrutin.streaming.ingest import ingest_counters, start_ingest
+    run = str(tmp_path)
+    _records(spark, SF_SMALL).repartition(3).write.parquet(f"{run}/landing")
+    start_ingest(spark, f"{run}/landing", f"{run}/index", f"{run}/ckpt", stop_list(spark)).awaitTermination()
+    a = ingest_counters(spark, f"{run}/index").first().asDict()
+    b = batch_counters(_records(spark, SF_SMALL)).first().asDict()
+    assert a == b
