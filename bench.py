@@ -85,6 +85,8 @@ def main():
     total = round(sum(times.values()), 3)
     print(json.dumps({"metric": "total_time", "value": total, "unit": "sec", "queries": times,
                       "sf": os.path.basename(SF_DIR.rstrip("/")).replace("sf", ""), "warmup_sec": warm}))
+    from scrutin.session import drop_intermediates
+    drop_intermediates(spark)
     spark.stop()
 
 

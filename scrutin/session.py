@@ -88,11 +88,22 @@ def materialize(df: DataFrame, name: str | None = None) -> DataFrame:
     ``spark.checkpoint.dir``.
     """
     spark = df.sparkSession
-    path = scratch_path(spark, "tables", name or uuid.uuid4().hex)
+    # per application, so one call can drop an application's intermediates
+    path = scratch_path(spark, "tables", spark.sparkContext.applicationId, name or uuid.uuid4().hex)
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
+def drop_intermediates(spark: SparkSession) -> None:
+    """Delete this application's materialised intermediates (index and map
+    tables, which are keyed for reuse, are kept)."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(scratch_path(spark, "tables", spark.sparkContext.applicationId))
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(path):
+        fs.delete(path, True)
+
+
 def default_parallelism(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions", "8")), 1)
 
