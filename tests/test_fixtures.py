@@ -211,3 +211,14 @@ def test_hit_boundaries_across_chunk_groups(spark, monkeypatch):
         assert [r["distance"] for r in out] == [60, 30, 30, 30, 40]
         assert [r["next_first"] for r in out] == [70, 70, 100, 160, None]
         assert [r["prev_last"] for r in out] == [None, None, 40, 70, 120]
+
+
+def test_csv_export_round_trip(spark, tmp_path):
+    """Standard CSV with a header; quotes, commas and newlines in
+    text survive one round trip (no double escaping)."""
+    from scrutin.operators import export as X
+    rows = spark.createDataFrame([("1", 'say "hi", then\nleave', 3)], "ID string, Snippet string, Size long")
+    X.write_csv(rows, str(tmp_path / "out"))
+    back = spark.read.option("header", True).option("multiLine", True).option("escape", '"') \
+        .csv(str(tmp_path / "out")).collect()
+    assert [tuple(r) for r in back] == [("1", 'say "hi", then\nleave', "3")]
