@@ -33,7 +33,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
-from ..session import bounded_broadcast, materialize
+from ..session import bounded_broadcast, default_parallelism, materialize
+
+
+def spread(vectors: DataFrame) -> DataFrame:
+    """Vectors over at least ``spark.sql.shuffle.partitions`` tasks. The
+    batch kernels run one BLAS thread per task, so a small table packed into
+    one file would otherwise be a single task; large inputs already have
+    enough splits and are left alone."""
+    n = default_parallelism(vectors.sparkSession)
+    return vectors.repartition(n) if vectors.rdd.getNumPartitions() < n else vectors
 
 # The broadcast weight matrix may not exceed this many bytes.
 MAX_MATRIX_BYTES = 2 << 30
@@ -205,7 +214,7 @@ def assign_cells(vectors: DataFrame, bmat, cfg: SomConfig) -> DataFrame:
                 pa.array(dist, mask=~has)],
                 names=["ID", "cell", "som_x", "som_y", "som_cell_distance"])
 
-    return vectors.select("ID", "features").mapInArrow(
+    return spread(vectors.select("ID", "features")).mapInArrow(
         run, "ID string, cell string, som_x int, som_y int, som_cell_distance double")
 
 
@@ -379,7 +388,8 @@ def train(vectors: DataFrame, cfg: SomConfig, dims: int, weights: DataFrame | No
         raise ValueError("SOM weight matrix exceeds the broadcast bound")
     run_id = uuid.uuid4().hex[:12]
     mat = weight_matrix(weights, cfg, dims) if weights is not None else initial_matrix(cfg, dims)
-    nz = vectors.where(F.size("features") > 0)
+    from pyspark import StorageLevel
+    nz = spread(vectors.where(F.size("features") > 0)).persist(StorageLevel.MEMORY_AND_DISK)
     stats = vectors.agg(F.count(F.lit(1)).alias("docs"), F.count_if(F.size("features") > 0)
                         .alias("matched")).first()
     rows = []
@@ -395,6 +405,7 @@ def train(vectors: DataFrame, cfg: SomConfig, dims: int, weights: DataFrame | No
         rows.append((e, float(alpha), int(radius), int(stats["docs"]), int(stats["matched"])))
     if w is None:
         w = matrix_frame(spark, mat)
+    nz.unpersist()
     epochs = spark.createDataFrame(pa.table({
         "epoch": pa.array([r[0] for r in rows], pa.int32()), "alpha": pa.array([r[1] for r in rows], pa.float64()),
         "radius": pa.array([r[2] for r in rows], pa.int32()), "docs": pa.array([r[3] for r in rows], pa.int64()),
