@@ -1,10 +1,13 @@
 """Rank individual sentence hits with the 19-feature linear model.
 
 A hit is one sentence of a matching document that contains at least one query
-term. Only matching documents are split (they are semi-joined with the result
-set first) and they are shuffled by ID once; every later window — sentence
-offsets, piece offsets within a sentence, boundaries between hit sentences —
-is partitioned by ID and runs without another exchange.
+term. Only matching documents are split (semi-joined with the result set
+first, the id set broadcast when a count proves it small). Their text is cut
+into sentence-aligned chunks and shuffled once by (ID, chunk); sentence and
+piece offsets are windows within a chunk plus per-chunk bases, and the
+boundary scan between hit sentences runs within chunks plus per-chunk
+carries, so no document — however large — is a single task. The text work
+ends with one row per hit sentence, which is written to the shared folder.
 
 Query-sized values (the query's terms and their statistics) are fetched as a
 few rows and used as literals; the per-class score range (two rows, one per

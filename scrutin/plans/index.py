@@ -10,9 +10,10 @@ Tables
 - ``doc_stats``   (ID, length, sum_tf2, n_terms)
 - ``corpus``      one row: num_docs, num_terms, num_tokens
 
-Build cost: one shuffle of the text by ID; postings, term vectors and
-per-document statistics reuse that partitioning; term statistics shuffle
-once after a map-side partial aggregation.
+Build cost: one shuffle of the text by (ID, chunk); postings are written
+from those partitions; term vectors shuffle by (ID, term), document and term
+statistics by ID and by term, each after a map-side partial aggregation; the
+field length is joined onto the term vectors once, at build time.
 Tables are written under the shared ``spark.checkpoint.dir`` (or a caller's
 path) and read back, which also cuts lineage.
 """
