@@ -174,3 +174,13 @@ def test_streaming_ingest_counters_match_batch(spark, tmp_path):
     a = ingest_counters(spark, f"{run}/index").first().asDict()
     b = batch_counters(_records(spark, SF_SMALL)).first().asDict()
     assert a == b
+
+
+def test_hit_ranking_edge_queries(spark):
+    """Match-all and absent terms give no hits (no terms to highlight);
+    dictionary clauses contribute their expanded terms."""
+    ctx = Q.Context(index_for(spark, SF_SMALL))
+    assert H.rank_hits(ctx, None, REF_DATE_MS).count() == 0
+    assert H.rank_hits(ctx, Q.Terms(["zzzqqq"]), REF_DATE_MS).count() == 0
+    assert H.rank_hits(ctx, Q.Prefix(prefix="eriner"), REF_DATE_MS).count() > 0
+    assert R.search(ctx, Q.Terms(["zzzqqq"])).count() == 0
