@@ -45,11 +45,22 @@ class Context:
         return self._num_docs
 
     def doc_freqs(self, terms: list[str]) -> dict[str, int]:
-        """df of a few query terms (missing terms: 0)."""
+        """df of a few query terms (missing terms: 0). The first lookup also
+        fetches the document count, so a query starts with one small job."""
         need = [t for t in set(terms) if t not in self._df_cache]
         if need:
-            rows = self.index.term_stats.where(F.col("term").isin(need)).select("term", "df").collect()
-            got = {r["term"]: int(r["df"]) for r in rows}
+            q = self.index.term_stats.where(F.col("term").isin(need)).select(
+                "term", F.col("df").cast("long").alias("df"), F.lit(False).alias("corpus"))
+            if self._num_docs is None:
+                q = q.unionByName(self.index.corpus.select(
+                    F.lit("").alias("term"), F.col("num_docs").cast("long").alias("df"),
+                    F.lit(True).alias("corpus")))
+            got = {}
+            for r in q.collect():
+                if r["corpus"]:
+                    self._num_docs = int(r["df"])
+                else:
+                    got[r["term"]] = int(r["df"])
             for t in need:
                 self._df_cache[t] = got.get(t, 0)
         return {t: self._df_cache[t] for t in terms}
