@@ -597,9 +597,11 @@ def _dump_dir(spark, sf_dir):
     from . import CODE_VERSION
     key = hashlib.md5(f"{os.path.abspath(sf_dir)}|{CODE_VERSION}".encode()).hexdigest()[:12]
     path = scratch_path(spark, "dumps", key).replace("file:", "")
-    if not os.path.exists(os.path.join(path, "_DONE")):
-        write_dump(_records(spark, sf_dir).repartition(4), path).collect()
-        open(os.path.join(path, "_DONE"), "w").close()
+    from .plans.index import _BUILD_LOCK
+    with _BUILD_LOCK:
+        if not os.path.exists(os.path.join(path, "_DONE")):
+            write_dump(_records(spark, sf_dir).repartition(4), path).collect()
+            open(os.path.join(path, "_DONE"), "w").close()
     return path
 
 

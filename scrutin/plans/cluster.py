@@ -71,6 +71,8 @@ def cluster_for(ix: Index, cfg: S.SomConfig, rebuild: bool = False) -> ClusterRe
     from .. import CODE_VERSION as __version__
     key = hashlib.md5(f"{ix.path}|{sorted(asdict(cfg).items())}|{__version__}".encode()).hexdigest()[:16]
     path = scratch_path(ix.spark, "som", key)
-    if rebuild or not _built(ix.spark, path):
-        return run_cluster(ix, cfg, path)
+    from .index import _BUILD_LOCK
+    with _BUILD_LOCK:
+        if rebuild or not _built(ix.spark, path):
+            return run_cluster(ix, cfg, path)
     return open_cluster(ix, cfg, path)

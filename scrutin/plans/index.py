@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import threading
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -120,6 +121,9 @@ def _built(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(p))
 
 
+_BUILD_LOCK = threading.RLock()
+
+
 def index_for(spark: SparkSession, sf_dir: str, with_slack: bool = False,
               rebuild: bool = False) -> Index:
     """The index of the evidence view of ``sf_dir`` with the default stop
@@ -127,6 +131,7 @@ def index_for(spark: SparkSession, sf_dir: str, with_slack: bool = False,
     from .. import CODE_VERSION as __version__
     key = hashlib.md5(f"{os.path.abspath(sf_dir)}|{with_slack}|{__version__}".encode()).hexdigest()[:16]
     path = scratch_path(spark, "index", key)
-    if rebuild or not _built(spark, path):
-        write_index(evidence_docs(spark, sf_dir, with_slack), stop_list(spark), path)
+    with _BUILD_LOCK:  # one build per path even when queries run in threads
+        if rebuild or not _built(spark, path):
+            write_index(evidence_docs(spark, sf_dir, with_slack), stop_list(spark), path)
     return open_index(spark, path)
