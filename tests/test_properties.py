@@ -184,3 +184,22 @@ def test_hit_ranking_edge_queries(spark):
     assert H.rank_hits(ctx, Q.Terms(["zzzqqq"]), REF_DATE_MS).count() == 0
     assert H.rank_hits(ctx, Q.Prefix(prefix="eriner"), REF_DATE_MS).count() > 0
     assert R.search(ctx, Q.Terms(["zzzqqq"])).count() == 0
+
+
+def test_queries_in_threads_share_one_build(spark):
+    """Registered queries may run concurrently in one session; cached tables
+    are built once and every query sees complete tables."""
+    import threading
+
+    import __spark_entry__ as E
+    out = {}
+
+    def run(n):
+        out[n] = E.queries()[n](spark, SF_SMALL).count()
+
+    names = ["e1_tfidf_or", "c4_doc_terms", "g14_assignments", "a2_record_ids"]
+    ts = [threading.Thread(target=run, args=(n,)) for n in names]
+    [t.start() for t in ts]
+    [t.join() for t in ts]
+    assert out["c4_doc_terms"] > 0 and out["g14_assignments"] == 200 and out["a2_record_ids"] == 200
+    assert out["e1_tfidf_or"] == E.queries()["e1_tfidf_or"](spark, SF_SMALL).count()
