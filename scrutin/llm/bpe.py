@@ -18,7 +18,6 @@ from __future__ import annotations
 import heapq
 import json
 import re
-import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +30,17 @@ from .common import append_arrow, table
 #: Fixed value: the pattern that splits text before merging (public byte-level BPE).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+#: Code points that the regex module takes for letters or numbers
+#: and the Unicode tables (version 16) of the tokenizers do not.
+LATER_LETTERS = (
+    "558 58b-58c 88f c5c cdc 208f 209d-209f a7ce-a7cf a7d2 a7d4 a7dd a7e2 a7f1 ab6c-ab6d 107bb-107bf "
+    "10940-10959 10ec5-10ec7 10ed9-10eee 11b0a 11db0-11ddb 11de0-11de9 11df1 1246f 12475-1247f "
+    "12550-12686 16ea0-16eb8 16ebb-16ed3 16ff2-16ff6 187f8-187ff 18cd6-18cda 18d09-18d20 18d80-18df2 "
+    "18e00-19191 191a0-191d2 1b123-1b128 1b168 1d6a6 1df1f-1df24 1df2b-1df81 1df90-1df96 1dfcd-1dfff "
+    "1e6c0-1e6de 1e6e0-1e6e2 1e6e4-1e6e5 1e6e7-1e6ed 1e6f0-1e6f4 1e6fe-1e6ff 2b73a-2b73f 2b81e "
+    "2cea2-2cead 323b0-33479 3d000-3fc3f "
+)
+
 #: Distinct pre-tokens a Python worker remembers before it starts afresh.
 CACHE_WORDS = 400_000
 #: Pre-tokens of a text of more characters are taken one by one, not as a list.
@@ -61,11 +71,9 @@ class _Words(dict):
         return n
 
 
-def _unassigned(regex) -> str:
-    """Letters and numbers of the ``regex`` module's Unicode tables that the
-    interpreter's tables do not have yet; the tokenizers' tables lack them too."""
-    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
-    return "".join(c for c in regex.findall(r"[\p{L}\p{N}]", every) if unicodedata.category(c) == "Cn")
+def _later_letters() -> str:
+    ends = [[int(x, 16) for x in r.split("-")] for r in LATER_LETTERS.split()]
+    return "".join(chr(c) for e in ends for c in range(e[0], e[-1] + 1))
 
 
 class Codec:
@@ -77,8 +85,9 @@ class Codec:
         model, chars = spec["model"], _byte_chars()
         vocab = model["vocab"]
         self.find = regex.compile(PATTERN)
-        late = _unassigned(regex)
-        self.late = re.compile(f"[{late}]") if late else None
+        late = _later_letters()
+        self.late = frozenset(late)
+        self.beyond = re.compile(f"[{min(late, default=chr(0x10ffff))}-\U0010ffff]")
         self.plain = {ord(c): "\ue000" for c in late}
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.split = regex.compile("(" + "|".join(
@@ -199,7 +208,7 @@ class Codec:
         return self.ids[np.arange(total) + np.repeat(self.at[words] - (ends - count), count)]
 
     def words(self, text: str):
-        if self.late and self.late.search(text):  # match as if those were symbols
+        if self.beyond.search(text) and not self.late.isdisjoint(text):  # match as if those were symbols
             return (text[m.start():m.end()] for m in self.find.finditer(text.translate(self.plain)))
         return self.find.findall(text) if len(text) <= LONG_TEXT else (m.group() for m in self.find.finditer(text))
 
