@@ -42,7 +42,9 @@ LATER_LETTERS = (
 )
 
 #: Distinct pre-tokens a Python worker remembers before it starts afresh.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
+#: Bytes of rows whose new pre-tokens are merged together (their index is the largest thing in memory).
+SLICE_BYTES = 2 << 20
 #: Pre-tokens of a text of more characters are taken one by one, not as a list.
 LONG_TEXT = 4_000_000
 _SHIFT = 20  # ids are below 2**20
@@ -257,7 +259,8 @@ def encode(df: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids",
         return [pa.array([f.astype("<u4").tobytes() for f in found], pa.binary()),
                 pa.array([len(f) for f in found], pa.int64())]
 
-    return append_arrow(df, [T.StructField(ids, T.BinaryType()), T.StructField(count, T.LongType())], [text], kernel)
+    return append_arrow(df, [T.StructField(ids, T.BinaryType()), T.StructField(count, T.LongType())], [text], kernel,
+                        max_bytes=SLICE_BYTES)
 
 
 def decode(df: DataFrame, tokenizer: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -269,7 +272,7 @@ def decode(df: DataFrame, tokenizer: str, ids: str = "ids", text: str = "decoded
         codec = _codec(shipped)
         return [pa.array([codec.decode(np.frombuffer(b or b"", dtype="<u4")) for b in cols[0].to_pylist()], pa.string())]
 
-    return append_arrow(df, [T.StructField(text, T.StringType())], [ids], kernel)
+    return append_arrow(df, [T.StructField(text, T.StringType())], [ids], kernel, max_bytes=SLICE_BYTES)
 
 
 def default_tokenizer() -> str:
