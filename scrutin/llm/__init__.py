@@ -3,9 +3,9 @@ query. Nothing else in the package imports this subpackage."""
 
 from __future__ import annotations
 
-from . import bpe
+from . import bpe, mixing, quality, toxicity
 
-MODULES = (bpe,)
+MODULES = (mixing, toxicity, bpe, quality)
 
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}
