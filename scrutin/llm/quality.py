@@ -27,8 +27,9 @@ from .common import SPACE, WORD, table, without, written
 BUCKETS = 1 << 16
 #: Trusted rows that the target multinomial is fitted on: those with the smallest hash of their id.
 TARGET_ROWS = 10_000
-#: Added to each bucket's counts.
-SMOOTHING = 1.0
+#: Added to a bucket's target count and to the count that the raw corpus lets
+#: expect there, so an n-gram too rare to judge weighs next to nothing.
+SMOOTHING = 10.0
 #: Mean log-likelihood ratio per n-gram below which a text goes.
 THRESHOLD = -0.12
 _UNIT = 1_000_000
@@ -67,8 +68,7 @@ def bucket_weights(df: DataFrame, trusted: DataFrame, key: str = "doc_id", text:
     raw, target = total["r"] or 0, total["t"] or 0
     if not target:
         return counts.select("bucket", F.lit(0).cast("long").alias("weight"))
-    ratio = (F.log((F.col("target") + SMOOTHING) / (target + SMOOTHING * BUCKETS))
-             - F.log((F.col("raw") + SMOOTHING) / (raw + SMOOTHING * BUCKETS)))
+    ratio = F.log((F.col("target") + SMOOTHING) / (F.col("raw") * (target / raw) + SMOOTHING))
     return counts.select("bucket", F.round(ratio * _UNIT).cast("long").alias("weight"))
 
 
