@@ -3,9 +3,9 @@ query. Nothing else in the package imports this subpackage."""
 
 from __future__ import annotations
 
-from . import bpe, minhash, mixing, quality, toxicity
+from . import bpe, minhash, mixing, quality, toxicity, warc
 
-MODULES = (minhash, mixing, toxicity, bpe, quality)
+MODULES = (minhash, mixing, toxicity, bpe, warc, quality)
 
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}
