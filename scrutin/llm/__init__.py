@@ -3,9 +3,9 @@ query. Nothing else in the package imports this subpackage."""
 
 from __future__ import annotations
 
-from . import bpe, extract, minhash, mixing, quality, topk, toxicity, urlfilter, warc
+from . import bpe, extract, license, minhash, mixing, quality, topk, toxicity, urlfilter, warc
 
-MODULES = (minhash, mixing, toxicity, bpe, warc, topk, extract, urlfilter, quality)
+MODULES = (minhash, mixing, toxicity, bpe, warc, topk, extract, urlfilter, quality, license)
 
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}
