@@ -32,10 +32,13 @@ WINDOW, PEAK = 3, 80
 #: Share of link text from which a line outside a marked article counts as a menu's.
 LINKS = 0.6
 
-_RAW = "script|style|noscript|template|svg|iframe|object|textarea|select|button|head|canvas|audio|video|math"
+# elements without text of the page; the first kind runs to the end if it is not closed
+_RAW = "script|style|textarea|iframe"
+_DROP = "head|title|noscript|template|svg|object|select|button|canvas|audio|video|math"
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    rf"|<({_RAW})(?=[\s/>])(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>(?:.*?</\1\s*>|(?=(?:(?!</\1).)*+\Z))"
+    rf"|<({_RAW})(?=[\s/>])(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>(?:.*?</\1\s*>|.*\Z)"
+    rf"|<({_DROP})(?=[\s/>])(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?</\2\s*>"
     r"|<[!?][^>]*>"
     r"|<(/?)([a-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<(/?)([a-z][^\s/>]*)([^>]*)(?:>|\Z)", re.S | re.I)
@@ -91,10 +94,10 @@ def lines(page: str) -> list[tuple[str, int, bool, int]]:
             text.append(piece)
             if link:
                 links += len(piece.strip())
-        name = m[3] or m[6]
+        name = m[4] or m[7]
         if not name:
             continue
-        closing, attrs = m[2] or m[5], m[4] or m[7] or ""
+        closing, attrs = m[3] or m[6], m[5] or m[8] or ""
         name = name.lower()
         if skip:
             if name == skip and not attrs.endswith("/"):

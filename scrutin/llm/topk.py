@@ -62,8 +62,8 @@ def cover_tree(x: np.ndarray, rows: np.ndarray, centre: int) -> Node:
         near = np.einsum("ij,ij->i", diff, diff) <= half * half
         groups.append((rest[0], rest[near]))
         rest = rest[~near]
-    large = [(c, g) for c, g in groups if len(g) > LEAF // 4]
-    few = [g for _, g in groups if len(g) <= LEAF // 4]
+    large = [(c, g) for c, g in groups if len(g) > 1]
+    few = [g for _, g in groups if len(g) == 1]
     children = [cover_tree(x, g, c) for c, g in large]
     if few:
         scattered = np.concatenate(few)
