@@ -8,15 +8,20 @@ above j can change, so the steps end as soon as all registers are filled (the
 early stop). Bands of the signature give buckets; a bucket's members are
 candidates of each other.
 
-No bucket is expanded into its pairs. In each round one member per bucket (the
-pivot, a pseudo-random minimum made map-side) is compared with the members of
-other components on their full shingle sets; the links found are merged into
-components by distributed union-find (hooking to smaller roots and pointer
+No bucket is expanded into its pairs. In each round a few members per bucket
+(pivots, pseudo-random minima made map-side) are compared with the members of
+other components; the links found are merged into components by distributed
+union-find (stars drawn to their minima, hooking to smaller roots and pointer
 jumping). A pivot has then met all members and leaves its buckets, and buckets
 of one component are done. When the pairs left across components are few
 against the bucket rows, or after ``ROUNDS`` rounds, they are compared one by
-one, so no link between texts of a common bucket is lost. Sizes too far apart
-to reach the similarity are skipped before, exactly.
+one, so no link between texts of a common bucket is lost. A pair is skipped if
+its sizes cannot reach the similarity, or if its signatures agree in fewer
+registers than ``AGREE`` (7 standard deviations under what the similarity
+lets expect); all others are confirmed on their full shingle sets.
+
+Tables of ids and buckets are broadcast when a count proves them small, and
+joined by shuffles of file-backed sides (which AQE may split) when not.
 
 Edge cases: null and empty texts (no words) have no shingles and link with
 nothing; a text of fewer words than a shingle is one shingle; repeated rows
@@ -36,15 +41,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import bounded_broadcast
 from .common import append_arrow, forget, table, written
 
 #: Bands and registers in a band: two texts of similarity 0.8 share no bucket
-#: once in 300,000 times, (1 - 0.8**4)**24.
-BANDS, ROWS = 24, 4
+#: once in 14,000 times, (1 - 0.8**5)**24; of similarity 0.85 once in 1.3 million.
+BANDS, ROWS = 24, 5
+#: Pivots per bucket in the first round; each round takes twice as many as the one before.
+PIVOTS = 4
 #: Pivot rounds at most before the remaining pairs are compared one by one.
-ROUNDS = 12
+ROUNDS = 4
 #: Remaining pairs per bucket row at which pivot rounds end early.
-FEW = 2.0
+FEW = 1.0
+#: Signatures that may be broadcast (24 MB); other tables follow the session's bound.
+SMALL = 200_000
+#: Share of equal registers, less than the similarity, under which a pair is not looked at.
+AGREE = 0.26
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -150,23 +162,47 @@ def band_hashes(sig: np.ndarray) -> np.ndarray:
 
 
 def sketches(df: DataFrame, k: int, text: str = "text") -> DataFrame:
-    """``df`` with ``n_shingles``, ``digest`` of the shingle set (null if it is
-    empty) and ``bands`` (null where no other set can be similar)."""
+    """``df`` with ``n_shingles``, ``digest`` of the shingle set, ``bands`` and
+    ``sig``, a byte of each register (the last three null for empty sets)."""
     fields = [T.StructField("n_shingles", T.LongType()), T.StructField("digest", T.BinaryType()),
-              T.StructField("bands", T.ArrayType(T.LongType()))]
+              T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sig", T.BinaryType())]
 
     def kernel(cols):
-        n, digest, bands = [], [], []
+        n, digest, bands, sigs = [], [], [], []
         for t in cols[0].to_pylist():
             s = shingle_set(t, k)
+            sig = superminhash(s, BANDS * ROWS) if len(s) else None
             n.append(len(s))
             digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-            bands.append(band_hashes(superminhash(s, BANDS * ROWS)) if len(s) else None)
-        return [pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
+            bands.append(band_hashes(sig) if len(s) else None)
+            sigs.append(sig.astype(np.uint8).tobytes() if len(s) else None)
+        return [pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(bands, pa.list_(pa.int64())),
+                pa.array(sigs, pa.binary())]
 
     return append_arrow(df, fields, [text], kernel)
 
 
+def _ids(batch: pa.RecordBatch, keep: np.ndarray) -> pa.RecordBatch:
+    rows = pa.array(np.flatnonzero(keep))
+    return pa.RecordBatch.from_arrays([batch.column("a").take(rows), batch.column("b").take(rows)], ["a", "b"])
+
+
+def alike(pairs: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``(a, b)`` whose signatures agree in enough registers."""
+    left = sigs.select(F.col("id").alias("a"), F.col("sig").alias("x"))
+    right = sigs.select(F.col("id").alias("b"), F.col("sig").alias("y"))
+    both = pairs.join(bounded_broadcast(left, SMALL), "a").join(bounded_broadcast(right, SMALL), "b")
+    least = percent / 100 - AGREE
+
+    def run(batches):
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(batch.num_rows, -1)
+                    for c in ("x", "y"))
+            yield _ids(batch, (x == y).mean(axis=1) >= least)
+
+    return both.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs ``(a, b)`` whose full shingle sets have ``100 * shared >=
     percent * union``."""
@@ -176,114 +212,115 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-            keep = []
+            keep = np.zeros(batch.num_rows, dtype=bool)
             for i, (x, y) in enumerate(zip(batch.column("x"), batch.column("y"))):
                 x, y = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
                 small, large = (x, y) if len(x) < len(y) else (y, x)
                 at = np.searchsorted(large, small)
                 shared = int((large[np.minimum(at, len(large) - 1)] == small).sum())
-                if 100 * shared >= percent * (len(x) + len(y) - shared):
-                    keep.append(i)
-            if keep:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([a[i] for i in keep], pa.int64()), pa.array([b[i] for i in keep], pa.int64())], ["a", "b"])
+                keep[i] = 100 * shared >= percent * (len(x) + len(y) - shared)
+            yield _ids(batch, keep)
 
     return both.mapInArrow(run, "a bigint, b bigint")
 
 
+def _ordered(links: DataFrame) -> DataFrame:
+    return links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct()
+
+
 def union_find(links: DataFrame) -> DataFrame:
     """``(id, root)`` for every id in ``links(a, b)``: root is the smallest id
-    reachable. Roots hook to their smallest neighbour root, chains of hooks
+    reachable. All neighbours of an id are first linked to the smallest of
+    them; then roots hook to their smallest neighbour root, chains of hooks
     are halved by pointer jumping, and links are taken up to the roots until
     none joins two of them."""
-    links = written(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-                    .filter("a < b").distinct())
-    ids = links.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    roots = None
+    both = written(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    least = both.groupBy("a").agg(F.min("b").alias("m"))
+    ids = written(least.select(F.col("a").alias("id"), F.least("a", "m").alias("m")))
+    near = bounded_broadcast(ids.select(F.col("id").alias("a"), "m"))
+    links = written(_ordered(both.join(near, "a").select(F.col("m").alias("a"), "b").unionByName(
+        ids.select(F.col("m").alias("a"), F.col("id").alias("b")))))
+    roots = ids.select("id", F.col("id").alias("root"))
     while True:
         hooks = written(links.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("to")))
         if hooks.isEmpty():
             break
         while True:  # pointer jumping
-            far = hooks.select(F.col("id").alias("to"), F.col("to").alias("far"))
-            jumped = written(hooks.join(far, "to", "left").select("id", F.coalesce("far", "to").alias("to"),
-                                                                  F.col("far").isNotNull().alias("moved")))
-            more = not jumped.filter("moved").isEmpty()
-            hooks = jumped.drop("moved")
-            if not more:
+            far = bounded_broadcast(hooks.select(F.col("id").alias("to"), F.col("to").alias("far")))
+            chained = hooks.join(far, "to", "left")
+            if chained.filter("far is not null").isEmpty():
                 break
-        if roots is None:
-            up = ids.join(hooks, "id", "left").select("id", F.coalesce("to", "id").alias("root"))
-        else:
-            up = roots.join(hooks.withColumnRenamed("id", "root"), "root", "left").select(
-                "id", F.coalesce("to", "root").alias("root"))
-        roots = written(up)
+            hooks = written(chained.select("id", F.coalesce("far", "to").alias("to")))
+        small = bounded_broadcast(hooks)
+        roots = written(roots.join(small.withColumnRenamed("id", "root"), "root", "left").select(
+            "id", F.coalesce("to", "root").alias("root")))
         ends = links
         for c in ("a", "b"):
-            h = hooks.select(F.col("id").alias(c), "to")
-            ends = ends.join(h, c, "left").withColumn(c, F.coalesce("to", c)).drop("to")
-        links = written(ends.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-                        .filter("a < b").distinct())
-    return roots if roots is not None else ids.select("id", F.col("id").alias("root"))
+            ends = ends.join(small.select(F.col("id").alias(c), "to"), c, "left").withColumn(c, F.coalesce("to", c)).drop("to")
+        links = written(_ordered(ends))
+    return roots
 
 
 def components(reps: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame | None:
     """``(id, root)`` of the class representatives that are linked, from
-    ``reps(id, n_shingles, bands)`` and ``docs(id, text)``. None if no two
-    share a bucket."""
+    ``reps(id, n_shingles, bands, sig)`` and ``docs(id, text)``. None if no two
+    are."""
     least = 1 if percent <= 50 else percent // (100 - percent)  # smaller sets are similar to equal ones only
-    rows = (reps.filter(F.col("n_shingles") >= least)
-            .select("id", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket")))
-    rows = written(rows)
+    large = reps.filter(F.col("n_shingles") >= least)
+    rows = large.select("id", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
     shared = written(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("bucket"))
-    live = written(rows.join(shared, "bucket").withColumn("comp", F.col("id")))
-    forget(rows)
+    live = written(rows.join(bounded_broadcast(shared), "bucket").withColumn("comp", F.col("id")))
     if live.isEmpty():
         return None
     ids = written(live.select("id").distinct())
+    near_ids = bounded_broadcast(ids)
+    sigs = written(large.select("id", "sig").join(near_ids, "id"))
 
     def set_kernel(cols):
         return [pa.array([shingle_set(t, k).tobytes() for t in cols[0].to_pylist()], pa.binary())]
 
-    sets = written(append_arrow(docs.join(ids, "id"), [T.StructField("shingles", T.BinaryType())],
+    sets = written(append_arrow(docs.join(near_ids, "id"), [T.StructField("shingles", T.BinaryType())],
                                 ["text"], set_kernel).select("id", "shingles"))
-    links, size = None, live.count()
+    links, roots, size = None, None, live.count()
     near = 100 * F.least("n", "pn") >= percent * F.greatest("n", "pn")
     for r in range(ROUNDS + 1):
-        # per bucket: its pairs across components, and a pseudo-random member of a pseudo-random component
-        draw = F.struct(F.xxhash64(F.lit(r), "comp").alias("x"), F.xxhash64(F.lit(r), "id").alias("h"),
-                        F.col("id").alias("p"), F.col("n").alias("pn"), F.col("comp").alias("pc"))
+        # per bucket: its pairs across components, and pseudo-random members of pseudo-random components
+        draw = F.struct(F.xxhash64(F.lit(r), "id").alias("h"), F.col("id").alias("p"), F.col("n").alias("pn"))
         per = live.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("c"), F.min(draw).alias("v"))
+        pivots = F.array(*[F.min(F.struct(F.xxhash64(F.lit(r), F.lit(i), "comp").alias("x"), F.col("v.p").alias("p"),
+                                          F.col("v.pn").alias("pn"), F.col("comp").alias("pc")))
+                           for i in range(PIVOTS << r)])
         per = per.groupBy("bucket").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("same"),
-                                        F.count(F.lit(1)).alias("comps"), F.min("v").alias("v"))
+                                        F.count(F.lit(1)).alias("comps"), pivots.alias("v"))
         pivots = written(per.filter("comps > 1").select(
-            "bucket", ((F.col("c") * F.col("c") - F.col("same")) / 2).alias("open"), "v.p", "v.pn", "v.pc"))
+            "bucket", ((F.col("c") * F.col("c") - F.col("same")) / 2).alias("open"),
+            F.array_distinct(F.transform("v", lambda x: x.dropFields("x"))).alias("v")))
         left = pivots.agg(F.sum("open").alias("s")).first()["s"] or 0
         if not left:
             break
         last = r == ROUNDS or left <= FEW * size
         if last:
-            some = written(live.join(pivots.select("bucket"), "bucket"))
+            some = written(live.join(bounded_broadcast(pivots.select("bucket")), "bucket"))
             other = some.select("bucket", F.col("id").alias("b"), F.col("n").alias("pn"), F.col("comp").alias("pc"))
             pairs = some.withColumnRenamed("id", "a").join(other, "bucket").filter(
                 (F.col("a") < F.col("b")) & (F.col("comp") != F.col("pc")) & near).select("a", "b")
         else:
-            met = written(live.join(pivots, "bucket").filter(F.col("id") != F.col("p")))
-            pairs = met.filter((F.col("comp") != F.col("pc")) & near).select(
-                F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b"))
-        found = written(verified(written(pairs.distinct()), sets, percent))
-        if not found.isEmpty():
-            links = found if links is None else links.unionByName(found)
+            met = live.join(bounded_broadcast(pivots.select("bucket", "v")), "bucket")
+            pairs = met.select("id", "n", "comp", F.explode("v").alias("e")).select("id", "n", "comp", "e.*").filter(
+                (F.col("comp") != F.col("pc")) & near).select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b"))
+        pairs = alike(written(pairs.distinct()), sigs, percent)
+        found = written(verified(written(pairs), sets, percent))
+        links = found if links is None else links.unionByName(found)
         if last:
             break
-        rest = met.select("bucket", "id", "n", "comp")
-        if links is not None:
-            rest = rest.drop("comp").join(written(union_find(links)), "id", "left").select(
-                "bucket", "id", "n", F.coalesce("root", "id").alias("comp"))
-        forget(live)
-        live = written(rest)
-    return union_find(links) if links is not None else None
+        # components of all links so far; unlinked documents are their own
+        roots = written(union_find(links))
+        rest = met.filter(~F.exists("v", lambda x: x["p"] == F.col("id"))).select("bucket", "id", "n")
+        live = written(rest.join(bounded_broadcast(roots), "id", "left").select(
+            "bucket", "id", "n", F.coalesce("root", "id").alias("comp")))
+    if links is None:
+        return None
+    return union_find(links) if last else roots
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5,
@@ -298,17 +335,17 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", k: i
     classes = sk.filter("id is not null and digest is not null").groupBy("digest").agg(
         F.min("id").alias("rep"), F.count(F.lit(1)).alias("c"))
     copied = written(classes.filter("c > 1").select("digest", "rep"))
-    member = written(sk.select("id", "n_shingles", "digest").join(copied, "digest", "left").select(
+    member = written(sk.select("id", "n_shingles", "digest").join(bounded_broadcast(copied), "digest", "left").select(
         "id", "n_shingles", F.coalesce("rep", "id").alias("rep")))
-    others = member.filter("id != rep").select("id").distinct()
-    reps = sk.filter("id is not null and digest is not null").select("id", "n_shingles", "bands")
-    reps = written(reps.join(others, "id", "left_anti").dropDuplicates(["id"]))
+    others = written(member.filter("id != rep").select("id").distinct())
+    reps = sk.filter("id is not null and digest is not null").select("id", "n_shingles", "bands", "sig")
+    reps = written(reps.join(bounded_broadcast(others), "id", "left_anti").dropDuplicates(["id"]))
     found = components(reps, docs.filter("id is not null"), k, percent) if percent < 100 else None
     forget(sk)
     if found is None:
         out = member.withColumn("component_id", F.col("rep"))
     else:
-        out = member.join(written(found).withColumnRenamed("id", "rep"), "rep", "left").withColumn(
+        out = member.join(bounded_broadcast(written(found).withColumnRenamed("id", "rep")), "rep", "left").withColumn(
             "component_id", F.coalesce("root", "rep"))
     return out.select(F.col("id").alias(key), "n_shingles", "component_id",
                       F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
