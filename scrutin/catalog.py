@@ -15,6 +15,7 @@ from .plans.index import index_for
 
 FLAGSHIP_TERMS = ["from", "tion", "des"]
 PHRASE_TERMS = ["anea", "eriner"]
+DOTTED_TERMS = r"[a-z0-9]+\.example\.com"
 REF_DATE_MS = 1400000000000
 
 
@@ -104,15 +105,25 @@ def _ids(clause):
 
 
 def q_d8_phrase(spark, sf_dir):
-    occ = Q.Phrase(PHRASE_TERMS).occurrences(_ctx(spark, sf_dir))
+    ctx = _ctx(spark, sf_dir)
+    occ = Q.Phrase(PHRASE_TERMS).analyzed(ctx).occurrences(ctx)
     return occ.groupBy("ID").agg(F.count(F.lit(1)).alias("freq"))
 
 
 def q_d9_proximity(spark, sf_dir):
-    occ = Q.Phrase(PHRASE_TERMS, slop=2).occurrences(_ctx(spark, sf_dir))
+    ctx = _ctx(spark, sf_dir)
+    occ = Q.Phrase(PHRASE_TERMS, slop=2).analyzed(ctx).occurrences(ctx)
     return occ.groupBy("ID").agg(r6(F.sum("freq")).alias("freq"))
 
 
+def q_f2_dotted_hits(spark, sf_dir):
+    """Hits of host names: terms with dots, found whole in their sentences."""
+    from .operators import hits as H
+    ctx = _ctx(spark, sf_dir)
+    h = H.rank_hits(ctx, Q.Regexp(regex=DOTTED_TERMS), REF_DATE_MS)
+    return h.select("ID", "s_idx", "s_start", "s_end", "first_match", F.array_join("terms", " ").alias("terms"), "dot")
+
+
 # ------------------------------------------------------------ E: ranking
 
 def _flagship(spark, sf_dir):
@@ -795,6 +806,13 @@ QUERIES = {
     "c9_field_length": q_c9_field_length,
     "d1_match_all": _scored(None),
     "d2_term": _scored(Q.Term("from")),
+    "d2_term_analyzed": _scored(Q.Term("From")),
+    "d4_or_analyzed": _scored(Q.Or(Q.Term("FROM"), Q.Term("the"), Q.Terms(["Des", "OF"]))),
+    "d7_nested_scores": _scored(Q.Bool(must=[Q.Or(Q.Term("from"), Q.Term("des"))], must_not=[Q.Term("tion")])),
+    "d8_phrase_analyzed": _scored(Q.Phrase(["Attion", "to", "Thanedble"])),
+    "d10_prefix_scores": _scored(Q.Prefix(prefix="TION")),
+    "d12_fuzzy_scores": _scored(Q.Or(Q.Fuzzy(term="Eriner", max_edits=1), Q.Term("des"))),
+    "f2_dotted_hits": q_f2_dotted_hits,
     "d3_field_exact": _scored(Q.FieldEquals("extension", "pdf")),
     "d4_or": _scored(Q.Or(Q.Term("from"), Q.Term("tion"), Q.Term("des"))),
     "d5_and": _scored(Q.And(Q.Term("from"), Q.Term("tion"))),

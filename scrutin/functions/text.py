@@ -14,8 +14,15 @@ TOKEN_RE = WORD + r"+(?:['’.]" + WORD + r"+)*"
 # Lossless split of a text into tokens and the gaps between them: the pieces
 # concatenated give the text back, so a running sum of lengths gives offsets.
 TOKEN_OR_GAP_RE = TOKEN_RE + r"|[^\p{L}\p{M}\p{N}_]+"
-# Lossless split into sentences: a sentence runs to (and includes) its
-# terminators; a trailing fragment without terminator is a sentence too.
+# A dot between word characters belongs to a token and ends no sentence; it is
+# masked (same length) while a text is split.
+TOKEN_DOT_RE = rf"(?<={WORD})\.(?={WORD})"
+DOT_MASK = "\ue000"
+# Where a sentence ends, in text that is not masked.
+SENTENCE_END = rf"(?:[!?\n]|\.(?!(?<={WORD}\.){WORD}))"
+# Lossless split of masked text into sentences: a sentence runs to (and
+# includes) its terminators; a trailing fragment without terminator is a
+# sentence too.
 SENTENCE_RE = r"[^.!?\n]*[.!?\n]+|[^.!?\n]+"
 WHITESPACE_RUN = r"[ \t\n\x0B\f\r]+"
 HTML_SCRIPT_RE = r"(?is)<script[^>]*>.*?</script>"

@@ -1,7 +1,7 @@
 """Tokens, postings, term vectors and corpus statistics.
 
-Partitioning. Bodies are cut into chunks of at most ``CHUNK_CHARS``
-characters that end at whitespace (so no token is cut), and the chunks —
+Partitioning. Bodies are cut into chunks of about ``CHUNK_CHARS``
+characters that end at whitespace (no token is cut, however long), and the chunks —
 not whole documents — are hash-partitioned by (ID, chunk). One enormous
 document (an unallocated-space blob may hold a third of all text) is
 therefore tokenised by many tasks. Global token positions and character
@@ -23,10 +23,11 @@ CHUNK_CHARS = 1 << 16
 
 
 def chunk_pattern(chunk_chars: int = CHUNK_CHARS) -> str:
-    """Lossless cut into pieces of at most ``chunk_chars`` characters that
-    end after a whitespace, '!' or '?' (never inside a token); a run longer
-    than that without any of them is cut at the limit."""
-    return rf"(?s).{{1,{chunk_chars}}}(?:[\s!?]|\z)|(?s).{{1,{chunk_chars}}}"
+    """Lossless cut into pieces of about ``chunk_chars`` characters that end
+    after a whitespace, '!' or '?', never inside a token; a longer run without
+    any of them is one piece up to its end."""
+    return (rf"(?s).{{1,{chunk_chars}}}(?:[\s!?]|\z)"
+            rf"|(?s).{{{chunk_chars}}}[^\s!?]*+(?:[\s!?]|\z)|(?s).+")
 
 
 def by_document(docs: DataFrame, num_partitions: int | None = None,

@@ -44,50 +44,64 @@ def parse_metadata(records: DataFrame) -> DataFrame:
         F.greatest(total - size, F.lit(0)).cast("long").alias("slack_size"))
 
 
-def flatten_json(df: DataFrame, id_col: str, json_col: str, max_depth: int = 8) -> DataFrame:
+def flatten_json(df: DataFrame, id_col: str, json_col: str) -> DataFrame:
     """B2: flatten nested JSON into (id, key, value) with keys joined by '-'
     and list positions as keys; numbers are truncated to integers, booleans
-    and nulls dropped; known keys are renamed. Each level is one explode of
-    the values that are still objects or lists (depth is bounded)."""
+    and nulls dropped; known keys are renamed. Every level is one lateral
+    explode of the values that are still objects or lists, written to the
+    shared folder; levels follow until no object or list is left, so the input
+    is read once and nesting may be of any depth."""
+    from ..session import materialize
+    kind = F.schema_of_variant("v")
+    # variant values cannot be written to every file format; their JSON text can
     cur = df.select(F.col(id_col).alias("_id"), F.lit(None).cast("string").alias("key"),
-                    F.parse_json(json_col).alias("v"))
+                    F.col(json_col).alias("js"))
     leaves = None
-    for _ in range(max_depth):
-        kind = F.schema_of_variant("v")
-        obj = cur.where(kind.startswith("OBJECT")).select(
-            "_id", "key", F.explode(F.col("v").cast("map<string,variant>")).alias("k", "v2"))
-        arr = cur.where(kind.startswith("ARRAY")).select(
-            "_id", "key", F.posexplode(F.col("v").cast("array<variant>")).alias("k", "v2"))
-        nxt = obj.unionByName(arr.withColumn("k", F.col("k").cast("string")))
-        nxt = nxt.select("_id", F.when(F.col("key").isNull(), F.col("k"))
-                         .otherwise(F.concat_ws("-", "key", "k")).alias("key"), F.col("v2").alias("v"))
-        leaf = cur.where(~kind.startswith("OBJECT") & ~kind.startswith("ARRAY") & F.col("key").isNotNull())
-        leaves = leaf if leaves is None else leaves.unionByName(leaf)
-        cur = nxt
-    kind = F.schema_of_variant("v")
-    is_num = kind.isin("BIGINT", "DOUBLE", "FLOAT", "INT", "SMALLINT", "TINYINT") | kind.startswith("DECIMAL")
-    val = (F.when(is_num, F.col("v").cast("double").cast("long").cast("string"))
-           .when(kind == "STRING", F.col("v").cast("string")))
-    out = leaves.where(~kind.isin("BOOLEAN", "VOID")).select("_id", "key", val.alias("value"))
+    while True:
+        row = cur.select("_id", "key", F.parse_json("js").alias("v")).withColumn("kind", kind)
+        obj = F.when(F.col("kind").startswith("OBJECT"), F.map_entries(F.col("v").cast("map<string,variant>")))
+        arr = F.when(F.col("kind").startswith("ARRAY"), F.transform(
+            F.col("v").cast("array<variant>"), lambda x, i: F.struct(i.cast("string").alias("key"), x.alias("value"))))
+        leaf = F.when(~F.col("kind").startswith("OBJECT") & ~F.col("kind").startswith("ARRAY") & F.col("key").isNotNull(),
+                      F.array(F.struct(F.lit(None).cast("string").alias("key"), F.col("v").alias("value"))))
+        each = row.select("_id", "key", F.explode(F.coalesce(obj, arr, leaf)).alias("e"))
+        each = each.select("_id", F.when(F.col("e.key").isNull(), F.col("key")).when(
+            F.col("key").isNull(), F.col("e.key")).otherwise(F.concat_ws("-", "key", "e.key")).alias("key"),
+            F.col("e.value").alias("v")).withColumn("kind", kind)
+        is_num = F.col("kind").isin("BIGINT", "DOUBLE", "FLOAT", "INT", "SMALLINT", "TINYINT") | F.col(
+            "kind").startswith("DECIMAL")
+        deeper = F.col("kind").startswith("OBJECT") | F.col("kind").startswith("ARRAY")
+        level = materialize(each.where(~F.col("kind").isin("BOOLEAN", "VOID")).select(
+            "_id", "key", F.when(deeper, F.to_json("v")).alias("js"), deeper.alias("deeper"),
+            F.when(is_num, F.col("v").cast("double").cast("long").cast("string"))
+            .when(F.col("kind") == "STRING", F.col("v").cast("string")).alias("value")))
+        done = level.where(~F.col("deeper")).select("_id", "key", "value")
+        leaves = done if leaves is None else leaves.unionByName(done)
+        cur = level.where("deeper").select("_id", "key", "js")
+        if cur.isEmpty():
+            break
     ren = F.col("key")
     for old, new in K.FIELD_RENAMES.items():
         ren = F.when(F.col("key") == old, F.lit(new)).otherwise(ren)
-    return out.select(F.col("_id").alias(id_col), ren.alias("key"), "value")
+    return leaves.select(F.col("_id").alias(id_col), ren.alias("key"), "value")
 
 
 def scrape_text(content: Column) -> Column:
     """Decode UTF-8 (each malformed sequence becomes one space) and drop
     every character below 0x20 — ASCII stored as UTF-16LE survives."""
+    return strip_control(decoded(content))
+
+
+def decoded(content: Column) -> Column:
+    """Bytes as UTF-8 text; a malformed sequence becomes one space."""
     s = content.cast("string")
-    fixed = F.when(F.is_valid_utf8(s), s).otherwise(
-        F.regexp_replace(F.make_valid_utf8(s), "�", " "))
-    return strip_control(fixed)
+    return F.when(F.is_valid_utf8(s), s).otherwise(F.regexp_replace(F.make_valid_utf8(s), "�", " "))
 
 
 def extract_text(name: Column, content: Column) -> Column:
     """Text by type — HTML loses its markup, everything else is scraped."""
     ext = extension_of(name)
-    return F.when(ext.isin("html", "htm"), html_to_text(content.cast("string"))).otherwise(
+    return F.when(ext.isin("html", "htm"), html_to_text(decoded(content))).otherwise(
         scrape_text(content))
 
 
@@ -98,17 +112,18 @@ def to_documents(recs: DataFrame) -> DataFrame:
     columns of :func:`parse_metadata`."""
     base = recs.select("file_id", "slack_id", "path", "name", "modified", "created", "accessed",
                        "file_size", "slack_size", "content")
-    file_doc = base.select(
-        F.col("file_id").alias("ID"), "name", "path", extension_of(F.col("name")).alias("extension"),
-        F.col("file_size").alias("size"), "created", "modified", "accessed",
-        extract_text(F.col("name"), F.expr("substring(content, 1, file_size)")).alias("body"),
-        F.lit(False).alias("is_slack"))
-    slack_doc = base.where(F.col("slack_size") > 0).select(
-        F.col("slack_id").alias("ID"), F.concat("name", F.lit(":slack")).alias("name"), "path",
-        F.lit("").alias("extension"), F.col("slack_size").alias("size"), "created", "modified", "accessed",
-        scrape_text(F.expr("substring(content, file_size + 1, slack_size)")).alias("body"),
-        F.lit(True).alias("is_slack"))
-    docs = file_doc.unionByName(slack_doc)
+    def doc(id_, name, ext, size, body, slack):
+        return F.struct(F.col(id_).alias("ID"), name.alias("name"), "path", ext.alias("extension"),
+                        F.col(size).alias("size"), "created", "modified", "accessed", body.alias("body"),
+                        F.lit(slack).alias("is_slack"))
+
+    # one scan: a record is exploded to its file and, if it has any, its slack
+    file_doc = doc("file_id", F.col("name"), extension_of(F.col("name")), "file_size",
+                   extract_text(F.col("name"), F.expr("substring(content, 1, file_size)")), False)
+    slack_doc = doc("slack_id", F.concat("name", F.lit(":slack")), F.lit(""), "slack_size",
+                    scrape_text(F.expr("substring(content, file_size + 1, slack_size)")), True)
+    both = F.when(F.col("slack_size") > 0, F.array(file_doc, slack_doc)).otherwise(F.array(file_doc))
+    docs = base.select(F.explode(both).alias("d")).select("d.*")
     return docs.select("*", F.length("body").cast("long").alias("body_len"),
                        is_unallocated(F.col("path")).alias("is_unallocated"),
                        type_priority(F.col("extension")).alias("priority"))

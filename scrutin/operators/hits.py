@@ -22,7 +22,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
-from ..functions.text import SENTENCE_RE, TOKEN_OR_GAP_RE, TOKEN_START_RE, html_escape
+from ..functions.text import DOT_MASK, SENTENCE_END, SENTENCE_RE, TOKEN_DOT_RE, TOKEN_OR_GAP_RE
+from ..functions.text import TOKEN_START_RE, html_escape
 from ..functions.text import in_system_dir
 from ..session import bounded_broadcast, default_parallelism
 from . import query as Q
@@ -40,6 +41,7 @@ class QueryTermStats:
     index; the scalars are one aggregated row. ``terms`` is the literal term
     list, kept only when the set is small enough for literal expressions."""
     table: DataFrame
+    all_terms: DataFrame          # (term, term_chars) of all query terms
     n: int                        # |termSet| (all query terms)
     max_tfidf: float              # max of -ln(ttf/tokens)·ln(N/(1+df)), floor 0
     max_len: int                  # longest query term in UTF-8 bytes
@@ -66,24 +68,25 @@ def query_term_stats(ctx: Q.Context, qterms: DataFrame) -> QueryTermStats:
                  term_weight(F.col("ttf"), F.col("df"), tokens, num_docs).alias("tfidf")))
     rows = t.limit(LITERAL_TERMS_MAX + 1).collect()
     table = t.where(F.col("tfidf").isNotNull())
+    every = qterms.select("term", F.length("term").alias("term_chars"))
     if len(rows) <= LITERAL_TERMS_MAX:
         tf = [r["tfidf"] for r in rows if r["tfidf"] is not None]
         return QueryTermStats(
-            table, len(rows), max([0.0] + tf), max([0] + [int(r["term_len"]) for r in rows]),
+            table, every, len(rows), max([0.0] + tf), max([0] + [int(r["term_len"]) for r in rows]),
             sorted(r["term"] for r in rows), sorted(r["term"] for r in rows if r["tfidf"] is not None))
     agg = t.agg(F.count(F.lit(1)).alias("n"),
                 F.greatest(F.lit(0.0), F.coalesce(F.max("tfidf"), F.lit(0.0))).alias("max_tfidf"),
                 F.coalesce(F.max("term_len"), F.lit(0)).alias("max_len")).first()
-    return QueryTermStats(table, int(agg["n"]), float(agg["max_tfidf"]), int(agg["max_len"]), None, None)
+    return QueryTermStats(table, every, int(agg["n"]), float(agg["max_tfidf"]), int(agg["max_len"]), None, None)
 
 
 def sentence_chunk_pattern(chunk_chars: int) -> str:
-    """Lossless cut into pieces of at most ``chunk_chars`` characters that end
-    where a sentence ends (after a maximal run of terminators), so sentence
-    pieces never cross a chunk; a longer run without any terminator is cut at
-    the limit."""
-    c = chunk_chars
-    return rf"(?s).{{1,{c}}}\z|(?s).{{1,{c}}}[.!?\n](?![.!?\n])|(?s).{{1,{c}}}"
+    """Lossless cut into pieces of about ``chunk_chars`` characters that end
+    where a sentence ends (after a maximal run of terminators), so sentences
+    never cross a chunk; a longer run without any end is one piece up to the
+    end of its sentence."""
+    c, end = chunk_chars, SENTENCE_END + r"(?![.!?\n])"
+    return rf"(?s).{{1,{c}}}\z|(?s).{{1,{c}}}{end}|(?s).{{{c}}}.*?{end}|(?s).+"
 
 
 def sentence_chunks(docs: DataFrame, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
@@ -101,9 +104,15 @@ def sentences(chunks: DataFrame) -> DataFrame:
     w = Window.partitionBy("ID", "chunk").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
 
     def local(ch):
-        s = ch.select("ID", "chunk", F.posexplode(
-            F.regexp_extract_all("text", F.lit(SENTENCE_RE), 0)).alias("k", "sentence"))
-        return s.withColumn("le", F.sum(F.length("sentence")).over(w))
+        # the text itself goes along only where it already holds the mask
+        own = F.when(F.contains(F.col("text"), F.lit(DOT_MASK)), F.col("text"))
+        masked = F.regexp_replace("text", TOKEN_DOT_RE, DOT_MASK)
+        s = ch.select("ID", "chunk", own.alias("own"), F.posexplode(
+            F.regexp_extract_all(masked, F.lit(SENTENCE_RE), 0)).alias("k", "piece"))
+        s = s.withColumn("le", F.sum(F.length("piece")).over(w))
+        taken = F.substring("own", F.col("le") - F.length("piece") + 1, F.length("piece"))
+        return s.withColumn("sentence", F.when(F.col("own").isNull(), F.replace("piece", F.lit(DOT_MASK), F.lit(".")))
+                            .otherwise(taken)).drop("own", "piece")
 
     def out(base_chars, base_sents):
         return ["ID", "chunk", (base_sents + F.col("k")).cast("int").alias("s_idx"), "sentence",
@@ -301,12 +310,15 @@ def doc_features(docs: DataFrame, doc_stats: DataFrame, stats: QueryTermStats,
                             else F.array().cast("array<string>"),
                             lambda t: F.instr(full_path, t) > 1)
     else:
-        # a large expanded term set: exact containment test as a semi-join
-        # (broadcast nested loop over the counted term set)
-        qt = bounded_broadcast(stats.table.select("term"))
-        hit_ids = (d.select("ID", "path", "name").join(
-            qt, F.instr(F.concat(F.col("path"), F.col("name")), F.col("term")) > 1, "left_semi")
-            .select("ID").withColumn("_fi", F.lit(True)))
+        # a large expanded term set: the substrings of a path with the length
+        # of some term (paths are short) are joined with the terms by equality
+        lengths = sorted(r["term_chars"] for r in stats.all_terms.select("term_chars").distinct().collect())
+        subs = d.select("ID", F.concat("path", "name").alias("fp")).select(
+            "ID", "fp", F.explode(F.array(*[F.lit(n) for n in lengths])).alias("n")).where(F.col("n") < F.length("fp"))
+        subs = subs.select("ID", F.explode(F.transform(
+            F.sequence(F.lit(2), F.length("fp") - F.col("n") + 1), lambda i: F.substring("fp", i, F.col("n")))).alias("term"))
+        hit_ids = (subs.join(stats.all_terms, "term", "left_semi").select("ID").distinct()
+                   .withColumn("_fi", F.lit(True)))
         d = d.join(hit_ids, "ID", "left")
         indirect = F.coalesce(F.col("_fi"), F.lit(False))
     low = F.lower("extension")
@@ -399,10 +411,6 @@ def rank_hits(ctx: Q.Context, q: Q.Clause, ref_date_ms: int,
     return normalize(raw)
 
 
-HIT_COLUMNS = ("ID", "score", "name", "passage", "start", "end", "path", "extension", "size",
-               "modified", "accessed", "created", "cell", "som_cell_distance")
-
-
 def hits_view(hits: DataFrame, docs: DataFrame, assignments: DataFrame | None) -> DataFrame:
     """F27/F28 row shape: ID, score, name, passage, start, end, path,
     extension, size, times (ms), cell, distance."""

@@ -35,9 +35,15 @@ class Context:
     index: object
     assignments: DataFrame | None = None
     quantized_norm: bool = False
+    stops: frozenset | None = None     # default: the default stop list
     _num_docs: int | None = None
     _df_cache: dict = field(default_factory=dict)
 
+    def __post_init__(self):
+        if self.stops is None:
+            from ..sources.stoplist import default_stop_terms
+            self.stops = frozenset(t.lower() for t in default_stop_terms())
+
     @property
     def num_docs(self) -> int:
         if self._num_docs is None:
@@ -73,13 +79,12 @@ class Context:
         return length_norm(length, self.quantized_norm)
 
 
-def analyze(text: str) -> list[str]:
-    """Analyse query text the way bodies are analysed (lower-case tokens)."""
-    return re.findall(_PY_TOKEN_RE, text.lower())
-
-
-# Python's ``regex``-free equivalent of TOKEN_RE for short query strings.
-_PY_TOKEN_RE = r"[^\W]+(?:['’.][^\W]+)*"
+def analyze(text: str, stops: frozenset[str] = frozenset()) -> list[tuple[str, int]]:
+    """Query text analysed the way bodies are: ``(term, position)`` of its
+    lower-cased tokens, stop words left out with their positions kept."""
+    import regex  # the body pattern as it is; the standard module lacks its classes
+    found = enumerate(regex.findall(TOKEN_RE, text.lower()))
+    return [(t, i) for i, t in found if t not in stops]
 
 
 # ----------------------------------------------------------------- clauses
@@ -100,6 +105,10 @@ class Clause:
     def matches(self, ctx: Context) -> DataFrame:
         return self.scores(ctx, 1.0).select("ID")
 
+    def analyzed(self, ctx: Context) -> Clause:
+        """The clause with its text analysed like bodies."""
+        return self
+
     def __or__(self, other):
         return Bool(should=[self, other])
 
@@ -129,11 +138,32 @@ class MatchAll(Clause):
         return ctx.index.docs.select("ID", F.lit(self.boost * qnorm).alias("score"))
 
 
+@dataclass
+class NoMatch(Clause):
+    """What query text without any term (stop words only) stands for."""
+
+    def sum_sq(self, ctx):
+        return 0.0
+
+    def scores(self, ctx, qnorm):
+        return ctx.index.docs.select("ID", F.lit(0.0).alias("score")).where(F.lit(False))
+
+
 @dataclass
 class Term(Clause):
-    """One analysed term on ``body``."""
+    """A word on ``body``, analysed unless ``analyze=False``; text of
+    several words stands for their phrase."""
     term: str
     boost: float = 1.0
+    analyze: bool = True
+
+    def analyzed(self, ctx):
+        if not self.analyze:
+            return self
+        got = analyze(self.term, ctx.stops)
+        if len(got) == 1:
+            return Term(got[0][0], self.boost, analyze=False)
+        return _phrase(got, 0, self.boost)
 
     def sum_sq(self, ctx):
         return (ctx.idf(ctx.doc_freqs([self.term])[self.term]) * self.boost) ** 2
@@ -152,6 +182,18 @@ class Terms(Clause):
     terms: list[str]
     boosts: list[float] | None = None
     boost: float = 1.0
+    analyze: bool = True
+
+    def analyzed(self, ctx):
+        if not self.analyze:
+            return self
+        parts = [(Term(t, b).analyzed(ctx)) for t, b in zip(self.terms, self.boosts or [1.0] * len(self.terms))]
+        parts = [p for p in parts if not isinstance(p, NoMatch)]
+        if not parts:
+            return NoMatch()
+        if all(isinstance(p, Term) for p in parts) and len({p.term for p in parts}) == len(parts):
+            return Terms([p.term for p in parts], [p.boost for p in parts], self.boost, analyze=False)
+        return Bool(should=parts, boost=self.boost)
 
     def _weights(self, ctx):
         bs = self.boosts or [1.0] * len(self.terms)
@@ -226,6 +268,10 @@ class Boost(Clause):
     inner: Clause
     boost: float = 1.0
 
+    def analyzed(self, ctx):
+        inner = self.inner.analyzed(ctx)
+        return inner if isinstance(inner, NoMatch) else Boost(inner, self.boost)
+
     def sum_sq(self, ctx):
         return self.inner.sum_sq(ctx) * self.boost ** 2
 
@@ -244,6 +290,12 @@ class Bool(Clause):
     must_not: list = field(default_factory=list)
     boost: float = 1.0
 
+    def analyzed(self, ctx):
+        """Clauses without any term are left out, as if not written."""
+        kept = [[c for c in (x.analyzed(ctx) for x in part) if not isinstance(c, NoMatch)]
+                for part in (self.must, self.should, self.must_not)]
+        return Bool(*kept, boost=self.boost) if kept[0] or kept[1] else NoMatch()
+
     def sum_sq(self, ctx):
         return sum(c.sum_sq(ctx) for c in self.must + self.should) * self.boost ** 2
 
@@ -295,11 +347,21 @@ def AndNot(q, *prohibited) -> Bool:
 @dataclass
 class Phrase(Clause):
     """Terms at consecutive positions; with ``slop`` > 0 a sloppy
-    phrase. Positions are matched by equi-joins on (ID, pos) — a self-join
+    phrase. ``terms`` are analysed unless ``analyze=False``; stop words drop
+    out and leave a gap. ``offsets`` are the terms' places in the phrase
+    (0, 1, 2 … by default). Positions are matched by equi-joins on (ID, pos) — a self-join
     of the phrase terms' postings, never a pairing of all positions."""
     terms: list[str]
     slop: int = 0
     boost: float = 1.0
+    offsets: list[int] | None = None
+    analyze: bool = True
+
+    def analyzed(self, ctx):
+        return _phrase(analyze(" ".join(self.terms), ctx.stops), self.slop, self.boost) if self.analyze else self
+
+    def _places(self) -> list[tuple[str, int]]:
+        return list(zip(self.terms, self.offsets or range(len(self.terms))))
 
     def _idf(self, ctx):
         dfs = ctx.doc_freqs(self.terms)
@@ -315,11 +377,11 @@ class Phrase(Clause):
         first = p.where(F.col("term") == self.terms[0]).select("ID", F.col("pos").alias("p0"))
         if self.slop == 0:
             cur = first
-            for k, t in enumerate(self.terms[1:], start=1):
+            for t, k in self._places()[1:]:
                 nxt = p.where(F.col("term") == t).select("ID", (F.col("pos") - k).alias("p0"))
                 cur = cur.join(nxt, ["ID", "p0"], "left_semi")
             return cur.select("ID", F.col("p0").alias("pos"), F.lit(1.0).alias("freq"))
-        return _sloppy(p, self.terms, self.slop)
+        return _sloppy(p, self._places(), self.slop)
 
     def scores(self, ctx, qnorm):
         idf = self._idf(ctx)
@@ -333,7 +395,14 @@ class Phrase(Clause):
         return _terms_df(ctx, self.terms)
 
 
-def _sloppy(p: DataFrame, terms: list[str], slop: int) -> DataFrame:
+def _phrase(found: list[tuple[str, int]], slop: int, boost: float) -> Clause:
+    """The phrase of analysed ``(term, position)`` pairs."""
+    if not found:
+        return NoMatch()
+    return Phrase([t for t, _ in found], slop, boost, [i - found[0][1] for _, i in found], analyze=False)
+
+
+def _sloppy(p: DataFrame, places: list[tuple[str, int]], slop: int) -> DataFrame:
     """Sloppy phrase: term ``k`` at position ``pos_k`` has phrase position
     ``pos_k - k``; an occurrence (anchored at a first-term position) matches
     when the phrase positions span at most ``slop`` (so two reversed
@@ -343,10 +412,10 @@ def _sloppy(p: DataFrame, terms: list[str], slop: int) -> DataFrame:
     each candidate is copied to its neighbouring bins (three copies, fixed).
     """
     width = slop + 1
-    cur = (p.where(F.col("term") == terms[0])
+    cur = (p.where(F.col("term") == places[0][0])
            .select("ID", F.col("pos").alias("p0"))
            .withColumn("lo", F.col("p0")).withColumn("hi", F.col("p0")))
-    for k, t in enumerate(terms[1:], start=1):
+    for t, k in places[1:]:
         cand = (p.where(F.col("term") == t)
                 .select("ID", (F.col("pos") - k).alias("pk"))
                 .withColumn("bin", F.floor(F.col("pk") / width))
@@ -355,7 +424,8 @@ def _sloppy(p: DataFrame, terms: list[str], slop: int) -> DataFrame:
         cur = (cur.withColumn("bin", F.floor(F.col("p0") / width))
                .join(cand, ["ID", "bin"])
                .select("ID", "p0", F.least("lo", "pk").alias("lo"), F.greatest("hi", "pk").alias("hi"))
-               .where(F.col("hi") - F.col("lo") <= slop))
+               .where(F.col("hi") - F.col("lo") <= slop)
+               .distinct())  # one row per span: combinations do not multiply from term to term
     best = cur.groupBy("ID", "p0").agg(F.min(F.col("hi") - F.col("lo")).alias("span"))
     return best.select("ID", F.col("p0").alias("pos"), (1.0 / (F.col("span") + 1.0)).alias("freq"))
 
@@ -405,6 +475,9 @@ class Prefix(_DictClause):
     """Terms starting with ``prefix``."""
     prefix: str = ""
 
+    def analyzed(self, ctx):
+        return Prefix(self.boost, self.prefix.lower())
+
     def predicate(self):
         return F.col("term").startswith(self.prefix)
 
@@ -417,6 +490,9 @@ class Wildcard(_DictClause):
     """``*`` any run, ``?`` one character, whole term."""
     pattern: str = ""
 
+    def analyzed(self, ctx):
+        return Wildcard(self.boost, self.pattern.lower())
+
     def predicate(self):
         return F.col("term").rlike(wildcard_regex(self.pattern))
 
@@ -437,8 +513,13 @@ class Fuzzy(_DictClause):
     term: str = ""
     max_edits: int = 2
 
+    def analyzed(self, ctx):
+        return Fuzzy(self.boost, self.term.lower(), self.max_edits)
+
     def predicate(self):
-        return F.levenshtein(F.col("term"), F.lit(self.term)) <= self.max_edits
+        # lengths first; the bounded distance is -1 beyond the limit
+        return ((F.abs(F.length("term") - F.lit(len(self.term))) <= self.max_edits)
+                & (F.levenshtein(F.col("term"), F.lit(self.term), self.max_edits) >= 0))
 
 
 @dataclass
@@ -479,8 +560,7 @@ class Range(Clause):
 
 def evaluate(ctx: Context, q: Clause | None) -> DataFrame:
     """Run a query: (ID, score). ``None`` or an empty query matches all."""
-    if q is None:
-        q = MatchAll()
+    q = MatchAll() if q is None else q.analyzed(ctx)
     ss = q.sum_sq(ctx)
     qnorm = 1.0 / math.sqrt(ss) if ss > 0 else 1.0
     return q.scores(ctx, qnorm)
@@ -488,7 +568,7 @@ def evaluate(ctx: Context, q: Clause | None) -> DataFrame:
 
 def query_terms(ctx: Context, q: Clause | None) -> DataFrame:
     """distinct body terms of the non-prohibited clauses."""
-    got = q.body_terms(ctx) if q is not None else None
+    got = q.analyzed(ctx).body_terms(ctx) if q is not None else None
     if got is None:
         return literal_frame(ctx.index.spark, [], "term")
     return got.distinct()

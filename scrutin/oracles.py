@@ -5,7 +5,11 @@ and prefixed to each oracle."""
 from __future__ import annotations
 
 from .functions import constants as K
-from .functions.text import SENTENCE_RE, TOKEN_OR_GAP_RE, TOKEN_RE
+
+# the oracles' own patterns (not those of the code under test)
+TOKEN_RE = r"[\p{L}\p{M}\p{N}_]+(?:['’.][\p{L}\p{M}\p{N}_]+)*"
+TOKEN_OR_GAP_RE = TOKEN_RE + r"|[^\p{L}\p{M}\p{N}_]+"
+SENTENCE_RE = r"[^.!?\n]*[.!?\n]+|[^.!?\n]+"
 
 
 def q(s: str) -> str:
@@ -13,6 +17,14 @@ def q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
+def sentences(body: str) -> str:
+    """Sentences of a text: dots between word characters (found by two plain
+    replaces, as one may begin where another ends) are hidden from the split."""
+    once = r"regexp_replace({}, '([\p{{L}}\p{{M}}\p{{N}}_])\.([\p{{L}}\p{{M}}\p{{N}}_])', '\1' || chr(57344) || '\2', 'g')"
+    masked = once.format(once.format(body))
+    return f"[replace(x, chr(57344), '.') FOR x IN regexp_extract_all({masked}, {q(SENTENCE_RE)})]"
+
+
 def sql_list(items) -> str:
     return "[" + ", ".join(q(i) for i in items) + "]"
 
@@ -270,6 +282,54 @@ SELECT parts.ID, round(SUM(s) / sqrt(MAX(ds.len)) * MAX(qn.qnorm) * COUNT(*) / 2
 FROM parts JOIN ds USING (ID) CROSS JOIN qn GROUP BY parts.ID""")
 
 
+def _or2(extra: str = "") -> str:
+    """Scores of ``from OR des``."""
+    return base(f""",{idf_cte('i1', 'from')}, {idf_cte('i2', 'des')},
+qn AS (SELECT 1 / sqrt(i1.idf * i1.idf + i2.idf * i2.idf) AS qnorm FROM i1, i2),
+parts AS (SELECT dt.ID, sqrt(tf) * CASE dt.term WHEN 'from' THEN i1.idf * i1.idf ELSE i2.idf * i2.idf END AS s
+          FROM dt CROSS JOIN i1 CROSS JOIN i2 WHERE dt.term IN ('from', 'des'))
+SELECT parts.ID, round(SUM(s) / sqrt(MAX(ds.len)) * MAX(qn.qnorm) * COUNT(*) / 2.0, 6) AS score
+FROM parts JOIN ds USING (ID) CROSS JOIN qn {extra} GROUP BY parts.ID""")
+
+
+@oracle("d2_term_analyzed")
+def _d2_analyzed():
+    return _d2()
+
+
+@oracle("d4_or_analyzed")
+def _d4_analyzed():
+    return _or2()
+
+
+@oracle("d7_nested_scores")
+def _d7_scores():
+    return _or2("WHERE parts.ID NOT IN (SELECT ID FROM dt WHERE term = 'tion')")
+
+
+@oracle("d8_phrase_analyzed")
+def _d8_analyzed():
+    return base(f""",{idf_cte('i1', 'attion')}, {idf_cte('i2', 'thanedble')},
+f AS (SELECT a.ID, COUNT(*) AS freq FROM tok a JOIN tok b ON a.ID = b.ID AND b.pos = a.pos + 2
+      WHERE a.term = 'attion' AND b.term = 'thanedble' GROUP BY a.ID)
+SELECT f.ID, round(sqrt(freq) * (i1.idf + i2.idf) / sqrt(ds.len), 6) AS score
+FROM f JOIN ds USING (ID) CROSS JOIN i1 CROSS JOIN i2""")
+
+
+@oracle("d10_prefix_scores")
+def _d10_scores():
+    return base("SELECT DISTINCT ID, CAST(1.0 AS DOUBLE) AS score FROM dt WHERE starts_with(term, 'tion')")
+
+
+@oracle("d12_fuzzy_scores")
+def _d12_scores():
+    return base(f""",{idf_cte('i1', 'des')}, qn AS (SELECT 1 / sqrt(1 + i1.idf * i1.idf) AS qnorm FROM i1),
+parts AS (SELECT DISTINCT dt.ID, CAST(1.0 AS DOUBLE) AS s FROM dt WHERE levenshtein(term, 'eriner') <= 1
+          UNION ALL SELECT dt.ID, sqrt(tf) * i1.idf * i1.idf / sqrt(ds.len) AS s
+          FROM dt JOIN ds USING (ID) CROSS JOIN i1 WHERE dt.term = 'des')
+SELECT ID, round(SUM(s) * MAX(qnorm) * COUNT(*) / 2.0, 6) AS score FROM parts CROSS JOIN qn GROUP BY ID""")
+
+
 # ------------------------------------------------------------ E: ranking
 
 def flagship_scores() -> list[str]:
@@ -327,7 +387,7 @@ def _isin(col: str, items) -> str:
     return f"{col} IN (" + ", ".join(q(i) for i in items) + ")"
 
 
-def hits_ctes(terms: list[str], ref_ms: int = 1400000000000) -> list[str]:
+def hits_ctes(terms: list[str] | str, ref_ms: int = 1400000000000) -> list[str]:
     tok_start = q("^[\\p{L}\\p{M}\\p{N}_]")
     feats_a = " + ".join(f"{f} * ({w!r})" for f, w in zip(
         ["f_" + x for x in K.HIT_FEATURES], K.ALLOCATED_WEIGHTS))
@@ -343,7 +403,7 @@ def hits_ctes(terms: list[str], ref_ms: int = 1400000000000) -> list[str]:
                 f"ELSE 0.0 END")
 
     low = "lower(ev.extension)"
-    return [EVIDENCE, TOKENS, DOC_TERMS, f"""qt AS (SELECT DISTINCT unnest({sql_list(terms)}) AS term),
+    return [EVIDENCE, TOKENS, DOC_TERMS, f"""qt AS ({terms if isinstance(terms, str) else f'SELECT DISTINCT unnest({sql_list(terms)}) AS term'}),
 corp AS (SELECT (SELECT n FROM nd) AS n, (SELECT SUM(ttf) FROM ts) AS tokens),
 qs AS (SELECT qt.term, CAST(strlen(qt.term) AS INTEGER) AS term_len,
               CASE WHEN ts.ttf > 0 THEN -ln(ts.ttf / corp.tokens) * ln(corp.n / (1.0 + ts.df)) END AS tfidf
@@ -352,7 +412,7 @@ qagg AS (SELECT COUNT(*) AS nq, greatest(0.0, COALESCE(MAX(tfidf), 0.0)) AS max_
                 COALESCE(MAX(term_len), 0) AS max_len FROM qs),
 res AS (SELECT DISTINCT ID FROM dt WHERE term IN (SELECT term FROM qt)),
 sent0 AS (SELECT ID, unnest(a) AS sentence, generate_subscripts(a, 1) - 1 AS s_idx
-          FROM (SELECT ID, regexp_extract_all(body, {q(SENTENCE_RE)}) AS a
+          FROM (SELECT ID, {sentences("body")} AS a
                 FROM ev WHERE ID IN (SELECT ID FROM res))),
 sent AS (SELECT *, CAST(SUM(length(sentence)) OVER (PARTITION BY ID ORDER BY s_idx ROWS UNBOUNDED PRECEDING) AS BIGINT) AS s_end
          FROM sent0),
@@ -429,7 +489,7 @@ def _r(cols):
 @oracle("f1_sentences")
 def _f1():
     return with_ctes(EVIDENCE, f"""sent0 AS (SELECT ID, unnest(a) AS sentence, generate_subscripts(a, 1) - 1 AS s_idx
-          FROM (SELECT ID, regexp_extract_all(body, {q(SENTENCE_RE)}) AS a FROM ev)),
+          FROM (SELECT ID, {sentences("body")} AS a FROM ev)),
 sent AS (SELECT *, CAST(SUM(length(sentence)) OVER (PARTITION BY ID ORDER BY s_idx ROWS UNBOUNDED PRECEDING) AS BIGINT) AS s_end
          FROM sent0)""", body="""SELECT ID, CAST(s_idx AS INTEGER) AS s_idx,
        CAST(s_end - length(sentence) AS BIGINT) AS s_start, CAST(s_end AS BIGINT) AS s_end FROM sent""")
@@ -446,6 +506,15 @@ def _f2():
                      "CAST(last_match AS BIGINT) AS last_match FROM ps")
 
 
+@oracle("f2_dotted_hits")
+def _f2_dotted():
+    terms = "SELECT term FROM ts WHERE regexp_full_match(term, '[a-z0-9]+\\.example\\.com')"
+    return with_ctes(*hits_ctes(terms), body="""
+SELECT b4.ID, CAST(s_idx AS INTEGER) AS s_idx, CAST(s_start AS BIGINT) AS s_start, CAST(s_end AS BIGINT) AS s_end,
+       CAST(first_match AS BIGINT) AS first_match, array_to_string(terms, ' ') AS terms,
+       CAST((SELECT SUM(tf) FROM dt WHERE dt.ID = b4.ID AND dt.term IN (SELECT term FROM qt)) AS BIGINT) AS dot FROM b4""")
+
+
 @oracle("f3_term_sets")
 def _f3():
     return _hits_sql("SELECT ID, CAST(s_idx AS INTEGER) AS s_idx, array_to_string(terms, ' ') AS terms FROM ps")
