@@ -148,7 +148,19 @@ def q_e4_keyset_page(spark, sf_dir):
 
 def q_e6_files_view(spark, sf_dir):
     ctx, res = _flagship(spark, sf_dir)
-    return R.files_view(res, ctx.index.docs, None, start=0, length=20)
+    return R.files_view(res, ctx.index.docs, _rounded_map(spark, sf_dir), start=0, length=20,
+                        bookmarked=_bookmarks(spark, sf_dir))
+
+
+def _rounded_map(spark, sf_dir):
+    a = _cluster(spark, sf_dir)[1].assignments
+    return a.withColumn("som_cell_distance", r6(F.col("som_cell_distance")))
+
+
+def q_e5_needed_fields(spark, sf_dir):
+    """Displayed fields of every result, bodies unread."""
+    ctx, res = _flagship(spark, sf_dir)
+    return R.with_fields(res, ctx.index.docs, None).select("ID", "score", "name", "size")
 
 
 def q_e7_result_page(spark, sf_dir):
@@ -249,7 +261,7 @@ def q_f26_normalized(spark, sf_dir):
 def q_f27_f28_hits_page(spark, sf_dir):
     from .operators import hits as H
     ctx, _, h = _hit_parts(spark, sf_dir)
-    view = H.hits_view(h.withColumn("score", r6(F.col("score"))), ctx.index.docs, None)
+    view = H.hits_view(h.withColumn("score", r6(F.col("score"))), ctx.index.docs, _rounded_map(spark, sf_dir))
     return H.ranked_hits(view).limit(20)
 
 
@@ -423,13 +435,20 @@ def q_g24_cell_info(spark, sf_dir):
     return ci.withColumn("std_dev", r6(F.col("std_dev"))).withColumn("ssd", r6(F.col("ssd")))
 
 
-def q_g25_saturation(spark, sf_dir):
+def _cell_colors(spark, sf_dir):
+    from .operators import cellmap as C
     cr = _cluster(spark, sf_dir)[1]
     st = cr.stats()
     mx = st.agg(F.max("std_dev")).first()[0] or 0.0
-    # −100·(std − max)/max written as 100·(max − std)/max (no negative zero)
-    sat = F.lit(100.0) * (F.lit(mx) - F.col("std_dev")) / F.lit(mx) if mx else F.lit(None).cast("double")
-    return st.select("cell", r6(sat).alias("saturation"))
+    return C.cell_colors(st, cr.regions(), q_g20_region_colors(spark, sf_dir), mx)
+
+
+def q_g25_saturation(spark, sf_dir):
+    return _cell_colors(spark, sf_dir).select("cell", r6(F.col("saturation")).alias("saturation"))
+
+
+def q_g25_hue(spark, sf_dir):
+    return _cell_colors(spark, sf_dir).select("cell", "hue")
 
 
 def q_g26_luminance(spark, sf_dir):
@@ -591,11 +610,9 @@ def q_b16_ingest_counters(spark, sf_dir):
 
 
 def q_b17_display_times(spark, sf_dir):
-    d = _docs(spark, sf_dir)
-    fmt = "yyyy-MM-dd HH:mm:ss"
-    return d.select("ID", (F.col("modified") * 1000).alias("modified_ms"),
-                    F.date_format(F.to_utc_timestamp(F.timestamp_seconds("modified"), F.current_timezone()),
-                                  fmt).alias("modified_str"))
+    from .operators import docs as D
+    return D.display_times(_docs(spark, sf_dir), zone="UTC").select(
+        "ID", *[f"{c}_{k}" for c in ("modified", "accessed", "created") for k in ("ms", "str")])
 
 
 # ------------------------------------------------------------ A: sources and sinks
@@ -611,7 +628,7 @@ def _dump_dir(spark, sf_dir):
     from .plans.index import _BUILD_LOCK
     with _BUILD_LOCK:
         if not os.path.exists(os.path.join(path, "_DONE")):
-            write_dump(_records(spark, sf_dir).repartition(4), path).collect()
+            write_dump(_records(spark, sf_dir), path).collect()
             open(os.path.join(path, "_DONE"), "w").close()
     return path
 
@@ -700,13 +717,13 @@ def _bookmarks(spark, sf_dir):
 def q_a10_document_csv(spark, sf_dir):
     from .operators import export as X
     ctx, res = _flagship(spark, sf_dir)
-    return X.document_rows(R.with_fields(res, ctx.index.docs, None), _bookmarks(spark, sf_dir))
+    return X.document_rows(R.with_fields(res, ctx.index.docs, _rounded_map(spark, sf_dir)), _bookmarks(spark, sf_dir))
 
 
 def _hits_view(spark, sf_dir):
     from .operators import hits as H
     ctx, _, h = _hit_parts(spark, sf_dir)
-    return H.hits_view(h.withColumn("score", r6(F.col("score"))), ctx.index.docs, None)
+    return H.hits_view(h.withColumn("score", r6(F.col("score"))), ctx.index.docs, _rounded_map(spark, sf_dir))
 
 
 def q_a11_hit_csv(spark, sf_dir):
@@ -788,7 +805,7 @@ def q_i1_streaming_ingest(spark, sf_dir):
     from .sources.stoplist import stop_list
     from .streaming.ingest import start_ingest, streamed_term_stats
     run = scratch_path(spark, "stream", uuid.uuid4().hex[:12])
-    _records(spark, sf_dir).repartition(4).write.parquet(f"{run}/landing")
+    _records(spark, sf_dir).write.parquet(f"{run}/landing")
     q = start_ingest(spark, f"{run}/landing", f"{run}/index", f"{run}/checkpoint", stop_list(spark))
     q.awaitTermination()
     return streamed_term_stats(spark, f"{run}/index")
@@ -832,6 +849,7 @@ QUERIES = {
     "e3_top20": q_e3_top20,
     "e4_page": q_e4_page,
     "e4_keyset_page": q_e4_keyset_page,
+    "e5_needed_fields": q_e5_needed_fields,
     "e6_files_view": q_e6_files_view,
     "e7_result_page": q_e7_result_page,
     "f1_sentences": q_f1_sentences,
@@ -870,6 +888,7 @@ QUERIES = {
     "g23_map_summary": q_g23_map_summary,
     "g24_cell_info": q_g24_cell_info,
     "g25_saturation": q_g25_saturation,
+    "g25_hue": q_g25_hue,
     "g26_luminance": q_g26_luminance,
     "g27_result_distribution": q_g27_result_distribution,
     "g28_cell_members": q_g28_cell_members,

@@ -56,7 +56,6 @@ SOM_DEFAULTS = dict(random_seed=17, doc_freq_threshold_high=0.66, doc_freq_thres
                     max_neighbor_radius=30, min_neighbor_radius=1, max_alpha=0.05, min_alpha=0.01,
                     num_som_iterations=5, num_top_cell_terms=20)
 NUM_REGION_COLORS = 9
-REGION_COLOR_SEED = 29
 
 HIGHLIGHT_OPEN = '<span class="secondarycolorbg">'
 HIGHLIGHT_CLOSE = "</span>"

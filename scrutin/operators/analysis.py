@@ -41,12 +41,6 @@ def by_document(docs: DataFrame, num_partitions: int | None = None,
     return ch.repartition(n, "ID", "chunk")
 
 
-def by_id(docs: DataFrame, num_partitions: int | None = None) -> DataFrame:
-    """Whole documents hash-partitioned by ID (for per-document windows)."""
-    n = num_partitions or default_parallelism(docs.sparkSession)
-    return docs.repartition(n, "ID")
-
-
 CHUNK_GROUP = 4096
 
 

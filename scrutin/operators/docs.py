@@ -149,10 +149,14 @@ def ingest_counters(records: DataFrame) -> DataFrame:
         F.sum(F.octet_length("content")).cast("long").alias("file_bytes_read"))
 
 
-def display_times(docs: DataFrame) -> DataFrame:
-    """Seconds → milliseconds and date strings (session time zone)."""
+def display_times(docs: DataFrame, zone: str | None = None) -> DataFrame:
+    """Seconds → milliseconds and date strings, in ``zone`` (default: the
+    session's time zone)."""
     out = docs
     for c in ("modified", "accessed", "created"):
+        t = F.timestamp_seconds(c)
+        if zone:
+            t = F.convert_timezone(F.current_timezone(), F.lit(zone), t.cast("timestamp_ntz"))
         out = out.withColumn(f"{c}_ms", F.col(c) * 1000).withColumn(
-            f"{c}_str", F.date_format(F.timestamp_seconds(c), "yyyy-MM-dd HH:mm:ss"))
+            f"{c}_str", F.date_format(t, "yyyy-MM-dd HH:mm:ss"))
     return out

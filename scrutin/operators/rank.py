@@ -71,10 +71,6 @@ def page_after(results: DataFrame, last_score: float, last_id: str, n: int) -> D
     return ranked(results.where(after)).limit(n)
 
 
-FILES_VIEW = ("ID", "score", "name", "path", "extension", "size", "modified", "accessed",
-              "created", "cell", "som_cell_distance")
-
-
 def with_fields(results: DataFrame, docs: DataFrame, assignments: DataFrame | None) -> DataFrame:
     """E5/H9: attach the displayed document fields (no body) and the SOM
     side (left join on ID; cell stays null when no map was trained)."""

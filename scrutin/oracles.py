@@ -88,11 +88,12 @@ FLAGSHIP = ["from", "tion", "des"]
 PHRASE = ["anea", "eriner"]
 
 ORACLE_SQL: dict[str, str] = {}
+_LATER = {}  # built at the end of the module, when all parts are defined
 
 
 def oracle(name):
     def deco(fn):
-        ORACLE_SQL[name] = fn()
+        _LATER[name] = fn
         return fn
     return deco
 
@@ -330,6 +331,16 @@ parts AS (SELECT DISTINCT dt.ID, CAST(1.0 AS DOUBLE) AS s FROM dt WHERE levensht
 SELECT ID, round(SUM(s) * MAX(qnorm) * COUNT(*) / 2.0, 6) AS score FROM parts CROSS JOIN qn GROUP BY ID""")
 
 
+BOOKMARKS = """bm AS (SELECT 'note ' || CAST(k AS VARCHAR) AS Comment, CAST(1500000000000 + k * 1000 AS BIGINT) AS Created, ev.ID
+       FROM ev, (VALUES (0), (1), (2), (3), (4), (25)) t(k)
+       WHERE (CAST(ev.ID AS BIGINT) // 2) % 25 = k % 25)"""
+
+
+def merged(*lists: list[str]) -> list[str]:
+    """CTE lists in order, shared ones once."""
+    return list(dict.fromkeys(x for part in lists for x in part))
+
+
 # ------------------------------------------------------------ E: ranking
 
 def flagship_scores() -> list[str]:
@@ -348,16 +359,20 @@ def _e4():
                      body="SELECT ID, score FROM r ORDER BY score DESC, CAST(ID AS BIGINT) LIMIT 20 OFFSET 10")
 
 
-ORACLE_SQL["e4_keyset_page"] = ORACLE_SQL["e4_page"]
 
 
 @oracle("e6_files_view")
 def _e6():
-    return with_ctes(*flagship_scores(), body="""
-SELECT false AS selected, p.ID, p.score, ev.name, ev.path, ev.extension, ev.size,
+    return with_ctes(*merged(flagship_scores(), som_ctes(), [BOOKMARKS]), body="""
+SELECT p.ID IN (SELECT ID FROM bm) AS selected, p.ID, p.score, ev.name, ev.path, ev.extension, ev.size,
        ev.modified * 1000 AS modified_ms, ev.accessed * 1000 AS accessed_ms, ev.created * 1000 AS created_ms,
-       CAST(NULL AS VARCHAR) AS cell, CAST(NULL AS DOUBLE) AS som_cell_distance
-FROM (SELECT * FROM r ORDER BY score DESC, CAST(ID AS BIGINT) LIMIT 20) p JOIN ev USING (ID)""")
+       fin.cell, round(fin.som_cell_distance, 6) AS som_cell_distance
+FROM (SELECT * FROM r ORDER BY score DESC, CAST(ID AS BIGINT) LIMIT 20) p JOIN ev USING (ID) JOIN fin USING (ID)""")
+
+
+@oracle("e5_needed_fields")
+def _e5():
+    return with_ctes(*flagship_scores(), body="SELECT r.ID, r.score, ev.name, ev.size FROM r JOIN ev USING (ID)")
 
 
 @oracle("e7_result_page")
@@ -566,11 +581,11 @@ def _f26():
 
 @oracle("f27_f28_hits_page")
 def _f27():
-    return _hits_sql("""SELECT h.ID, round(h.score, 6) AS score, ev.name, h.snippet AS passage,
+    return with_ctes(*merged(hits_ctes(FLAGSHIP), som_ctes()), body="""SELECT h.ID, round(h.score, 6) AS score, ev.name, h.snippet AS passage,
        CAST(h.s_start AS BIGINT) AS start, CAST(h.s_end AS BIGINT) AS "end", ev.path, ev.extension, ev.size,
        ev.modified * 1000 AS modified, ev.accessed * 1000 AS accessed, ev.created * 1000 AS created,
-       CAST(NULL AS VARCHAR) AS cell, CAST(NULL AS DOUBLE) AS som_cell_distance
-FROM hits h JOIN ev USING (ID)
+       fin.cell, round(fin.som_cell_distance, 6) AS som_cell_distance
+FROM hits h JOIN ev USING (ID) JOIN fin USING (ID)
 ORDER BY round(h.score, 6) DESC, CAST(h.ID AS BIGINT), h.s_start LIMIT 20""")
 
 
@@ -804,6 +819,30 @@ def _g25():
 FROM stats2, (SELECT MAX(std_dev) AS mx FROM stats2) m""")
 
 
+COLORS = """nreg AS (SELECT COUNT(DISTINCT region) AS n FROM regs),
+adjl AS (SELECT t.r AS region, list(adj.other) FILTER (WHERE adj.other < t.r) AS others
+         FROM (SELECT unnest(range(0, (SELECT n FROM nreg))) AS r) t LEFT JOIN adj ON adj.region = t.r GROUP BY t.r),
+painted AS (SELECT 0 AS region, [0] AS cols
+            UNION ALL SELECT a.region, list_append(p.cols, COALESCE(
+                [c FOR c IN range(9) IF NOT list_contains([p.cols[o + 1] FOR o IN COALESCE(a.others, [])], c)][1], a.region % 9))
+            FROM painted p JOIN adjl a ON a.region = p.region + 1),
+colored AS (SELECT region, CAST(cols[region + 1] AS INTEGER) AS color FROM painted)"""
+
+
+def _colored(body: str) -> str:
+    return "WITH RECURSIVE " + ",\n".join([*som_ctes(), COLORS]) + "\n" + body
+
+
+@oracle("g20_region_colors")
+def _g20():
+    return _colored("SELECT CAST(region AS INTEGER) AS region, color FROM colored")
+
+
+@oracle("g25_hue")
+def _g25_hue():
+    return _colored("SELECT cell, color * 40 AS hue FROM regs JOIN colored USING (region)")
+
+
 @oracle("g26_luminance")
 def _g26():
     return _som("""SELECT DISTINCT num, round(CASE WHEN num = 0 THEN 100.0
@@ -978,8 +1017,9 @@ def _b16():
 
 @oracle("b17_display_times")
 def _b17():
-    return with_ctes(EVIDENCE, body="""SELECT ID, modified * 1000 AS modified_ms,
-       strftime(make_timestamp(modified * 1000000), '%Y-%m-%d %H:%M:%S') AS modified_str FROM ev""")
+    return with_ctes(EVIDENCE, body="SELECT ID, " + ", ".join(
+        f"{c} * 1000 AS {c}_ms, strftime(make_timestamp({c} * 1000000), '%Y-%m-%d %H:%M:%S') AS {c}_str"
+        for c in ("modified", "accessed", "created")) + " FROM ev")
 
 
 # ------------------------------------------------------------ A: sources and sinks
@@ -1006,8 +1046,6 @@ def _a4():
     return base("SELECT term, df, CAST(ttf AS BIGINT) AS ttf FROM ts")
 
 
-ORACLE_SQL["a6_doc_vectors_sink"] = ORACLE_SQL["g3_doc_vectors"]
-ORACLE_SQL["a7_assignments_sink"] = ORACLE_SQL["g14_assignments"]
 
 
 @oracle("a9_map_json_source")
@@ -1019,30 +1057,25 @@ def _a9():
        CAST(COUNT(*) AS INTEGER) AS num_cells FROM stats2""")
 
 
-BOOKMARKS = """bm AS (SELECT 'note ' || CAST(k AS VARCHAR) AS Comment, CAST(1500000000000 + k * 1000 AS BIGINT) AS Created, ev.ID
-       FROM ev, (VALUES (0), (1), (2), (3), (4), (25)) t(k)
-       WHERE (CAST(ev.ID AS BIGINT) // 2) % 25 = k % 25)"""
-
-
 @oracle("a10_document_csv")
 def _a10():
-    return with_ctes(*flagship_scores(), BOOKMARKS, body="""SELECT r.ID, r.score AS Score, ev.name AS Name,
+    return with_ctes(*merged(flagship_scores(), som_ctes(), [BOOKMARKS]), body="""SELECT r.ID, r.score AS Score, ev.name AS Name,
        ev.path AS Path, ev.extension AS Extension, ev.size AS Size, ev.modified * 1000 AS Modified,
-       ev.accessed * 1000 AS Accessed, ev.created * 1000 AS Created, '' AS Cell,
-       CAST(NULL AS DOUBLE) AS CellDistance, COALESCE(bm.Created, 0) AS "Bookmark Created",
+       ev.accessed * 1000 AS Accessed, ev.created * 1000 AS Created, fin.cell AS Cell,
+       round(fin.som_cell_distance, 6) AS CellDistance, COALESCE(bm.Created, 0) AS "Bookmark Created",
        COALESCE(bm.Comment, '') AS "Bookmark Comment"
-FROM r JOIN ev ON ev.ID = r.ID LEFT JOIN bm ON bm.ID = r.ID""")
+FROM r JOIN ev ON ev.ID = r.ID JOIN fin ON fin.ID = r.ID LEFT JOIN bm ON bm.ID = r.ID""")
 
 
 @oracle("a11_hit_csv")
 def _a11():
-    return with_ctes(*hits_ctes(FLAGSHIP), BOOKMARKS, body="""SELECT h.ID, round(h.score, 6) AS Score,
+    return with_ctes(*merged(hits_ctes(FLAGSHIP), som_ctes(), [BOOKMARKS]), body="""SELECT h.ID, round(h.score, 6) AS Score,
        ev.name AS Name, ev.path AS Path, ev.extension AS Extension, ev.size AS Size,
        ev.modified * 1000 AS Modified, ev.accessed * 1000 AS Accessed, ev.created * 1000 AS Created,
-       '' AS Cell, CAST(NULL AS DOUBLE) AS CellDistance, CAST(h.s_start AS BIGINT) AS Start,
+       fin.cell AS Cell, round(fin.som_cell_distance, 6) AS CellDistance, CAST(h.s_start AS BIGINT) AS Start,
        CAST(h.s_end AS BIGINT) AS "End", regexp_replace(h.snippet, '[\\r\\n]', ' ', 'g') AS Snippet,
        COALESCE(bm.Created, 0) AS "Bookmark Created", COALESCE(bm.Comment, '') AS "Bookmark Comment"
-FROM hits h JOIN ev ON ev.ID = h.ID LEFT JOIN bm ON bm.ID = h.ID""")
+FROM hits h JOIN ev ON ev.ID = h.ID JOIN fin ON fin.ID = h.ID LEFT JOIN bm ON bm.ID = h.ID""")
 
 
 _ALLF = ["f_" + f for f in K.HIT_FEATURES]
@@ -1051,7 +1084,7 @@ _ALLF = ["f_" + f for f in K.HIT_FEATURES]
 @oracle("a12_document_features")
 def _a12():
     return _hits_sql(f"""SELECT ID, {_r(_ALLF)} FROM (
-  SELECT *, row_number() OVER (PARTITION BY ID ORDER BY raw_score DESC) AS rn FROM rawh) WHERE rn = 1""")
+  SELECT *, row_number() OVER (PARTITION BY ID ORDER BY raw_score DESC, s_idx) AS rn FROM rawh) WHERE rn = 1""")
 
 
 @oracle("a13_hit_features")
@@ -1112,3 +1145,9 @@ FROM hits h LEFT JOIN bm ON bm.ID = h.ID""")
 def _h8():
     return with_ctes(*flagship_scores(), BOOKMARKS, body="""SELECT p.ID, p.score, p.ID IN (SELECT ID FROM bm) AS bookmarked
 FROM (SELECT * FROM r ORDER BY score DESC, CAST(ID AS BIGINT) LIMIT 20) p""")
+
+
+ORACLE_SQL.update({name: fn() for name, fn in _LATER.items()})
+ORACLE_SQL["e4_keyset_page"] = ORACLE_SQL["e4_page"]
+ORACLE_SQL["a6_doc_vectors_sink"] = ORACLE_SQL["g3_doc_vectors"]
+ORACLE_SQL["a7_assignments_sink"] = ORACLE_SQL["g14_assignments"]

@@ -21,7 +21,6 @@ path) and read back, which also cuts lineage.
 from __future__ import annotations
 
 import hashlib
-import os
 import threading
 from dataclasses import dataclass
 
@@ -68,6 +67,7 @@ def write_index(docs: DataFrame, stops: DataFrame, path: str, mode: str = "overw
     recomputed from all term vectors.
     """
     spark = docs.sparkSession
+    _remove(spark, f"{path}/_BUILT")  # a failed write must not look like a finished one
     toks = A.tokens(A.by_document(docs), stops)
     docs.write.mode(mode).parquet(f"{path}/docs")
     # Tokens stay in their chunk partitions (no second shuffle, no hot-term
@@ -116,6 +116,20 @@ def _touch(spark: SparkSession, path: str) -> None:
     fs.create(p, True).close()
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    fs, p = _fs_path(spark, path)
+    if fs.exists(p):
+        fs.delete(p, True)
+
+
+def _files_key(spark: SparkSession, path: str) -> str:
+    """Names, sizes and times of the files of a table: another key as soon as
+    the table is replaced."""
+    fs, p = _fs_path(spark, path)
+    files = fs.listStatus(p)
+    return "|".join(sorted(f"{f.getPath().getName()}:{f.getLen()}:{f.getModificationTime()}" for f in files))
+
+
 def _built(spark: SparkSession, path: str) -> bool:
     fs, p = _fs_path(spark, path + "/_BUILT")
     return bool(fs.exists(p))
@@ -129,7 +143,8 @@ def index_for(spark: SparkSession, sf_dir: str, with_slack: bool = False,
     """The index of the evidence view of ``sf_dir`` with the default stop
     list, built once into the shared folder and reused."""
     from .. import CODE_VERSION as __version__
-    key = hashlib.md5(f"{os.path.abspath(sf_dir)}|{with_slack}|{__version__}".encode()).hexdigest()[:16]
+    files = _files_key(spark, f"{sf_dir.rstrip('/')}/documents.parquet")
+    key = hashlib.md5(f"{sf_dir}|{with_slack}|{__version__}|{files}".encode()).hexdigest()[:16]
     path = scratch_path(spark, "index", key)
     with _BUILD_LOCK:  # one build per path even when queries run in threads
         if rebuild or not _built(spark, path):

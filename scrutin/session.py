@@ -51,8 +51,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and materialised tables.
 
     Read from ``spark.checkpoint.dir`` (or a directory already given to
-    ``setCheckpointDir``); only when neither exists (local runs, tests) a
-    scratch folder is created and registered with the SparkContext.
+    ``setCheckpointDir``). When neither exists, a local run (tests) gets a
+    scratch folder; a cluster is refused, as its machines share no such folder.
     """
     sc = spark.sparkContext
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
@@ -67,6 +67,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             # setCheckpointDir adds a random sub-folder; use its parent
             _LOCAL_CHECKPOINT_DIRS[key] = existing.rsplit("/", 1)[0]
         else:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
             d = tempfile.mkdtemp(prefix="scrutin-ckpt-")
             sc.setCheckpointDir(d)
             _LOCAL_CHECKPOINT_DIRS[key] = d

@@ -44,10 +44,11 @@ def test_entry(spark):
 
 def test_every_query_has_an_oracle_or_is_listed():
     without = set(E.queries()) - set(ORACLES)
-    assert without == {"a8_map_json", "b12_filetype_model", "g20_region_colors", "i1_streaming_ingest"}
+    optional = {n for n in without if n.startswith("op") or n == "pipeline"}  # tested in tests/llm
+    assert without - optional == {"a8_map_json", "b12_filetype_model", "i1_streaming_ingest"}
 
 
-@pytest.mark.parametrize("name", sorted(ORACLES))
+@pytest.mark.parametrize("name", sorted(n for n in ORACLES if n not in E.LLM_ORACLE_SQL))
 def test_query_matches_oracle(spark, duck, name):
     df = E.queries()[name](spark, SF_SMALL)
     s_cols, s_rows = df.columns, [tuple(r) for r in df.collect()]
