@@ -129,11 +129,20 @@ def to_documents(recs: DataFrame) -> DataFrame:
                        type_priority(F.col("extension")).alias("priority"))
 
 
+def records_to_docs(records: DataFrame, stop_terms: list[str], empty: str = "coded") -> DataFrame:
+    """The record → document job of batch and stream: (seq, metadata, content)
+    records become file documents (id 2·seq) and slack documents (2·seq + 1),
+    without those that B9 drops."""
+    r = records.select("*", (F.col("seq") * 2).cast("string").alias("file_id"),
+                       (F.col("seq") * 2 + 1).cast("string").alias("slack_id"))
+    return drop_empty(to_documents(parse_metadata(r)), stop_terms, empty)
+
+
 def drop_empty(docs: DataFrame, stop_terms: list[str], mode: str = "coded") -> DataFrame:
     """Drop documents whose body yields no token after stop words.
     ``coded``: only unallocated and slack documents are tested; ``all``:
     every document. The stop list is a bounded literal set."""
-    stops = F.array(*[F.lit(t) for t in sorted(set(stop_terms))])
+    stops = F.array(*[F.lit(t) for t in sorted(set(stop_terms))]).cast("array<string>")
     has_token = F.exists(tokens_of(F.col("body")), lambda t: ~F.array_contains(stops, t))
     if mode == "all":
         return docs.where(has_token)

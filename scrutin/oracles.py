@@ -1147,6 +1147,32 @@ def _h8():
 FROM (SELECT * FROM r ORDER BY score DESC, CAST(ID AS BIGINT) LIMIT 20) p""")
 
 
+@oracle("i1_streaming_ingest")
+def _i1():
+    """Term statistics of the records' file and slack texts. Every tenth
+    document's last 200 bytes are slack; a character that the cut splits is
+    lost on both sides (its bytes become spaces)."""
+    def text(x):
+        for pattern in (HTML_SCRIPT_RE, HTML_STYLE_RE, HTML_TAG_RE, WHITESPACE_RUN):
+            x = f"regexp_replace({x}, {q(pattern)}, ' ', 'g')"
+        return x
+    plain = "regexp_replace({}, '[\\x00-\\x1f]', '', 'g')"
+    return with_ctes(f"""cut AS (SELECT doc_id, doc_id % 8 = 1 AS html, text,
+        CASE WHEN doc_id % 10 = 0 AND strlen(text) > 200 THEN strlen(text) - 200 END AS size FROM documents),
+kept AS (SELECT doc_id, MAX(k) AS k FROM (SELECT doc_id, text, size, unnest(range(greatest(length(text) - 201, 0), length(text) - 48)) AS k
+         FROM cut WHERE size IS NOT NULL) WHERE strlen(substring(text, 1, CAST(k AS BIGINT))) <= size GROUP BY doc_id),
+part AS (SELECT doc_id, html, CASE WHEN size IS NULL THEN text ELSE substring(text, 1, CAST(k AS BIGINT)) || ' ' END AS t
+         FROM cut LEFT JOIN kept USING (doc_id)
+         UNION ALL SELECT doc_id + 1000000000, false, substring(text, CAST(k AS BIGINT)
+             + CASE WHEN strlen(substring(text, 1, CAST(k AS BIGINT))) = size THEN 1 ELSE 2 END)
+         FROM cut JOIN kept USING (doc_id)),
+body AS (SELECT doc_id AS ID, CASE WHEN html THEN {text('t')} ELSE {plain.format('t')} END AS body FROM part),
+stops AS (SELECT DISTINCT lower(unnest({STOPS})) AS term),
+tok AS (SELECT ID, unnest(regexp_extract_all(lower(body), {q(TOKEN_RE)})) AS term FROM body)""",
+                     body="""SELECT term, COUNT(DISTINCT ID) AS df, COUNT(*) AS ttf FROM tok
+WHERE term NOT IN (SELECT term FROM stops) GROUP BY term""")
+
+
 ORACLE_SQL.update({name: fn() for name, fn in _LATER.items()})
 ORACLE_SQL["e4_keyset_page"] = ORACLE_SQL["e4_page"]
 ORACLE_SQL["a6_doc_vectors_sink"] = ORACLE_SQL["g3_doc_vectors"]

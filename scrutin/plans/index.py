@@ -100,8 +100,22 @@ def write_index(docs: DataFrame, stops: DataFrame, path: str, mode: str = "overw
 
 
 def open_index(spark: SparkSession, path: str) -> Index:
-    r = spark.read
-    return Index(spark, path, *(r.parquet(f"{path}/{n}") for n in TABLE_NAMES))
+    """A5: the tables at ``path``. A streamed index keeps its statistics per
+    micro-batch; they are summed here (a filter on terms reaches the files)."""
+    from pyspark.sql import functions as F
+    t = {n: spark.read.parquet(f"{path}/{n}") for n in TABLE_NAMES}
+    if "batch_id" in t["term_stats"].columns:
+        t = {n: df.drop("batch_id") for n, df in t.items()}
+        t["term_stats"] = t["term_stats"].groupBy("term").agg(
+            F.sum("df").cast("long").alias("df"), F.sum("ttf").cast("long").alias("ttf"))
+        # distinct terms are counted over all batches, the rest adds up
+        terms = t["term_stats"].agg(F.count(F.lit(1)).alias("num_terms"))
+        sums = t["corpus"].agg(F.sum("num_docs").alias("num_docs"), F.sum("num_tokens").alias("num_tokens"))
+        t["corpus"] = sums.select("num_docs", F.lit(None).cast("long").alias("num_terms"), "num_tokens").unionByName(
+            terms.select(F.lit(None).cast("long").alias("num_docs"), "num_terms",
+                         F.lit(None).cast("long").alias("num_tokens"))).agg(
+            *[F.max(c).alias(c) for c in ("num_docs", "num_terms", "num_tokens")])
+    return Index(spark, path, *(t[n] for n in TABLE_NAMES))
 
 
 def _fs_path(spark: SparkSession, path: str):

@@ -1,10 +1,13 @@
 """Incremental ingest — records landing as parquet files are turned into
-documents, postings and term vectors and appended to the index.
+documents, postings, term vectors and statistics and appended to an index that
+:func:`scrutin.plans.index.open_index` opens like a batch one.
 
 ``foreachBatch`` is at-least-once: a replayed micro-batch rewrites its own
-``batch_id=`` partition (dynamic partition overwrite), so replays are
-harmless. Term statistics are re-aggregated from the appended term vectors.
-The stream's progress lives in a checkpoint under the shared folder.
+``batch_id=`` partition of every table (dynamic partition overwrite), so
+replays are harmless. A batch is extracted once; each table is derived from
+the one written before it. Term and corpus statistics are kept per batch and
+summed when the index is opened. The stream's progress lives in a checkpoint
+under the shared folder.
 """
 
 from __future__ import annotations
@@ -13,46 +16,42 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import analysis as A
-from ..operators import docs as D
+from ..operators.docs import records_to_docs
 
 RECORD_SCHEMA = "seq long, metadata string, content binary"
 
 
-def records_to_docs(records: DataFrame) -> DataFrame:
-    """B1–B10 for a batch of (seq, metadata, content) records; ids 2·seq
-    (file) and 2·seq + 1 (slack)."""
-    r = records.select("*", (F.col("seq") * 2).cast("string").alias("file_id"),
-                       (F.col("seq") * 2 + 1).cast("string").alias("slack_id"))
-    return D.to_documents(D.parse_metadata(r))
-
-
-def _write(df: DataFrame, path: str) -> None:
-    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("batch_id").parquet(path))
-
-
 def process_batch(stops: DataFrame, index_path: str):
+    stop_terms = [r["term"] for r in stops.collect()]  # configuration-sized
+
     def run(batch: DataFrame, batch_id: int) -> None:
         from pyspark.sql import Observation
+        spark = batch.sparkSession
+
+        def put(df: DataFrame, name: str) -> DataFrame:
+            """Write the batch's part of a table and read it back."""
+            part = df.withColumn("batch_id", F.lit(batch_id))
+            (part.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+             .partitionBy("batch_id").parquet(f"{index_path}/{name}"))
+            return (spark.read.schema(part.schema).parquet(f"{index_path}/{name}")
+                    .where(F.col("batch_id") == batch_id).drop("batch_id"))
+
         # B16 counters observed while the documents are written (no extra pass)
         obs = Observation(f"ingest_{batch_id}")
         observed = batch.observe(
             obs, F.count(F.lit(1)).alias("files_read"),
             F.sum(F.lit(16) + F.octet_length("metadata") + F.octet_length("content")).alias("bytes_read"),
             F.sum(F.octet_length("content")).alias("file_bytes_read"))
-        docs = records_to_docs(observed).withColumn("batch_id", F.lit(batch_id))
-        _write(docs.drop("priority"), f"{index_path}/docs")
+        docs = put(records_to_docs(observed, stop_terms).drop("priority"), "docs")
         counters = obs.get
-        spark = batch.sparkSession
-        (spark.range(1).select(F.lit(batch_id).cast("long").alias("batch_id"),
-                               *[F.lit(int(counters.get(k) or 0)).cast("long").alias(k)
-                                 for k in ("files_read", "bytes_read", "file_bytes_read")])
-         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("batch_id").parquet(f"{index_path}/ingest_counters"))
-        part = A.by_document(records_to_docs(batch))
-        toks = A.tokens(part, stops)
-        _write(toks.withColumn("batch_id", F.lit(batch_id)), f"{index_path}/postings")
-        _write(A.doc_terms(toks).withColumn("batch_id", F.lit(batch_id)), f"{index_path}/doc_terms")
+        put(spark.range(1).select(*[F.lit(int(counters.get(k) or 0)).cast("long").alias(k)
+                                    for k in ("files_read", "bytes_read", "file_bytes_read")]), "ingest_counters")
+        postings = put(A.tokens(A.by_document(docs), stops).sortWithinPartitions("term", "ID"), "postings")
+        vectors = put(A.doc_terms(postings), "_staged_doc_terms")
+        lengths = put(A.doc_stats(vectors), "doc_stats").select("ID", "length")
+        dterms = put(vectors.join(lengths, "ID").sortWithinPartitions("term", "ID"), "doc_terms")
+        tstats = put(A.term_stats(dterms).sortWithinPartitions("term"), "term_stats")
+        put(A.corpus_stats(docs, tstats), "corpus")
     return run
 
 
@@ -74,5 +73,6 @@ def ingest_counters(spark: SparkSession, index_path: str) -> DataFrame:
 
 
 def streamed_term_stats(spark: SparkSession, index_path: str) -> DataFrame:
-    """(term, df, ttf) re-aggregated from every appended batch."""
-    return A.term_stats(spark.read.parquet(f"{index_path}/doc_terms").drop("batch_id"))
+    """(term, df, ttf) summed over the appended batches."""
+    from ..plans.index import open_index
+    return open_index(spark, index_path).term_stats

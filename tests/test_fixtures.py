@@ -18,14 +18,14 @@ META = {"path": "docs/", "name": {"name": "a.TXT"},
 
 def test_record_sizes_slack_and_ids(spark):
     from scrutin.operators import docs as D
-    from scrutin.streaming.ingest import records_to_docs
+    from scrutin.operators.docs import records_to_docs
     m2 = dict(META, meta=dict(META["meta"], size=20))
     recs = _records(spark, [(0, json.dumps(META), bytearray(b"abcdefgh")),
                             (1, json.dumps(m2), bytearray(b"abcdefgh"))])
     p = {r["seq"]: r for r in D.parse_metadata(recs).collect()}
     assert (p[0]["file_size"], p[0]["slack_size"]) == (5, 3)
     assert (p[1]["file_size"], p[1]["slack_size"]) == (8, 0)
-    docs = {r["ID"]: r for r in records_to_docs(recs).collect()}
+    docs = {r["ID"]: r for r in records_to_docs(recs, []).collect()}
     assert set(docs) == {"0", "1", "2"}
     assert (docs["0"]["name"], docs["0"]["size"], docs["0"]["extension"]) == ("a.TXT", 5, "txt")
     assert (docs["1"]["name"], docs["1"]["size"], docs["1"]["extension"]) == ("a.TXT:slack", 3, "")

@@ -1,6 +1,7 @@
 """Properties: score ranges, map coverage, valid colouring, streamed = batch,
 independence from partitioning."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
@@ -48,14 +49,96 @@ def test_streamed_tables_equal_batch_tables(spark):
     from scrutin.catalog import q_i1_streaming_ingest
     from scrutin.operators import analysis as A
     from scrutin.sources.stoplist import stop_list
-    from scrutin.streaming.ingest import records_to_docs
+    from scrutin.operators.docs import records_to_docs
     from scrutin.catalog import _records
+    from scrutin.sources.stoplist import default_stop_terms
     streamed = q_i1_streaming_ingest(spark, SF_SMALL)
-    batch = A.term_stats(A.doc_terms(A.tokens(A.by_document(records_to_docs(_records(spark, SF_SMALL))),
-                                              stop_list(spark))))
+    docs = records_to_docs(_records(spark, SF_SMALL), default_stop_terms())
+    batch = A.term_stats(A.doc_terms(A.tokens(A.by_document(docs), stop_list(spark))))
     assert streamed.exceptAll(batch).count() == 0 and batch.exceptAll(streamed).count() == 0
 
 
+def test_streamed_index_searches_like_a_batch_index_and_replays(spark, tmp_path):
+    """Records in three micro-batches, one replayed: the opened index gives
+    the same search and hits as an index written in one go."""
+    from scrutin.catalog import _records
+    from scrutin.operators.docs import records_to_docs
+    from scrutin.plans.index import open_index, write_index
+    from scrutin.sources.stoplist import default_stop_terms, stop_list
+    from scrutin.streaming.ingest import process_batch
+    recs = _records(spark, SF_SMALL)
+    run = process_batch(stop_list(spark), f"{tmp_path}/streamed")
+    for i in (0, 1, 2, 1):
+        run(recs.where(F.col("seq") % 3 == i), i)
+    docs = records_to_docs(recs, default_stop_terms()).drop("priority")
+    write_index(docs, stop_list(spark), f"{tmp_path}/batch")
+    a, b = (Q.Context(open_index(spark, f"{tmp_path}/{n}")) for n in ("streamed", "batch"))
+    assert a.index.corpus_row() == b.index.corpus_row()
+    q = Q.Bool(must=[Q.Or(Q.Term("From"), Q.Term("des"))], must_not=[Q.Term("tion")])
+    score = lambda c: {r["ID"]: round(r["score"], 9) for r in R.search(c, q).collect()}
+    assert score(a) == score(b) and score(a)
+    hit = lambda c: sorted((r["ID"], r["s_idx"], round(r["score"], 9))
+                           for r in H.rank_hits(c, Q.Terms(["from"]), REF_DATE_MS).collect())
+    assert hit(a) == hit(b)
+
+
+@pytest.mark.parametrize("text, kept", [("Example", ["example"]), ("EXAMPLE for you", ["example"]), ("the", []),
+                                        ("e\u0301te\u0301 1.5", ["e\u0301te\u0301", "1.5"])])
+def test_query_text_is_analysed_like_bodies(spark, text, kept):
+    from scrutin.sources.stoplist import default_stop_terms
+    from scrutin.operators import analysis as A
+    from scrutin.sources.stoplist import stop_list
+    got = Q.analyze(text, frozenset(default_stop_terms()))
+    body = spark.createDataFrame([("1", text)], "ID string, body string")
+    assert got == [(r["term"], r["pos"]) for r in A.tokens(A.by_document(body), stop_list(spark)).orderBy("pos").collect()]
+    assert [t for t in kept if t in dict(got)] == kept
+
+
+def test_nothing_is_cut_at_a_size(spark):
+    """Long tokens, long sentences, deep metadata, dotted tokens, and the
+    filename feature on both sides of the literal limit."""
+    import json
+    from scrutin.operators import analysis as A
+    from scrutin.operators import docs as D
+    body = spark.createDataFrame([("1", "x" * 70_000 + " ab.c d.e.f! tail " + "y" * 70_000),
+                                  ("2", "s" * 100_000 + ". Next mail3.example.com end.  \ue000 a.b x")], "ID string, body string")
+    toks = sorted((r["ID"], r["pos"], len(r["term"])) for r in A.raw_tokens(A.by_document(body)).collect())
+    assert toks == [("1", 0, 70_000), ("1", 1, 4), ("1", 2, 5), ("1", 3, 4), ("1", 4, 70_000),
+                    ("2", 0, 100_000), ("2", 1, 4), ("2", 2, 17), ("2", 3, 3), ("2", 4, 3), ("2", 5, 1)]
+    for size in (100, 1 << 16):
+        sents = H.sentences(H.sentence_chunks(body, size)).collect()
+        assert sorted((r["ID"], r["s_idx"], r["s_end"] - r["s_start"], len(r["sentence"])) for r in sents) == [
+            ("1", 0, 70_012, 70_012), ("1", 1, 70_006, 70_006), ("2", 0, 100_001, 100_001), ("2", 1, 28, 28), ("2", 2, 9, 9)]
+    deep = leaf = {}
+    for i in range(12):
+        leaf["k"] = leaf = {}
+    leaf["k"] = [1.9, {"z": "end"}, None, True]
+    flat = D.flatten_json(spark.createDataFrame([(1, json.dumps(deep)), (2, "[]"), (3, None)], "id int, js string"), "id", "js")
+    assert sorted((r["key"], r["value"]) for r in flat.collect()) == [
+        ("-".join("k" * 13) + "-0", "1"), ("-".join("k" * 13) + "-1-z", "end")]
+
+
+def test_filename_feature_is_the_same_for_any_number_of_terms(spark, monkeypatch):
+    ctx = Q.Context(index_for(spark, SF_SMALL))
+    q = Q.Terms(["from", "rom/", "zzz", "doc1"])
+    few = lambda: sorted((r["ID"], r["f_filename_indirect"]) for r in H.doc_features(
+        ctx.index.docs, ctx.index.doc_stats, H.query_term_stats(ctx, Q.query_terms(ctx, q)), REF_DATE_MS).collect())
+    small = few()
+    monkeypatch.setattr(H, "LITERAL_TERMS_MAX", 1)
+    assert few() == small and {v for _, v in small} == {0.0, 1.0}
+
+
+def test_matches_agree_with_the_index(spark):
+    """The number of matches of a term in a document is its tf in the index."""
+    ctx = Q.Context(index_for(spark, SF_SMALL))
+    q = Q.Bool(should=[Q.Terms(["from", "example"]), Q.Regexp(regex=r".*\.[a-z0-9]+")])
+    p = H.passages(H.matches(H.sentences(H.sentence_chunks(ctx.index.docs.select("ID", "body"), 5000)),
+                             H.query_term_stats(ctx, Q.query_terms(ctx, q))))
+    got = p.select("ID", F.explode("terms_all").alias("term")).groupBy("ID", "term").agg(F.count(F.lit(1)).alias("tf"))
+    want = ctx.index.doc_terms.join(Q.query_terms(ctx, q), "term", "left_semi").select("ID", "term", F.col("tf").cast("long").alias("tf"))
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0 and want.count() > 20
+
+
 def test_results_do_not_depend_on_partitioning(spark):
     ctx = Q.Context(index_for(spark, SF_SMALL))
     q = Q.Or(Q.Terms(FLAGSHIP_TERMS), Q.Phrase(["anea", "eriner"], slop=1))
