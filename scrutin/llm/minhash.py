@@ -13,12 +13,15 @@ No bucket is expanded into its pairs. In each round a few members per bucket
 other components; the links found are merged into components by distributed
 union-find (stars drawn to their minima, hooking to smaller roots and pointer
 jumping). A pivot has then met all members and leaves its buckets, and buckets
-of one component are done. When the pairs left across components are few
-against the bucket rows, or after ``ROUNDS`` rounds, they are compared one by
-one, so no link between texts of a common bucket is lost. A pair is skipped if
-its sizes cannot reach the similarity, or if its signatures agree in fewer
-registers than ``AGREE`` (7 standard deviations under what the similarity
-lets expect); all others are confirmed on their full shingle sets.
+of one component are done. The first pivots are drawn from all components, the
+later ones mostly from the largest, so that only members outside it are
+compared. What is left across components is compared member by member: pairs of
+small buckets one by one, large buckets in blocks of bounded size, where a
+block of members outside the largest component meets a block of all members on
+their full sets and only links come out. So no link between texts of a common
+bucket is lost. A pair is skipped if its sizes cannot reach the similarity, or
+if its signatures agree in ``AGREE`` less registers than that (4.6 standard
+deviations); all others are confirmed on their full shingle sets.
 
 Tables of ids and buckets are broadcast when a count proves them small, and
 joined by shuffles of file-backed sides (which AQE may split) when not.
@@ -36,6 +39,7 @@ import hashlib
 import re
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,16 +51,16 @@ from .common import append_arrow, forget, table, written
 #: Bands and registers in a band: two texts of similarity 0.8 share no bucket
 #: once in 14,000 times, (1 - 0.8**5)**24; of similarity 0.85 once in 1.3 million.
 BANDS, ROWS = 24, 5
-#: Pivots per bucket in the first round; each round takes twice as many as the one before.
-PIVOTS = 4
-#: Pivot rounds at most before the remaining pairs are compared one by one.
-ROUNDS = 4
-#: Remaining pairs per bucket row at which pivot rounds end early.
-FEW = 1.0
+#: Pivots per bucket from all components in the first round and later ones, and from the largest.
+PIVOTS, LATER, INNER = 4, 2, 8
+#: Pivot rounds at most.
+ROUNDS = 2
+#: Members of a bucket up to which its open pairs are listed; members in a block of a larger one.
+LISTED, BLOCK = 64, 1024
 #: Signatures that may be broadcast (24 MB); other tables follow the session's bound.
 SMALL = 200_000
 #: Share of equal registers, less than the similarity, under which a pair is not looked at.
-AGREE = 0.26
+AGREE = 0.17
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -281,46 +285,93 @@ def components(reps: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
 
     sets = written(append_arrow(docs.join(near_ids, "id"), [T.StructField("shingles", T.BinaryType())],
                                 ["text"], set_kernel).select("id", "shingles"))
-    links, roots, size = None, None, live.count()
-    near = 100 * F.least("n", "pn") >= percent * F.greatest("n", "pn")
+    links, roots = None, None
     for r in range(ROUNDS + 1):
-        # per bucket: its pairs across components, and pseudo-random members of pseudo-random components
-        draw = F.struct(F.xxhash64(F.lit(r), "id").alias("h"), F.col("id").alias("p"), F.col("n").alias("pn"))
-        per = live.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("c"), F.min(draw).alias("v"))
-        pivots = F.array(*[F.min(F.struct(F.xxhash64(F.lit(r), F.lit(i), "comp").alias("x"), F.col("v.p").alias("p"),
-                                          F.col("v.pn").alias("pn"), F.col("comp").alias("pc")))
-                           for i in range(PIVOTS << r)])
-        per = per.groupBy("bucket").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("same"),
-                                        F.count(F.lit(1)).alias("comps"), pivots.alias("v"))
-        pivots = written(per.filter("comps > 1").select(
-            "bucket", ((F.col("c") * F.col("c") - F.col("same")) / 2).alias("open"),
-            F.array_distinct(F.transform("v", lambda x: x.dropFields("x"))).alias("v")))
-        left = pivots.agg(F.sum("open").alias("s")).first()["s"] or 0
-        if not left:
+        # per component of a bucket a few pseudo-random members
+        inner = INNER if r else 1
+        draw = [F.min(F.struct(F.xxhash64(F.lit(r), F.lit(i), "id").alias("h"), F.col("id").alias("p"), F.col("n").alias("pn")))
+                for i in range(inner)]
+        per = live.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("c"), F.array(*draw).alias("v"))
+        # per bucket some of pseudo-random components, and those of the largest one
+        some = [F.min(F.struct(F.xxhash64(F.lit(r), F.lit(i), "comp").alias("x"), F.get("v", 0)["p"].alias("p"),
+                               F.get("v", 0)["pn"].alias("pn"), F.col("comp").alias("pc")))
+                for i in range(LATER if r else PIVOTS)]
+        per = per.groupBy("bucket").agg(
+            F.sum("c").alias("c"), F.count(F.lit(1)).alias("comps"), F.array(*some).alias("v"),
+            F.max(F.struct("c", "comp", "v")).alias("top")).filter("comps > 1")
+        drawn = F.transform("v", lambda x: x.dropFields("x"))
+        if r:
+            drawn = F.concat(drawn, F.transform("top.v", lambda x: F.struct(
+                x["p"].alias("p"), x["pn"].alias("pn"), F.col("top.comp").alias("pc"))))
+        pivots = written(per.select("bucket", "c", F.col("top.comp").alias("largest"), F.array_distinct(drawn).alias("v")))
+        if pivots.isEmpty():
             break
-        last = r == ROUNDS or left <= FEW * size
-        if last:
-            some = written(live.join(bounded_broadcast(pivots.select("bucket")), "bucket"))
-            other = some.select("bucket", F.col("id").alias("b"), F.col("n").alias("pn"), F.col("comp").alias("pc"))
-            pairs = some.withColumnRenamed("id", "a").join(other, "bucket").filter(
-                (F.col("a") < F.col("b")) & (F.col("comp") != F.col("pc")) & near).select("a", "b")
+        met = live.join(bounded_broadcast(pivots), "bucket")
+        if r == ROUNDS:
+            found = _rest(written(met.drop("v")), sigs, sets, percent)
         else:
-            met = live.join(bounded_broadcast(pivots.select("bucket", "v")), "bucket")
-            pairs = met.select("id", "n", "comp", F.explode("v").alias("e")).select("id", "n", "comp", "e.*").filter(
-                (F.col("comp") != F.col("pc")) & near).select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b"))
-        pairs = alike(written(pairs.distinct()), sigs, percent)
-        found = written(verified(written(pairs), sets, percent))
+            wanted = F.filter("v", lambda x: (x["pc"] != F.col("comp")) & (100 * F.least("n", x["pn"]) >= percent * F.greatest(
+                "n", x["pn"])))
+            pairs = met.select("id", F.explode(F.transform(wanted, lambda x: x["p"])).alias("p")).select(
+                F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b"))
+            found = verified(written(alike(written(pairs.distinct()), sigs, percent)), sets, percent)
+        found = written(found)
         links = found if links is None else links.unionByName(found)
-        if last:
-            break
-        # components of all links so far; unlinked documents are their own
+        # components of all links so far, kept as stars; unlinked documents are their own
         roots = written(union_find(links))
-        rest = met.filter(~F.exists("v", lambda x: x["p"] == F.col("id"))).select("bucket", "id", "n")
-        live = written(rest.join(bounded_broadcast(roots), "id", "left").select(
-            "bucket", "id", "n", F.coalesce("root", "id").alias("comp")))
-    if links is None:
-        return None
-    return union_find(links) if last else roots
+        links = roots.filter("id != root").select(F.col("id").alias("a"), F.col("root").alias("b"))
+        if r < ROUNDS:
+            rest = met.filter(~F.exists("v", lambda x: x["p"] == F.col("id"))).select("bucket", "id", "n")
+            live = written(rest.join(bounded_broadcast(roots), "id", "left").select(
+                "bucket", "id", "n", F.coalesce("root", "id").alias("comp")))
+    return roots
+
+
+def _rest(met: DataFrame, sigs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The links left across components in the buckets of ``met(bucket, id, n,
+    comp, c, largest)``."""
+    a = met.filter(F.col("c") <= LISTED).withColumnRenamed("id", "a")
+    b = met.select("bucket", F.col("id").alias("b"), F.col("n").alias("pn"), F.col("comp").alias("pc"))
+    pairs = a.join(b, "bucket").filter((F.col("a") < F.col("b")) & (F.col("comp") != F.col("pc")) & (
+        100 * F.least("n", "pn") >= percent * F.greatest("n", "pn"))).select("a", "b")
+    few = verified(written(alike(written(pairs.distinct()), sigs, percent)), sets, percent)
+    large = met.filter(F.col("c") > LISTED)
+    if large.isEmpty():
+        return few
+    outer = large.filter(F.col("comp") != F.col("largest"))
+    # blocks of about BLOCK members: each outer block meets each block of all members once
+    rows = outer.groupBy("bucket").agg(F.count(F.lit(1)).alias("out"), F.first("c").alias("c"))
+    plan = bounded_broadcast(written(rows.select("bucket", F.ceil(F.col("out") / BLOCK).alias("no"),
+                                                 F.ceil(F.col("c") / BLOCK).alias("nm"))))
+    with_sets = large.join(sets, "id").join(plan, "bucket")
+    left = with_sets.filter(F.col("comp") != F.col("largest")).select(
+        "bucket", F.pmod(F.xxhash64("id"), "no").alias("o"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("nm") - 1)).alias("m"),
+        "id", "comp", "shingles")
+    right = with_sets.select(
+        "bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.col("no") - 1)).alias("o"), F.pmod(F.xxhash64("id"), "nm").alias("m"),
+        "id", "comp", "shingles")
+
+    def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(x) and len(y):
+            each = [np.frombuffer(v, dtype=np.uint64) for v in y["shingles"]]
+            size, ids, comps = np.array([len(v) for v in each]), y["id"].to_numpy(), y["comp"].to_numpy()
+            every, owner = np.concatenate(each), np.repeat(np.arange(len(each)), size)
+            order = np.argsort(every, kind="stable")
+            every, owner = every[order], owner[order]
+            for i, c, v in zip(x["id"], x["comp"], x["shingles"]):
+                own = np.frombuffer(v, dtype=np.uint64)
+                start, end = np.searchsorted(every, own), np.searchsorted(every, own, side="right")
+                n = end - start
+                at = np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())
+                shared = np.bincount(owner[at], minlength=len(each))
+                linked = (100 * shared >= percent * (len(own) + size - shared)) & (comps != c)
+                out += [(min(i, j), max(i, j)) for j in ids[linked].tolist()]
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    right = right.toDF(*right.columns)  # columns of their own beside the left side's
+    many = left.groupBy("bucket", "o", "m").cogroup(right.groupBy("bucket", "o", "m")).applyInPandas(run, "a bigint, b bigint")
+    return few.unionByName(many)
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5,

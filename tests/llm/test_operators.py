@@ -557,3 +557,21 @@ def test_pipeline_edge_rows(spark):
         for _, stage in corpus_pipeline.STAGES:
             out = stage(spark, d, SF_SMALL)
             assert out.count() <= 3 * len(rows)
+
+
+def test_op1_large_bucket_in_blocks(spark, monkeypatch):
+    """Members outside the largest component are compared in blocks."""
+    rng = np.random.default_rng(9)
+    base = [f"w{n}" for n in rng.integers(0, 400, 60)]
+    rows = []
+    for i in range(150):  # copies of a text with up to a third of the words replaced
+        words = list(base)
+        for j in rng.choice(60, int(rng.integers(0, 18)), replace=False):
+            words[j] = f"r{rng.integers(0, 50)}"
+        rows.append((i, " ".join(words)))
+    monkeypatch.setattr(minhash, "LISTED", 8)
+    monkeypatch.setattr(minhash, "BLOCK", 16)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    _, comp = brute_components(dict(rows), 2, 80)
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(df, k=2, percent=80).collect()}
+    assert got == comp and 1 < len(set(comp.values())) < 150
