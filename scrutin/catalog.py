@@ -754,17 +754,17 @@ def q_h1_create_bookmark(spark, sf_dir):
     top = [r["ID"] for r in R.top_k(res, 5).collect()]
     path = scratch_path(spark, "bookmarks", uuid.uuid4().hex[:12])
     B.create_bookmark(spark, path, " ".join(top), "top five", created_ms=1500000000000)
-    return B.read_bookmarks(spark, path)
+    return B.read_bookmarks(spark, path).drop("Bookmark")
 
 
 def q_h2_bookmarks_for_docs(spark, sf_dir):
     from .operators import bookmarks as B
     _, res = _flagship(spark, sf_dir)
-    return B.bookmarks_for_docs(_bookmarks(spark, sf_dir), R.top_k(res, 20))
+    return B.bookmarks_for_docs(_bookmarks(spark, sf_dir), R.top_k(res, 20)).drop("Bookmark")
 
 
 def q_h3_all_bookmarks(spark, sf_dir):
-    return _bookmarks(spark, sf_dir)
+    return _bookmarks(spark, sf_dir).drop("Bookmark")
 
 
 def q_h4_comment_search(spark, sf_dir):
@@ -776,7 +776,7 @@ def q_h4_comment_search(spark, sf_dir):
 
 def q_h5_bookmark_limit(spark, sf_dir):
     from .operators import bookmarks as B
-    return B.limit_bookmarks(_bookmarks(spark, sf_dir), 3)
+    return B.limit_bookmarks(_bookmarks(spark, sf_dir), 3).drop("Bookmark")
 
 
 def q_h6_results_bookmarks(spark, sf_dir):

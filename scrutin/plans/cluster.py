@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from ..operators import cellmap as C
 from ..operators import som as S
 from ..session import scratch_path
-from .index import Index, _built, _touch
+from .index import Index, _built, _remove, _touch
 
 
 @dataclass
@@ -43,6 +43,7 @@ class ClusterResult:
 
 def run_cluster(ix: Index, cfg: S.SomConfig, path: str) -> ClusterResult:
     spark = ix.spark
+    _remove(spark, f"{path}/_BUILT")  # a failed run must not look like a finished one
     num_docs = ix.corpus_row()[0]
     feats = S.feature_terms(ix.term_stats, num_docs, cfg)
     feats.write.mode("overwrite").parquet(f"{path}/features")

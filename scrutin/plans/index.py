@@ -27,7 +27,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import analysis as A
-from ..session import scratch_path
+from ..session import materialize, scratch_path
 from ..sources.stoplist import stop_list
 from ..sources.tables import evidence_docs
 
@@ -58,8 +58,10 @@ class Index:
 
 def write_index(docs: DataFrame, stops: DataFrame, path: str, mode: str = "overwrite",
                 num_files: int | None = None) -> None:
-    """Write the index tables. ``mode='append'`` adds documents to an index;
-    statistics tables are then recomputed from all term vectors.
+    """Write the index tables. ``mode='append'`` adds the documents that a
+    finished index does not hold yet (so a repeated append changes nothing);
+    statistics tables are then recomputed from all term vectors. An index
+    whose last write did not finish is refused: rebuild it.
 
     The text is tokenised once: term vectors are aggregated from the written
     postings and statistics from the written term vectors. In append mode
@@ -67,6 +69,10 @@ def write_index(docs: DataFrame, stops: DataFrame, path: str, mode: str = "overw
     recomputed from all term vectors.
     """
     spark = docs.sparkSession
+    if mode == "append":
+        if not _built(spark, path):
+            raise RuntimeError(f"{path}: no finished index to append to")
+        docs = materialize(docs.join(spark.read.parquet(f"{path}/docs").select("ID"), "ID", "left_anti"))
     _remove(spark, f"{path}/_BUILT")  # a failed write must not look like a finished one
     toks = A.tokens(A.by_document(docs), stops)
     docs.write.mode(mode).parquet(f"{path}/docs")

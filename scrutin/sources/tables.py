@@ -93,6 +93,7 @@ def derived_bookmarks(docs: DataFrame) -> DataFrame:
     ids = docs.select("ID", ((F.col("ID").cast("long") / 2).cast("long") % 25).alias("m"))
     # six bookmark keys: a fixed-size side, broadcast by construction
     return (ids.join(F.broadcast(ks), ks.k % 25 == ids.m)
-            .select(F.concat(F.lit("note "), F.col("k").cast("string")).alias("Comment"),
+            .select(F.concat(F.lit("b"), F.lpad(F.col("k").cast("string"), 4, "0")).alias("Bookmark"),
+                    F.concat(F.lit("note "), F.col("k").cast("string")).alias("Comment"),
                     (F.lit(1500000000000) + F.col("k") * 1000).cast("long").alias("Created"),
                     "ID"))

@@ -141,7 +141,8 @@ def test_cell_stats(spark):
 
 def test_bookmark_export_rows(spark):
     from scrutin.operators import bookmarks as B
-    marks = spark.createDataFrame([("B1", 1, "0"), ("B1", 1, "2"), ("B2", 2, "2")], "Comment string, Created long, ID string")
+    marks = spark.createDataFrame([("x", "B1", 1, "0"), ("x", "B1", 1, "2"), ("y", "B2", 2, "2"), ("z", "B1", 1, "9")],
+                                  "Bookmark string, Comment string, Created long, ID string")
     res = spark.createDataFrame([("0",), ("2",), ("4",)], "ID string")
     got = sorted((r["ID"], r["bookmark_comment"], r["bookmark_created"]) for r in B.with_bookmarks(res, marks).collect())
     assert got == [("0", "B1", 1), ("2", "B1", 1), ("2", "B2", 2), ("4", "", 0)]

@@ -82,6 +82,22 @@ def test_streamed_index_searches_like_a_batch_index_and_replays(spark, tmp_path)
     assert hit(a) == hit(b)
 
 
+def test_repeated_append_changes_nothing(spark, tmp_path):
+    from scrutin.catalog import _docs, _stops
+    from scrutin.plans.index import _remove, open_index, write_index
+    docs, path = _docs(spark, SF_SMALL).where(F.col("ID").cast("long") < 80), f"{tmp_path}/ix"
+    first, more = docs.where(F.col("ID").cast("long") < 40), docs.where(F.col("ID").cast("long") >= 30)
+    write_index(first, _stops(spark), path)
+    for _ in range(2):
+        write_index(more, _stops(spark), path, mode="append")
+    ix = open_index(spark, path)
+    assert ix.docs.count() == docs.count() == ix.corpus_row()[0]
+    assert ix.doc_terms.count() == ix.doc_terms.select("ID", "term").distinct().count()
+    _remove(spark, f"{path}/_BUILT")
+    with pytest.raises(RuntimeError):
+        write_index(more, _stops(spark), path, mode="append")
+
+
 @pytest.mark.parametrize("text, kept", [("Example", ["example"]), ("EXAMPLE for you", ["example"]), ("the", []),
                                         ("e\u0301te\u0301 1.5", ["e\u0301te\u0301", "1.5"])])
 def test_query_text_is_analysed_like_bodies(spark, text, kept):
