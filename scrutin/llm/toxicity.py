@@ -215,11 +215,12 @@ def learn(rows: DataFrame) -> tuple[dict[str, bool], np.ndarray] | None:
     for i, got in enumerate(held):
         for t in got:
             where.setdefault(t, set()).add(i)
-    # most common first, of nested ones the longest; then what covers texts without a term yet
+    # most common first (clean texts count against a term), of nested ones the longest; then what
+    # covers texts without a term yet
     chosen: list[str] = []
     covered: set[int] = set()
     top = max((len(x) for x in where.values()), default=0)
-    for t in sorted(where, key=lambda t: (-len(where[t]), -len(t), t)):
+    for t in sorted(where, key=lambda t: (5 * clean_df.get(t, 0) - len(where[t]), -len(t), t)):
         if len(chosen) >= LEXICON:
             break
         if any(t.startswith(s) or (s.startswith(t) and len(where[s]) >= 0.9 * len(where[t])) for s in chosen):
