@@ -52,7 +52,7 @@ from .common import append_arrow, forget, table, written
 #: once in 14,000 times, (1 - 0.8**5)**24; of similarity 0.85 once in 1.3 million.
 BANDS, ROWS = 24, 5
 #: Pivots per bucket from all components in the first round and later ones, and from the largest.
-PIVOTS, LATER, INNER = 4, 2, 8
+PIVOTS, LATER, INNER = 2, 1, 4
 #: Pivot rounds at most.
 ROUNDS = 2
 #: Members of a bucket up to which its open pairs are listed; members in a block of a larger one.
