@@ -57,8 +57,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each whole text encoded and decoded again: packed ids, their number and
     whether the round trip gave the text back."""
-    path = bpe.default_tokenizer()
-    out = bpe.decode(bpe.encode(docs, path), path)
+    out = bpe.encode(docs, bpe.default_tokenizer(), decoded="decoded")
     same = F.col("decoded") == F.coalesce("text", F.lit(""))
     return out.withColumn("round_trip", same).select("doc_id", "lang", "source", "n_tokens", "ids", "round_trip")
 

@@ -42,7 +42,7 @@ LATER_LETTERS = (
 )
 
 #: Distinct pre-tokens a Python worker remembers before it starts afresh.
-CACHE_WORDS = 150_000
+CACHE_WORDS = 100_000
 #: Bytes of rows whose new pre-tokens are merged together (their index is the largest thing in memory).
 SLICE_BYTES = 2 << 20
 #: Pre-tokens of a text of more characters are taken one by one, not as a list.
@@ -246,20 +246,26 @@ def _shipped(spark: SparkSession, tokenizer: str):
         return spark.sparkContext.broadcast(f.read())
 
 
-def encode(df: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids", count: str = "n_tokens") -> DataFrame:
+def encode(df: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids", count: str = "n_tokens",
+           decoded: str | None = None) -> DataFrame:
     """``df`` with ``ids``, the token ids of the whole ``text`` as packed
     little-endian unsigned 32-bit integers (the shard format of training
-    readers), and ``count``, their number. ``tokenizer`` is the path of a
+    readers), and ``count``, their number; if ``decoded`` names a column, it
+    gets the ids decoded again in the same task. ``tokenizer`` is the path of a
     byte-level BPE file on the driver."""
     shipped = _shipped(df.sparkSession, tokenizer)
 
     def kernel(cols):
         codec = _codec(shipped)
         found = codec.encode([t or "" for t in cols[0].to_pylist()])
-        return [pa.array([f.astype("<u4").tobytes() for f in found], pa.binary()),
-                pa.array([len(f) for f in found], pa.int64())]
-
-    return append_arrow(df, [T.StructField(ids, T.BinaryType()), T.StructField(count, T.LongType())], [text], kernel,
+        out = [pa.array([f.astype("<u4").tobytes() for f in found], pa.binary()),
+               pa.array([len(f) for f in found], pa.int64())]
+        return out + [pa.array([codec.decode(f) for f in found], pa.string())] if decoded else out
+
+    fields = [T.StructField(ids, T.BinaryType()), T.StructField(count, T.LongType())]
+    if decoded:
+        fields.append(T.StructField(decoded, T.StringType()))
+    return append_arrow(df, fields, [text], kernel,
                         max_bytes=SLICE_BYTES)
 
 
@@ -284,7 +290,7 @@ def op4_bpe(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> D
     """Every document encoded and decoded; digests of the ids and the text."""
     path = tokenizer or default_tokenizer()
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = decode(encode(docs, path).drop("text"), path)
+    out = encode(docs, path, decoded="decoded")
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
                       F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 

@@ -43,7 +43,7 @@ LONGEST = 12
 #: Words before and after a hit that belong to its context.
 WINDOW = 8
 #: Words whose matches a Python worker remembers.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 100_000
 
 _TOKEN = re.compile(r"\w+")
 _OPEN, _CLOSE = "\"“«„‘‹", "\"”»“’›"
