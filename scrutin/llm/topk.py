@@ -138,10 +138,11 @@ def top_products(df: DataFrame, is_query, key: str = "vec_id", vector: str = "ve
     data = written(data)
     blocks = max(1, math.ceil(data.count() / DATA_BLOCK))
     groups = max(1, math.ceil(asked.count() / QUERY_BLOCK))
-    left = asked.select("q", "v", F.size("v").alias("dim"), F.pmod(F.xxhash64("q"), F.lit(groups)).alias("g"),
-                        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"))
-    right = data.select("ids", "v", F.size("v").alias("dim"), F.pmod(F.xxhash64("v"), F.lit(blocks)).alias("b"),
-                        F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"))
+    # the keys of both sides must be of one type: cogroups are not coerced
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n).cast("long"))
+    left = asked.select("q", "v", F.size("v").alias("dim"), block("q", groups).alias("g"), every(blocks).alias("b"))
+    right = data.select("ids", "v", F.size("v").alias("dim"), block("v", blocks).alias("b"), every(groups).alias("g"))
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
