@@ -12,8 +12,11 @@ without a license of their own take the license of the nearest directory at
 or above theirs that has one. Paths are joined by equality on ancestor
 directories; a directory's ancestors are as many as its path has parts.
 
-Only statements that hold a template word of some weight (``ANCHORS``) are
-exploded to words: a statement without any has no cosine near ``SIMILAR``.
+Only statements that hold one of the ``telling_words`` are exploded to words.
+The bound is exact: of each template the commonest words are left out as long
+as their squared weights stay below ``SIMILAR`` squared, and by Cauchy-Schwarz
+a statement that holds no other word of it has a cosine below ``SIMILAR``. So
+has one whose words outside the collection outweigh those in it too far.
 
 Edge cases: null and empty texts have no license of their own; a null path is
 a file without directory (nothing to inherit); of equally similar templates
@@ -53,9 +56,11 @@ TEMPLATES = (
     ("BSD-2-Clause", "Licensed under the BSD 2-Clause License."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
 )
-#: Words one of which a statement must hold to be compared.
+#: Words one of which a statement must hold to be compared by the oracle.
 ANCHORS = ("license", "licensed", "licence", "licenced", "spdx", "permission", "cc0", "cc", "mit", "gnu", "bsd", "apache",
            "mozilla", "affero")
+#: Words that texts without a license hold as often; the bound of ``telling_words`` leaves them out first.
+COMMON = frozenset("a all an and any are as at be by for from in is it no not of on or that the this to with".split())
 #: Cosine from which a statement is a license's.
 SIMILAR = 0.6
 #: Digits kept of a cosine, so sums in any order compare equal.
@@ -78,14 +83,54 @@ def template_weights(templates=TEMPLATES) -> tuple[list[tuple[int, str, float]],
     return rows, idf, math.log(1 + len(bags)) + 1
 
 
+def telling_words(templates=TEMPLATES) -> list[str]:
+    """Words without any of which no statement reaches ``SIMILAR``."""
+    rows, idf, _ = template_weights(templates)
+    by_template: dict[int, list[tuple[bool, float, str, float]]] = {}
+    for t, w, x in rows:
+        by_template.setdefault(t, []).append((w not in COMMON, idf[w], w, x))
+    # rounding to DIGITS lifts a cosine by half a digit at most
+    bound, telling = (SIMILAR - 10 ** -DIGITS) ** 2, set()
+    for words in by_template.values():
+        held = 0.0
+        for *_, w, x in sorted(words):
+            held += x * x
+            if held >= bound:
+                telling.add(w)
+    return sorted(telling)
+
+
+def _holds(words: list[str]) -> str:
+    """Pattern of all texts with one of ``words`` as a word (and of some others:
+    words begin anywhere but after a letter, as 'b' of '2.0b' is one)."""
+    plain = [w for w in words if "." not in w]
+    dotted = [re.escape(w) for w in words if "." in w]
+    ends = [f"(?:{'|'.join(plain)})(?![a-z])"] * bool(plain) + [f"(?:{'|'.join(dotted)})(?![0-9])"] * bool(dotted)
+    return f"(?<![a-z])(?:{'|'.join(ends)})"
+
+
 def _literal_map(pairs) -> Column:
     return F.create_map(*[F.lit(x) for p in pairs for x in p])
 
 
-def statements(text: str) -> Column:
-    """The statements of a text that hold an anchor word."""
+def _reaches(unit: Column, templates=TEMPLATES) -> Column:
+    """Whether a text of so many words inside and outside the collection can
+    reach ``SIMILAR``: its cosine is at most the share of the words inside in
+    its norm, those inside give their summed weight at most, each one outside
+    at least its own."""
+    _, idf, other = template_weights(templates)
+    least = (SIMILAR - 10 ** -DIGITS) ** 2
+    words = F.regexp_extract_all(unit, F.lit(f"({_WORDS})"))
+    inside = F.size(F.filter(words, lambda w: w.isin(sorted(idf)))).cast("double") * max(idf.values())
+    outside = F.size(F.filter(words, lambda w: ~w.isin(sorted(idf)))) * (other * other)
+    return inside * inside * (1 - least) >= outside * least
+
+
+def statements(text: str, templates=TEMPLATES) -> Column:
+    """The statements of a text that hold a telling word."""
     cut = F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"\n|(?<=[.!?;])[ \t]+")
-    return F.array_distinct(F.filter(cut, lambda s: s.rlike(r"\b(?:" + "|".join(ANCHORS) + r")\b")))
+    holds = _holds(telling_words(templates))
+    return F.array_distinct(F.filter(cut, lambda s: s.rlike(holds)))
 
 
 def own_licenses(df: DataFrame, path: str = "path", text: str = "text", templates=TEMPLATES) -> DataFrame:
@@ -98,7 +143,8 @@ def own_licenses(df: DataFrame, path: str = "path", text: str = "text", template
     marked = plain.withColumn("__row", F.monotonically_increasing_id())
     whole = F.when(F.coalesce(F.col(path), F.lit("")).rlike(_LICENSE_FILE),
                    F.array(F.lower(F.coalesce(F.col(text), F.lit("")))))
-    units = F.array_union(statements(text), F.coalesce(whole, F.array().cast("array<string>")))
+    units = F.array_union(statements(text, templates), F.coalesce(whole, F.array().cast("array<string>")))
+    units = F.filter(units, lambda s: _reaches(s, templates))
     # rows are numbered once, in a table, so both uses see the same numbers
     marked = written(marked.withColumn("__units", units).drop(text))
     unit = marked.filter(F.size("__units") > 0).select("__row", F.posexplode("__units").alias("__u", "__s"))

@@ -519,6 +519,35 @@ def test_op10_inherits_from_the_nearest_directory(spark):
     assert license.scan(df.limit(0)).count() == 0
 
 
+def brute_license(text, templates):
+    """License and score of the most similar statement; every statement is compared."""
+    rows, idf, other = license.template_weights(templates)
+    best = (license.SIMILAR, None)
+    for s in re.split(r"\n|(?<=[.!?;])[ \t]+", text.lower()):
+        bag = collections.Counter(re.findall(license._WORDS, s))
+        x = {w: n * idf.get(w, other) for w, n in bag.items()}
+        norm = sum(v * v for v in x.values()) ** 0.5
+        for i, (name, _) in enumerate(templates):
+            c = round(sum(x.get(w, 0) * v for t, w, v in rows if t == i) / norm, 6) if norm else 0
+            if c > best[0] or c == best[0] and (best[1] is None or name < best[1]):
+                best = (c, name)
+    return (best[1], best[0]) if best[1] else (None, None)
+
+
+def test_op10_compares_statements_without_usual_license_words(spark):
+    texts = ["Dedicated to the public domain.", "This file is dedicated to the public domain under Universal 1.0.",
+             "This Source Code Form is subject to the terms of the MPL, v. 2.0.",
+             "Permission is hereby granted,\nfree of charge, to any person obtaining a copy of this software",
+             "the work is under version 3 of this", "subject 1.0b public 2.0dedicated domain", "universal domain, public domain",
+             *(" ".join(t.lower().split()[k::2]) for _, t in license.TEMPLATES for k in (0, 1))]
+    df = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "path string, text string")
+    got = {int(r.path): (r.license, r.score) for r in license.own_licenses(df).collect()}
+    assert [got[i][0] for i in range(4)] == ["CC0-1.0", "CC0-1.0", "MPL-2.0", "MIT"]
+    for i, t in enumerate(texts):
+        name, score = brute_license(t, license.TEMPLATES)
+        assert got[i] == (name, score and pytest.approx(score, abs=2e-6)), t
+
+
 @pytest.mark.parametrize("name", sorted(llm.ORACLE_SQL))
 def test_oracles(spark, name):
     con = duckdb.connect()
