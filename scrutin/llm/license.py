@@ -1,8 +1,8 @@
 """License scans: sparse TF-IDF cosine of statements to templates, inherited
 from the nearest ancestor directory.
 
-A text is cut into statements (lines, and sentences within a line). Their
-words become sparse TF-IDF vectors and are compared with the vectors of the
+A text is cut into statements (lines, sentences within a line, blocks of lines
+such as a comment header, and sentences across a block's lines). Their words become sparse TF-IDF vectors and are compared with the vectors of the
 license templates; inverse document frequencies are those of the template
 collection, words outside it weigh most. A file's license is that of its
 most similar statement from ``SIMILAR`` on; a file named like a license file
@@ -36,8 +36,8 @@ from pyspark.sql import functions as F
 
 from .common import table, without, written
 
-#: Statements by which licenses are recognised: (license, text).
-TEMPLATES = (
+#: Statements by which licenses are recognised: (license, text); the oracle knows these.
+ORACLE_TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
     ("MIT", "Released under the MIT License."),
@@ -56,6 +56,79 @@ TEMPLATES = (
     ("BSD-2-Clause", "Licensed under the BSD 2-Clause License."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
 )
+#: Further names of licenses: (license, names in running text).
+NAMES = (
+    ("Apache-2.0", ("Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 license", "Apache-2.0")),
+    ("MIT", ("MIT License", "MIT")),
+    ("ISC", ("ISC License",)),
+    ("Zlib", ("zlib License",)),
+    ("Unlicense", ("Unlicense",)),
+    ("BSD-3-Clause", ("BSD 3-Clause License", "3-Clause BSD License", "New BSD License", "Modified BSD License")),
+    ("BSD-2-Clause", ("BSD 2-Clause License", "2-Clause BSD License", "Simplified BSD License")),
+    ("GPL-3.0", ("GNU General Public License, version 3", "GNU General Public License v3.0", "GNU GPL v3", "GPLv3", "GPL-3.0")),
+    ("GPL-2.0", ("GNU General Public License, version 2", "GNU General Public License v2.0", "GNU GPL v2", "GPLv2", "GPL-2.0")),
+    ("LGPL-3.0", ("GNU Lesser General Public License, version 3", "GNU Lesser General Public License v3.0", "LGPLv3", "LGPL-3.0")),
+    ("LGPL-2.1", ("GNU Lesser General Public License, version 2.1", "GNU Lesser General Public License v2.1", "LGPLv2.1", "LGPL-2.1")),
+    ("AGPL-3.0", ("GNU Affero General Public License, version 3", "GNU Affero General Public License v3.0", "AGPLv3", "AGPL-3.0")),
+    ("MPL-2.0", ("Mozilla Public License, version 2.0", "Mozilla Public License, v. 2.0", "MPL 2.0", "MPL-2.0")),
+    ("EPL-2.0", ("Eclipse Public License 2.0", "Eclipse Public License v2.0", "EPL-2.0")),
+    ("BSL-1.0", ("Boost Software License, Version 1.0",)),
+    ("CC0-1.0", ("CC0 1.0", "CC0 1.0 Universal", "Creative Commons Zero v1.0 Universal")),
+    *((f"CC-{k}-{v}", (f"CC {k} {v}", f"CC-{k}-{v}", f"Creative Commons {words} {v} {area} License"))
+      for k, words in (("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-ND", "Attribution-NoDerivatives"),
+                       ("BY-NC", "Attribution-NonCommercial"), ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"),
+                       ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"))
+      for v, area in (("4.0", "International"), ("3.0", "Unported"))),
+)
+PHRASES = ("{}", "Licensed under {}.", "Licensed under the {}.", "Released under the {}.", "Distributed under the {}.",
+           "This work is licensed under {}.", "This work is licensed under a {}.", "This project is licensed under the {}.",
+           "This program is licensed under the {}.", "This file is licensed under the {}.", "This software is released under the {}.",
+           "License: {}")
+#: SPDX identifiers as they stand in SPDX lines.
+SPDX = tuple((n, i) for n, _ in NAMES for i in ([n, n + "-only", n + "-or-later", n + "+"] if "GPL" in n else [n]))
+_GNU = ("{} is free software{} you can redistribute it and/or modify it under the terms of the GNU {}General Public License as "
+        "published by the Free Software Foundation{} either version {} of the License, or (at your option) any later version.")
+_GNU_ONLY = ("{} is free software{} you can redistribute it and/or modify it under the terms of the GNU {}General Public License "
+             "version {} as published by the Free Software Foundation.")
+#: Standard headers, headings of license files and permission texts.
+HEADERS = (
+    *((name, form.format(what, ":", kind, *rest, version))
+      for name, kind, version in (("GPL-3.0", "", "3"), ("GPL-2.0", "", "2"), ("LGPL-3.0", "Lesser ", "3"),
+                                  ("LGPL-2.1", "Lesser ", "2.1"), ("AGPL-3.0", "Affero ", "3"))
+      for what in ("This program", "This library", "This file") for form, rest in ((_GNU, (",",)), (_GNU_ONLY, ()))),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance "
+                   "with the License."),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+            "documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the "
+            "rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit "
+            "persons to whom the Software is furnished to do so, subject to the following conditions:"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
+            "provided that the above copyright notice and this permission notice appear in all copies."),
+    ("Zlib", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter "
+             "it and redistribute it freely, subject to the following restrictions:"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
+                     "products derived from this software without specific prior written permission."),
+    ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that "
+            "the following conditions are met:"),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not "
+                "distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    ("GPL", "GNU GENERAL PUBLIC LICENSE"), ("GPL", "Licensed under the GNU General Public License."), ("GPL", "Licensed under the GPL."),
+    ("LGPL", "GNU LESSER GENERAL PUBLIC LICENSE"), ("LGPL", "Licensed under the GNU Lesser General Public License."),
+    ("LGPL", "Licensed under the LGPL."),
+    ("AGPL", "GNU AFFERO GENERAL PUBLIC LICENSE"), ("AGPL", "Licensed under the GNU Affero General Public License."),
+    ("AGPL", "Licensed under the AGPL."),
+)
+#: Words that name a license alone.
+LONE = frozenset("gplv2 gplv3 lgplv2.1 lgplv3 agplv3 gpl lgpl agpl cc0".split())
+#: Licenses named only if a file has no other: those without version or clauses.
+WEAK = ("AGPL", "BSD", "GPL", "LGPL")
 #: Words one of which a statement must hold to be compared by the oracle.
 ANCHORS = ("license", "licensed", "licence", "licenced", "spdx", "permission", "cc0", "cc", "mit", "gnu", "bsd", "apache",
            "mozilla", "affero")
@@ -70,17 +143,36 @@ _WORDS = r"[a-z0-9]+(?:\.[0-9]+)*"
 _LICENSE_FILE = r"(?i)(^|/)(license|licence|copying|notice)(\.[^/]*)?$"
 
 
-def template_weights(templates=TEMPLATES) -> tuple[list[tuple[int, str, float]], dict[str, float], float]:
+def template_weights(templates) -> tuple[list[tuple[int, str, float]], dict[str, float], float]:
     """``(template, word, weight / norm)`` rows, the inverse document frequency
-    of template words, and that of all others."""
+    of template words in ``ORACLE_TEMPLATES`` (phrasings of one license do not
+    make its words common), and that of all others."""
     bags = [Counter(re.findall(_WORDS, t.lower())) for _, t in templates]
-    df = Counter(w for b in bags for w in b)
-    idf = {w: math.log((1 + len(bags)) / (1 + n)) + 1 for w, n in df.items()}
+    base = [set(re.findall(_WORDS, t.lower())) for _, t in ORACLE_TEMPLATES]
+    df = Counter(w for b in base for w in b)
+    other = math.log(1 + len(base)) + 1
+    idf = {w: math.log((1 + len(base)) / (1 + df[w])) + 1 for b in bags for w in b}
     rows = []
     for i, b in enumerate(bags):
         norm = math.sqrt(sum((c * idf[w]) ** 2 for w, c in b.items()))
         rows += [(i, w, c * idf[w] / norm) for w, c in sorted(b.items())]
-    return rows, idf, math.log(1 + len(bags)) + 1
+    return rows, idf, other
+
+
+def _lone(templates) -> set[int]:
+    """Templates, but for the oracle's, that a single ordinary word reaches."""
+    return {t for t, w, x in template_weights(templates)[0] if x >= SIMILAR and w not in LONE and templates[t] not in ORACLE_TEMPLATES}
+
+
+def _templates() -> tuple[tuple[str, str], ...]:
+    """All templates; of generated ones that a single word reaches, the SPDX lines only."""
+    spdx = tuple((n, f"SPDX-License-Identifier: {i}") for n, i in SPDX)
+    made = (*HEADERS, *((n, p.format(name)) for n, names in NAMES for name in names for p in PHRASES))
+    lone = _lone(made)
+    return tuple(dict.fromkeys((*ORACLE_TEMPLATES, *(m for i, m in enumerate(made) if i not in lone), *spdx)))
+
+
+TEMPLATES = _templates()
 
 
 def telling_words(templates=TEMPLATES) -> list[str]:
@@ -127,10 +219,17 @@ def _reaches(unit: Column, templates=TEMPLATES) -> Column:
 
 
 def statements(text: str, templates=TEMPLATES) -> Column:
-    """The statements of a text that hold a telling word."""
-    cut = F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"\n|(?<=[.!?;])[ \t]+")
+    """The statements of a text that hold a telling word: sentences of lines,
+    and blocks (lines up to one without a word, such as joined comment lines)
+    and their sentences."""
+    body = F.lower(F.coalesce(F.col(text), F.lit("")))
     holds = _holds(telling_words(templates))
-    return F.array_distinct(F.filter(cut, lambda s: s.rlike(holds)))
+    ends = r"(?<=[.!?;])[ \t]+"
+    told = lambda units: F.filter(units, lambda s: s.rlike(holds))
+    blocks = F.filter(told(F.split(body, r"\n(?:[^a-z0-9\n]*\n)+")), lambda b: b.contains("\n"))
+    joined = F.transform(blocks, lambda b: F.regexp_replace(b, r"\n[^a-z0-9\n]*", " "))
+    cut = F.concat(told(F.split(body, rf"\n|{ends}")), joined, told(F.flatten(F.transform(joined, lambda b: F.split(b, ends)))))
+    return F.array_distinct(cut)
 
 
 def own_licenses(df: DataFrame, path: str = "path", text: str = "text", templates=TEMPLATES) -> DataFrame:
@@ -152,10 +251,17 @@ def own_licenses(df: DataFrame, path: str = "path", text: str = "text", template
     bag = word.groupBy("__row", "__u", "w").agg(F.count(F.lit(1)).alias("tf"))
     bag = bag.withColumn("x", F.col("tf") * F.coalesce(_literal_map(sorted(idf.items()))[F.col("w")], F.lit(other)))
     norm = bag.groupBy("__row", "__u").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    dots = bag.join(weights, "w").groupBy("__row", "__u", "t").agg(F.sum(F.col("x") * F.col("weight")).alias("dot"))
+    dots = bag.join(weights, "w").groupBy("__row", "__u", "t").agg(
+        F.sum(F.col("x") * F.col("weight")).alias("dot"), F.count(F.lit(1)).alias("hits"))
+    lone = _lone(templates)
+    if lone:  # a word alone, such as a name in other use, is no statement
+        dots = dots.filter((F.col("hits") > 1) | ~F.col("t").isin(sorted(lone)))
     cosine = dots.join(norm, ["__row", "__u"]).withColumn("score", F.round(F.col("dot") / F.col("norm"), DIGITS))
     named = cosine.filter(F.col("score") >= SIMILAR).withColumn("license", F.array(*[F.lit(n) for n in names])[F.col("t")])
-    best = written(named.groupBy("__row").agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("b")))
+    # each statement names its most similar template's license, then the file takes the best of them
+    by_unit = named.groupBy("__row", "__u").agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("v"))
+    best = written(by_unit.groupBy("__row").agg(F.min(F.struct(
+        F.col("v.license").isin(*WEAK).alias("weak"), F.col("v.s").alias("s"), F.col("v.license").alias("license"))).alias("b")))
     out = marked.drop("__units").join(best, "__row", "left")
     return out.select(*[F.col(f"`{c}`") for c in plain.columns if c != text], F.col("b.license").alias("license"),
                       (-F.col("b.s")).alias("score"))
@@ -218,8 +324,8 @@ def op10_license(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    rows, idf, other = template_weights()
-    values = ", ".join(f"({t}, '{w}', {x!r}::DOUBLE, '{TEMPLATES[t][0]}')" for t, w, x in rows)
+    rows, idf, other = template_weights(ORACLE_TEMPLATES)
+    values = ", ".join(f"({t}, '{w}', {x!r}::DOUBLE, '{ORACLE_TEMPLATES[t][0]}')" for t, w, x in rows)
     idfs = ", ".join(f"('{w}', {x!r}::DOUBLE)" for w, x in sorted(idf.items()))
     anchors = "|".join(ANCHORS)
     return rf"""

@@ -523,7 +523,8 @@ def brute_license(text, templates):
     """License and score of the most similar statement; every statement is compared."""
     rows, idf, other = license.template_weights(templates)
     best = (license.SIMILAR, None)
-    for s in re.split(r"\n|(?<=[.!?;])[ \t]+", text.lower()):
+    text = text.lower()
+    for s in [*re.split(r"\n|(?<=[.!?;])[ \t]+", text), *[text] * ("\n" in text)]:
         bag = collections.Counter(re.findall(license._WORDS, s))
         x = {w: n * idf.get(w, other) for w, n in bag.items()}
         norm = sum(v * v for v in x.values()) ** 0.5
@@ -539,15 +540,35 @@ def test_op10_compares_statements_without_usual_license_words(spark):
              "This Source Code Form is subject to the terms of the MPL, v. 2.0.",
              "Permission is hereby granted,\nfree of charge, to any person obtaining a copy of this software",
              "the work is under version 3 of this", "subject 1.0b public 2.0dedicated domain", "universal domain, public domain",
-             *(" ".join(t.lower().split()[k::2]) for _, t in license.TEMPLATES for k in (0, 1))]
+             *(" ".join(t.lower().split()[k::2]) for _, t in license.ORACLE_TEMPLATES for k in (0, 1))]
     df = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "path string, text string")
-    got = {int(r.path): (r.license, r.score) for r in license.own_licenses(df).collect()}
+    got = {int(r.path): (r.license, r.score) for r in license.own_licenses(df, templates=license.ORACLE_TEMPLATES).collect()}
     assert [got[i][0] for i in range(4)] == ["CC0-1.0", "CC0-1.0", "MPL-2.0", "MIT"]
     for i, t in enumerate(texts):
-        name, score = brute_license(t, license.TEMPLATES)
+        name, score = brute_license(t, license.ORACLE_TEMPLATES)
         assert got[i] == (name, score and pytest.approx(score, abs=2e-6)), t
 
 
+def test_op10_names_usual_headers_and_license_files(spark):
+    gpl = ("# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public "
+           "License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version.")
+    mit = ("MIT License\n\nCopyright (c) 2020 A\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\n"
+           "of this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction")
+    bsd = ("Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following "
+           "conditions are met:")
+    third = ("\n\n3. Neither the name of the copyright holder nor the names of its\n   contributors may be used to endorse or promote products "
+             "derived from\n   this software without specific prior written permission.")
+    cases = [("Licensed under CC BY 4.0.", "CC-BY-4.0"), ("This work is licensed under CC BY-NC-ND 4.0.", "CC-BY-NC-ND-4.0"),
+             ("SPDX-License-Identifier: MPL-2.0", "MPL-2.0"), ("GNU GENERAL PUBLIC LICENSE", "GPL"), (gpl, "GPL-3.0"),
+             (gpl.replace("version 3", "version 2"), "GPL-2.0"), ("// SPDX-License-Identifier: GPL-2.0-only", "GPL-2.0"), (mit, "MIT"),
+             ("                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Preamble", "GPL-3.0"),
+             (bsd, "BSD"), (bsd + third, "BSD-3-Clause"), ("SPDX-License-Identifier: Foo-9.9", None), ("mit", None), ("Zlib", None),
+             ("The library of this town is open to the public on most days.", None)]
+    df = spark.createDataFrame([(str(i), t) for i, (t, _) in enumerate(cases)], "path string, text string")
+    got = {int(r.path): r.license for r in license.own_licenses(df).collect()}
+    assert [(t, got[i]) for i, (t, _) in enumerate(cases)] == cases
+
+
 @pytest.mark.parametrize("name", sorted(llm.ORACLE_SQL))
 def test_oracles(spark, name):
     con = duckdb.connect()
