@@ -4,10 +4,12 @@ Markup is stripped to lines, one per block element; what stands in menus,
 headers, footers, sidebars, notices, adverts, forms and reader comments counts
 as lines without text. The text lengths of ``WINDOW`` lines from each line on
 are summed: where the sum rises from nothing is a surge point, where it falls
-back to nothing a dive point, and the text between them is kept. If a page
-marks its article, lines outside have no length; if not, lines that are mostly
-links have none, and a run must reach ``PEAK`` (else the highest run is kept)
-or share its box with one that does.
+back to nothing a dive point, and the text between them is kept. Lines
+outside a marked article that are mostly links have no length. A run of a page
+without article must reach ``PEAK`` (else the highest run is kept) or share its
+box with one that does. If a page marks its article, a run outside must also
+reach the article's highest sum; articles lower than half of such a run (cards
+of other stories) go.
 
 Edge cases: null and empty html give the empty text; broken markup (unclosed
 comments, scripts or quotes) never fails, an unclosed wrapper of side matter
@@ -29,6 +31,8 @@ from .common import append_arrow, table
 
 #: Lines of a window, and the window sum that a run of a page without marked article must reach.
 WINDOW, PEAK = 3, 80
+#: Weight of a marked article's window sums against those of text outside.
+ARTICLE = 2
 #: Share of link text from which a line outside a marked article counts as a menu's.
 LINKS = 0.6
 
@@ -140,11 +144,8 @@ def lines(page: str) -> list[tuple[str, int, bool, int]]:
     return out
 
 
-def main_text(page: str | None) -> str:
-    """The main text of a page, one line per block."""
-    got = lines(page or "")
-    marked = any(line[2] for line in got)
-    length = [len(t) if t and (core if marked else links <= LINKS * len(t)) else 0 for t, links, core, _ in got]
+def _runs(length: list[int]) -> list[tuple[int, int, int]]:
+    """Runs from surge to dive point, with their highest window sum."""
     total = [sum(length[i:i + WINDOW]) for i in range(len(length))]
     runs, i = [], 0
     while i < len(length):
@@ -154,14 +155,32 @@ def main_text(page: str | None) -> str:
         surge = i
         while i < len(length) and total[i]:
             i += 1
-        runs.append((surge, i))  # i is the dive point
-    if not marked and runs:
-        peak = [max(total[a:b]) for a, b in runs]
-        high = [r for r, p in zip(runs, peak) if p >= min(PEAK, max(peak))]
+        runs.append((surge, i, max(total[surge:i])))  # i is the dive point
+    return runs
+
+
+def _chosen(got: list[tuple[str, int, bool, int]]) -> str:
+    core = [len(t) if c else 0 for t, _, c, _ in got]
+    free = [len(t) if t and not c and links <= LINKS * len(t) else 0 for t, links, c, _ in got]
+    inside, outside = _runs(core), _runs(free)
+    if inside:
+        # text outside counts if it is as high as the article, an article from half the height of such text on
+        top = max(p for *_, p in inside)
+        outside = [r for r in outside if r[2] >= max(PEAK, top)]
+        high = max((p for *_, p in outside), default=0)
+        inside = [r for r in inside if ARTICLE * r[2] >= high] if high else inside
+    elif outside:
+        high = [r for r in outside if r[2] >= min(PEAK, max(p for *_, p in outside))]
         # a short run in the box of a high one was only cut off by side matter
-        boxes = {got[i][3] for a, b in high for i in range(a, b) if length[i]}
-        runs = [r for r in runs if r in high or got[r[0]][3] in boxes]
-    return "\n".join(got[i][0] for a, b in runs for i in range(a, b) if length[i])
+        boxes = {got[i][3] for a, b, _ in high for i in range(a, b) if free[i]}
+        outside = [r for r in outside if r in high or got[r[0]][3] in boxes]
+    kept = sorted({i for runs, length in ((inside, core), (outside, free)) for a, b, _ in runs for i in range(a, b) if length[i]})
+    return "\n".join(got[i][0] for i in kept)
+
+
+def main_text(page: str | None) -> str:
+    """The main text of a page, one line per block."""
+    return _chosen(lines(page or ""))
 
 
 def extract(df: DataFrame, html: str = "html", text: str = "text") -> DataFrame:

@@ -502,6 +502,15 @@ def test_op9_edge_rows(spark):
     assert quality.judge(none, quality.bucket_weights(none, spark.createDataFrame([], "doc_id long"))).count() == 0
 
 
+def test_op7_window_sums_choose_on_pages_with_an_article():
+    story = "".join(f"<p>{n} {'a long sentence of the story itself ' * 4}</p>" for n in range(4))
+    cards = "".join(f"<article><h3>Other story {n}</h3></article>" for n in range(3))
+    got = extract.main_text(f"<body><div>{story}</div><section>{cards}</section></body>")
+    assert got.count("story itself") == 16 and "Other story" not in got
+    got = extract.main_text(f"<body><article>{story}</article><div>{story.replace('itself', 'goes on')}</div></body>")
+    assert got.count("story itself") == 16 and got.count("story goes on") == 16
+
+
 # ----------------------------------------------------------------- op 10
 
 def test_op10_inherits_from_the_nearest_directory(spark):
