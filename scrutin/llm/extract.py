@@ -9,7 +9,8 @@ outside a marked article that are mostly links have no length. A run of a page
 without article must reach ``PEAK`` (else the highest run is kept) or share its
 box with one that does. If a page marks its article, a run outside must also
 reach the article's highest sum; articles lower than half of such a run (cards
-of other stories) go.
+of other stories) go. An element that class, id or role names mark is dropped
+unless it holds all articles of the page, or nothing else has text.
 
 Edge cases: null and empty html give the empty text; broken markup (unclosed
 comments, scripts or quotes) never fails, an unclosed wrapper of side matter
@@ -60,6 +61,8 @@ _MARKS = frozenset(
     "comment comments disqus replies respond widget toolbar pagination pager contentinfo complementary skip".split())
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=]|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+#: Words after which a mark tells what a layout has or lacks.
+_QUALIFIERS = frozenset("has no with without non".split())
 _SPLIT = re.compile(r"[^a-z]+")
 
 
@@ -68,12 +71,29 @@ def _marked(attrs: str) -> bool:
         for name in "".join(groups).split():
             # camelCase and dashed names fall into words
             parts = _SPLIT.split(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower())
-            if not _MARKS.isdisjoint(parts):
-                return True
+            for before, part, after in zip(["", *parts], parts, [*parts[1:], ""]):
+                if part in _MARKS and before not in _QUALIFIERS and after != "free":
+                    return True
     return False
 
 
-def lines(page: str) -> list[tuple[str, int, bool, int]]:
+def _wraps(page: str, name: str, start: int, cores: list[int]) -> bool:
+    """Whether the element ``name`` whose content begins at ``start`` holds all
+    articles of the page, so it is a layout wrapper."""
+    if not cores or cores[0] < start:
+        return False
+    depth = 1
+    for m in _TOKEN.finditer(page, start):
+        if m.start() > cores[-1]:
+            return True
+        if (m[4] or m[7] or "").lower() == name and not (m[5] or m[8] or "").endswith("/"):
+            depth += -1 if m[3] or m[6] else 1
+            if not depth:
+                return False
+    return False
+
+
+def lines(page: str, marks: bool = True) -> list[tuple[str, int, bool, int]]:
     """The page as lines ``(text, characters of links, inside the marked
     article, number of the enclosing box)``; side matter gives ``WINDOW``
     empty lines."""
@@ -83,6 +103,7 @@ def lines(page: str) -> list[tuple[str, int, bool, int]]:
     links, link, core, pos = 0, False, 0, 0
     skip, depth = "", 0
     low = None
+    cores = [m.start() for m in _TOKEN.finditer(page) if not (m[3] or m[6]) and (m[4] or m[7] or "").lower() in _CORE]
 
     def flush():
         nonlocal links
@@ -115,7 +136,8 @@ def lines(page: str) -> list[tuple[str, int, bool, int]]:
         if name == "a":
             link = not closing
         if not closing and name not in _VOID and name not in _CORE and name not in ("html", "body") and (
-                name in _SIDE or name == "header" and not core or attrs and (_marked(attrs) or _HIDDEN.search(attrs))):
+                name in _SIDE or name == "header" and not core or attrs and (
+                    _HIDDEN.search(attrs) or marks and _marked(attrs) and not _wraps(page, name, pos, cores))):
             low = page.lower() if low is None else low
             if low.find(f"</{name}", pos) >= 0:  # else nothing says where it ends
                 flush()
@@ -131,7 +153,7 @@ def lines(page: str) -> list[tuple[str, int, bool, int]]:
                 elif len(boxes) > 1:
                     boxes.pop()
             if name in _CORE:
-                if not closing and attrs and _marked(attrs):
+                if not closing and attrs and marks and _marked(attrs):
                     low = page.lower() if low is None else low
                     if low.find(f"</{name}", pos) >= 0:
                         out += [("", 0, False, -1)] * WINDOW
@@ -180,7 +202,8 @@ def _chosen(got: list[tuple[str, int, bool, int]]) -> str:
 
 def main_text(page: str | None) -> str:
     """The main text of a page, one line per block."""
-    return _chosen(lines(page or ""))
+    # a page whose names mark all of its text is judged without them
+    return _chosen(lines(page or "")) or _chosen(lines(page or "", marks=False))
 
 
 def extract(df: DataFrame, html: str = "html", text: str = "text") -> DataFrame:

@@ -511,6 +511,14 @@ def test_op7_window_sums_choose_on_pages_with_an_article():
     assert got.count("story itself") == 16 and got.count("story goes on") == 16
 
 
+@pytest.mark.parametrize("tag", ["div class='layout has-sidebar'", "div class='site no-sidebar'", "div id='content-with-sidebar'",
+                                 "section class='post ad-free'", "div class='sidebar-layout'"])
+def test_op7_layout_wrappers_are_no_side_matter(tag):
+    end = tag.split()[0]
+    assert extract.main_text(f"<body><{tag}><article><p>x y</p></article><div class=sidebar>z</div></{end}></body>") == "x y"
+    assert extract.main_text(f"<body><{tag}><p>x y</p></{end}></body>") == "x y"
+
+
 # ----------------------------------------------------------------- op 10
 
 def test_op10_inherits_from_the_nearest_directory(spark):
