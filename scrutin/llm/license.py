@@ -207,15 +207,26 @@ def _literal_map(pairs) -> Column:
 
 def _reaches(unit: Column, templates=TEMPLATES) -> Column:
     """Whether a text of so many words inside and outside the collection can
-    reach ``SIMILAR``: its cosine is at most the share of the words inside in
-    its norm, those inside give their summed weight at most, each one outside
-    at least its own."""
-    _, idf, other = template_weights(templates)
+    reach ``SIMILAR``. A word inside adds at most its weight times its largest
+    weight in a template to the product; the norm is at least that of the words
+    outside, and this is least if each is as frequent as the others."""
+    rows, idf, other = template_weights(templates)
     least = (SIMILAR - 10 ** -DIGITS) ** 2
-    words = F.regexp_extract_all(unit, F.lit(f"({_WORDS})"))
-    inside = F.size(F.filter(words, lambda w: w.isin(sorted(idf)))).cast("double") * max(idf.values())
-    outside = F.size(F.filter(words, lambda w: ~w.isin(sorted(idf)))) * (other * other)
-    return inside * inside * (1 - least) >= outside * least
+    most: dict[str, float] = {}
+    for _, w, x in rows:
+        most[w] = max(most.get(w, 0.0), idf[w] * x)
+    light = sorted(w for w in most if w in COMMON)
+    heavy = sorted(w for w in most if w not in COMMON)
+
+    def can(words: Column) -> Column:
+        out = F.filter(words, lambda w: ~w.isin(sorted(idf)))
+        inside = (F.size(F.filter(words, lambda w: w.isin(light))) * max((most[w] for w in light), default=0.0)
+                  + F.size(F.filter(words, lambda w: w.isin(heavy))) * max((most[w] for w in heavy), default=0.0))
+        n = F.size(out).cast("double")
+        return inside * inside * F.size(F.array_distinct(out)) >= n * n * (least * other * other)
+
+    # an array of one, so the words are cut once
+    return F.exists(F.array(F.regexp_extract_all(unit, F.lit(f"({_WORDS})"))), can)
 
 
 def statements(text: str, templates=TEMPLATES) -> Column:
