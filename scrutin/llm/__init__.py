@@ -3,11 +3,11 @@ query. Nothing else in the package imports this subpackage."""
 
 from __future__ import annotations
 
-from . import (bpe, decontaminate, extract, license, minhash, mixing, negatives, quality, topk, toxicity,
-               urlfilter, warc)
+from . import (bpe, decontaminate, extract, license, minhash, mixing, negatives, quality, repair, topk,
+               toxicity, urlfilter, warc)
 
 MODULES = (minhash, mixing, toxicity, bpe, warc, topk, extract, urlfilter, quality, license,
-           decontaminate, negatives)
+           decontaminate, negatives, repair)
 
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}
