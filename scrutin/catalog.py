@@ -6,6 +6,8 @@ index derived from it) and runs over whole tables and whole texts.
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -104,6 +106,22 @@ def _ids(clause):
     return run
 
 
+def _on_records(clause, scored=False):
+    """A clause over the index that the record job builds."""
+    def run(spark, sf_dir):
+        from .plans.index import records_index_for
+        res = R.search(Q.Context(records_index_for(spark, sf_dir)), clause)
+        return res.select("ID", r6(F.col("score")).alias("score")) if scored else res.select("ID")
+    return run
+
+
+def q_b2_field_table(spark, sf_dir):
+    """All metadata fields of the record index, typed."""
+    from .plans.index import records_index_for
+    f = records_index_for(spark, sf_dir).fields
+    return f.select("ID", "key", "string", "long", F.expr("time div 1000000").alias("seconds"))
+
+
 def q_d8_phrase(spark, sf_dir):
     ctx = _ctx(spark, sf_dir)
     occ = Q.Phrase(PHRASE_TERMS).analyzed(ctx).occurrences(ctx)
@@ -850,6 +868,15 @@ QUERIES = {
     "d12_fuzzy": _ids(Q.Fuzzy(term="eriner", max_edits=1)),
     "d13_regexp": _ids(Q.Regexp(regex="t[io]+n[a-z]*")),
     "d14_range": _ids(Q.Range("size", 1000, 5000, include_lo=True, include_hi=False)),
+    "b2_field_table": q_b2_field_table,
+    "d3_metadata_key": _on_records(Q.FieldEquals("origin-lang", "de"), scored=True),
+    "d3_list_item": _on_records(Q.Bool(must=[Q.FieldEquals("tags-1", "src0"), Q.Term("from")],
+                                       must_not=[Q.FieldEquals("origin-lang", "de")]), scored=True),
+    "d14_string_range": _on_records(Q.Range("hash-sums-0-md5", "3", "a8", include_hi=False)),
+    "d14_metadata_number_range": _on_records(Q.Range("count-words", 100, 400, include_lo=False)),
+    "d14_date_range": _on_records(Q.Range("acquired", datetime.datetime(2011, 3, 20, tzinfo=datetime.UTC),
+                                          datetime.datetime(2011, 4, 2, 12, tzinfo=datetime.UTC), include_hi=False)),
+    "d14_core_date_range": _on_records(Q.Range("modified", datetime.datetime(2011, 3, 16, tzinfo=datetime.UTC), None)),
     "d15_boost": _scored(Q.Or(Q.Boost(Q.Term("from"), 2.0), Q.Term("des"))),
     "e1_tfidf_or": q_e1_tfidf,
     "e2_total_hits": q_e2_total_hits,

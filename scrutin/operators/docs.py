@@ -11,9 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import constants as K
 from ..functions.text import extension_of, html_to_text, is_unallocated, strip_control, tokens_of
 from ..functions.text import type_priority
+from .fields import leaves
 
 
 META_SCHEMA = ("path string, name struct<name: string>, "
@@ -45,45 +45,11 @@ def parse_metadata(records: DataFrame) -> DataFrame:
 
 
 def flatten_json(df: DataFrame, id_col: str, json_col: str) -> DataFrame:
-    """B2: flatten nested JSON into (id, key, value) with keys joined by '-'
-    and list positions as keys; numbers are truncated to integers, booleans
-    and nulls dropped; known keys are renamed. Every level is one lateral
-    explode of the values that are still objects or lists, written to the
-    shared folder; levels follow until no object or list is left, so the input
-    is read once and nesting may be of any depth."""
-    from ..session import materialize
-    kind = F.schema_of_variant("v")
-    # variant values cannot be written to every file format; their JSON text can
-    cur = df.select(F.col(id_col).alias("_id"), F.lit(None).cast("string").alias("key"),
-                    F.col(json_col).alias("js"))
-    leaves = None
-    while True:
-        row = cur.select("_id", "key", F.parse_json("js").alias("v")).withColumn("kind", kind)
-        obj = F.when(F.col("kind").startswith("OBJECT"), F.map_entries(F.col("v").cast("map<string,variant>")))
-        arr = F.when(F.col("kind").startswith("ARRAY"), F.transform(
-            F.col("v").cast("array<variant>"), lambda x, i: F.struct(i.cast("string").alias("key"), x.alias("value"))))
-        leaf = F.when(~F.col("kind").startswith("OBJECT") & ~F.col("kind").startswith("ARRAY") & F.col("key").isNotNull(),
-                      F.array(F.struct(F.lit(None).cast("string").alias("key"), F.col("v").alias("value"))))
-        each = row.select("_id", "key", F.explode(F.coalesce(obj, arr, leaf)).alias("e"))
-        each = each.select("_id", F.when(F.col("e.key").isNull(), F.col("key")).when(
-            F.col("key").isNull(), F.col("e.key")).otherwise(F.concat_ws("-", "key", "e.key")).alias("key"),
-            F.col("e.value").alias("v")).withColumn("kind", kind)
-        is_num = F.col("kind").isin("BIGINT", "DOUBLE", "FLOAT", "INT", "SMALLINT", "TINYINT") | F.col(
-            "kind").startswith("DECIMAL")
-        deeper = F.col("kind").startswith("OBJECT") | F.col("kind").startswith("ARRAY")
-        level = materialize(each.where(~F.col("kind").isin("BOOLEAN", "VOID")).select(
-            "_id", "key", F.when(deeper, F.to_json("v")).alias("js"), deeper.alias("deeper"),
-            F.when(is_num, F.col("v").cast("double").cast("long").cast("string"))
-            .when(F.col("kind") == "STRING", F.col("v").cast("string")).alias("value")))
-        done = level.where(~F.col("deeper")).select("_id", "key", "value")
-        leaves = done if leaves is None else leaves.unionByName(done)
-        cur = level.where("deeper").select("_id", "key", "js")
-        if cur.isEmpty():
-            break
-    ren = F.col("key")
-    for old, new in K.FIELD_RENAMES.items():
-        ren = F.when(F.col("key") == old, F.lit(new)).otherwise(ren)
-    return leaves.select(F.col("_id").alias(id_col), ren.alias("key"), "value")
+    """B2: nested JSON as (id, key, value) with keys joined by '-' and list
+    places as keys; numbers are truncated to integers, booleans and nulls
+    dropped; known keys are renamed (see :func:`scrutin.operators.fields.leaves`)."""
+    return leaves(df, id_col, json_col).select(
+        id_col, "key", F.coalesce(F.col("long").cast("string"), "string").alias("value"))
 
 
 def scrape_text(content: Column) -> Column:
@@ -129,13 +95,21 @@ def to_documents(recs: DataFrame) -> DataFrame:
                        type_priority(F.col("extension")).alias("priority"))
 
 
-def records_to_docs(records: DataFrame, stop_terms: list[str], empty: str = "coded") -> DataFrame:
+def with_ids(records: DataFrame) -> DataFrame:
+    """Document ids of (seq, metadata, content) records: 2·seq for the file,
+    2·seq + 1 for its slack."""
+    return records.select("*", (F.col("seq") * 2).cast("string").alias("file_id"),
+                          (F.col("seq") * 2 + 1).cast("string").alias("slack_id"))
+
+
+def records_to_docs(records: DataFrame, stop_terms: list[str], empty: str = "coded", classifier=None) -> DataFrame:
     """The record → document job of batch and stream: (seq, metadata, content)
-    records become file documents (id 2·seq) and slack documents (2·seq + 1),
-    without those that B9 drops."""
-    r = records.select("*", (F.col("seq") * 2).cast("string").alias("file_id"),
-                       (F.col("seq") * 2 + 1).cast("string").alias("slack_id"))
-    return drop_empty(to_documents(parse_metadata(r)), stop_terms, empty)
+    records become file and slack documents, without those that B9 drops.
+    ``classifier`` names the type of a record's content; unallocated files
+    take its extension (B12–B14)."""
+    parsed = parse_metadata(with_ids(records))
+    docs = to_documents(parsed if classifier is None else classifier(parsed))
+    return drop_empty(docs, stop_terms, empty)
 
 
 def drop_empty(docs: DataFrame, stop_terms: list[str], mode: str = "coded") -> DataFrame:

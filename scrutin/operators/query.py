@@ -15,6 +15,7 @@ handful of rows (bounded by the query, not the data).
 
 from __future__ import annotations
 
+import datetime
 import math
 import re
 from dataclasses import dataclass, field
@@ -23,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import TOKEN_RE
+from . import fields as M
 from ..session import bounded_broadcast, literal_frame
 
 
@@ -222,25 +224,38 @@ class Terms(Clause):
         return _terms_df(ctx, self.terms)
 
 
+def _field_source(ctx: Context, name: str) -> DataFrame | None:
+    """The table with a column for a field; None for a metadata key."""
+    if name in ("cell", "som_x", "som_y", "som_cell_distance"):
+        if ctx.assignments is None:
+            raise ValueError("cell clauses need SOM assignments")
+        return ctx.assignments
+    if name in ctx.index.docs.columns:
+        return ctx.index.docs
+    if ctx.index.fields is None:
+        raise ValueError(f"the index has no field {name!r}: it was not built from records")
+    return None
+
+
 @dataclass
 class FieldEquals(Clause):
-    """D3: exact value of an untokenised field (ID, name, path, extension,
-    cell, …). Norms are off for such fields; tf is 1."""
+    """D3: exact value of an untokenised field: ID, name, path, extension,
+    cell …, or any metadata key (:mod:`scrutin.operators.fields`). Norms are
+    off for such fields; tf is 1."""
     field_name: str
     value: object
     boost: float = 1.0
 
-    def _src(self, ctx):
-        if self.field_name in ("cell", "som_x", "som_y", "som_cell_distance"):
-            if ctx.assignments is None:
-                raise ValueError("cell clauses need SOM assignments")
-            return ctx.assignments
-        return ctx.index.docs
+    def _ids(self, ctx):
+        src = _field_source(ctx, self.field_name)
+        if src is None:
+            return M.equals(ctx.index.fields, self.field_name, self.value)
+        return src.where(F.col(self.field_name) == F.lit(self.value)).select("ID")
 
     def _df(self, ctx):
-        key = ("field", self.field_name, str(self.value))
+        key = ("field", self.field_name, type(self.value).__name__, str(self.value))
         if key not in ctx._df_cache:
-            ctx._df_cache[key] = self._src(ctx).where(F.col(self.field_name) == F.lit(self.value)).count()
+            ctx._df_cache[key] = self._ids(ctx).count()
         return ctx._df_cache[key]
 
     def sum_sq(self, ctx):
@@ -248,8 +263,7 @@ class FieldEquals(Clause):
 
     def scores(self, ctx, qnorm):
         idf = ctx.idf(self._df(ctx))
-        return (self._src(ctx).where(F.col(self.field_name) == F.lit(self.value))
-                .select("ID", F.lit(idf * idf * self.boost * qnorm).alias("score")))
+        return self._ids(ctx).select("ID", F.lit(idf * idf * self.boost * qnorm).alias("score"))
 
 
 def Cell(cell) -> FieldEquals:
@@ -533,7 +547,8 @@ class Regexp(_DictClause):
 
 @dataclass
 class Range(Clause):
-    """Typed range on a document field (string, number or time)."""
+    """Typed range on a field or any metadata key: bounds of strings,
+    numbers, or dates and times (on the core times, which are seconds, too)."""
     field_name: str
     lo: object = None
     hi: object = None
@@ -541,21 +556,25 @@ class Range(Clause):
     include_hi: bool = True
     boost: float = 1.0
 
-    def condition(self) -> Column:
-        c = F.col(self.field_name)
-        cond = F.lit(True)
-        if self.lo is not None:
-            cond = cond & ((c >= F.lit(self.lo)) if self.include_lo else (c > F.lit(self.lo)))
-        if self.hi is not None:
-            cond = cond & ((c <= F.lit(self.hi)) if self.include_hi else (c < F.lit(self.hi)))
-        return cond
-
     def sum_sq(self, ctx):
         return self.boost ** 2
 
+    def _ids(self, ctx):
+        src = _field_source(ctx, self.field_name)
+        how = (self.lo, self.hi, self.include_lo, self.include_hi)
+        if src is None:
+            return M.within(ctx.index.fields, self.field_name, *how)
+        c = F.col(self.field_name)
+        if any(isinstance(x, datetime.date) for x in how) and self.field_name in ("created", "modified", "accessed"):
+            # bounds in whole seconds, so the filter reaches the files
+            lo, hi = (None if x is None else M.micros(x) for x in how[:2])
+            up = lambda x: -(-x // 1_000_000)
+            how = (None if lo is None else up(lo) if self.include_lo else lo // 1_000_000,
+                   None if hi is None else hi // 1_000_000 if self.include_hi else up(hi), *how[2:])
+        return src.where(M.between(c, *how)).select("ID")
+
     def scores(self, ctx, qnorm):
-        src = ctx.assignments if self.field_name == "som_cell_distance" else ctx.index.docs
-        return src.where(self.condition()).select("ID", F.lit(self.boost * qnorm).alias("score"))
+        return self._ids(ctx).select("ID", F.lit(self.boost * qnorm).alias("score"))
 
 
 def evaluate(ctx: Context, q: Clause | None) -> DataFrame:

@@ -1147,9 +1147,8 @@ def _h8():
 FROM (SELECT * FROM r ORDER BY score DESC, CAST(ID AS BIGINT) LIMIT 20) p""")
 
 
-@oracle("i1_streaming_ingest")
-def _i1():
-    """Term statistics of the records' file and slack texts. Every tenth
+def _record_bodies() -> str:
+    """Texts and tokens of the records' files and slack. Every tenth
     document's last 200 bytes are slack; a character that the cut splits is
     lost on both sides (its bytes become spaces)."""
     def text(x):
@@ -1157,7 +1156,7 @@ def _i1():
             x = f"regexp_replace({x}, {q(pattern)}, ' ', 'g')"
         return x
     plain = "regexp_replace({}, '[\\x00-\\x1f]', '', 'g')"
-    return with_ctes(f"""cut AS (SELECT doc_id, doc_id % 8 = 1 AS html, text,
+    return f"""cut AS (SELECT doc_id, doc_id % 8 = 1 AS html, text,
         CASE WHEN doc_id % 10 = 0 AND strlen(text) > 200 THEN strlen(text) - 200 END AS size FROM documents),
 kept AS (SELECT doc_id, MAX(k) AS k FROM (SELECT doc_id, text, size, unnest(range(greatest(length(text) - 201, 0), length(text) - 48)) AS k
          FROM cut WHERE size IS NOT NULL) WHERE strlen(substring(text, 1, CAST(k AS BIGINT))) <= size GROUP BY doc_id),
@@ -1168,11 +1167,82 @@ part AS (SELECT doc_id, html, CASE WHEN size IS NULL THEN text ELSE substring(te
          FROM cut JOIN kept USING (doc_id)),
 body AS (SELECT doc_id AS ID, CASE WHEN html THEN {text('t')} ELSE {plain.format('t')} END AS body FROM part),
 stops AS (SELECT DISTINCT lower(unnest({STOPS})) AS term),
-tok AS (SELECT ID, unnest(regexp_extract_all(lower(body), {q(TOKEN_RE)})) AS term FROM body)""",
-                     body="""SELECT term, COUNT(DISTINCT ID) AS df, COUNT(*) AS ttf FROM tok
+tok AS (SELECT ID, unnest(regexp_extract_all(lower(body), {q(TOKEN_RE)})) AS term FROM body)"""
+
+
+@oracle("i1_streaming_ingest")
+def _i1():
+    """Term statistics of the records' file and slack texts."""
+    return with_ctes(_record_bodies(), body="""SELECT term, COUNT(DISTINCT ID) AS df, COUNT(*) AS ttf FROM tok
 WHERE term NOT IN (SELECT term FROM stops) GROUP BY term""")
 
 
+def _described(body: str) -> str:
+    """Documents of the described records (slack and unallocated ones without
+    a token are dropped), their fields and the tokens that are no stop words."""
+    return with_ctes(_record_bodies(), f"""known AS (SELECT ID, term FROM tok WHERE term NOT IN (SELECT term FROM stops)),
+slot AS (SELECT ID AS n, ID >= 1000000000 AS slack, CASE WHEN ID >= 1000000000 THEN ID - 1000000000 ELSE ID END AS doc_id FROM body),
+rd AS (SELECT n, slack, CAST(doc_id * 2 + CASE WHEN slack THEN 1 ELSE 0 END AS VARCHAR) AS ID, d.*,
+         CASE WHEN doc_id % 10 = 0 AND strlen(text) > 200 THEN strlen(text) - 200 ELSE strlen(text) END AS msize,
+         md5(text) AS md5, epoch_ms((1300000000 + doc_id * 7200) * 1000) AS acquired
+       FROM slot JOIN documents d USING (doc_id)
+       WHERE NOT (slack OR doc_id % 5 = 4) OR n IN (SELECT ID FROM known)),
+dt AS (SELECT rd.ID, term, COUNT(*) AS tf FROM rd JOIN known k ON k.ID = rd.n GROUP BY ALL),
+len AS (SELECT ID, SUM(tf) AS len FROM dt GROUP BY ID),
+nd AS (SELECT COUNT(*) AS n FROM rd)""", body=body)
+
+
+@oracle("b2_field_table")
+def _b2_field_table():
+    def rows(key, string="NULL", long="NULL", seconds="NULL", keep="true"):
+        return (f"SELECT r.ID, '{key}' AS key, CAST({string} AS VARCHAR) AS string, CAST({long} AS BIGINT) AS long, "
+                f"CAST({seconds} AS BIGINT) AS seconds FROM rd r JOIN ev e ON e.ID = CAST(r.doc_id * 2 AS VARCHAR) WHERE {keep}")
+    parts = [rows("path", "e.path"), rows("name", "e.name || CASE WHEN slack THEN ':slack' ELSE '' END"),
+             rows("size", long="CASE WHEN slack THEN 200 ELSE msize END"),
+             *[rows(c, long=f"e.{c}", seconds=f"e.{c}") for c in ("modified", "created", "accessed")],
+             rows("origin-lang", "lang", keep="lang IS NOT NULL"), rows("origin-corpus", "source", keep="source IS NOT NULL"),
+             rows("tags-0", "lang", keep="lang IS NOT NULL"), rows("tags-1", "source", keep="source IS NOT NULL"),
+             rows("acquired", "strftime(acquired, '%Y-%m-%dT%H:%M:%SZ')", seconds="epoch(acquired)"),
+             rows("count-chars", long="n_chars", keep="n_chars IS NOT NULL"),
+             rows("count-words", long="n_chars // 4", keep="n_chars IS NOT NULL"), rows("hash-sums-0-md5", "r.md5")]
+    return _described("SELECT * FROM (" + "\nUNION ALL ".join(parts) + ")").replace("WITH cut", f"WITH {EVIDENCE}, cut", 1)
+
+
+@oracle("d3_metadata_key")
+def _d3_metadata_key():
+    return _described("""SELECT ID, round((SELECT 1 + ln(n / ((SELECT COUNT(*) FROM rd WHERE lang = 'de') + 1.0)) FROM nd), 6) AS score
+FROM rd WHERE lang = 'de'""")
+
+
+@oracle("d3_list_item")
+def _d3_list_item():
+    idf = "(SELECT 1 + ln(n / ((SELECT COUNT(*) FROM {}) + 1.0)) FROM nd)"
+    f, t = idf.format("rd WHERE source = 'src0'"), idf.format("dt WHERE term = 'from'")
+    return _described(f"""SELECT rd.ID, round((pow({f}, 2) + sqrt(tf) * pow({t}, 2) / sqrt(len)) / sqrt(pow({f}, 2) + pow({t}, 2)), 6) AS score
+FROM rd JOIN dt ON dt.ID = rd.ID AND term = 'from' JOIN len ON len.ID = rd.ID
+WHERE source = 'src0' AND (lang IS NULL OR lang <> 'de')""")
+
+
+@oracle("d14_string_range")
+def _d14_string():
+    return _described("SELECT ID FROM rd WHERE md5 >= '3' AND md5 < 'a8'")
+
+
+@oracle("d14_metadata_number_range")
+def _d14_number():
+    return _described("SELECT ID FROM rd WHERE n_chars // 4 > 100 AND n_chars // 4 <= 400")
+
+
+@oracle("d14_date_range")
+def _d14_date():
+    return _described("SELECT ID FROM rd WHERE acquired >= TIMESTAMP '2011-03-20' AND acquired < TIMESTAMP '2011-04-02 12:00:00'")
+
+
+@oracle("d14_core_date_range")
+def _d14_core_date():
+    return _described("SELECT ID FROM rd WHERE epoch_ms((1300086400 + doc_id * 3600) * 1000) >= TIMESTAMP '2011-03-16'")
+
+
 ORACLE_SQL.update({name: fn() for name, fn in _LATER.items()})
 ORACLE_SQL["e4_keyset_page"] = ORACLE_SQL["e4_page"]
 ORACLE_SQL["a6_doc_vectors_sink"] = ORACLE_SQL["g3_doc_vectors"]

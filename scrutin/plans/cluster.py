@@ -70,7 +70,7 @@ def open_cluster(ix: Index, cfg: S.SomConfig, path: str) -> ClusterResult:
 
 def cluster_for(ix: Index, cfg: S.SomConfig, rebuild: bool = False) -> ClusterResult:
     from .. import CODE_VERSION as __version__
-    key = hashlib.md5(f"{ix.path}|{sorted(asdict(cfg).items())}|{__version__}".encode()).hexdigest()[:16]
+    key = hashlib.md5(f"{ix.path}|{ix.version}|{sorted(asdict(cfg).items())}|{__version__}".encode()).hexdigest()[:16]
     path = scratch_path(ix.spark, "som", key)
     from .index import _BUILD_LOCK
     with _BUILD_LOCK:

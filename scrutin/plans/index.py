@@ -1,4 +1,5 @@
-"""A4/A5: build and open the index — parquet tables derived from ``docs``.
+"""A4/A5: build, extend and open the index — parquet tables derived from
+``docs``, kept as generations (see :mod:`scrutin.plans.generations`).
 
 Tables
 - ``docs``        core document fields (body kept; search pages prune it)
@@ -8,7 +9,9 @@ Tables
                                              is the document's field length
 - ``term_stats``  (term, df, ttf)
 - ``doc_stats``   (ID, length, sum_tf2, n_terms)
-- ``corpus``      one row: num_docs, num_terms, num_tokens
+- ``fields``      (ID, key, string, long, time)  all metadata keys, when the
+                                             index is built from records
+- ``keys``        (seq, digest)              the records an index holds
 
 Build cost: one shuffle of the text by (ID, chunk); postings are written
 from those partitions; term vectors shuffle by (ID, term), document and term
@@ -25,13 +28,15 @@ import threading
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators import analysis as A
-from ..session import materialize, scratch_path
+from ..operators import docs as D
+from ..operators import fields as M
+from ..session import scratch_path
 from ..sources.stoplist import stop_list
 from ..sources.tables import evidence_docs
-
-TABLE_NAMES = ("docs", "postings", "doc_terms", "term_stats", "doc_stats", "corpus")
+from . import generations as G
 
 
 @dataclass
@@ -44,84 +49,152 @@ class Index:
     term_stats: DataFrame
     doc_stats: DataFrame
     corpus: DataFrame
+    fields: DataFrame | None = None
+    manifest: dict | None = None
 
     def corpus_row(self):
-        """num_docs, num_terms, num_tokens as Python ints (one tiny row)."""
-        r = self.corpus.first()
-        return int(r["num_docs"]), int(r["num_terms"]), int(r["num_tokens"] or 0)
+        """num_docs, num_terms, num_tokens as Python ints (from the manifest)."""
+        return tuple(self.manifest[k] for k in ("num_docs", "num_terms", "num_tokens"))
 
     @property
     def id(self) -> str:
         """A5: index id = lower-case hex MD5 of its path."""
         return hashlib.md5(self.path.encode("utf-8")).hexdigest()
 
+    @property
+    def version(self) -> int:
+        """Rises with every write."""
+        return self.manifest["version"]
 
-def write_index(docs: DataFrame, stops: DataFrame, path: str, mode: str = "overwrite",
-                num_files: int | None = None) -> None:
-    """Write the index tables. ``mode='append'`` adds the documents that a
-    finished index does not hold yet (so a repeated append changes nothing);
-    statistics tables are then recomputed from all term vectors. An index
-    whose last write did not finish is refused: rebuild it.
 
-    The text is tokenised once: term vectors are aggregated from the written
-    postings and statistics from the written term vectors. In append mode
-    the appended documents' statistics are appended and term statistics are
-    recomputed from all term vectors.
-    """
+def _write_generation(docs: DataFrame, stops: DataFrame, path: str, name: str) -> dict:
+    """Write the index tables of ``docs`` (a table that was written before)
+    as generation ``name``; returns its totals. The text is tokenised once:
+    term vectors are aggregated from the written postings, statistics from the
+    written term vectors."""
     spark = docs.sparkSession
-    if mode == "append":
-        if not _built(spark, path):
-            raise RuntimeError(f"{path}: no finished index to append to")
-        docs = materialize(docs.join(spark.read.parquet(f"{path}/docs").select("ID"), "ID", "left_anti"))
-    _remove(spark, f"{path}/_BUILT")  # a failed write must not look like a finished one
-    toks = A.tokens(A.by_document(docs), stops)
-    docs.write.mode(mode).parquet(f"{path}/docs")
+
+    def put(df: DataFrame, table: str) -> DataFrame:
+        df.write.mode("overwrite").parquet(G.folder(path, name, table))
+        return spark.read.parquet(G.folder(path, name, table))
+
     # Tokens stay in their chunk partitions (no second shuffle, no hot-term
     # or hot-document skew); each file is sorted by term so row-group
     # min/max statistics prune a term lookup to a few row groups per file.
-    toks.sortWithinPartitions("term", "ID").write.mode(mode).parquet(f"{path}/postings")
-    # Term vectors are aggregated from the written postings (the text is
-    # tokenised once); the (ID, term) shuffle follows a map-side partial
-    # aggregation.
-    written = toks if mode == "append" else spark.read.parquet(f"{path}/postings")
+    postings = put(A.tokens(A.by_document(docs), stops).sortWithinPartitions("term", "ID"), "postings")
     # the new term vectors are written once (a lineage cut) and read twice
-    A.doc_terms(written).write.mode("overwrite").parquet(f"{path}/_staged_doc_terms")
-    new_dt = spark.read.parquet(f"{path}/_staged_doc_terms")
-    # per-document statistics are complete once a document's term vector is
-    # (documents are never split between appends)
-    A.doc_stats(new_dt).write.mode(mode).parquet(f"{path}/doc_stats")
+    vectors = put(A.doc_terms(postings), "_staged_doc_terms")
     # the field length travels with every term-vector row, so ranking needs
     # no per-query join with the document table; the join on ID is a build
     # step (a document with very many terms is a skewed key: AQE splits it)
-    ds = spark.read.parquet(f"{path}/doc_stats").select("ID", "length")
-    (new_dt.join(ds, "ID").sortWithinPartitions("term", "ID")
-     .write.mode(mode).parquet(f"{path}/doc_terms"))
-    dterms = spark.read.parquet(f"{path}/doc_terms")
-    tstats = A.term_stats(dterms)
-    tstats.sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/term_stats")
-    alld = spark.read.parquet(f"{path}/docs")
-    A.corpus_stats(alld, spark.read.parquet(f"{path}/term_stats")) \
-        .coalesce(1).write.mode("overwrite").parquet(f"{path}/corpus")
+    lengths = put(A.doc_stats(vectors), "doc_stats").select("ID", "length")
+    dterms = put(vectors.join(lengths, "ID").sortWithinPartitions("term", "ID"), "doc_terms")
+    tstats = put(A.term_stats(dterms).sortWithinPartitions("term"), "term_stats")
+    _remove(spark, G.folder(path, name, "_staged_doc_terms"))
+    tokens = tstats.agg(F.sum("ttf")).first()[0]
+    return {"num_docs": docs.count(), "num_tokens": tokens or 0}
+
+
+_TABLES = ["docs", "postings", "doc_terms", "term_stats", "doc_stats"]
+
+
+def write_index(docs: DataFrame, stops: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Write the index of ``docs``. ``mode='append'`` adds the documents that a
+    finished index does not hold yet (so a repeated append changes nothing) as
+    a further generation: only they are tokenised. A write that fails leaves
+    the last committed version as it was; of two writers of one version the
+    second raises :class:`generations.Conflict`. A path without a finished
+    index cannot be appended to."""
+    spark = docs.sparkSession
+    manifest, name = G.latest(spark, path), G.new_name()
+    if mode == "append":
+        if manifest is None or not _built(spark, path):
+            raise RuntimeError(f"{path}: no finished index to append to")
+        docs = docs.join(G.table(spark, path, manifest, "docs").select("ID"), "ID", "left_anti")
+    else:
+        old = manifest or G.EMPTY
+        manifest = {**G.EMPTY, "version": old["version"], "replaced": [g["name"] for g in old["generations"]]}
+    docs.write.parquet(G.folder(path, name, "docs"))
+    docs = spark.read.parquet(G.folder(path, name, "docs"))
+    if mode == "append" and docs.isEmpty():
+        return
+    totals = _write_generation(docs, stops, path, name)
+    G.add(spark, path, manifest, name, _TABLES, totals)
+    _touch(spark, f"{path}/_BUILT")
+
+
+def add_records(records: DataFrame, stops: DataFrame, path: str, classifier=None) -> dict:
+    """The record → index job of batch and stream: (seq, metadata, content)
+    records that the index at ``path`` does not hold yet become documents,
+    metadata fields, postings, term vectors and statistics of one further
+    generation; the index is made if there is none. A record is known by its
+    ``seq``: landed again, in the same or in another write, it changes nothing
+    (also with other content: the first one stays). Only stored records are
+    counted (B16). Returns the manifest.
+
+    ``classifier`` (:func:`scrutin.operators.filetype.classes`) gives
+    unallocated records their extension.
+    """
+    spark = records.sparkSession
+    manifest = G.latest(spark, path) or dict(G.EMPTY)
+    name = G.new_name()
+
+    def put(df: DataFrame, table: str) -> DataFrame:
+        df.write.mode("overwrite").parquet(G.folder(path, name, table))
+        return spark.read.parquet(G.folder(path, name, table))
+
+    digest = F.xxhash64("metadata", "content")
+    landed = records.select("seq", digest.alias("digest")).groupBy("seq").agg(
+        F.min("digest").alias("digest"), F.count(F.lit(1)).alias("times"))
+    known = G.table(spark, path, manifest, "keys")
+    if known is not None:
+        # files of keys are sorted: only those of the landed range are read
+        span = records.agg(F.min("seq"), F.max("seq")).first()
+        if span[0] is not None:
+            known = known.where(F.col("seq").between(span[0], span[1]))
+        landed = landed.join(known.select("seq"), "seq", "left_anti")
+    landed = put(landed.sortWithinPartitions("seq"), "keys")
+    got = landed.agg(F.count(F.lit(1)).alias("n"), F.max("times").alias("times")).first()
+    if not got["n"]:
+        _remove(spark, f"{path}/gen/{name}")
+        return manifest
+    fresh = records.withColumn("digest", digest).join(landed.select("seq", "digest"), ["seq", "digest"], "left_semi")
+    if got["times"] > 1:
+        fresh = fresh.dropDuplicates(["seq"])
+    # B16 counters observed while the documents are written (no extra pass)
+    from pyspark.sql import Observation
+    obs = Observation()
+    observed = fresh.observe(
+        obs, F.count(F.lit(1)).alias("files_read"),
+        F.sum(F.lit(16) + F.octet_length("metadata") + F.octet_length("content")).alias("bytes_read"),
+        F.sum(F.octet_length("content")).alias("file_bytes_read"))
+    stop_terms = [r["term"] for r in stops.collect()]  # configuration-sized
+    docs = put(D.records_to_docs(observed, stop_terms, classifier=classifier).drop("priority"), "docs")
+    counters = obs.get
+    parsed = D.parse_metadata(D.with_ids(fresh.drop("digest"))).drop("content")
+    kept = M.metadata_fields(parsed).join(docs.select("ID"), "ID", "left_semi")
+    put(M.ordered(kept), "fields")
+    totals = {**_write_generation(docs, stops, path, name), **{k: counters.get(k) or 0 for k in counters}}
+    manifest = G.add(spark, path, manifest, name, [*_TABLES, "fields", "keys"], totals)
     _touch(spark, f"{path}/_BUILT")
+    return manifest
+
+
+class IndexNotFound(LookupError):
+    """There is no finished index at a path."""
 
 
 def open_index(spark: SparkSession, path: str) -> Index:
-    """A5: the tables at ``path``. A streamed index keeps its statistics per
-    micro-batch; they are summed here (a filter on terms reaches the files)."""
-    from pyspark.sql import functions as F
-    t = {n: spark.read.parquet(f"{path}/{n}") for n in TABLE_NAMES}
-    if "batch_id" in t["term_stats"].columns:
-        t = {n: df.drop("batch_id") for n, df in t.items()}
-        t["term_stats"] = t["term_stats"].groupBy("term").agg(
-            F.sum("df").cast("long").alias("df"), F.sum("ttf").cast("long").alias("ttf"))
-        # distinct terms are counted over all batches, the rest adds up
-        terms = t["term_stats"].agg(F.count(F.lit(1)).alias("num_terms"))
-        sums = t["corpus"].agg(F.sum("num_docs").alias("num_docs"), F.sum("num_tokens").alias("num_tokens"))
-        t["corpus"] = sums.select("num_docs", F.lit(None).cast("long").alias("num_terms"), "num_tokens").unionByName(
-            terms.select(F.lit(None).cast("long").alias("num_docs"), "num_terms",
-                         F.lit(None).cast("long").alias("num_tokens"))).agg(
-            *[F.max(c).alias(c) for c in ("num_docs", "num_terms", "num_tokens")])
-    return Index(spark, path, *(t[n] for n in TABLE_NAMES))
+    """A5: the newest version of the index at ``path``. Opening reads the
+    manifest; nothing is aggregated."""
+    manifest = G.latest(spark, path)
+    if manifest is None or not manifest["generations"]:
+        raise IndexNotFound(path)
+    t = {n: G.table(spark, path, manifest, n) for n in ("docs", "postings", "doc_terms", "doc_stats", "fields")}
+    corpus = spark.read.schema("num_docs long, num_terms long, num_tokens long").json(
+        G._name(path, manifest["version"]))
+    return Index(spark, path, t["docs"], t["postings"], t["doc_terms"], G.dictionary(spark, path, manifest),
+                 t["doc_stats"], corpus, t["fields"], manifest)
 
 
 def _fs_path(spark: SparkSession, path: str):
@@ -158,6 +231,33 @@ def _built(spark: SparkSession, path: str) -> bool:
 _BUILD_LOCK = threading.RLock()
 
 
+def _build(spark: SparkSession, path: str, rebuild: bool, write) -> Index:
+    """The index at ``path``, written first if it is not there. Threads of a
+    process take turns; of several processes one commits, and the others take
+    its version."""
+    with _BUILD_LOCK:
+        if rebuild or not _built(spark, path):
+            try:
+                write()
+            except G.Conflict:
+                if not _built(spark, path):
+                    raise
+    return open_index(spark, path)
+
+
+def records_index_for(spark: SparkSession, sf_dir: str) -> Index:
+    """The index of the described records of ``sf_dir``, built by the record
+    job into the shared folder and reused."""
+    from .. import CODE_VERSION as __version__
+    from ..sources.records import described_records
+    from ..sources.tables import read_table
+    files = _files_key(spark, f"{sf_dir.rstrip('/')}/documents.parquet")
+    key = hashlib.md5(f"records|{sf_dir}|{__version__}|{files}".encode()).hexdigest()[:16]
+    path = scratch_path(spark, "index", key)
+    recs = described_records(read_table(spark, sf_dir, "documents"))
+    return _build(spark, path, False, lambda: add_records(recs, stop_list(spark), path))
+
+
 def index_for(spark: SparkSession, sf_dir: str, with_slack: bool = False,
               rebuild: bool = False) -> Index:
     """The index of the evidence view of ``sf_dir`` with the default stop
@@ -166,7 +266,5 @@ def index_for(spark: SparkSession, sf_dir: str, with_slack: bool = False,
     files = _files_key(spark, f"{sf_dir.rstrip('/')}/documents.parquet")
     key = hashlib.md5(f"{sf_dir}|{with_slack}|{__version__}|{files}".encode()).hexdigest()[:16]
     path = scratch_path(spark, "index", key)
-    with _BUILD_LOCK:  # one build per path even when queries run in threads
-        if rebuild or not _built(spark, path):
-            write_index(evidence_docs(spark, sf_dir, with_slack), stop_list(spark), path)
-    return open_index(spark, path)
+    return _build(spark, path, rebuild,
+                  lambda: write_index(evidence_docs(spark, sf_dir, with_slack), stop_list(spark), path))

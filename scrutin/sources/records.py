@@ -39,6 +39,21 @@ def records_view(documents: DataFrame) -> DataFrame:
     return ev.select(F.col("doc_id").cast("long").alias("seq"), meta.alias("metadata"), content.alias("content"))
 
 
+def described_records(documents: DataFrame) -> DataFrame:
+    """:func:`records_view` whose metadata has further keys, nested ones and
+    lists among them: origin, tags, the time of acquisition as text, counts
+    and a checksum, as a forensic tool writes them."""
+    d = documents.select(F.col("doc_id").alias("seq"), "lang", "source", "n_chars", F.md5("text").alias("md5"))
+    base = records_view(documents).join(d, "seq")
+    acquired = F.date_format(F.timestamp_seconds(F.lit(1300000000) + F.col("seq") * 7200), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    more = F.to_json(F.struct(
+        F.struct("lang", F.col("source").alias("corpus")).alias("origin"), F.array("lang", "source").alias("tags"),
+        acquired.alias("acquired"), F.struct(F.col("n_chars").alias("chars"), (F.col("n_chars") / 4).alias("words")).alias("count"),
+        F.struct(F.array(F.struct("md5")).alias("sums")).alias("hash"), (F.col("seq") % 3 == 0).alias("deleted")))
+    both = F.concat(F.expr("substring(metadata, 1, length(metadata) - 1)"), F.lit(","), F.expr("substring(more, 2)"))
+    return base.withColumn("more", more).select("seq", both.alias("metadata"), "content")
+
+
 # ------------------------------------------------------------------ A1 source
 
 class _FilePartition(InputPartition):

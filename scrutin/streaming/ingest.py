@@ -1,13 +1,14 @@
-"""Incremental ingest — records landing as parquet files are turned into
-documents, postings, term vectors and statistics and appended to an index that
-:func:`scrutin.plans.index.open_index` opens like a batch one.
-
-``foreachBatch`` is at-least-once: a replayed micro-batch rewrites its own
-``batch_id=`` partition of every table (dynamic partition overwrite), so
-replays are harmless. A batch is extracted once; each table is derived from
-the one written before it. Term and corpus statistics are kept per batch and
-summed when the index is opened. The stream's progress lives in a checkpoint
-under the shared folder.
+"""Incremental ingest — records landing as parquet files join the index by
+the same job as a batch of records (:func:`scrutin.plans.index.add_records`),
+so a streamed index opens and searches like a batch one.
+
+Each micro-batch is one generation and one version of the manifest. Full
+levels of generations are merged as part of the write, so the number of files
+stays bounded however many micro-batches there were, and opening the index
+aggregates nothing. ``foreachBatch`` is at-least-once: a replayed micro-batch,
+like a file landed twice, holds only records whose keys the index already has,
+and changes nothing. The stream's progress lives in a checkpoint under the
+shared folder.
 """
 
 from __future__ import annotations
@@ -15,43 +16,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import analysis as A
-from ..operators.docs import records_to_docs
+from ..plans import generations as G
+from ..plans.index import add_records, open_index
 
 RECORD_SCHEMA = "seq long, metadata string, content binary"
 
 
-def process_batch(stops: DataFrame, index_path: str):
-    stop_terms = [r["term"] for r in stops.collect()]  # configuration-sized
-
+def process_batch(stops: DataFrame, index_path: str, classifier=None):
     def run(batch: DataFrame, batch_id: int) -> None:
-        from pyspark.sql import Observation
-        spark = batch.sparkSession
-
-        def put(df: DataFrame, name: str) -> DataFrame:
-            """Write the batch's part of a table and read it back."""
-            part = df.withColumn("batch_id", F.lit(batch_id))
-            (part.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-             .partitionBy("batch_id").parquet(f"{index_path}/{name}"))
-            return (spark.read.schema(part.schema).parquet(f"{index_path}/{name}")
-                    .where(F.col("batch_id") == batch_id).drop("batch_id"))
-
-        # B16 counters observed while the documents are written (no extra pass)
-        obs = Observation(f"ingest_{batch_id}")
-        observed = batch.observe(
-            obs, F.count(F.lit(1)).alias("files_read"),
-            F.sum(F.lit(16) + F.octet_length("metadata") + F.octet_length("content")).alias("bytes_read"),
-            F.sum(F.octet_length("content")).alias("file_bytes_read"))
-        docs = put(records_to_docs(observed, stop_terms).drop("priority"), "docs")
-        counters = obs.get
-        put(spark.range(1).select(*[F.lit(int(counters.get(k) or 0)).cast("long").alias(k)
-                                    for k in ("files_read", "bytes_read", "file_bytes_read")]), "ingest_counters")
-        postings = put(A.tokens(A.by_document(docs), stops).sortWithinPartitions("term", "ID"), "postings")
-        vectors = put(A.doc_terms(postings), "_staged_doc_terms")
-        lengths = put(A.doc_stats(vectors), "doc_stats").select("ID", "length")
-        dterms = put(vectors.join(lengths, "ID").sortWithinPartitions("term", "ID"), "doc_terms")
-        tstats = put(A.term_stats(dterms).sortWithinPartitions("term"), "term_stats")
-        put(A.corpus_stats(docs, tstats), "corpus")
+        add_records(batch, stops, index_path, classifier)
     return run
 
 
@@ -67,12 +40,12 @@ def start_ingest(spark: SparkSession, landing_dir: str, index_path: str, checkpo
 
 
 def ingest_counters(spark: SparkSession, index_path: str) -> DataFrame:
-    """B16 totals over all micro-batches (one counter row per batch)."""
-    c = spark.read.parquet(f"{index_path}/ingest_counters")
-    return c.agg(*[F.sum(k).cast("long").alias(k) for k in ("files_read", "bytes_read", "file_bytes_read")])
+    """B16 totals over all records that the index holds."""
+    names = ("files_read", "bytes_read", "file_bytes_read")
+    manifest = G.latest(spark, index_path) or G.EMPTY
+    return spark.range(1).select(*[F.lit(manifest[k]).cast("long").alias(k) for k in names])
 
 
 def streamed_term_stats(spark: SparkSession, index_path: str) -> DataFrame:
     """(term, df, ttf) summed over the appended batches."""
-    from ..plans.index import open_index
     return open_index(spark, index_path).term_stats
