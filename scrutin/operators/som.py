@@ -5,17 +5,19 @@ winners of an epoch fixed, a cell whose neighbourhood received ``n`` documents,
 ``m_t`` of which contain term ``t``, becomes
 ``w'_t = (1−α)^n · w_t + (1 − (1−α)^n) · m_t / n`` (unchanged when n = 0).
 
-Per epoch
-1. the weight matrix (cells × features, bounded by the map configuration, never
-   by the data) is broadcast;
-2. ``mapInArrow`` finds each document's winner with numpy and pre-aggregates,
-   inside the task, document counts per winner and term counts per
-   (winner, term) — a hot cell costs one row per task;
-3. a ``groupBy`` finishes the counts — a table bounded by the map
-   (cells × features), never by the corpus;
-4. the square neighbourhood (two separable box sums) and the update are a
-   dense numpy step over that map-sized table; the weights are written to the
-   shared folder, which cuts lineage between epochs.
+The weights live in a table of blocks, (cell block, feature block, numbers),
+and never on the driver. Per epoch
+1. documents, dealt to groups of bounded size, meet each block of cells (all
+   its features); a task finds the nearest cell of the block with one matrix
+   product per thousand documents. With one block of cells the task counts its
+   winners at once, documents per cell and terms per (cell, feature); with
+   more, the nearest of all blocks is taken first;
+2. a ``groupBy`` finishes the counts, so a hot cell costs one row per task;
+3. each block of features (all its cells) takes its counts, sums them over the
+   square neighbourhoods by two-dimensional prefix sums, and updates its part
+   of the weights;
+4. the new blocks are written to the training folder. A job that starts again
+   with the same folder goes on behind the last epoch that was written whole.
 The same neighbourhood sums and update also exist as DataFrame operators
 (:func:`neighbourhood_sums`, :func:`update_weights`), checked against SQL.
 Only counts are aggregated, so results do not depend on partitioning.
@@ -33,19 +35,24 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
-from ..session import bounded_broadcast, default_parallelism, materialize
+from ..session import bounded_broadcast, default_parallelism, scratch_path
 
 
 def spread(vectors: DataFrame) -> DataFrame:
-    """Vectors over at least ``spark.sql.shuffle.partitions`` tasks. The
-    batch kernels run one BLAS thread per task, so a small table packed into
-    one file would otherwise be a single task; large inputs already have
-    enough splits and are left alone."""
-    n = default_parallelism(vectors.sparkSession)
-    return vectors.repartition(n) if vectors.rdd.getNumPartitions() < n else vectors
-
-# The broadcast weight matrix may not exceed this many bytes.
+    """A small table over ``spark.sql.shuffle.partitions`` tasks. The batch
+    kernels run one BLAS thread per task, so a table packed into one file would
+    otherwise be a single task; tables estimated above ``SPREAD_BYTES`` have
+    splits of their own and are not shuffled."""
+    size = int(str(vectors._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return vectors.repartition(default_parallelism(vectors.sparkSession)) if size <= SPREAD_BYTES else vectors
+
+
+#: Estimated bytes up to which a table is spread by a shuffle.
+SPREAD_BYTES = 256 << 20
+#: A matrix that is collected for inspection may not exceed this many bytes.
 MAX_MATRIX_BYTES = 2 << 30
+#: Bytes of a block of weights; documents that meet it at once.
+BLOCK_BYTES, GROUP_DOCS = 16 << 20, 1 << 16
 
 
 @dataclass(frozen=True)
@@ -139,10 +146,10 @@ def squared_norms(weights: DataFrame) -> DataFrame:
 
 
 def weight_matrix(weights: DataFrame, cfg: SomConfig, dims: int) -> np.ndarray:
-    """The (cells × dims) matrix as numpy, for broadcasting. Its size is the
-    map's memory floor, 8 bytes × features × height × width."""
+    """The (cells × dims) matrix as numpy, to inspect small maps: 8 bytes ×
+    features × height × width. Training and assignment do without it."""
     if 8 * cfg.cells * max(dims, 1) > MAX_MATRIX_BYTES:
-        raise ValueError("SOM weight matrix exceeds the broadcast bound")
+        raise ValueError("the weight matrix is too large to collect")
     tbl = weights.select("cell", "w").toArrow()
     mat = np.zeros((cfg.cells, dims), dtype=np.float64)
     cells = tbl.column("cell").to_numpy()
@@ -155,7 +162,7 @@ def weight_matrix(weights: DataFrame, cfg: SomConfig, dims: int) -> np.ndarray:
 # ------------------------------------------------------------ G8–G9 batch kernels
 
 def _nearest(mat: np.ndarray, s2: np.ndarray, offsets: np.ndarray, flat: np.ndarray,
-             chunk_docs: int = 1024):
+             chunk_docs: int = 1024, clip: bool = True):
     """Winner (lowest id on ties) and squared distance
     ``|x| + Σw² − 2·Σ_{t∈x} w_t`` for each non-empty document: the binary
     document vectors of a chunk are laid out densely and multiplied with the
@@ -175,8 +182,8 @@ def _nearest(mat: np.ndarray, s2: np.ndarray, offsets: np.ndarray, flat: np.ndar
         d = k[:, None] + s2[None, :] - 2.0 * (x @ wt)
         a = np.argmin(d, axis=1)
         win[i:j] = a
-        dist[i:j] = np.maximum(d[np.arange(j - i), a], 0.0)
-    return win, dist
+        dist[i:j] = d[np.arange(j - i), a]
+    return win, np.maximum(dist, 0.0) if clip else dist
 
 
 def _vectors_of(batch: pa.RecordBatch):
@@ -321,6 +328,7 @@ class TrainedMap:
     dims: int
     weights: DataFrame          # (cell, w)
     epochs: DataFrame           # G13: (epoch, alpha, radius, docs, matched)
+    blocks: DataFrame | None = None  # (cblock, fblock, w)
 
 
 def initial_matrix(cfg: SomConfig, dims: int) -> np.ndarray:
@@ -372,52 +380,251 @@ def matrix_frame(spark: SparkSession, mat: np.ndarray) -> DataFrame:
     return spark.createDataFrame(tbl)
 
 
+# ------------------------------------------------------------ blocked training
+
+@dataclass(frozen=True)
+class Blocks:
+    """How a map is cut: blocks of ``cells`` whole cells for the search,
+    blocks of ``features`` (64 blocks, or more) for the update; both hold
+    ``BLOCK_BYTES`` at most. Only the map decides, so a job that resumes on
+    another cluster reads the blocks that it finds."""
+    cfg: SomConfig
+    dims: int
+    cells: int
+    features: int
+
+    @classmethod
+    def of(cls, cfg: SomConfig, dims: int) -> Blocks:
+        cells = max(1, min(cfg.cells, BLOCK_BYTES // (8 * dims)))
+        features = max(1, min(-(-dims // 64), BLOCK_BYTES // (8 * cfg.cells)))
+        return cls(cfg, dims, cells, features)
+
+    @property
+    def cblocks(self) -> int:
+        return -(-self.cfg.cells // self.cells)
+
+    @property
+    def fblocks(self) -> int:
+        return -(-self.dims // self.features)
+
+    def cell_range(self, c: int) -> tuple[int, int]:
+        return c * self.cells, min((c + 1) * self.cells, self.cfg.cells)
+
+    def feature_range(self, f: int) -> tuple[int, int]:
+        return f * self.features, min((f + 1) * self.features, self.dims)
+
+    def rows(self, f: int, part: np.ndarray) -> pa.Table:
+        """Table rows of one feature block, given for all cells."""
+        cut = [self.cell_range(c) for c in range(self.cblocks)]
+        return pa.table({"cblock": pa.array(range(self.cblocks), pa.int32()),
+                         "fblock": pa.array([f] * self.cblocks, pa.int32()),
+                         "w": pa.array([np.ascontiguousarray(part[x:y]).tobytes() for x, y in cut], pa.binary())})
+
+    def cells_of(self, rows: pa.Table) -> np.ndarray:
+        """The (cells × features) matrix of one cell block from its rows."""
+        got = sorted(zip(rows.column("fblock").to_pylist(), rows.column("w").to_pylist()))
+        parts = []
+        for f, w in got:
+            x, y = self.feature_range(f)
+            parts.append(np.frombuffer(w, dtype=np.float64).reshape(-1, y - x))
+        return np.hstack(parts)
+
+
+_BLOCK = "cblock int, fblock int, w binary"
+
+
+def initial_blocks(spark: SparkSession, b: Blocks) -> DataFrame:
+    """G6 as blocks — the integer hash of :func:`initial_weights`."""
+    seed, cells = b.cfg.seed * 31, b.cfg.cells
+
+    def run(batches):
+        for batch in batches:
+            for f in batch.column(0).to_pylist():
+                idx = np.arange(*b.feature_range(f), dtype=np.int64)[None, :]
+                cell = np.arange(cells, dtype=np.int64)[:, None]
+                yield from b.rows(f, ((cell * 7919 + idx * 104729 + seed) % 1000003) / 1000003.0).to_batches()
+
+    return spark.range(0, b.fblocks, 1, b.fblocks).mapInArrow(run, _BLOCK)
+
+
+def blocks_from(weights: DataFrame, b: Blocks) -> DataFrame:
+    """(cell, w) rows as blocks: every block is one group of its numbers."""
+    def run(rows: pa.Table) -> pa.Table:
+        order = np.argsort(rows.column("cell").to_numpy())
+        lists = rows.column("part").combine_chunks()
+        part = lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)[order]
+        return pa.table({"cblock": pa.array([rows.column("cblock")[0].as_py()], pa.int32()),
+                         "fblock": pa.array([rows.column("fblock")[0].as_py()], pa.int32()),
+                         "w": pa.array([np.ascontiguousarray(part).tobytes()], pa.binary())})
+
+    cut = F.transform(F.sequence(F.lit(0), F.lit(b.fblocks - 1)),
+                      lambda f: F.struct(f.alias("f"), F.slice("w", f * b.features + 1, b.features).alias("part")))
+    rows = weights.select("cell", (F.col("cell") / b.cells).cast("int").alias("cblock"), F.explode(cut).alias("x"))
+    return rows.select("cell", "cblock", F.col("x.f").alias("fblock"), F.col("x.part").alias("part")).groupBy(
+        "cblock", "fblock").applyInArrow(run, _BLOCK)
+
+
+def cell_rows(blocks: DataFrame, b: Blocks) -> DataFrame:
+    """(cell, w array<double>) from blocks."""
+    def run(rows: pa.Table) -> pa.Table:
+        mat = b.cells_of(rows)
+        first = b.cell_range(rows.column("cblock")[0].as_py())[0]
+        return pa.table({"cell": pa.array(np.arange(first, first + len(mat), dtype=np.int32)),
+                         "w": pa.ListArray.from_arrays(np.arange(0, mat.size + 1, mat.shape[1], dtype=np.int32),
+                                                       np.ascontiguousarray(mat).ravel())})
+
+    return blocks.groupBy("cblock").applyInArrow(run, "cell int, w array<double>")
+
+
+def grouped(vectors: DataFrame, num_docs: int) -> tuple[DataFrame, int]:
+    """Non-empty vectors with their group, and the number of groups: about
+    ``GROUP_DOCS`` documents each, by hash of the id."""
+    groups = max(default_parallelism(vectors.sparkSession), -(-num_docs // GROUP_DOCS))
+    g = F.pmod(F.xxhash64("ID"), F.lit(groups)).cast("int")
+    return vectors.where(F.size("features") > 0).select("ID", "features", g.alias("grp")), groups
+
+
+def _meet(docs: DataFrame, groups: int, blocks: DataFrame, b: Blocks, kernel, schema: str) -> DataFrame:
+    """``kernel(vectors, matrix, first cell)`` for every group of documents and
+    every block of cells."""
+    every = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
+    left = docs.select("ID", "features", "grp", every(b.cblocks, "cblock"))
+    right = blocks.select("cblock", "fblock", "w", every(groups, "grp"))
+
+    def run(key, vec: pa.Table, rows: pa.Table) -> pa.Table:
+        mat = b.cells_of(rows) if len(vec) else None
+        return kernel(vec, mat, b.cell_range(key[0].as_py())[0])
+
+    return left.groupBy("cblock", "grp").cogroup(right.groupBy("cblock", "grp")).applyInArrow(run, schema)
+
+
+def _table(schema: list, columns: list) -> pa.Table:
+    return pa.table([pa.array(c, t) for c, (_, t) in zip(columns, schema)], names=[n for n, _ in schema])
+
+
+def _lists(vec: pa.Table):
+    col = vec.column("features").combine_chunks()
+    offsets = col.offsets.to_numpy()
+    return offsets - offsets[0], col.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def nearest_cells(docs: DataFrame, groups: int, blocks: DataFrame, b: Blocks) -> DataFrame:
+    """G9 over blocks: (ID, cell, distance) of the nearest cell, the lowest of
+    equals."""
+    schema = [("ID", pa.string()), ("cell", pa.int32()), ("distance", pa.float64())]
+
+    def kernel(vec, mat, first):
+        if not len(vec):
+            return _table(schema, [[], [], []])
+        win, dist = _nearest(mat, (mat * mat).sum(axis=1), *_lists(vec), clip=False)
+        return _table(schema, [vec.column("ID").to_pylist(), win + first, dist])
+
+    found = _meet(docs, groups, blocks, b, kernel, "ID string, cell int, distance double")
+    if b.cblocks > 1:
+        found = found.groupBy("ID").agg(F.min(F.struct("distance", "cell")).alias("m")).select("ID", "m.cell", "m.distance")
+    return found.select("ID", "cell", F.greatest("distance", F.lit(0.0)).alias("distance"))
+
+
+def block_counts(docs: DataFrame, groups: int, blocks: DataFrame, b: Blocks) -> DataFrame:
+    """Counts of one epoch, (winner, idx, cnt); idx = -1 counts documents."""
+    schema = [("winner", pa.int32()), ("idx", pa.int32()), ("cnt", pa.int64())]
+    dims = b.dims
+
+    def kernel(vec, mat, first):
+        if not len(vec):
+            return _table(schema, [[], [], []])
+        offsets, flat = _lists(vec)
+        win, _ = _nearest(mat, (mat * mat).sum(axis=1), offsets, flat)
+        win = win.astype(np.int64) * (dims + 1)
+        key, n = np.unique(np.concatenate([np.repeat(win, np.diff(offsets)) + flat + 1, win]), return_counts=True)
+        return _table(schema, [(key // (dims + 1)).astype(np.int32), (key % (dims + 1) - 1).astype(np.int32), n])
+
+    if b.cblocks == 1:  # each task counts its winners
+        got = _meet(docs, groups, blocks, b, kernel, "winner int, idx int, cnt long")
+        return got.groupBy("winner", "idx").agg(F.sum("cnt").alias("cnt"))
+    win = nearest_cells(docs, groups, blocks, b).select("ID", F.col("cell").alias("winner"))
+    each = docs.select("ID", "features").join(win, "ID").select(
+        "winner", F.explode(F.array_append("features", F.lit(-1))).alias("idx"))
+    return each.groupBy("winner", "idx").agg(F.count(F.lit(1)).alias("cnt"))
+
+
+def updated_blocks(blocks: DataFrame, counts: DataFrame, b: Blocks, alpha: float, radius: int) -> DataFrame:
+    """G10/G11 over blocks: each block of features is updated for all cells."""
+    cfg = b.cfg
+    fblock = F.when(F.col("idx") < 0, F.sequence(F.lit(0), F.lit(b.fblocks - 1))).otherwise(
+        F.array((F.col("idx") / b.features).cast("int")))
+    dealt = counts.select("winner", "idx", "cnt", F.explode(fblock).alias("fblock"))
+
+    def run(key, old: pa.Table, cnt: pa.Table) -> pa.Table:
+        f = key[0].as_py()
+        lo, hi = b.feature_range(f)
+        got = sorted(zip(old.column("cblock").to_pylist(), old.column("w").to_pylist()))
+        mat = np.vstack([np.frombuffer(w, dtype=np.float64).reshape(-1, hi - lo) for _, w in got])
+        idx = cnt.column("idx").to_numpy()
+        idx = np.where(idx < 0, idx, idx - lo)
+        local = pa.table({"winner": cnt.column("winner"), "idx": pa.array(idx), "cnt": cnt.column("cnt")})
+        return b.rows(f, epoch_update(mat, local, cfg, alpha, radius))
+
+    return blocks.groupBy("fblock").cogroup(dealt.groupBy("fblock")).applyInArrow(run, _BLOCK)
+
+
+def _finished(spark: SparkSession, path: str) -> int:
+    """The last epoch whose weights were written whole at ``path``, or -1."""
+    jvm = spark.sparkContext._jvm
+    last = -1
+    while True:
+        p = jvm.org.apache.hadoop.fs.Path(f"{path}/epoch-{last + 1:05d}/_SUCCESS")
+        if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+            return last
+        last += 1
+
+
 def train(vectors: DataFrame, cfg: SomConfig, dims: int, weights: DataFrame | None = None,
-          checkpoint: bool = True) -> TrainedMap:
-    """Run the epochs.
-
-    Each epoch makes one distributed pass over the document vectors (winner
-    search and count pre-aggregation in the tasks, a ``groupBy`` to finish);
-    the result is a count table bounded by the map (cells × features), from
-    which the neighbourhood sums and the update are one dense numpy step.
-    The weights of every epoch are written to the shared folder, so a
-    restarted job resumes from the last epoch instead of recomputing."""
+          path: str | None = None) -> TrainedMap:
+    """Run the epochs. The weights of every epoch are written to ``path``
+    (default: a folder of this call under the shared one), and epochs that are
+    there already are not run again: call it with the same path to resume."""
     spark = vectors.sparkSession
-    sc = spark.sparkContext
-    if 8 * cfg.cells * max(dims, 1) > MAX_MATRIX_BYTES:
-        raise ValueError("SOM weight matrix exceeds the broadcast bound")
-    run_id = uuid.uuid4().hex[:12]
-    mat = weight_matrix(weights, cfg, dims) if weights is not None else initial_matrix(cfg, dims)
-    from pyspark import StorageLevel
-    nz = spread(vectors.where(F.size("features") > 0)).persist(StorageLevel.MEMORY_AND_DISK)
-    stats = vectors.agg(F.count(F.lit(1)).alias("docs"), F.count_if(F.size("features") > 0)
-                        .alias("matched")).first()
-    rows = []
-    w = None
-    for e, (alpha, radius) in enumerate(cfg.schedule()):
-        bmat = sc.broadcast(mat)
-        counts = winner_counts(nz, bmat, dims).toArrow()
-        bmat.unpersist()
-        mat = epoch_update(mat, counts, cfg, alpha, radius)
-        w = matrix_frame(spark, mat)
-        if checkpoint:
-            w = materialize(w, f"som_{run_id}_{e}")
-        rows.append((e, float(alpha), int(radius), int(stats["docs"]), int(stats["matched"])))
-    if w is None:
-        w = matrix_frame(spark, mat)
-    nz.unpersist()
+    stats = vectors.agg(F.count(F.lit(1)).alias("docs"), F.count_if(F.size("features") > 0).alias("matched")).first()
+    plan = cfg.schedule()
     epochs = spark.createDataFrame(pa.table({
-        "epoch": pa.array([r[0] for r in rows], pa.int32()), "alpha": pa.array([r[1] for r in rows], pa.float64()),
-        "radius": pa.array([r[2] for r in rows], pa.int32()), "docs": pa.array([r[3] for r in rows], pa.int64()),
-        "matched": pa.array([r[4] for r in rows], pa.int64())}))
-    return TrainedMap(cfg, dims, w, epochs)
+        "epoch": pa.array(range(len(plan)), pa.int32()), "alpha": pa.array([a for a, _ in plan], pa.float64()),
+        "radius": pa.array([r for _, r in plan], pa.int32()), "docs": pa.array([stats["docs"]] * len(plan), pa.int64()),
+        "matched": pa.array([stats["matched"]] * len(plan), pa.int64())}))
+    if dims == 0:  # no feature terms: every document is an outlier
+        return TrainedMap(cfg, dims, initial_weights(spark, cfg, 0), epochs)
+    path = path or scratch_path(spark, "tables", spark.sparkContext.applicationId, f"som_{uuid.uuid4().hex[:12]}")
+    b = Blocks.of(cfg, dims)
+    docs, groups = grouped(vectors, stats["matched"])
+    from pyspark import StorageLevel
+    # dealt once; an epoch finds each group of documents where the last one left it
+    docs = docs.repartition(groups, "grp").persist(StorageLevel.MEMORY_AND_DISK)
+    done = _finished(spark, path)
+    w = spark.read.parquet(f"{path}/epoch-{done:05d}") if done >= 0 else \
+        initial_blocks(spark, b) if weights is None else blocks_from(weights, b)
+    for e, (alpha, radius) in list(enumerate(plan))[done + 1:]:
+        counts = block_counts(docs, groups, w, b)
+        updated_blocks(w, counts, b, alpha, radius).write.mode("overwrite").parquet(f"{path}/epoch-{e:05d}")
+        w = spark.read.parquet(f"{path}/epoch-{e:05d}")
+    docs.unpersist()
+    return TrainedMap(cfg, dims, cell_rows(w, b), epochs, w)
 
 
 def assign(vectors: DataFrame, trained: TrainedMap) -> DataFrame:
     """Final cell of every document (outliers included)."""
-    bmat = vectors.sparkSession.sparkContext.broadcast(
-        weight_matrix(trained.weights, trained.cfg, trained.dims))
-    return assign_cells(vectors, bmat, trained.cfg)
+    cfg, dims = trained.cfg, trained.dims
+    empty = vectors.where(F.size("features") == 0) if dims else vectors
+    out = empty.select("ID", F.lit("-1").alias("cell"), *[F.lit(None).cast("int").alias(c) for c in ("som_x", "som_y")],
+                       F.lit(None).cast("double").alias("som_cell_distance"))
+    if not dims:
+        return out
+    b = Blocks.of(cfg, dims)
+    docs, groups = grouped(vectors, vectors.count())
+    blocks = trained.blocks if trained.blocks is not None else blocks_from(trained.weights, b)
+    near = nearest_cells(docs, groups, blocks, b)
+    return near.select("ID", F.col("cell").cast("string").alias("cell"), (F.col("cell") % cfg.width).alias("som_x"),
+                       (F.col("cell") / cfg.width).cast("int").alias("som_y"),
+                       F.col("distance").alias("som_cell_distance")).unionByName(out)
 
 
 def cell_stats(assignments: DataFrame, cfg: SomConfig) -> DataFrame:

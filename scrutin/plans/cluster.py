@@ -42,8 +42,13 @@ class ClusterResult:
 
 
 def run_cluster(ix: Index, cfg: S.SomConfig, path: str) -> ClusterResult:
+    """Vectors, map and assignments at ``path``. A run that was stopped while
+    it trained is resumed behind its last whole epoch; a finished one is made
+    anew. The path belongs to one version of the index and one configuration."""
     spark = ix.spark
-    _remove(spark, f"{path}/_BUILT")  # a failed run must not look like a finished one
+    if _built(spark, path):
+        _remove(spark, f"{path}/_BUILT")  # a failed run must not look like a finished one
+        _remove(spark, f"{path}/training")
     num_docs = ix.corpus_row()[0]
     feats = S.feature_terms(ix.term_stats, num_docs, cfg)
     feats.write.mode("overwrite").parquet(f"{path}/features")
@@ -51,13 +56,13 @@ def run_cluster(ix: Index, cfg: S.SomConfig, path: str) -> ClusterResult:
     dims = feats.count()
     S.doc_vectors(ix.docs, ix.doc_terms, feats).write.mode("overwrite").parquet(f"{path}/doc_vectors")
     vec = spark.read.parquet(f"{path}/doc_vectors")
-    trained = S.train(vec, cfg, dims)
+    trained = S.train(vec, cfg, dims, path=f"{path}/training")
     trained.weights.write.mode("overwrite").parquet(f"{path}/som_weights")
     trained.epochs.write.mode("overwrite").parquet(f"{path}/epochs")
-    w = spark.read.parquet(f"{path}/som_weights")
-    S.assign(vec, S.TrainedMap(cfg, dims, w, trained.epochs)).write.mode("overwrite").parquet(
+    S.assign(vec, trained).write.mode("overwrite").parquet(
         f"{path}/assignments")
     _touch(spark, f"{path}/_BUILT")
+    _remove(spark, f"{path}/training")
     return open_cluster(ix, cfg, path)
 
 

@@ -21,9 +21,87 @@ def test_bounded_broadcast_hints_only_small_sides(spark):
 def test_weight_matrix_size_is_checked(spark):
     from scrutin.operators import som as S
     cfg = S.SomConfig(width=1000, height=1000)
-    vec = spark.createDataFrame([("1", [0])], "ID string, features array<int>")
     with pytest.raises(ValueError):
-        S.train(vec, cfg, dims=1000)
+        S.weight_matrix(S.initial_weights(spark, cfg, 1000), cfg, dims=1000)
+
+
+@pytest.fixture
+def map_data(spark):
+    from scrutin.operators import som as S
+    rng = __import__("random").Random(4)
+    cfg = S.SomConfig(width=5, height=4, max_radius=2, min_radius=0, max_alpha=0.3, min_alpha=0.1, iterations=4)
+    rows = [(str(i), sorted(rng.sample(range(11), rng.randrange(0, 6)))) for i in range(150)]
+    return cfg, spark.createDataFrame(rows, "ID string, features array<int>")
+
+
+def _map(spark, vec, cfg, **kw):
+    import numpy as np
+    from scrutin.operators import som as S
+    t = S.train(vec, cfg, 11, **kw)
+    cells = {r["ID"]: (r["cell"], r["som_x"], r["som_y"], r["som_cell_distance"] and round(r["som_cell_distance"], 9))
+             for r in S.assign(vec, t).collect()}
+    return np.round(S.weight_matrix(t.weights, cfg, 11), 9).tolist(), cells
+
+
+def test_map_of_many_blocks_equals_one_block(spark, monkeypatch, map_data):
+    """Blocks of three cells and of few features, and documents in many
+    groups: weights and assignments as with one block."""
+    from scrutin.operators import som as S
+    cfg, vec = map_data
+    whole = _map(spark, vec, cfg)
+    monkeypatch.setattr(S, "BLOCK_BYTES", 8 * 11 * 3)
+    monkeypatch.setattr(S, "GROUP_DOCS", 20)
+    b = S.Blocks.of(cfg, 11)
+    assert b.cblocks == 7 and b.fblocks == 11
+    assert _map(spark, vec, cfg) == whole
+    # a map that does not fit the bound of a collected matrix trains too
+    monkeypatch.setattr(S, "MAX_MATRIX_BYTES", 8)
+    assert S.train(vec, cfg, 11).weights.count() == cfg.cells
+    # weights that are given are cut to the same blocks
+    w = S.initial_weights(spark, cfg, 11)
+    assert sorted(map(tuple, S.cell_rows(S.blocks_from(w, b), b).collect())) == sorted(map(tuple, w.collect()))
+
+
+def test_training_against_the_dense_form(spark, map_data):
+    """Epochs as one dense step each, from the same counts."""
+    import numpy as np
+    from scrutin.operators import som as S
+    cfg, vec = map_data
+    mat = S.initial_matrix(cfg, 11)
+    for alpha, radius in cfg.schedule():
+        counts = S.winner_counts(vec, spark.sparkContext.broadcast(mat), 11).toArrow()
+        mat = S.epoch_update(mat, counts, cfg, alpha, radius)
+    assert np.allclose(mat, _map(spark, vec, cfg)[0], atol=1e-8)
+
+
+def test_training_resumes_behind_the_last_epoch(spark, tmp_path, monkeypatch, map_data):
+    from scrutin.operators import som as S
+    cfg, vec = map_data
+    whole, path, update, ran = _map(spark, vec, cfg), f"{tmp_path}/training", S.updated_blocks, []
+
+    def dies(*a):
+        ran.append(1)
+        if len(ran) == 3:
+            raise KeyboardInterrupt
+        return update(*a)
+
+    monkeypatch.setattr(S, "updated_blocks", dies)
+    with pytest.raises(KeyboardInterrupt):
+        S.train(vec, cfg, 11, path=path)
+    assert S._finished(spark, path) == 1
+    (tmp_path / "training" / "epoch-00002").mkdir()  # begun, not finished
+    assert _map(spark, vec, cfg, path=path) == whole
+    assert len(ran) == 5  # two epochs, the one that died, and the two that were left
+    assert _map(spark, vec, cfg, path=path) == whole and len(ran) == 5
+
+
+def test_a_map_without_feature_terms(spark):
+    from scrutin.operators import som as S
+    cfg = S.SomConfig(width=2, height=2)
+    vec = spark.createDataFrame([("1", []), ("2", [])], "ID string, features array<int>")
+    t = S.train(vec, cfg, 0)
+    assert sorted((r["ID"], r["cell"]) for r in S.assign(vec, t).collect()) == [("1", "-1"), ("2", "-1")]
+    assert t.weights.count() == 4 and t.epochs.count() == cfg.iterations
 
 
 def test_literal_frames_stay_in_the_jvm(spark):
