@@ -444,7 +444,7 @@ def initial_blocks(spark: SparkSession, b: Blocks) -> DataFrame:
                 cell = np.arange(cells, dtype=np.int64)[:, None]
                 yield from b.rows(f, ((cell * 7919 + idx * 104729 + seed) % 1000003) / 1000003.0).to_batches()
 
-    return spark.range(0, b.fblocks, 1, b.fblocks).mapInArrow(run, _BLOCK)
+    return spark.range(0, b.fblocks, 1, min(b.fblocks, default_parallelism(spark))).mapInArrow(run, _BLOCK)
 
 
 def blocks_from(weights: DataFrame, b: Blocks) -> DataFrame:
@@ -488,14 +488,16 @@ def _meet(docs: DataFrame, groups: int, blocks: DataFrame, b: Blocks, kernel, sc
     """``kernel(vectors, matrix, first cell)`` for every group of documents and
     every block of cells."""
     every = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
-    left = docs.select("ID", "features", "grp", every(b.cblocks, "cblock"))
+    # with one block of cells the documents stay where they were dealt to
+    keys = ["grp", "cblock"] if b.cblocks > 1 else ["grp"]
+    left = docs.select("ID", "features", "grp", every(b.cblocks, "cblock")) if b.cblocks > 1 else docs
     right = blocks.select("cblock", "fblock", "w", every(groups, "grp"))
 
     def run(key, vec: pa.Table, rows: pa.Table) -> pa.Table:
         mat = b.cells_of(rows) if len(vec) else None
-        return kernel(vec, mat, b.cell_range(key[0].as_py())[0])
+        return kernel(vec, mat, b.cell_range(key[1].as_py() if len(key) > 1 else 0)[0])
 
-    return left.groupBy("cblock", "grp").cogroup(right.groupBy("cblock", "grp")).applyInArrow(run, schema)
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, schema)
 
 
 def _table(schema: list, columns: list) -> pa.Table:
