@@ -644,24 +644,23 @@ def q_b17_display_times(spark, sf_dir):
 
 def _dump_dir(spark, sf_dir):
     import hashlib
-    import os
+    from . import CODE_VERSION
+    from .plans.index import _BUILD_LOCK, _built, _files_key, _touch
     from .session import scratch_path
     from .sources.records import write_dump
-    from . import CODE_VERSION
-    key = hashlib.md5(f"{os.path.abspath(sf_dir)}|{CODE_VERSION}".encode()).hexdigest()[:12]
-    path = scratch_path(spark, "dumps", key).replace("file:", "")
-    from .plans.index import _BUILD_LOCK
+    files = _files_key(spark, f"{sf_dir.rstrip('/')}/documents.parquet")
+    key = hashlib.md5(f"{sf_dir}|{CODE_VERSION}|{files}".encode()).hexdigest()[:12]
+    path = scratch_path(spark, "dumps", key)
     with _BUILD_LOCK:
-        if not os.path.exists(os.path.join(path, "_DONE")):
-            write_dump(_records(spark, sf_dir), path).collect()
-            open(os.path.join(path, "_DONE"), "w").close()
+        if not _built(spark, path):
+            write_dump(_records(spark, sf_dir), path).collect()  # names and counts of the files
+            _touch(spark, f"{path}/_BUILT")
     return path
 
 
 def _dump_records(spark, sf_dir):
-    from .sources.records import register
-    register(spark)
-    return spark.read.format("evidence_dump").load(_dump_dir(spark, sf_dir))
+    from .sources.records import read_dumps
+    return read_dumps(spark, _dump_dir(spark, sf_dir))
 
 
 def q_a1_dump_source(spark, sf_dir):

@@ -2,8 +2,12 @@
 
 The dump format is a plain sequence of records: 8-byte little-endian JSON
 size, the JSON, 8-byte little-endian content size, the content; no header or
-footer. A dump is not splittable, so the data source makes one input partition
-per dump file; a file that ends inside a record is an error.
+footer. Only the sizes tell where the next record begins, so a dump is read in
+two steps: a task per file walks the headers, skips what they announce and
+cuts the file into ranges of whole records; then every range is a task of its
+own that reads its bytes as Arrow batches. A file that ends inside a record is
+an error of the walk. Files are listed through Hadoop's file system and opened
+in the tasks through Arrow's (local folders, ``hdfs``, ``s3``, ``gs``, ``abfs``).
 
 ``records_view`` derives a record table from the driver's ``documents`` so
 every record operator runs over generated data: the metadata carries path,
@@ -13,17 +17,21 @@ size 200 bytes short of its content, which leaves a slack tail.
 
 from __future__ import annotations
 
-import os
+import io
+import itertools
+import re
 import struct
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from ..session import bounded_broadcast
+from ..session import bounded_broadcast, materialize
 from .tables import evidence_view
 
 RECORD_SCHEMA = "file string, idx long, metadata string, content binary"
+#: Bytes of a range, of a header read, and of a batch of records.
+RANGE_BYTES, HEADER_BYTES, BATCH_BYTES = 64 << 20, 1 << 16, 8 << 20
 
 
 def records_view(documents: DataFrame) -> DataFrame:
@@ -56,39 +64,102 @@ def described_records(documents: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ A1 source
 
-class _FilePartition(InputPartition):
-    def __init__(self, path: str):
-        super().__init__(path)
-        self.path = path
+def filesystem(path: str):
+    """Arrow's file system of a path, and the path inside it."""
+    from pyarrow import fs
+    return fs.FileSystem.from_uri(re.sub(r"^file:/+", "/", path))
 
 
-class _DumpReader(DataSourceReader):
-    def __init__(self, path: str):
-        self.path = path
+def dump_files(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """Names and lengths of the dump files at a path (a file or a folder)."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [(s.getPath(), s.getLen()) for s in fs.listStatus(p) if s.isFile()]
+    return sorted((f.toString(), n) for f, n in found if not f.getName().startswith((".", "_")))
 
-    def partitions(self):
-        p = self.path
-        files = sorted(os.path.join(p, f) for f in os.listdir(p)) if os.path.isdir(p) else [p]
-        return [_FilePartition(f) for f in files if not os.path.basename(f).startswith((".", "_"))]
 
-    def read(self, partition):
-        with open(partition.path, "rb") as fh:
-            for idx, (meta, content) in enumerate(read_records(fh)):
-                yield (partition.path, idx, meta, content)
+def walk(fh, length: int, range_bytes: int = RANGE_BYTES):
+    """``(first record, begin, end, records)`` of the ranges of whole records
+    in a dump of ``length`` bytes; reads headers only."""
+    held, at = b"", 0
 
+    def number(pos: int) -> int:
+        nonlocal held, at
+        if not at <= pos <= at + len(held) - 8:
+            fh.seek(pos)
+            held, at = fh.read(HEADER_BYTES), pos
+        if len(held) - (pos - at) < 8:
+            raise ValueError("evidence dump ends inside a record header")
+        (n,) = struct.unpack_from("<q", held, pos - at)
+        if n < 0:
+            raise ValueError("evidence dump holds a negative size")
+        return n
+
+    pos = begin = first = idx = 0
+    while pos < length:
+        content = pos + 8 + number(pos)
+        if content + 8 > length:
+            raise ValueError("evidence dump ends inside a record")
+        pos = content + 8 + number(content)
+        if pos > length:
+            raise ValueError("evidence dump ends inside record content")
+        idx += 1
+        if pos - begin >= range_bytes:
+            yield first, begin, pos, idx - first
+            first, begin = idx, pos
+    if pos > begin:
+        yield first, begin, pos, idx - first
+
+
+def dump_ranges(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """``(file, first, begin, end, records)``: ranges of whole records of about
+    ``range_bytes`` (a longer record is a range of its own)."""
+    files = dump_files(spark, path)
+    schema = "file string, first long, begin long, end long, records long"
+    if not files:
+        return spark.createDataFrame([], schema)
+
+    def run(batches):
+        for b in batches:
+            for file, length in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                fs, inner = filesystem(file)
+                with fs.open_input_file(inner) as fh:
+                    rows = [(file, *r) for r in walk(fh, length, range_bytes)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 5, [pa.string(), *[pa.int64()] * 4])],
+                    names=["file", "first", "begin", "end", "records"])
 
-class EvidenceDumpSource(DataSource):
-    """``spark.read.format("evidence_dump").load(path)``"""
+    return spark.createDataFrame(files, "file string, length long").repartition(len(files)).mapInArrow(run, schema)
 
-    @classmethod
-    def name(cls):
-        return "evidence_dump"
 
-    def schema(self):
-        return RECORD_SCHEMA
+def read_dumps(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """A1: ``(file, idx, metadata, content)`` of all records at a path, one
+    task per range."""
+    ranges = materialize(dump_ranges(spark, path, range_bytes))
 
-    def reader(self, schema):
-        return _DumpReader(self.options.get("path"))
+    def run(batches):
+        for b in batches:
+            for file, first, begin, n in zip(*(b.column(c).to_pylist() for c in ("file", "first", "begin", "records"))):
+                fs, inner = filesystem(file)
+                with fs.open_input_file(inner) as fh:
+                    fh.seek(begin)
+                    rows, size = [], 0
+                    buffered = io.BufferedReader(fh, BATCH_BYTES)
+                    for idx, (meta, content) in enumerate(itertools.islice(read_records(buffered), n), first):
+                        rows.append((file, idx, meta, content))
+                        size += len(content) + len(meta)
+                        if size >= BATCH_BYTES:
+                            yield batch(rows)
+                            rows, size = [], 0
+                    if rows:
+                        yield batch(rows)
+
+    def batch(rows):
+        kinds = [pa.string(), pa.int64(), pa.string(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)],
+                                          names=["file", "idx", "metadata", "content"])
+
+    return ranges.repartition(max(1, ranges.count())).mapInArrow(run, RECORD_SCHEMA)
 
 
 def read_records(fh):
@@ -116,33 +187,30 @@ def encode_record(meta: str, content: bytes) -> bytes:
     return struct.pack("<q", len(m)) + m + struct.pack("<q", len(content)) + bytes(content)
 
 
-def register(spark: SparkSession) -> None:
-    spark.dataSource.register(EvidenceDumpSource)
-
-
 def write_dump(records: DataFrame, directory: str) -> DataFrame:
     """Write one dump file per partition (records in ``seq`` order within
     the file) into ``directory`` on a shared file system; returns the
     (file, records) written."""
-    os.makedirs(directory, exist_ok=True)
+    directory = directory.rstrip("/")
 
     def run(batches):
-        import pyarrow as pa
         from pyspark import TaskContext
         ctx = TaskContext.get()
+        fs, inner = filesystem(directory)
+        fs.create_dir(inner, recursive=True)
         # deterministic name per partition, written under a temporary name and
         # renamed at the end: a retried task replaces, never duplicates
-        path = os.path.join(directory, f"part-{ctx.partitionId():05d}.dump")
-        tmp = os.path.join(directory, f".part-{ctx.partitionId():05d}-{ctx.attemptNumber()}.tmp")
+        path = f"{inner}/part-{ctx.partitionId():05d}.dump"
+        tmp = f"{inner}/.part-{ctx.partitionId():05d}-{ctx.attemptNumber()}.tmp"
         n = 0
-        with open(tmp, "wb") as fh:
+        with fs.open_output_stream(tmp) as fh:
             for b in batches:
                 metas = b.column(b.schema.get_field_index("metadata")).to_pylist()
                 contents = b.column(b.schema.get_field_index("content")).to_pylist()
                 for m, c in zip(metas, contents):
                     fh.write(encode_record(m, c or b""))
                     n += 1
-        os.replace(tmp, path)
+        fs.move(tmp, path)
         yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([n], pa.int64())],
                                          names=["file", "records"])
 

@@ -1,6 +1,8 @@
 """Properties: score ranges, map coverage, valid colouring, streamed = batch,
 independence from partitioning."""
 
+import io
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -178,6 +180,36 @@ def test_dump_source_round_trip_and_truncation(spark, tmp_path):
         list(read_records(io.BytesIO(data[:-3])))
 
 
+def test_one_dump_is_read_by_many_tasks(spark, tmp_path):
+    """Ranges of whole records, records longer than a range and than a header
+    read, empty ones, URIs; a file that is cut anywhere raises."""
+    from scrutin.sources import records as S
+    recs = [(f'{{"n": {i}}}', bytes([i]) * (200_000 if i in (3, 4) else i % 5)) for i in range(40)]
+    data = b"".join(S.encode_record(*r) for r in recs)
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "one.dump").write_bytes(data)
+    (tmp_path / "d" / "two.dump").write_bytes(S.encode_record("{}", b"\n"))
+    (tmp_path / "d" / "none.dump").write_bytes(b"")
+    (tmp_path / "d" / "_DONE").write_bytes(b"x")
+    for path in (str(tmp_path / "d"), f"file://{tmp_path}/d"):
+        df = S.read_dumps(spark, path, range_bytes=100)
+        assert df.rdd.getNumPartitions() >= 8
+        got = sorted((r["file"].rsplit("/", 1)[1], r["idx"], r["metadata"], bytes(r["content"])) for r in df.collect())
+        assert got == [("one.dump", i, *r) for i, r in enumerate(recs)] + [("two.dump", 0, "{}", b"\n")]
+    parts = [list(S.walk(io.BytesIO(data), len(data), n)) for n in (1, 1000, 1 << 30)]
+    for p in parts:
+        assert [x for r in p for x in range(r[0], r[0] + r[3])] == list(range(40))
+        assert p[0][1] == 0 and p[-1][2] == len(data) and all(a[2] == b[1] for a, b in zip(p, p[1:]))
+    assert [len(p) for p in parts] == [40, 3, 1]
+    whole = {r[2] for r in parts[0]} | {0}
+    for cut in {*range(60), *range(len(data) - 60, len(data))} - whole:
+        with pytest.raises(ValueError):
+            list(S.walk(io.BytesIO(data[:cut]), cut))
+    (tmp_path / "d" / "two.dump").write_bytes(data[:-3])
+    with pytest.raises(Exception, match="ends inside"):
+        S.read_dumps(spark, str(tmp_path / "d")).collect()
+
+
 def test_chunked_tokenising_equals_whole_documents(spark):
     """Huge documents are cut into chunks; positions and offsets must not
     change. A tiny chunk size forces many chunks per document."""
