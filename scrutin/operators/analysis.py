@@ -89,6 +89,11 @@ def remove_stops(tokens: DataFrame, stops: DataFrame) -> DataFrame:
     return tokens.join(bounded_broadcast(stops), "term", "left_anti")
 
 
+def _literal_terms(spark, terms) -> DataFrame:
+    from ..session import literal_frame
+    return literal_frame(spark, sorted(terms), "term")
+
+
 def tokens(docs: DataFrame, stops: DataFrame) -> DataFrame:
     """(ID, term, pos) after stop-word removal."""
     return remove_stops(raw_tokens(docs), stops).select("ID", "term", "pos")

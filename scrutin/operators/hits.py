@@ -1,13 +1,13 @@
 """Rank individual sentence hits with the 19-feature linear model.
 
 A hit is one sentence of a matching document that contains at least one query
-term. Only matching documents are split (semi-joined with the result set
-first, the id set broadcast when a count proves it small). Their text is cut
-into sentence-aligned chunks and shuffled once by (ID, chunk); sentence and
-piece offsets are windows within a chunk plus per-chunk bases, and the
-boundary scan between hit sentences runs within chunks plus per-chunk
-carries, so no document — however large — is a single task. The text work
-ends with one row per hit sentence, which is written to the shared folder.
+term. The index knows the sentence of every posting and keeps a table of
+sentences, so ranking reads the postings of the query's terms, groups them to
+hit sentences and fetches only those sentences' text, for the offsets of the
+matches and the snippet; bodies are not read. Hit rows are joined and scanned
+by (document, chunk of ``CHUNK_SENTENCES`` sentences), never by document alone:
+document values are copied to the chunks, boundaries run within chunks plus
+per-chunk carries, so no document — however large — is a single task.
 
 Query-sized values (the query's terms and their statistics) are fetched as a
 few rows and used as literals; the per-class score range (two rows, one per
@@ -23,14 +23,16 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions.text import DOT_MASK, SENTENCE_END, SENTENCE_RE, TOKEN_DOT_RE, TOKEN_OR_GAP_RE
-from ..functions.text import TOKEN_START_RE, html_escape
+from ..functions.text import TOKEN_START_RE, html_escape, tokens_of
 from ..functions.text import in_system_dir
 from ..session import bounded_broadcast, default_parallelism
 from . import query as Q
-from .analysis import CHUNK_CHARS, _add_bases
+from .analysis import CHUNK_CHARS, _add_bases, remove_stops
 
 # Above this many query terms the literal forms give way to joins.
 LITERAL_TERMS_MAX = 5000
+#: Sentences of a document that are joined and scanned together.
+CHUNK_SENTENCES = 4096
 
 
 @dataclass
@@ -97,10 +99,11 @@ def sentence_chunks(docs: DataFrame, chunk_chars: int = CHUNK_CHARS) -> DataFram
 
 
 def sentences(chunks: DataFrame) -> DataFrame:
-    """(ID, chunk, s_idx, sentence, s_start, s_end) — lossless sentence
-    pieces with their index and offsets in the whole body. A running sum of
-    lengths inside each chunk gives local offsets; documents longer than one
-    chunk add the chunk's base offset and sentence count."""
+    """(ID, chunk, s_idx, sentence, s_start, s_end, first_pos) — lossless
+    sentence pieces with their index and offsets in the whole body, and the
+    position of their first token (no token crosses the end of a sentence).
+    Running sums inside each chunk give local values; documents longer than
+    one chunk add the chunk's bases."""
     w = Window.partitionBy("ID", "chunk").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
 
     def local(ch):
@@ -111,83 +114,96 @@ def sentences(chunks: DataFrame) -> DataFrame:
             F.regexp_extract_all(masked, F.lit(SENTENCE_RE), 0)).alias("k", "piece"))
         s = s.withColumn("le", F.sum(F.length("piece")).over(w))
         taken = F.substring("own", F.col("le") - F.length("piece") + 1, F.length("piece"))
-        return s.withColumn("sentence", F.when(F.col("own").isNull(), F.replace("piece", F.lit(DOT_MASK), F.lit(".")))
-                            .otherwise(taken)).drop("own", "piece")
+        s = s.withColumn("sentence", F.when(F.col("own").isNull(), F.replace("piece", F.lit(DOT_MASK), F.lit(".")))
+                         .otherwise(taken)).drop("own", "piece")
+        n = F.size(tokens_of(F.col("sentence")))
+        return s.withColumn("n_tok", n).withColumn("toks", F.sum("n_tok").over(w))
 
-    def out(base_chars, base_sents):
+    def out(base_chars, base_sents, base_toks):
         return ["ID", "chunk", (base_sents + F.col("k")).cast("int").alias("s_idx"), "sentence",
                 (base_chars + F.col("le") - F.length("sentence")).cast("long").alias("s_start"),
-                (base_chars + F.col("le")).cast("long").alias("s_end")]
+                (base_chars + F.col("le")).cast("long").alias("s_end"),
+                (base_toks + F.col("toks") - F.col("n_tok")).cast("int").alias("first_pos")]
 
     # the multi-chunk filter is applied to the chunks, before any window,
     # so each document's text is split by exactly one of the branches
-    single = local(chunks.where(~F.col("multi"))).select(*out(F.lit(0), F.lit(0)))
-    multi = _add_bases(local(chunks.where(F.col("multi"))), {"chars": F.max("le"), "sents": F.max("k") + 1},
-                       ["ID", "chunk", "k", "sentence", "le", "base_chars", "base_sents"])
-    multi = multi.select(*out(F.coalesce("base_chars", F.lit(0)), F.coalesce("base_sents", F.lit(0))))
+    single = local(chunks.where(~F.col("multi"))).select(*out(F.lit(0), F.lit(0), F.lit(0)))
+    multi = _add_bases(local(chunks.where(F.col("multi"))),
+                       {"chars": F.max("le"), "sents": F.max("k") + 1, "toks": F.max("toks")},
+                       ["ID", "chunk", "k", "sentence", "le", "n_tok", "toks", "base_chars", "base_sents", "base_toks"])
+    multi = multi.select(*out(*[F.coalesce(f"base_{c}", F.lit(0)) for c in ("chars", "sents", "toks")]))
     return single.unionByName(multi)
 
 
-def matches(sents: DataFrame, stats: QueryTermStats) -> DataFrame:
-    """one row per occurrence of an indexed query term: (ID, s_idx,
-    term, tfidf, term_len, rel_start, rel_end, m_start, sentence, s_start,
-    s_end). With a small term set, sentences without any query term are
-    dropped before their pieces are exploded. Windows are partitioned by
-    (ID, chunk, s_idx), so the chunk partitioning is reused."""
+def sentence_table(docs: DataFrame, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
+    """The index table of sentences: (ID, s_idx, s_start, s_end, first_pos, sentence)."""
+    return sentences(sentence_chunks(docs.select("ID", "body"), chunk_chars)).select(
+        "ID", "s_idx", "s_start", "s_end", "first_pos", "sentence")
+
+
+def sentence_tokens(sents: DataFrame, stops: DataFrame) -> DataFrame:
+    """(ID, term, pos, s_idx): the postings of the sentences, stop words removed."""
+    toks = sents.select("ID", "s_idx", "first_pos", F.posexplode(tokens_of(F.col("sentence"))).alias("k", "term"))
+    return remove_stops(toks, stops).select("ID", "term", (F.col("first_pos") + F.col("k")).alias("pos"), "s_idx")
+
+
+def matches(postings: DataFrame, stats: QueryTermStats) -> DataFrame:
+    """(ID, s_idx, term, tfidf, term_len) per occurrence of an indexed
+    query term; a small term set is a filter that reaches the files."""
     if stats.present is not None:
-        # cheap superset test (substring containment) before exploding pieces;
-        # the exact token match is the join with the term table below
-        low = F.lower("sentence")
-        if not stats.present:
-            keep = F.lit(False)
-        elif len(stats.present) <= 64:
-            keep = F.lit(False)
-            for t in stats.present:
-                keep = keep | F.contains(low, F.lit(t))
-        else:
-            keep = F.exists(F.array(*[F.lit(t) for t in stats.present]), lambda t: F.contains(low, t))
-        sents = sents.where(keep)
-    pieces = sents.select("ID", "chunk", "s_idx", "sentence", "s_start", "s_end", F.posexplode(
-        F.regexp_extract_all("sentence", F.lit(TOKEN_OR_GAP_RE), 0)).alias("k", "piece"))
-    w = Window.partitionBy("ID", "chunk", "s_idx").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+        postings = postings.where(F.col("term").isin(stats.present) if stats.present else F.lit(False))
+        return postings.select("ID", "s_idx", "term").join(F.broadcast(stats.table), "term")  # LITERAL_TERMS_MAX rows
+    return postings.select("ID", "s_idx", "term").join(bounded_broadcast(stats.table), "term")
+
+
+def hit_sentences(m: DataFrame) -> DataFrame:
+    """F3/F18/F21 per hit sentence: distinct term set, highest tf-idf and byte
+    length among its terms. Partial aggregation runs before the shuffle."""
+    return m.groupBy("ID", "s_idx").agg(
+        F.sort_array(F.collect_set("term")).alias("terms"), F.greatest(F.lit(0.0), F.max("tfidf")).alias("max_hit_tfidf"),
+        F.max("term_len").alias("max_hit_len"))
+
+
+def passages(hits: DataFrame, sents: DataFrame) -> DataFrame:
+    """hit sentences with their place, the first and last match and
+    the highlighted snippet. The text is split where it was joined: hit
+    sentences are dealt by (ID, s_idx) before their pieces are exploded."""
+    h = hits.join(sents.drop("first_pos"), ["ID", "s_idx"]).repartition("ID", "s_idx")
+    pieces = h.select("*", F.posexplode(F.regexp_extract_all("sentence", F.lit(TOKEN_OR_GAP_RE), 0)).alias("k", "piece"))
+    w = Window.partitionBy("ID", "s_idx").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
     pieces = pieces.withColumn("rel_end", F.sum(F.length("piece")).over(w))
-    toks = pieces.where(F.col("piece").rlike(TOKEN_START_RE)).select(
-        "ID", "chunk", "s_idx", F.lower("piece").alias("term"),
-        (F.col("rel_end") - F.length("piece")).alias("rel_start"), "rel_end",
-        "sentence", "s_start", "s_end")
-    m = toks.join(bounded_broadcast(stats.table), "term")
-    return m.withColumn("m_start", F.col("s_start") + F.col("rel_start"))
-
-
-def passages(m: DataFrame) -> DataFrame:
-    """F3/F7/F18/F21 per hit sentence: first/last match start, distinct term
-    set, every matched term (for term frequencies), highest tf-idf and byte
-    length among its terms, and the highlighted snippet. Partial aggregation
-    runs before the (ID, s_idx) shuffle."""
-    per = m.groupBy("ID", "s_idx").agg(
-        F.first("chunk").alias("chunk"), F.first("s_start").alias("s_start"), F.first("s_end").alias("s_end"),
-        F.first("sentence").alias("sentence"),
-        F.min("m_start").alias("first_match"),
-        F.max("m_start").alias("last_match"),
-        F.sort_array(F.collect_set("term")).alias("terms"),
-        F.collect_list("term").alias("terms_all"),
-        F.greatest(F.lit(0.0), F.max("tfidf")).alias("max_hit_tfidf"),
-        F.max("term_len").alias("max_hit_len"),
+    # every token of the sentence that is a query term is among its terms
+    found = pieces.where(F.array_contains("terms", F.lower("piece"))).withColumn(
+        "rel_start", F.col("rel_end") - F.length("piece"))
+    per = found.groupBy("ID", "s_idx").agg(
+        *[F.first(c).alias(c) for c in ("s_start", "s_end", "sentence", "terms", "max_hit_tfidf", "max_hit_len")],
         F.array_sort(F.collect_list(F.struct("rel_start", "rel_end"))).alias("ms"))
-    return per.withColumn("snippet", snippet(F.col("sentence"), F.col("ms"))).drop("ms", "sentence")
+    return per.select(
+        "ID", "s_idx", "s_start", "s_end", "terms", "max_hit_tfidf", "max_hit_len",
+        (F.col("s_start") + F.element_at("ms", 1)["rel_start"]).alias("first_match"),
+        (F.col("s_start") + F.element_at("ms", -1)["rel_start"]).alias("last_match"),
+        snippet(F.col("sentence"), F.col("ms")).alias("snippet"))
 
 
-def term_frequencies(p: DataFrame) -> DataFrame:
-    """F17/F19 and the query-term parts of F15/F16: every occurrence of a
-    query term is a match, so a document's tf of a query term is the number
-    of its matches. Adds max_hit_tf, dot (Σtf), present and max_doc_tf."""
-    per_term = (p.select("ID", F.explode("terms_all").alias("term"))
-                .groupBy("ID", "term").agg(F.count(F.lit(1)).alias("tf")))
-    per_doc = per_term.groupBy("ID").agg(F.sum("tf").alias("dot"), F.count(F.lit(1)).alias("present"),
-                                         F.max("tf").alias("max_doc_tf"))
-    hit_tf = (p.select("ID", "s_idx", F.explode("terms").alias("term"))
-              .join(per_term, ["ID", "term"]).groupBy("ID", "s_idx").agg(F.max("tf").alias("max_hit_tf")))
-    return p.drop("terms_all").join(hit_tf, ["ID", "s_idx"]).join(per_doc, "ID")
+def term_frequencies(doc_terms: DataFrame, stats: QueryTermStats) -> DataFrame:
+    """F17 and the query-term parts of F15/F16 per document, from the term
+    vectors: dot (Σtf), present, max_doc_tf, and the tf of each query term."""
+    if stats.present is not None:
+        dt = doc_terms.where(F.col("term").isin(stats.present) if stats.present else F.lit(False))
+    else:
+        dt = doc_terms.join(bounded_broadcast(stats.table.select("term")), "term", "left_semi")
+    return dt.groupBy("ID").agg(
+        F.sum("tf").alias("dot"), F.count(F.lit(1)).alias("present"), F.max("tf").alias("max_doc_tf"),
+        F.map_from_entries(F.collect_list(F.struct("term", "tf"))).alias("tfs"))
+
+
+def by_chunk(hits: DataFrame, docs: DataFrame) -> DataFrame:
+    """Hit rows with the values of their document, joined by (ID, chunk):
+    each document's row is copied to its chunks that have hits, of which there
+    is one per ``CHUNK_SENTENCES`` sentences."""
+    hits = hits.withColumn("chunk", F.floor(F.col("s_idx") / CHUNK_SENTENCES).cast("int"))
+    chunks = hits.select("ID", "chunk").distinct()
+    return hits.join(docs.join(chunks, "ID"), ["ID", "chunk"])
 
 
 def snippet(sentence: Column, ms: Column) -> Column:
@@ -203,47 +219,6 @@ def snippet(sentence: Column, ms: Column) -> Column:
     return F.concat(F.array_join(F.transform(ms, part), ""), html_escape(tail))
 
 
-def _groups(df: DataFrame) -> DataFrame:
-    from .analysis import CHUNK_GROUP
-    return df.withColumn("grp", (F.col("chunk") / CHUNK_GROUP).cast("long"))
-
-
-def _next_chunk_first(cs: DataFrame) -> DataFrame:
-    """(ID, chunk, x_key, x_n, x_first): the first hit sentence of the next
-    chunk that has hits — a lead within groups of chunks, and for a group's
-    last chunk the first chunk of the next group (two levels: no window over
-    all chunks of one document)."""
-    g = _groups(cs).withColumn("f", F.struct("c_first_key", "c_first_n", "c_first_first"))
-    inner = Window.partitionBy("ID", "grp").orderBy("chunk")
-    local = g.select("ID", "chunk", "grp", F.lead("f").over(inner).alias("lf"))
-    gfirst = g.groupBy("ID", "grp").agg(F.min_by("f", "chunk").alias("gf"))
-    outer = Window.partitionBy("ID").orderBy("grp")
-    gnext = gfirst.select("ID", "grp", F.lead("gf").over(outer).alias("ngf"))
-    j = local.join(gnext, ["ID", "grp"], "left")
-    nf = F.coalesce("lf", "ngf")
-    return j.select("ID", "chunk", nf["c_first_key"].alias("x_key"), nf["c_first_n"].alias("x_n"),
-                    nf["c_first_first"].alias("x_first"))
-
-
-def _chunk_carries(agg: DataFrame) -> DataFrame:
-    """(ID, chunk, carry_next, carry_prev): min of ``c_next`` over later
-    chunks and max of ``c_prev`` over earlier chunks, in two levels (within
-    groups of chunks, then over group totals)."""
-    g = _groups(agg)
-    later = Window.partitionBy("ID", "grp").orderBy(F.col("chunk").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    earlier = Window.partitionBy("ID", "grp").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    local = g.select("ID", "chunk", "grp", F.min("c_next").over(later).alias("ln"),
-                     F.max("c_prev").over(earlier).alias("lp"))
-    tot = g.groupBy("ID", "grp").agg(F.min("c_next").alias("gn"), F.max("c_prev").alias("gp"))
-    glater = Window.partitionBy("ID").orderBy(F.col("grp").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    gearlier = Window.partitionBy("ID").orderBy("grp").rowsBetween(Window.unboundedPreceding, -1)
-    gt = tot.select("ID", "grp", F.min("gn").over(glater).alias("gln"), F.max("gp").over(gearlier).alias("glp"))
-    j = local.join(gt, ["ID", "grp"], "left")
-    # least/greatest skip nulls
-    return j.select("ID", "chunk", F.least("ln", "gln").alias("carry_next"),
-                    F.greatest("lp", "glp").alias("carry_prev"))
-
-
 def boundaries(p: DataFrame, body_len: Column) -> DataFrame:
     """Nearest term boundary before and after each hit sentence.
 
@@ -253,51 +228,51 @@ def boundaries(p: DataFrame, body_len: Column) -> DataFrame:
     offsets grow with the sentence index, so both are running min / max.
 
     Two levels, so a document with a huge number of hit sentences is not one
-    task: windows run within (ID, chunk); a per-chunk summary (one row per
-    chunk with hits) supplies the neighbour across a chunk edge and the
+    task: windows run within (ID, chunk); a summary of one row per chunk is
+    scanned by document and supplies the neighbour across a chunk edge and the
     carries from earlier and later chunks.
     """
     if "chunk" not in p.columns:
         p = p.withColumn("chunk", F.lit(0))
-    key = F.array_join("terms", "\u0001")
-    p = p.withColumn("tkey", key).withColumn("tn", F.size("terms"))
+    sets = F.struct(F.size("terms").alias("n"), F.array_join("terms", "\u0001").alias("key"), F.col("first_match").alias("first"))
     wc = Window.partitionBy("ID", "chunk").orderBy("s_idx")
-    p = (p.withColumn("l_key", F.lead("tkey").over(wc)).withColumn("l_n", F.lead("tn").over(wc))
-          .withColumn("l_first", F.lead("first_match").over(wc)))
-    # chunk summaries: the first hit sentence of every chunk with hits
+    p = p.withColumn("me", sets).withColumn("nxt", F.lead("me").over(wc))
+
+    def differ(a, b):
+        return F.coalesce((a["n"] > 1) | (b["n"] > 1) | (a["key"] != b["key"]), F.lit(False))
+
+    # boundaries between sentences of one chunk; the last one's is open
+    p = p.withColumn("b", differ(F.col("me"), F.col("nxt")))
     cs = p.groupBy("ID", "chunk").agg(
-        F.min_by("tkey", "s_idx").alias("c_first_key"), F.min_by("tn", "s_idx").alias("c_first_n"),
-        F.min("first_match").alias("c_first_first"))
-    p = p.join(_next_chunk_first(cs), ["ID", "chunk"], "left")
-    last = F.col("l_key").isNull()
-    n_key = F.when(last, F.col("x_key")).otherwise(F.col("l_key"))
-    n_n = F.when(last, F.col("x_n")).otherwise(F.col("l_n"))
-    p = (p.withColumn("nxt_first", F.when(last, F.col("x_first")).otherwise(F.col("l_first")))
-          .withColumn("b", F.coalesce((F.col("tn") > 1) | (n_n > 1) | (F.col("tkey") != n_key), F.lit(False))
-                      & n_key.isNotNull()))
-    # carries between chunks: nearest boundary after / before each chunk
-    agg = p.groupBy("ID", "chunk").agg(
-        F.min(F.when(F.col("b"), F.col("nxt_first"))).alias("c_next"),
-        F.max(F.when(F.col("b"), F.col("last_match"))).alias("c_prev"))
-    p = p.join(_chunk_carries(agg), ["ID", "chunk"], "left")
+        F.min_by("me", "s_idx").alias("head"), F.max_by("me", "s_idx").alias("tail"),
+        F.max("last_match").alias("tail_match"), F.min(F.when(F.col("b"), F.col("nxt.first"))).alias("in_next"),
+        F.max(F.when(F.col("b"), F.col("last_match"))).alias("in_prev"))
+    wd = Window.partitionBy("ID").orderBy("chunk")
+    cs = cs.withColumn("after", F.lead("head").over(wd))
+    cs = cs.withColumn("edge", differ(F.col("tail"), F.col("after")))
+    # least and greatest skip nulls
+    cs = (cs.withColumn("c_next", F.least("in_next", F.when(F.col("edge"), F.col("after.first"))))
+            .withColumn("c_prev", F.greatest("in_prev", F.when(F.col("edge"), F.col("tail_match")))))
+    later = Window.partitionBy("ID").orderBy(F.col("chunk").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    cs = cs.select("ID", "chunk", "edge", F.col("after.first").alias("after_first"), F.min("c_next").over(later).alias("carry_next"),
+                   F.max("c_prev").over(wd.rowsBetween(Window.unboundedPreceding, -1)).alias("carry_prev"))
+    p = p.join(cs, ["ID", "chunk"], "left")
+    last = F.col("nxt").isNull()
     # within the chunk: suffix minimum as a running minimum in descending
     # order, prefix maximum excluding the row — linear frames only
     fwd = Window.partitionBy("ID", "chunk").orderBy(F.col("s_idx").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    back = wc.rowsBetween(Window.unboundedPreceding, -1)
-    p = (p.withColumn("next_first", F.coalesce(F.min(F.when(F.col("b"), F.col("nxt_first"))).over(fwd),
-                                               F.col("carry_next")))
-          .withColumn("prev_last", F.coalesce(F.max(F.when(F.col("b"), F.col("last_match"))).over(back),
-                                              F.col("carry_prev"))))
+    opens = F.when(last & F.col("edge"), F.col("after_first")).when(F.col("b"), F.col("nxt.first"))
+    p = (p.withColumn("next_first", F.coalesce(F.min(opens).over(fwd), F.col("carry_next")))
+          .withColumn("prev_last", F.coalesce(F.max(F.when(F.col("b"), F.col("last_match"))).over(
+              wc.rowsBetween(Window.unboundedPreceding, -1)), F.col("carry_prev"))))
     dist = F.least(F.coalesce(F.col("first_match") - F.col("prev_last"), body_len),
                    F.coalesce(F.col("next_first") - F.col("first_match"), body_len))
-    return p.withColumn("distance", dist).drop(
-        "tkey", "tn", "l_key", "l_n", "l_first", "x_key", "x_n", "x_first", "carry_next", "carry_prev")
+    return p.withColumn("distance", dist).drop("me", "nxt", "b", "edge", "after_first", "carry_next", "carry_prev")
 
 
-def doc_features(docs: DataFrame, doc_stats: DataFrame, stats: QueryTermStats,
-                 ref_date_ms: int) -> DataFrame:
-    """F9–F14 per document, plus ``sum_tf2`` for F15 (the query-term parts
-    of F15–F17 come with the hit rows)."""
+def doc_features(docs: DataFrame, doc_stats: DataFrame, stats: QueryTermStats, ref_date_ms: int) -> DataFrame:
+    """F9–F14 per document, with its length and ``sum_tf2`` for F15 (the
+    query-term parts of F15–F17 are :func:`term_frequencies`)."""
     d = docs.join(doc_stats.select("ID", "sum_tf2"), "ID")
     alloc = ~F.col("is_unallocated")
 
@@ -325,7 +300,7 @@ def doc_features(docs: DataFrame, doc_stats: DataFrame, stats: QueryTermStats,
     high = low.isin(*K.HIGH_PRIORITY_TYPES)
     med = low.isin(*K.MED_PRIORITY_TYPES)
     return d.select(
-        "ID", "is_unallocated", "sum_tf2",
+        "ID", "is_unallocated", "sum_tf2", "body_len",
         ddiff("created").alias("f_created"), ddiff("modified").alias("f_modified"),
         ddiff("accessed").alias("f_accessed"),
         F.lit(0.0).alias("f_filename_direct"),
@@ -341,9 +316,11 @@ def _ratio(a: Column, b: Column) -> Column:
     return F.when(b == 0, F.lit(0.0)).otherwise(a / b)
 
 
-def hit_features(p: DataFrame, dfeat: DataFrame, stats: QueryTermStats) -> DataFrame:
-    """Per-hit features and the raw linear score."""
-    h = p.join(dfeat, "ID")
+def hit_features(h: DataFrame, stats: QueryTermStats) -> DataFrame:
+    """Per-hit features and the raw linear score of hit rows that
+    carry their document's features."""
+    tfs = F.col("tfs")
+    h = h.withColumn("max_hit_tf", F.array_max(F.transform("terms", lambda t: F.element_at(tfs, t)))).drop("tfs")
     blen = F.when(F.col("body_len") == 0, F.lit(1)).otherwise(F.col("body_len")).cast("double")
     nq = float(stats.n) if stats.n else 1.0
     h = h.select(
@@ -379,35 +356,33 @@ def normalize(h: DataFrame) -> DataFrame:
 
 def rank_hits(ctx: Q.Context, q: Q.Clause, ref_date_ms: int,
               results: DataFrame | None = None, materialize_raw: bool = True,
-              chunk_chars: int = CHUNK_CHARS) -> DataFrame:
+              chunk_chars: int | None = None) -> DataFrame:
     """Every hit of the query with its features, raw and normalised score.
 
-    Matching documents are cut into sentence-aligned chunks spread over tasks
-    (one huge matching document is split too); the text work ends with one
-    row per hit sentence, which is written to the shared folder. Term
-    frequencies, boundaries and features run on those rows; the raw-scored
-    hits are written once more, because the per-class range is a second pass.
+    Sentences and postings come from the index; with ``chunk_chars`` they are
+    cut anew from the bodies, in chunks of that size. Hit rows with their
+    snippets and document values are written to the shared folder once, as the
+    boundary scan reads them twice, and the raw-scored hits once more, because
+    the per-class range is a second pass.
     """
     from ..session import materialize
     ix = ctx.index
+    keep = materialize if materialize_raw else (lambda df: df)
     results = results if results is not None else Q.evaluate(ctx, q)
     stats = query_term_stats(ctx, Q.query_terms(ctx, q))
-    # the matching ids are broadcast when a count proves them small, so the
-    # document bodies are not shuffled for the semi-join
-    docs = ix.docs.join(bounded_broadcast(results.select("ID")), "ID", "left_semi")
-    p = passages(matches(sentences(sentence_chunks(docs.select("ID", "body"), chunk_chars)), stats))
-    if materialize_raw:
-        p = materialize(p)
-    meta = docs.drop("body")
-    p = term_frequencies(p).join(meta.select("ID", "body_len"), "ID")
-    if materialize_raw:
-        # read three times by the two-level boundary scan
-        p = materialize(p)
-    p = boundaries(p, F.col("body_len"))
-    dfeat = doc_features(meta.drop("body_len"), ix.doc_stats, stats, ref_date_ms)
-    raw = hit_features(p, dfeat, stats)
-    if materialize_raw:
-        raw = materialize(raw)
+    # written ids: the planner knows their size and broadcasts them if small
+    ids = keep(results.select("ID"))
+    docs = ix.docs.join(ids, "ID", "left_semi")
+    if chunk_chars is None:
+        sents, postings = ix.sentences.join(ids, "ID", "left_semi"), ix.postings
+    else:
+        from .analysis import _literal_terms
+        sents = sentence_table(docs, chunk_chars)
+        postings = sentence_tokens(sents, _literal_terms(ix.spark, ctx.stops))
+    hits = hit_sentences(matches(postings, stats).join(ids, "ID", "left_semi"))
+    dfeat = doc_features(docs.drop("body"), ix.doc_stats, stats, ref_date_ms).join(term_frequencies(ix.doc_terms, stats), "ID")
+    p = keep(by_chunk(passages(hits, sents), dfeat))
+    raw = keep(hit_features(boundaries(p, F.col("body_len")), stats))
     return normalize(raw)
 
 

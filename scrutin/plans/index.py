@@ -3,7 +3,8 @@
 
 Tables
 - ``docs``        core document fields (body kept; search pages prune it)
-- ``postings``    (ID, term, pos)            files sorted by (term, ID), so a
+- ``sentences``   (ID, s_idx, s_start, s_end, first_pos, sentence)
+- ``postings``    (ID, term, pos, s_idx)     files sorted by (term, ID), so a
                                              term filter reads few row groups
 - ``doc_terms``   (ID, term, tf, length)     sorted the same way; ``length``
                                              is the document's field length
@@ -13,8 +14,8 @@ Tables
                                              index is built from records
 - ``keys``        (seq, digest)              the records an index holds
 
-Build cost: one shuffle of the text by (ID, chunk); postings are written
-from those partitions; term vectors shuffle by (ID, term), document and term
+Build cost: one shuffle of the text by (ID, chunk); sentences are written
+from those partitions and postings from the sentences; term vectors shuffle by (ID, term), document and term
 statistics by ID and by term, each after a map-side partial aggregation; the
 field length is joined onto the term vectors once, at build time.
 Tables are written under the shared ``spark.checkpoint.dir`` (or a caller's
@@ -33,6 +34,7 @@ from pyspark.sql import functions as F
 from ..operators import analysis as A
 from ..operators import docs as D
 from ..operators import fields as M
+from ..operators import hits as H
 from ..session import scratch_path
 from ..sources.stoplist import stop_list
 from ..sources.tables import evidence_docs
@@ -49,6 +51,7 @@ class Index:
     term_stats: DataFrame
     doc_stats: DataFrame
     corpus: DataFrame
+    sentences: DataFrame
     fields: DataFrame | None = None
     manifest: dict | None = None
 
@@ -78,10 +81,11 @@ def _write_generation(docs: DataFrame, stops: DataFrame, path: str, name: str) -
         df.write.mode("overwrite").parquet(G.folder(path, name, table))
         return spark.read.parquet(G.folder(path, name, table))
 
-    # Tokens stay in their chunk partitions (no second shuffle, no hot-term
-    # or hot-document skew); each file is sorted by term so row-group
+    # Tokens stay with the splits of their sentences (no second shuffle, no
+    # hot-term or hot-document skew); each file is sorted by term so row-group
     # min/max statistics prune a term lookup to a few row groups per file.
-    postings = put(A.tokens(A.by_document(docs), stops).sortWithinPartitions("term", "ID"), "postings")
+    sents = put(H.sentence_table(docs), "sentences")
+    postings = put(H.sentence_tokens(sents, stops).sortWithinPartitions("term", "ID"), "postings")
     # the new term vectors are written once (a lineage cut) and read twice
     vectors = put(A.doc_terms(postings), "_staged_doc_terms")
     # the field length travels with every term-vector row, so ranking needs
@@ -95,7 +99,7 @@ def _write_generation(docs: DataFrame, stops: DataFrame, path: str, name: str) -
     return {"num_docs": docs.count(), "num_tokens": tokens or 0}
 
 
-_TABLES = ["docs", "postings", "doc_terms", "term_stats", "doc_stats"]
+_TABLES = ["docs", "sentences", "postings", "doc_terms", "term_stats", "doc_stats"]
 
 
 def write_index(docs: DataFrame, stops: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -190,11 +194,12 @@ def open_index(spark: SparkSession, path: str) -> Index:
     manifest = G.latest(spark, path)
     if manifest is None or not manifest["generations"]:
         raise IndexNotFound(path)
-    t = {n: G.table(spark, path, manifest, n) for n in ("docs", "postings", "doc_terms", "doc_stats", "fields")}
+    t = {n: G.table(spark, path, manifest, n) for n in ("docs", "sentences", "postings", "doc_terms", "doc_stats",
+                                                              "fields")}
     corpus = spark.read.schema("num_docs long, num_terms long, num_tokens long").json(
         G._name(path, manifest["version"]))
     return Index(spark, path, t["docs"], t["postings"], t["doc_terms"], G.dictionary(spark, path, manifest),
-                 t["doc_stats"], corpus, t["fields"], manifest)
+                 t["doc_stats"], corpus, t["sentences"], t["fields"], manifest)
 
 
 def _fs_path(spark: SparkSession, path: str):

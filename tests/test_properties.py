@@ -146,13 +146,40 @@ def test_filename_feature_is_the_same_for_any_number_of_terms(spark, monkeypatch
     assert few() == small and {v for _, v in small} == {0.0, 1.0}
 
 
+def test_postings_of_sentences_are_those_of_bodies(spark):
+    """Positions and sentences, in whole documents and in tiny chunks."""
+    from scrutin.catalog import _docs, _stops
+    from scrutin.operators import analysis as A
+    from scrutin.operators import hits as H
+    docs = _docs(spark, SF_SMALL)
+    want = sorted(map(tuple, A.tokens(A.by_document(docs), _stops(spark)).select("ID", "term", "pos").collect()))
+    for size in (60, 1 << 16):
+        sents = H.sentence_table(docs, size)
+        toks = H.sentence_tokens(sents, _stops(spark))
+        assert sorted(map(tuple, toks.select("ID", "term", "pos").collect())) == want
+    lost = toks.join(sents, ["ID", "s_idx"]).where(~F.contains(F.lower("sentence"), F.col("term")))
+    assert lost.count() == 0
+
+
+def test_hit_boundaries_do_not_depend_on_chunks(spark, monkeypatch):
+    """Chunks of a few sentences, in whole ranking runs."""
+    ctx = Q.Context(index_for(spark, SF_SMALL))
+    cols = ["ID", "s_idx", "next_first", "prev_last", "distance", "max_hit_tf", "dot", "raw_score"]
+    rows = lambda: sorted((tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in H.rank_hits(
+        ctx, Q.Terms(FLAGSHIP_TERMS), REF_DATE_MS).select(*cols).collect()), key=repr)
+    want = rows()
+    monkeypatch.setattr(H, "CHUNK_SENTENCES", 3)
+    assert rows() == want and any(r[2] for r in want)
+
+
 def test_matches_agree_with_the_index(spark):
     """The number of matches of a term in a document is its tf in the index."""
+    from scrutin.catalog import _stops
     ctx = Q.Context(index_for(spark, SF_SMALL))
     q = Q.Bool(should=[Q.Terms(["from", "example"]), Q.Regexp(regex=r".*\.[a-z0-9]+")])
-    p = H.passages(H.matches(H.sentences(H.sentence_chunks(ctx.index.docs.select("ID", "body"), 5000)),
-                             H.query_term_stats(ctx, Q.query_terms(ctx, q))))
-    got = p.select("ID", F.explode("terms_all").alias("term")).groupBy("ID", "term").agg(F.count(F.lit(1)).alias("tf"))
+    sents = H.sentence_table(ctx.index.docs, 5000)
+    m = H.matches(H.sentence_tokens(sents, _stops(spark)), H.query_term_stats(ctx, Q.query_terms(ctx, q)))
+    got = m.groupBy("ID", "term").agg(F.count(F.lit(1)).alias("tf"))
     want = ctx.index.doc_terms.join(Q.query_terms(ctx, q), "term", "left_semi").select("ID", "term", F.col("tf").cast("long").alias("tf"))
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0 and want.count() > 20
 
