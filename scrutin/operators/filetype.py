@@ -44,7 +44,7 @@ def byte_ngram_counts(docs: DataFrame, id_col: str = "ID", content_col: str = "c
                     [pa.array(out_id, pa.string()), pa.array(np.concatenate(out_f)),
                      pa.array(np.concatenate(out_c))], names=[id_col, "feature", "count"])
 
-    from .som import spread
+    from ..session import spread
     return spread(docs.select(F.col(id_col).cast("string").alias(id_col), content_col)).mapInArrow(
         run, f"{id_col} string, feature int, count long")
 

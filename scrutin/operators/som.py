@@ -35,20 +35,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
-from ..session import bounded_broadcast, default_parallelism, scratch_path
+from ..session import bounded_broadcast, default_parallelism, scratch_path, spread
 
 
-def spread(vectors: DataFrame) -> DataFrame:
-    """A small table over ``spark.sql.shuffle.partitions`` tasks. The batch
-    kernels run one BLAS thread per task, so a table packed into one file would
-    otherwise be a single task; tables estimated above ``SPREAD_BYTES`` have
-    splits of their own and are not shuffled."""
-    size = int(str(vectors._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return vectors.repartition(default_parallelism(vectors.sparkSession)) if size <= SPREAD_BYTES else vectors
-
-
-#: Estimated bytes up to which a table is spread by a shuffle.
-SPREAD_BYTES = 256 << 20
 #: A matrix that is collected for inspection may not exceed this many bytes.
 MAX_MATRIX_BYTES = 2 << 30
 #: Bytes of a block of weights; documents that meet it at once.

@@ -110,6 +110,18 @@ def default_parallelism(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions", "8")), 1)
 
 
+#: Estimated bytes up to which a table is spread by a shuffle.
+SPREAD_BYTES = 256 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table over ``spark.sql.shuffle.partitions`` tasks, where it may
+    be packed into one file and so into one task; tables estimated above
+    ``SPREAD_BYTES`` have splits of their own and are not shuffled."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(default_parallelism(df.sparkSession)) if size <= SPREAD_BYTES else df
+
+
 # Rows below which a side may be broadcast; sides are counted before they are
 # hinted, so nothing whose size grows with the data is broadcast unchecked.
 BROADCAST_MAX_ROWS = 2_000_000
