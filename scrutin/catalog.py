@@ -866,6 +866,9 @@ QUERIES = {
     "d11_wildcard": _ids(Q.Wildcard(pattern="an?a*")),
     "d12_fuzzy": _ids(Q.Fuzzy(term="eriner", max_edits=1)),
     "d13_regexp": _ids(Q.Regexp(regex="t[io]+n[a-z]*")),
+    "d11_leading_wildcard": _ids(Q.Wildcard(pattern="*a?edble")),
+    "d12_fuzzy_two_edits": _ids(Q.Fuzzy(term="thatere", max_edits=2)),
+    "d13_inner_literals": _ids(Q.Regexp(regex="[a-z]+(?:ed)ble(er|an)?")),
     "d14_range": _ids(Q.Range("size", 1000, 5000, include_lo=True, include_hi=False)),
     "b2_field_table": q_b2_field_table,
     "d3_metadata_key": _on_records(Q.FieldEquals("origin-lang", "de"), scored=True),

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import TOKEN_RE
 from . import fields as M
+from . import patterns as P
 from ..session import bounded_broadcast, literal_frame
 
 
@@ -446,6 +447,10 @@ def _sloppy(p: DataFrame, places: list[tuple[str, int]], slop: int) -> DataFrame
 
 # ------------------------------------------------ multi-term (dictionary) clauses
 
+#: Terms up to which an expanded pattern is a filter on the term vectors.
+FILTER_TERMS = 1000
+
+
 @dataclass
 class _DictClause(Clause):
     boost: float = 1.0
@@ -457,33 +462,51 @@ class _DictClause(Clause):
         """A literal prefix every matching term starts with ("" if none)."""
         return ""
 
-    def _pruned(self, df: DataFrame) -> DataFrame:
-        pf = self.literal_prefix()
-        # startswith reaches the parquet scan; files sorted by term then skip
-        # every row group outside the prefix range
-        return df.where(F.col("term").startswith(pf)) if pf else df
+    def candidates(self, index) -> DataFrame | None:
+        """(term) rows that hold every matching term, looked up in the
+        dictionary index; None if the pattern has nothing to look up."""
+        return None
 
     def expand(self, ctx) -> DataFrame:
         """Dictionary terms the clause stands for."""
-        return self._pruned(ctx.index.term_stats).where(self.predicate()).select("term")
+        pf = self.literal_prefix()
+        if not pf:
+            found = self.candidates(ctx.index)
+            if found is not None:
+                return found.where(self.predicate())
+        # startswith reaches the parquet scan; files sorted by term then skip
+        # every row group outside the prefix range
+        terms = ctx.index.term_stats.where(F.col("term").startswith(pf)) if pf else ctx.index.term_stats
+        return terms.where(self.predicate()).select("term")
 
     def sum_sq(self, ctx):
         return self.boost ** 2
 
     def scores(self, ctx, qnorm):
-        if self.literal_prefix():
+        pf = self.literal_prefix()
+        if pf:
             # pruned scan of the term vectors, exact predicate on the survivors
-            hits = self._pruned(ctx.index.doc_terms).where(self.predicate())
+            hits = ctx.index.doc_terms.where(F.col("term").startswith(pf)).where(self.predicate())
         else:
-            # expand the dictionary first (far smaller than the term vectors),
-            # then a semi-join: broadcast when the expansion is small
-            hits = ctx.index.doc_terms.join(bounded_broadcast(self.expand(ctx)), "term", "left_semi")
+            # expand the dictionary first: a few terms are a filter that
+            # reaches the files, more are a semi-join
+            terms = self.expand(ctx)
+            few = [r["term"] for r in terms.limit(FILTER_TERMS + 1).collect()]
+            if len(few) <= FILTER_TERMS:
+                hits = ctx.index.doc_terms.where(F.col("term").isin(few) if few else F.lit(False))
+            else:
+                hits = ctx.index.doc_terms.join(bounded_broadcast(terms), "term", "left_semi")
         return hits.select("ID").distinct().select("ID", F.lit(self.boost * qnorm).alias("score"))
 
     def body_terms(self, ctx):
         return self.expand(ctx)
 
 
+def _by_grams(index, parts: list[str]) -> DataFrame | None:
+    wanted = P.grams_of(parts)
+    return P.with_grams(index.grams, wanted) if wanted else None
+
+
 @dataclass
 class Prefix(_DictClause):
     """Terms starting with ``prefix``."""
@@ -513,6 +536,9 @@ class Wildcard(_DictClause):
     def literal_prefix(self):
         return re.split(r"[*?]", self.pattern, maxsplit=1)[0]
 
+    def candidates(self, index):
+        return _by_grams(index, P.wildcard_parts(self.pattern))
+
 
 def wildcard_regex(pattern: str) -> str:
     out = []
@@ -535,6 +561,11 @@ class Fuzzy(_DictClause):
         return ((F.abs(F.length("term") - F.lit(len(self.term))) <= self.max_edits)
                 & (F.levenshtein(F.col("term"), F.lit(self.term), self.max_edits) >= 0))
 
+    def candidates(self, index):
+        if not 0 <= self.max_edits <= P.EDITS:
+            return None
+        return P.near(index.deletes, self.term, self.max_edits)
+
 
 @dataclass
 class Regexp(_DictClause):
@@ -544,6 +575,12 @@ class Regexp(_DictClause):
     def predicate(self):
         return F.col("term").rlike("^(?:" + self.regex + ")$")
 
+    def literal_prefix(self):
+        return P.regex_parts(self.regex)[0]
+
+    def candidates(self, index):
+        return _by_grams(index, P.regex_parts(self.regex)[1])
+
 
 @dataclass
 class Range(Clause):

@@ -266,6 +266,21 @@ def _d13():
     return base("SELECT DISTINCT ID FROM dt WHERE regexp_full_match(term, 't[io]+n[a-z]*')")
 
 
+@oracle("d11_leading_wildcard")
+def _d11_leading():
+    return base("SELECT DISTINCT ID FROM dt WHERE term LIKE '%a_edble'")
+
+
+@oracle("d12_fuzzy_two_edits")
+def _d12_two():
+    return base("SELECT DISTINCT ID FROM dt WHERE levenshtein(term, 'thatere') <= 2")
+
+
+@oracle("d13_inner_literals")
+def _d13_inner():
+    return base("SELECT DISTINCT ID FROM dt WHERE regexp_full_match(term, '[a-z]+(?:ed)ble(er|an)?')")
+
+
 @oracle("d14_range")
 def _d14():
     return with_ctes(EVIDENCE, body="SELECT ID FROM ev WHERE size >= 1000 AND size < 5000")

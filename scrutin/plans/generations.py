@@ -28,7 +28,9 @@ from ..operators import fields as M
 FANOUT, FILE_BYTES = 8, 128 << 20
 #: How the files of a merged table are dealt and sorted; others keep their rows together.
 ORDER = {"postings": ("term", "ID"), "doc_terms": ("term", "ID"), "term_stats": ("term",), "keys": ("seq",),
-         "fields": M.ORDER}
+         "grams": ("gram", "term"), "deletes": ("key", "term"), "fields": M.ORDER}
+#: Tables that say the same in several generations.
+SETS = ("grams", "deletes")
 #: Totals that add up over generations.
 TOTALS = ("num_docs", "num_tokens", "files_read", "bytes_read", "file_bytes_read")
 
@@ -160,6 +162,8 @@ def _merge(spark: SparkSession, path: str, gens: list[dict]) -> dict:
         df = spark.read.parquet(*dirs)
         if t == "term_stats":
             df = df.groupBy("term").agg(F.sum("df").alias("df"), F.sum("ttf").alias("ttf"))
+        if t in SETS:
+            df = df.distinct()
         if t in ORDER:
             df = df.repartitionByRange(int(files), *ORDER[t]).sortWithinPartitions(*ORDER[t])
         else:

@@ -9,6 +9,8 @@ Tables
 - ``doc_terms``   (ID, term, tf, length)     sorted the same way; ``length``
                                              is the document's field length
 - ``term_stats``  (term, df, ttf)
+- ``grams``       (gram, term), ``deletes`` (key, term): the dictionary by
+                                             parts (:mod:`scrutin.operators.patterns`)
 - ``doc_stats``   (ID, length, sum_tf2, n_terms)
 - ``fields``      (ID, key, string, long, time)  all metadata keys, when the
                                              index is built from records
@@ -26,6 +28,7 @@ from __future__ import annotations
 
 import hashlib
 import threading
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,6 +38,7 @@ from ..operators import analysis as A
 from ..operators import docs as D
 from ..operators import fields as M
 from ..operators import hits as H
+from ..operators import patterns as P
 from ..session import scratch_path
 from ..sources.stoplist import stop_list
 from ..sources.tables import evidence_docs
@@ -52,6 +56,8 @@ class Index:
     doc_stats: DataFrame
     corpus: DataFrame
     sentences: DataFrame
+    grams: DataFrame
+    deletes: DataFrame
     fields: DataFrame | None = None
     manifest: dict | None = None
 
@@ -88,18 +94,30 @@ def _write_generation(docs: DataFrame, stops: DataFrame, path: str, name: str) -
     postings = put(H.sentence_tokens(sents, stops).sortWithinPartitions("term", "ID"), "postings")
     # the new term vectors are written once (a lineage cut) and read twice
     vectors = put(A.doc_terms(postings), "_staged_doc_terms")
-    # the field length travels with every term-vector row, so ranking needs
-    # no per-query join with the document table; the join on ID is a build
-    # step (a document with very many terms is a skewed key: AQE splits it)
-    lengths = put(A.doc_stats(vectors), "doc_stats").select("ID", "length")
-    dterms = put(vectors.join(lengths, "ID").sortWithinPartitions("term", "ID"), "doc_terms")
-    tstats = put(A.term_stats(dterms).sortWithinPartitions("term"), "term_stats")
+    def by_document():
+        # the field length travels with every term-vector row, so ranking needs
+        # no per-query join with the document table; the join on ID is a build
+        # step (a document with very many terms is a skewed key: AQE splits it)
+        lengths = put(A.doc_stats(vectors), "doc_stats").select("ID", "length")
+        put(vectors.join(lengths, "ID").sortWithinPartitions("term", "ID"), "doc_terms")
+
+    def by_term():
+        tstats = put(A.term_stats(vectors).sortWithinPartitions("term"), "term_stats")
+        put(P.gram_table(tstats).sortWithinPartitions("gram", "term"), "grams")
+        put(P.delete_table(tstats).sortWithinPartitions("key", "term"), "deletes")
+        return tstats
+
+    # two chains of jobs that fill each other's gaps
+    with ThreadPoolExecutor(2) as pool:
+        first, second = pool.submit(by_document), pool.submit(by_term)
+        first.result()
+        tstats = second.result()
     _remove(spark, G.folder(path, name, "_staged_doc_terms"))
     tokens = tstats.agg(F.sum("ttf")).first()[0]
     return {"num_docs": docs.count(), "num_tokens": tokens or 0}
 
 
-_TABLES = ["docs", "sentences", "postings", "doc_terms", "term_stats", "doc_stats"]
+_TABLES = ["docs", "sentences", "postings", "doc_terms", "term_stats", "doc_stats", "grams", "deletes"]
 
 
 def write_index(docs: DataFrame, stops: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -194,12 +212,12 @@ def open_index(spark: SparkSession, path: str) -> Index:
     manifest = G.latest(spark, path)
     if manifest is None or not manifest["generations"]:
         raise IndexNotFound(path)
-    t = {n: G.table(spark, path, manifest, n) for n in ("docs", "sentences", "postings", "doc_terms", "doc_stats",
-                                                              "fields")}
+    t = {n: G.table(spark, path, manifest, n) for n in (
+        "docs", "sentences", "postings", "doc_terms", "doc_stats", "grams", "deletes", "fields")}
     corpus = spark.read.schema("num_docs long, num_terms long, num_tokens long").json(
         G._name(path, manifest["version"]))
     return Index(spark, path, t["docs"], t["postings"], t["doc_terms"], G.dictionary(spark, path, manifest),
-                 t["doc_stats"], corpus, t["sentences"], t["fields"], manifest)
+                 t["doc_stats"], corpus, t["sentences"], t["grams"], t["deletes"], t["fields"], manifest)
 
 
 def _fs_path(spark: SparkSession, path: str):
