@@ -13,7 +13,7 @@ statistics aggregate map-side before their term shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import TOKEN_OR_GAP_RE, TOKEN_START_RE, tokens_of
@@ -30,6 +30,12 @@ def chunk_pattern(chunk_chars: int = CHUNK_CHARS) -> str:
             rf"|(?s).{{{chunk_chars}}}[^\s!?]*+(?:[\s!?]|\z)|(?s).+")
 
 
+def chunks_of(body: Column, chunk_chars: int, pattern: str) -> Column:
+    """The chunks of a text; one that fits a chunk is taken as it is."""
+    cut = F.regexp_extract_all(body, F.lit(pattern), 0)
+    return F.when((F.length(body) > 0) & (F.length(body) <= chunk_chars), F.array(body)).otherwise(cut)
+
+
 def by_document(docs: DataFrame, num_partitions: int | None = None,
                 chunk_chars: int = CHUNK_CHARS) -> DataFrame:
     """(ID, multi, chunk, text) — bodies cut into chunks and spread over
@@ -37,7 +43,7 @@ def by_document(docs: DataFrame, num_partitions: int | None = None,
     documents longer than one chunk (only those need chunk bases)."""
     n = num_partitions or default_parallelism(docs.sparkSession)
     ch = docs.select("ID", (F.length("body") > chunk_chars).alias("multi"), F.posexplode(
-        F.regexp_extract_all(F.col("body"), F.lit(chunk_pattern(chunk_chars)), 0)).alias("chunk", "text"))
+        chunks_of(F.col("body"), chunk_chars, chunk_pattern(chunk_chars))).alias("chunk", "text"))
     return ch.repartition(n, "ID", "chunk")
 
 

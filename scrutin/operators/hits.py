@@ -27,7 +27,7 @@ from ..functions.text import TOKEN_START_RE, html_escape, tokens_of
 from ..functions.text import in_system_dir
 from ..session import bounded_broadcast, default_parallelism
 from . import query as Q
-from .analysis import CHUNK_CHARS, _add_bases, remove_stops
+from .analysis import CHUNK_CHARS, _add_bases, chunks_of, remove_stops
 
 # Above this many query terms the literal forms give way to joins.
 LITERAL_TERMS_MAX = 5000
@@ -94,7 +94,7 @@ def sentence_chunk_pattern(chunk_chars: int) -> str:
 def sentence_chunks(docs: DataFrame, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
     """(ID, multi, chunk, text) spread over tasks by (ID, chunk)."""
     ch = docs.select("ID", (F.length("body") > chunk_chars).alias("multi"), F.posexplode(
-        F.regexp_extract_all("body", F.lit(sentence_chunk_pattern(chunk_chars)), 0)).alias("chunk", "text"))
+        chunks_of(F.col("body"), chunk_chars, sentence_chunk_pattern(chunk_chars))).alias("chunk", "text"))
     return ch.repartition(default_parallelism(docs.sparkSession), "ID", "chunk")
 
 

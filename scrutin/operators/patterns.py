@@ -2,11 +2,13 @@
 
 - ``grams`` (gram, term): the trigrams of every dictionary term between a
   begin and an end mark. A wildcard pattern or regular expression that must
-  hold some literal text is looked up by that text's trigrams.
-- ``deletes`` (key, term): what is left of the first ``PREFIX`` characters of a
-  term after at most ``EDITS`` deletions. Two terms within that distance share
-  a key: drop from both prefixes the characters that an alignment edits or
-  carries over the prefix's end, at most one per edit, and the rest is equal.
+  hold some literal text is looked up by that text's trigrams, and so is a
+  fuzzy term: an edit takes at most ``GRAM`` of its trigrams.
+- ``deletes`` (key, term), for the short terms of which no trigram need be
+  left: what is left of the first ``PREFIX`` characters of a term after at
+  most ``EDITS`` deletions. Two terms within that distance share a key: drop
+  from both prefixes the characters that an alignment edits or carries over
+  the prefix's end, at most one per edit, and the rest is equal.
 
 Both are read by an equality that reaches the sorted files; what they give is
 a superset, and the clause's own predicate decides.
@@ -21,7 +23,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Marks around a term, characters of a gram, of a prefix; most edits.
-BEGIN, END, GRAM, PREFIX, EDITS = "\u0002", "\u0003", 3, 6, 2
+BEGIN, END, GRAM, PREFIX, EDITS = "\u0002", "\u0003", 3, 5, 2
+#: Longest term of which two edits may leave no trigram, and its longest neighbour.
+SHORT = GRAM * EDITS
+SHORT_NEIGHBOUR = SHORT + EDITS
 #: Grams of a pattern that are looked up; further ones hardly narrow the terms.
 LOOKED_UP = 6
 
@@ -38,7 +43,9 @@ def gram_table(terms: DataFrame) -> DataFrame:
 
 
 def delete_table(terms: DataFrame) -> DataFrame:
-    """(key, term) of the dictionary ``terms``."""
+    """(key, term) of the short terms of the dictionary ``terms``."""
+    terms = terms.where(F.length("term") <= SHORT_NEIGHBOUR)
+
     def less(s: Column) -> Column:
         n = F.length(s)
         return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(
@@ -120,12 +127,20 @@ def grams_of(parts: list[str]) -> list[str]:
     return list(found)[:LOOKED_UP]
 
 
-def with_grams(grams: DataFrame, wanted: list[str]) -> DataFrame:
-    """(term): dictionary terms that hold all of some trigrams."""
+def with_grams(grams: DataFrame, wanted: list[str], least: int | None = None) -> DataFrame:
+    """(term): dictionary terms that hold all (or ``least``) of some trigrams."""
     held = grams.where(F.col("gram").isin(wanted)).groupBy("term").agg(F.count_distinct("gram").alias("n"))
-    return held.where(F.col("n") == len(wanted)).select("term")
-
-
-def near(deletes: DataFrame, term: str, edits: int) -> DataFrame:
-    """(term): dictionary terms that may lie within ``edits`` of ``term``."""
-    return deletes.where(F.col("key").isin(delete_keys(term, edits))).select("term").distinct()
+    return held.where(F.col("n") >= (least or len(wanted))).select("term")
+
+
+def near(grams: DataFrame, deletes: DataFrame, term: str, edits: int) -> DataFrame | None:
+    """(term): dictionary terms that may lie within ``edits`` of ``term``;
+    None if neither table tells (a long word of few different trigrams)."""
+    marked = BEGIN + term + END
+    held = sorted({marked[i:i + GRAM] for i in range(len(marked) - GRAM + 1)})
+    left = len(held) - GRAM * edits
+    if left >= 1:
+        return with_grams(grams, held, left)
+    if edits <= EDITS and len(term) <= SHORT:
+        return deletes.where(F.col("key").isin(delete_keys(term, edits))).select("term").distinct()
+    return None

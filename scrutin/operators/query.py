@@ -562,9 +562,7 @@ class Fuzzy(_DictClause):
                 & (F.levenshtein(F.col("term"), F.lit(self.term), self.max_edits) >= 0))
 
     def candidates(self, index):
-        if not 0 <= self.max_edits <= P.EDITS:
-            return None
-        return P.near(index.deletes, self.term, self.max_edits)
+        return P.near(index.grams, index.deletes, self.term, max(self.max_edits, 0))
 
 
 @dataclass

@@ -91,7 +91,7 @@ def commit(spark: SparkSession, path: str, manifest: dict) -> dict:
     return new
 
 
-EMPTY = {"version": 0, "generations": [], "num_terms": 0, "replaced": [], **dict.fromkeys(TOTALS, 0)}
+EMPTY = {"version": 0, "generations": [], "schemas": {}, "num_terms": 0, "replaced": [], **dict.fromkeys(TOTALS, 0)}
 
 
 def folder(path: str, generation: dict | str, table: str) -> str:
@@ -100,9 +100,10 @@ def folder(path: str, generation: dict | str, table: str) -> str:
 
 
 def table(spark: SparkSession, path: str, manifest: dict, name: str) -> DataFrame | None:
-    """The rows of a table over all generations that have it."""
+    """The rows of a table over all generations that have it. The manifest
+    knows the columns, so opening a table reads no file."""
     dirs = [folder(path, g, name) for g in manifest["generations"] if name in g["tables"]]
-    return spark.read.parquet(*dirs) if dirs else None
+    return spark.read.schema(manifest["schemas"][name]).parquet(*dirs) if dirs else None
 
 
 def dictionary(spark: SparkSession, path: str, manifest: dict) -> DataFrame | None:
@@ -118,15 +119,23 @@ def new_name() -> str:
     return uuid.uuid4().hex[:16]
 
 
-def add(spark: SparkSession, path: str, manifest: dict, name: str, tables: list[str], totals: dict) -> dict:
+def put(df: DataFrame, path: str, name: str, table_: str) -> DataFrame:
+    """Write a table of generation ``name`` and read it back."""
+    df.write.mode("overwrite").parquet(folder(path, name, table_))
+    return df.sparkSession.read.schema(df.schema).parquet(folder(path, name, table_))
+
+
+def add(spark: SparkSession, path: str, manifest: dict, name: str, tables: dict[str, DataFrame], totals: dict) -> dict:
     """Commit the written generation ``name``. The number of distinct terms
-    grows by the terms that no older generation holds."""
-    terms = spark.read.parquet(folder(path, name, "term_stats")).select("term")
-    old = table(spark, path, manifest, "term_stats")
-    fresh = terms if old is None else terms.join(old.select("term"), "term", "left_anti")
+    grows by the terms that no older generation holds (``num_terms`` of the
+    totals if there is none)."""
+    old, fresh = table(spark, path, manifest, "term_stats"), totals["num_terms"]
+    if old is not None:
+        fresh = tables["term_stats"].select("term").join(old.select("term"), "term", "left_anti").count()
     gen = {"name": name, "level": 0, "tables": sorted(tables)}
     sums = {k: manifest[k] + int(totals.get(k, 0)) for k in TOTALS}
-    new = {**manifest, **sums, "num_terms": manifest["num_terms"] + fresh.count(),
+    schemas = {**manifest["schemas"], **{t: df._jdf.schema().toDDL() for t, df in tables.items()}}
+    new = {**manifest, **sums, "num_terms": manifest["num_terms"] + fresh, "schemas": schemas,
            "generations": [*manifest["generations"], gen]}
     return compact(spark, path, commit(spark, path, new))
 

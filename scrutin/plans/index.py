@@ -76,16 +76,16 @@ class Index:
         return self.manifest["version"]
 
 
-def _write_generation(docs: DataFrame, stops: DataFrame, path: str, name: str) -> dict:
+def _write_generation(docs: DataFrame, stops: DataFrame, path: str, name: str) -> tuple[dict, dict]:
     """Write the index tables of ``docs`` (a table that was written before)
-    as generation ``name``; returns its totals. The text is tokenised once:
+    as generation ``name``; returns them and its totals. The text is tokenised once:
     term vectors are aggregated from the written postings, statistics from the
     written term vectors."""
-    spark = docs.sparkSession
+    spark, done = docs.sparkSession, {"docs": docs}
 
     def put(df: DataFrame, table: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(G.folder(path, name, table))
-        return spark.read.parquet(G.folder(path, name, table))
+        done[table] = G.put(df, path, name, table)
+        return done[table]
 
     # Tokens stay with the splits of their sentences (no second shuffle, no
     # hot-term or hot-document skew); each file is sorted by term so row-group
@@ -113,11 +113,9 @@ def _write_generation(docs: DataFrame, stops: DataFrame, path: str, name: str) -
         first.result()
         tstats = second.result()
     _remove(spark, G.folder(path, name, "_staged_doc_terms"))
-    tokens = tstats.agg(F.sum("ttf")).first()[0]
-    return {"num_docs": docs.count(), "num_tokens": tokens or 0}
-
-
-_TABLES = ["docs", "sentences", "postings", "doc_terms", "term_stats", "doc_stats", "grams", "deletes"]
+    del done["_staged_doc_terms"]
+    sums = tstats.agg(F.coalesce(F.sum("ttf"), F.lit(0)).alias("tokens"), F.count(F.lit(1)).alias("terms")).first()
+    return done, {"num_docs": docs.count(), "num_tokens": sums["tokens"], "num_terms": sums["terms"]}
 
 
 def write_index(docs: DataFrame, stops: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -136,12 +134,10 @@ def write_index(docs: DataFrame, stops: DataFrame, path: str, mode: str = "overw
     else:
         old = manifest or G.EMPTY
         manifest = {**G.EMPTY, "version": old["version"], "replaced": [g["name"] for g in old["generations"]]}
-    docs.write.parquet(G.folder(path, name, "docs"))
-    docs = spark.read.parquet(G.folder(path, name, "docs"))
+    docs = G.put(docs, path, name, "docs")
     if mode == "append" and docs.isEmpty():
         return
-    totals = _write_generation(docs, stops, path, name)
-    G.add(spark, path, manifest, name, _TABLES, totals)
+    G.add(spark, path, manifest, name, *_write_generation(docs, stops, path, name))
     _touch(spark, f"{path}/_BUILT")
 
 
@@ -162,8 +158,7 @@ def add_records(records: DataFrame, stops: DataFrame, path: str, classifier=None
     name = G.new_name()
 
     def put(df: DataFrame, table: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(G.folder(path, name, table))
-        return spark.read.parquet(G.folder(path, name, table))
+        return G.put(df, path, name, table)
 
     digest = F.xxhash64("metadata", "content")
     landed = records.select("seq", digest.alias("digest")).groupBy("seq").agg(
@@ -195,9 +190,10 @@ def add_records(records: DataFrame, stops: DataFrame, path: str, classifier=None
     counters = obs.get
     parsed = D.parse_metadata(D.with_ids(fresh.drop("digest"))).drop("content")
     kept = M.metadata_fields(parsed).join(docs.select("ID"), "ID", "left_semi")
-    put(M.ordered(kept), "fields")
-    totals = {**_write_generation(docs, stops, path, name), **{k: counters.get(k) or 0 for k in counters}}
-    manifest = G.add(spark, path, manifest, name, [*_TABLES, "fields", "keys"], totals)
+    fields = put(M.ordered(kept), "fields")
+    tables, totals = _write_generation(docs, stops, path, name)
+    manifest = G.add(spark, path, manifest, name, {**tables, "fields": fields, "keys": landed},
+                     {**totals, **{k: counters.get(k) or 0 for k in counters}})
     _touch(spark, f"{path}/_BUILT")
     return manifest
 

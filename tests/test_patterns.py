@@ -20,8 +20,8 @@ CLAUSES = [Q.Wildcard(pattern="*tion"), Q.Wildcard(pattern="*a?edble*"), Q.Wildc
            Q.Regexp(regex="[a-z]+(ing|ed)st"), Q.Regexp(regex="(th)+at[a-z]*"), Q.Regexp(regex="th?an.*"),
            Q.Regexp(regex="from"), Q.Regexp(regex="(?:the)?re"), Q.Regexp(regex="a{2,}b|the"), Q.Regexp(regex="[^a]*"),
            Q.Regexp(regex=r"\w+\.example\.com"), Q.Prefix(prefix="t"), Q.Prefix(prefix="ti"), Q.Prefix(prefix=""),
-           *[Q.Fuzzy(term=t, max_edits=k) for t in ("from", "thatere", "a", "", "tionandly", "zzzz") for k in (0, 1, 2)],
-           Q.Fuzzy(term="thatere", max_edits=3)]
+           *[Q.Fuzzy(term=t, max_edits=k) for t in ("from", "thatere", "a", "", "tionandly", "zzzz", "aaaaaaaaa") for k in (0, 1, 2)],
+           Q.Fuzzy(term="thatere", max_edits=3), Q.Fuzzy(term="thatereandtion", max_edits=4)]
 
 
 @pytest.mark.parametrize("clause", CLAUSES, ids=str)
@@ -58,12 +58,26 @@ def test_near_words_share_a_key(word, edits):
     assert set(P.delete_keys(word, len(edits))) & set(P.delete_keys(other, 2))
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text("ab", max_size=14), st.lists(st.tuples(st.integers(0, 2), st.integers(0, 14), st.sampled_from("abc")), max_size=2))
+def test_near_words_share_trigrams_or_are_short(word, edits):
+    other = word
+    for kind, at, c in edits:
+        at = min(at, len(other))
+        other = other[:at] + ("" if kind == 0 else c) + other[at + (kind != 1):]
+    grams = lambda w: {(P.BEGIN + w + P.END)[i:i + 3] for i in range(len(w))}
+    left = len(grams(word)) - 3 * len(edits)
+    assert len(grams(word) & grams(other)) >= left
+    if left < 1 and len(word) <= P.SHORT:
+        assert len(other) <= P.SHORT_NEIGHBOUR
+
+
 def test_keys_of_table_and_query_agree(spark):
-    words = ["", "a", "ab", "aba", "abcdefgh", "é🙂x"]
+    words = ["", "a", "ab", "aba", "abcdefgh", "é🙂x", "abcdefghi"]
     got = {}
     for r in P.delete_table(spark.createDataFrame([(w,) for w in words], "term string")).collect():
         got.setdefault(r["term"], []).append(r["key"])
-    assert {w: sorted(k) for w, k in got.items()} == {w: P.delete_keys(w, P.EDITS) for w in words}
+    assert {w: sorted(k) for w, k in got.items()} == {w: P.delete_keys(w, P.EDITS) for w in words[:-1]}
     grams = {(r["gram"], r["term"]) for r in P.gram_table(spark.createDataFrame([(w,) for w in words], "term string")).collect()}
     marked = {w: P.BEGIN + w + P.END for w in words if w}
     assert grams == {(m[i:i + 3], w) for w, m in marked.items() for i in range(len(m) - 2)}
