@@ -90,6 +90,49 @@ def analyze(text: str, stops: frozenset[str] = frozenset()) -> list[tuple[str, i
     return [(t, i) for i, t in found if t not in stops]
 
 
+# ------------------------------------------------------ one pass for a tree
+
+#: Plain terms of a query that get a column each; further ones are leaves.
+PLAIN_TERMS = 64
+
+
+class Leaves:
+    """The leaves of a query tree in one row per document: ``t<i>`` is the
+    frequency of plain term ``i`` (one scan of the term vectors for all of
+    them), ``s<j>`` the score of the ``j``-th other clause, null where it does
+    not match. Clauses are conditions and sums over these columns, so a tree
+    costs one aggregation however deep it is, and its scores are added in one
+    order, whatever the partitions."""
+
+    def __init__(self, ctx: Context):
+        self.ctx, self.terms, self.others = ctx, {}, []
+
+    def term(self, term: str) -> Column:
+        return F.col(f"t{self.terms.setdefault(term, len(self.terms))}")
+
+    def other(self, scores: DataFrame) -> Column:
+        self.others.append(scores)
+        return F.col(f"s{len(self.others) - 1}")
+
+    def rows(self) -> DataFrame:
+        dt = self.ctx.index.doc_terms.where(F.col("term").isin(list(self.terms)) if self.terms else F.lit(False))
+        both = dt.select("ID", "term", "tf", "length", F.lit(None).cast("int").alias("leaf"), F.lit(None).cast("double").alias("score"))
+        if not self.terms and self.others:
+            both = both.limit(0)
+        for j, df in enumerate(self.others):
+            both = both.unionByName(df.select("ID", F.lit(j).alias("leaf"), "score"), allowMissingColumns=True)
+        return both.groupBy("ID").agg(
+            F.max("length").alias("length"),
+            *[F.max(F.when(F.col("term") == t, F.col("tf"))).alias(f"t{i}") for t, i in self.terms.items()],
+            *[F.max(F.when(F.col("leaf") == j, F.col("score"))).alias(f"s{j}") for j in range(len(self.others))])
+
+
+def _in_one_pass(clause: Clause, ctx: Context, qnorm: float) -> DataFrame:
+    leaves = Leaves(ctx)
+    match, score = clause.parts(ctx, qnorm, leaves)
+    return leaves.rows().where(match).select("ID", score.alias("score"))
+
+
 # ----------------------------------------------------------------- clauses
 
 class Clause:
@@ -101,6 +144,12 @@ class Clause:
     def scores(self, ctx: Context, qnorm: float) -> DataFrame:  # pragma: no cover
         raise NotImplementedError
 
+    def parts(self, ctx: Context, qnorm: float, leaves: Leaves) -> tuple[Column, Column]:
+        """(matches, score) over the columns of ``leaves``; the score counts
+        only where the clause matches."""
+        got = leaves.other(self.scores(ctx, qnorm))
+        return got.isNotNull(), got
+
     def body_terms(self, ctx: Context) -> DataFrame | None:
         """(term) rows this clause contributes, or None."""
         return None
@@ -125,6 +174,14 @@ class Clause:
         return Boost(self, boost)
 
 
+def _plus(columns: list[Column]) -> Column:
+    """The sum of some columns, from left to right."""
+    total = columns[0]
+    for c in columns[1:]:
+        total = total + c
+    return total
+
+
 def _terms_df(ctx: Context, terms: list[str]) -> DataFrame:
     return literal_frame(ctx.index.spark, dict.fromkeys(terms), "term")
 
@@ -171,8 +228,11 @@ class Term(Clause):
     def sum_sq(self, ctx):
         return (ctx.idf(ctx.doc_freqs([self.term])[self.term]) * self.boost) ** 2
 
+    def parts(self, ctx, qnorm, leaves):
+        return Terms([self.term], [self.boost]).parts(ctx, qnorm, leaves)
+
     def scores(self, ctx, qnorm):
-        return Terms([self.term], [self.boost]).scores(ctx, qnorm, coord=False)
+        return _in_one_pass(self, ctx, qnorm)
 
     def body_terms(self, ctx):
         return _terms_df(ctx, [self.term])
@@ -181,7 +241,7 @@ class Term(Clause):
 @dataclass
 class Terms(Clause):
     """D4 over plain terms: ``t1 OR t2 OR …`` evaluated in one pass over the
-    term vectors (one filtered scan, one join with per-document lengths)."""
+    term vectors."""
     terms: list[str]
     boosts: list[float] | None = None
     boost: float = 1.0
@@ -206,19 +266,27 @@ class Terms(Clause):
     def sum_sq(self, ctx):
         return sum((idf * b) ** 2 for idf, b in self._weights(ctx).values()) * self.boost ** 2
 
-    def scores(self, ctx, qnorm, coord=True):
+    def parts(self, ctx, qnorm, leaves):
+        if len({*leaves.terms, *self.terms}) > PLAIN_TERMS:
+            return super().parts(ctx, qnorm, leaves)
+        wts = self._weights(ctx)
+        tf = [leaves.term(t) for t in wts]
+        raw = [F.when(c.isNotNull(), F.sqrt(c) * F.lit(idf * idf * b * self.boost)).otherwise(0.0)
+               for c, (idf, b) in zip(tf, wts.values())]
+        found = _plus([c.isNotNull().cast("int") for c in tf])
+        score = _plus(raw) * ctx.norm(F.col("length")) * F.lit(qnorm)
+        return found > 0, score * (found / F.lit(float(len(wts)))) if len(wts) > 1 else score
+
+    def scores(self, ctx, qnorm):
+        if len(set(self.terms)) <= PLAIN_TERMS:
+            return _in_one_pass(self, ctx, qnorm)
+        # many terms: a document's parts are added in the order of the terms
         wts = self._weights(ctx)
-        # per-term factor idf² · boost as a literal map (query-sized)
-        fac = F.create_map(*[x for t, (idf, b) in wts.items()
-                             for x in (F.lit(t), F.lit(idf * idf * b * self.boost))])
-        # term vectors carry the field length: one pruned scan, no join
-        dt = ctx.index.doc_terms.where(F.col("term").isin(list(wts)))
-        per_doc = dt.groupBy("ID").agg(
-            F.sum(F.sqrt("tf") * fac[F.col("term")]).alias("raw"),
-            F.count(F.lit(1)).alias("overlap"), F.first("length").alias("length"))
-        n = len(wts)
-        coord_c = (F.col("overlap") / F.lit(float(n))) if coord and n > 1 else F.lit(1.0)
-        return per_doc.select("ID", (F.col("raw") * ctx.norm(F.col("length")) * coord_c
+        factor = F.create_map(*[x for t, (idf, b) in wts.items() for x in (F.lit(t), F.lit(idf * idf * b * self.boost))])
+        per_doc = ctx.index.doc_terms.where(F.col("term").isin(list(wts))).groupBy("ID").agg(
+            F.array_sort(F.collect_list(F.struct("term", "tf"))).alias("found"), F.max("length").alias("length"))
+        raw = F.aggregate("found", F.lit(0.0), lambda acc, x: acc + F.sqrt(x["tf"]) * factor[x["term"]])
+        return per_doc.select("ID", (raw * ctx.norm(F.col("length")) * (F.size("found") / F.lit(float(len(wts))))
                                      * F.lit(qnorm)).alias("score"))
 
     def body_terms(self, ctx):
@@ -290,6 +358,9 @@ class Boost(Clause):
     def sum_sq(self, ctx):
         return self.inner.sum_sq(ctx) * self.boost ** 2
 
+    def parts(self, ctx, qnorm, leaves):
+        return self.inner.parts(ctx, qnorm * self.boost, leaves)
+
     def scores(self, ctx, qnorm):
         return self.inner.scores(ctx, qnorm * self.boost)
 
@@ -314,28 +385,25 @@ class Bool(Clause):
     def sum_sq(self, ctx):
         return sum(c.sum_sq(ctx) for c in self.must + self.should) * self.boost ** 2
 
-    def scores(self, ctx, qnorm):
+    def parts(self, ctx, qnorm, leaves):
         q = qnorm * self.boost
-        parts = []
-        for c in self.must:
-            parts.append(c.scores(ctx, q).select("ID", "score", F.lit(1).alias("req")))
-        for c in self.should:
-            parts.append(c.scores(ctx, q).select("ID", "score", F.lit(0).alias("req")))
-        if not parts:
-            return ctx.index.docs.select("ID", F.lit(0.0).alias("score")).limit(0)
-        u = parts[0]
-        for p in parts[1:]:
-            u = u.unionByName(p)
-        n_must, n_all = len(self.must), len(self.must) + len(self.should)
-        agg = u.groupBy("ID").agg(F.sum("score").alias("s"), F.count(F.lit(1)).alias("overlap"),
-                                  F.sum("req").alias("req"))
-        if n_must:
-            agg = agg.where(F.col("req") == n_must)
-        coord = F.col("overlap") / F.lit(float(n_all)) if n_all > 1 else F.lit(1.0)
-        out = agg.select("ID", (F.col("s") * coord).alias("score"))
+        must, should = ([c.parts(ctx, q, leaves) for c in part] for part in (self.must, self.should))
+        every = must + should
+        if not every:
+            return F.lit(False), F.lit(0.0)
+        # a condition on missing leaves is null: it does not hold
+        every = [(F.coalesce(m, F.lit(False)), s) for m, s in every]
+        found = _plus([m.cast("int") for m, _ in every])
+        match = found > 0
+        for m, _ in every[:len(must)]:
+            match = match & m
         for c in self.must_not:
-            out = out.join(c.matches(ctx), "ID", "left_anti")
-        return out
+            match = match & ~F.coalesce(c.parts(ctx, 1.0, leaves)[0], F.lit(False))
+        score = _plus([F.when(m, s).otherwise(0.0) for m, s in every])
+        return match, score * (found / F.lit(float(len(every)))) if len(every) > 1 else score
+
+    def scores(self, ctx, qnorm):
+        return _in_one_pass(self, ctx, qnorm)
 
     def body_terms(self, ctx):
         got = [t for t in (c.body_terms(ctx) for c in self.must + self.should) if t is not None]
@@ -400,7 +468,10 @@ class Phrase(Clause):
 
     def scores(self, ctx, qnorm):
         idf = self._idf(ctx)
-        occ = self.occurrences(ctx).groupBy("ID").agg(F.sum("freq").alias("freq"))
+        # few different frequencies per document, added in their order
+        occ = self.occurrences(ctx).groupBy("ID", "freq").agg(F.count(F.lit(1)).alias("n"))
+        occ = occ.groupBy("ID").agg(F.array_sort(F.collect_list(F.struct("freq", "n"))).alias("f")).select(
+            "ID", F.aggregate("f", F.lit(0.0), lambda acc, x: acc + x["freq"] * x["n"]).alias("freq"))
         lengths = ctx.index.doc_terms.where(F.col("term") == self.terms[0]).select("ID", "length")
         return (occ.join(lengths, "ID")
                 .select("ID", (F.sqrt("freq") * F.lit(idf * idf * self.boost * qnorm)

@@ -65,7 +65,9 @@ def page(results: DataFrame, start: int, end: int) -> DataFrame:
 
 
 def page_after(results: DataFrame, last_score: float, last_id: str, n: int) -> DataFrame:
-    """E4 keyset form: the ``n`` rows after (score, ID) — no offset scan."""
+    """E4 keyset form: the ``n`` rows after (score, ID) — no offset scan.
+    Scores are added in one order whatever the partitions, so the cursor of
+    one run compares equal in another."""
     sid = F.col("ID").cast("long")
     after = (F.col("score") < last_score) | ((F.col("score") == last_score) & (sid > int(last_id)))
     return ranked(results.where(after)).limit(n)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
 
-from scrutin.catalog import FLAGSHIP_TERMS, REF_DATE_MS, oracle_som
+from scrutin.catalog import FLAGSHIP_TERMS, PHRASE_TERMS, REF_DATE_MS, oracle_som
 from scrutin.operators import cellmap as C
 from scrutin.operators import hits as H
 from scrutin.operators import query as Q
@@ -161,6 +161,77 @@ def test_postings_of_sentences_are_those_of_bodies(spark):
     assert lost.count() == 0
 
 
+TREE = Q.Bool(must=[Q.Or(Q.Term("from"), Q.Term("des"), Q.Boost(Q.Terms(["tion", "anea"]), 2.0))],
+              should=[Q.Phrase(PHRASE_TERMS, slop=3), Q.Bool(must=[Q.Term("ed"), Q.FieldEquals("extension", "pdf")]),
+                      Q.Wildcard(pattern="*dble"), Q.Range("size", 100, 4000)],
+              must_not=[Q.Bool(must=[Q.Term("on")], must_not=[Q.Term("tion")]), Q.Bool(must_not=[Q.Term("from")])])
+
+
+def test_a_tree_costs_one_scan_of_the_term_vectors(spark):
+    ctx = Q.Context(index_for(spark, SF_SMALL))
+    q = Q.Bool(must=[Q.Or(*[Q.Term(t) for t in ("from", "des", "tion", "anea", "ed", "on")])],
+               must_not=[Q.Bool(must=[Q.Term("eriner"), Q.Term("des")])])
+    plan = Q.evaluate(ctx, q)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("Exchange") == 1 and "Join" not in plan
+
+
+def test_a_tree_against_brute_force(spark):
+    """Matches and scores of a nested tree from its leaves' own results."""
+    ctx = Q.Context(index_for(spark, SF_SMALL))
+    leaf = lambda c, q=1.0: {r["ID"]: r["score"] for r in c.analyzed(ctx).scores(ctx, q).collect()}
+
+    def score(c, q):
+        if isinstance(c, Q.Boost):
+            return score(c.inner, q * c.boost)
+        if not isinstance(c, Q.Bool):
+            return leaf(c, q)
+        parts = [score(x, q * c.boost) for x in c.must + c.should]
+        out = {}
+        for i in set().union(*parts) if parts else ():
+            if all(i in p for p in parts[:len(c.must)]) and not any(i in score(n, 1.0) for n in c.must_not):
+                held = [p[i] for p in parts if i in p]
+                out[i] = sum(held) * len(held) / len(parts)
+        return out
+
+    tree = TREE.analyzed(ctx)
+    want = score(TREE, 1.0 / tree.sum_sq(ctx) ** 0.5)
+    got = {r["ID"]: r["score"] for r in Q.evaluate(ctx, TREE).collect()}
+    assert got.keys() == want.keys() and len(got) > 20
+    assert all(abs(got[i] - want[i]) < 1e-9 for i in got)
+
+
+def test_scores_are_the_same_to_the_last_bit(spark, monkeypatch):
+    """Whatever the partitions and the order of rows; so a cursor of one run
+    pages through another."""
+    import dataclasses
+    ix = index_for(spark, SF_SMALL)
+    runs = []
+    for n, seed in ((1, 1), (3, 2), (7, 3)):
+        shuffled = {t: getattr(ix, t).orderBy(F.rand(seed)).repartition(n) for t in ("doc_terms", "postings")}
+        ctx = Q.Context(dataclasses.replace(ix, **shuffled))
+        spark.conf.set("spark.sql.shuffle.partitions", str(n))
+        runs.append([(r["ID"], r["score"]) for q in (TREE, Q.Terms(FLAGSHIP_TERMS), Q.Phrase(PHRASE_TERMS, slop=4))
+                     for r in R.ranked(R.search(ctx, q)).collect()])
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert runs[0] == runs[1] == runs[2]
+    res = [R.search(Q.Context(dataclasses.replace(ix, doc_terms=ix.doc_terms.repartition(n, "term"))), TREE) for n in (2, 5)]
+    every = [r["ID"] for r in R.ranked(res[0]).collect()]
+    at, paged = None, []
+    while True:
+        rows = (R.page(res[0], 0, 7) if at is None else R.page_after(res[len(paged) % 2], at[0], at[1], 7)).collect()
+        if not rows:
+            break
+        paged += [r["ID"] for r in rows]
+        at = (rows[-1]["score"], rows[-1]["ID"])
+    assert paged == every
+    # more terms than get columns
+    many = Q.Terms([r["term"] for r in ix.term_stats.orderBy("term").limit(90).collect()] + FLAGSHIP_TERMS, analyze=False)
+    a = {r["ID"]: r["score"] for r in R.search(Q.Context(ix), many).collect()}
+    monkeypatch.setattr(Q, "PLAIN_TERMS", 500)
+    b = {r["ID"]: r["score"] for r in R.search(Q.Context(ix), many).collect()}
+    assert a.keys() == b.keys() and all(abs(a[i] - b[i]) < 1e-12 for i in a)
+
+
 def test_hit_boundaries_do_not_depend_on_chunks(spark, monkeypatch):
     """Chunks of a few sentences, in whole ranking runs."""
     ctx = Q.Context(index_for(spark, SF_SMALL))
