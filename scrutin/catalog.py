@@ -19,6 +19,8 @@ FLAGSHIP_TERMS = ["from", "tion", "des"]
 PHRASE_TERMS = ["anea", "eriner"]
 DOTTED_TERMS = r"[a-z0-9]+\.example\.com"
 REF_DATE_MS = 1400000000000
+#: Letters, and what stands for them in a text of mixed scripts.
+MIXED = ("aeohtd", "書ばアーกこ")
 
 
 def _ctx(spark, sf_dir, **kw) -> Q.Context:
@@ -58,6 +60,13 @@ def q_c1_tokens(spark, sf_dir):
     return A.raw_tokens(A.by_document(_docs(spark, sf_dir))).select("ID", "pos", "term")
 
 
+def q_c1_mixed_scripts(spark, sf_dir):
+    """Tokens of the documents with some letters written in other scripts."""
+    from .operators import analysis as A
+    docs = _docs(spark, sf_dir).select("ID", F.translate("body", *MIXED).alias("body"))
+    return A.raw_tokens(A.by_document(docs)).select("ID", "pos", "term")
+
+
 def q_c2_stop_removal(spark, sf_dir):
     return index_for(spark, sf_dir).postings.select("ID", "pos", "term")
 
@@ -837,6 +846,7 @@ def q_i1_streaming_ingest(spark, sf_dir):
 
 QUERIES = {
     "c1_tokens": q_c1_tokens,
+    "c1_mixed_scripts": q_c1_mixed_scripts,
     "c2_stop_removal": q_c2_stop_removal,
     "c3_postings_offsets": q_c3_postings,
     "c4_doc_terms": q_c4_doc_terms,

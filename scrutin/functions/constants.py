@@ -59,3 +59,13 @@ NUM_REGION_COLORS = 9
 
 HIGHLIGHT_OPEN = '<span class="secondarycolorbg">'
 HIGHLIGHT_CLOSE = "</span>"
+
+# Code points of scripts that are written without spaces. Every
+# ideograph and hiragana is a token of its own; runs of katakana, and of Thai,
+# Lao, Myanmar and Khmer letters, are one token.
+SINGLE_RANGES = [(0x2E80, 0x2FDF), (0x3005, 0x3007), (0x3021, 0x3029), (0x3038, 0x303B), (0x3041, 0x3096), (0x309D, 0x309F),
+                 (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF)]
+KATAKANA_RANGES = [(0x30A1, 0x30FA), (0x30FC, 0x30FF), (0x31F0, 0x31FF), (0xFF66, 0xFF9F)]
+RUN_RANGES = [(0x0E01, 0x0E3A), (0x0E40, 0x0E4E), (0x0E81, 0x0ECE), (0x1000, 0x103F), (0x1050, 0x108F), (0x1780, 0x17DD)]
+# A longer token is no term, though it holds its position.
+MAX_TOKEN_LENGTH = 255

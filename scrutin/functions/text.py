@@ -7,10 +7,29 @@ from pyspark.sql import functions as F
 
 from . import constants as K
 
-# Word characters: letters, marks, digits, underscore. A token may contain an
-# inner apostrophe or dot between word characters ("don't", "1.5", "e.g").
+# Word characters: letters, marks, digits, underscore.
 WORD = r"[\p{L}\p{M}\p{N}_]"
-TOKEN_RE = WORD + r"+(?:['’.]" + WORD + r"+)*"
+
+
+def _ranges(*lists) -> str:
+    return "".join(f"{chr(a)}-{chr(b)}" for ranges in lists for a, b in ranges)
+
+
+def _token_pattern(both, less) -> str:
+    """Tokens by script, for an engine's class intersection ``both(class,
+    ranges)`` and difference ``less(class, ranges)``. An ideograph or hiragana
+    stands alone (with its marks); katakana and letters of scripts of the
+    south-east make runs; other word characters make words, which may contain
+    an apostrophe or dot between word characters ("don't", "1.5", "e.g")."""
+    single, kata, run = (both(WORD, _ranges(r)) for r in (K.SINGLE_RANGES, K.KATAKANA_RANGES, K.RUN_RANGES))
+    plain = less(WORD, _ranges(K.SINGLE_RANGES, K.KATAKANA_RANGES, K.RUN_RANGES))
+    return rf"{plain}+(?:['’.]{plain}+)*|{single}\p{{M}}*|{kata}+|{run}+"
+
+
+# ASCII comes first in the class: it is most of most texts
+TOKEN_RE = _token_pattern(lambda c, r: f"[{c}&&[{r}]]", lambda c, r: f"[_0-9A-Za-z[{c}&&[^{r}]]]")
+# the same for query text, in the syntax of Python's regex module
+QUERY_TOKEN_RE = "(?V1)" + _token_pattern(lambda c, r: f"[{c}&&[{r}]]", lambda c, r: f"[{c}--[{r}]]")
 # Lossless split of a text into tokens and the gaps between them: the pieces
 # concatenated give the text back, so a running sum of lengths gives offsets.
 TOKEN_OR_GAP_RE = TOKEN_RE + r"|[^\p{L}\p{M}\p{N}_]+"
@@ -36,6 +55,11 @@ def tokens_of(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN_RE), 0)
 
 
+def is_term(token: Column) -> Column:
+    """Whether a token is short enough to be a term."""
+    return F.length(token) <= K.MAX_TOKEN_LENGTH
+
+
 def extension_of(name: Column) -> Column:
     """Lower-cased text after the last dot; nothing when the dot is last."""
     return F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1))

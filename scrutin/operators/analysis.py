@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import TOKEN_OR_GAP_RE, TOKEN_START_RE, tokens_of
+from ..functions.text import TOKEN_OR_GAP_RE, TOKEN_START_RE, is_term, tokens_of
 from ..session import bounded_broadcast, default_parallelism
 
 CHUNK_CHARS = 1 << 16
@@ -81,13 +81,14 @@ def _add_bases(local: DataFrame, summary_aggs: dict, out_cols) -> DataFrame:
 
 def raw_tokens(chunks: DataFrame) -> DataFrame:
     """(ID, pos, term) for every token, stop words included; ``pos`` is
-    the position in the whole body. Documents within one chunk (the usual
+    the position in the whole body. An overlong token holds its position but is
+    no term. Documents within one chunk (the usual
     case) need no base; longer ones add their chunk's token base."""
     local = chunks.select("ID", "chunk", "multi", F.posexplode(tokens_of(F.col("text"))).alias("p", "term"))
     single = local.where(~F.col("multi")).select("ID", F.col("p").alias("pos"), "term")
     multi = _add_bases(local.where(F.col("multi")), {"n": F.max("p") + 1}, [
         "ID", (F.coalesce("base_n", F.lit(0)) + F.col("p")).cast("int").alias("pos"), "term"])
-    return single.unionByName(multi)
+    return single.unionByName(multi).where(is_term(F.col("term")))
 
 
 def remove_stops(tokens: DataFrame, stops: DataFrame) -> DataFrame:
@@ -137,7 +138,8 @@ def postings_with_offsets(chunks: DataFrame, stops: DataFrame) -> DataFrame:
         ["ID", "piece", "is_tok", "end", "ntok", "base_chars", "base_toks"])
     multi = multi.where("is_tok").select(*out(F.coalesce("base_chars", F.lit(0)),
                                               F.coalesce("base_toks", F.lit(0))))
-    return remove_stops(single.unionByName(multi), stops).select("ID", "term", "pos", "start", "end")
+    return remove_stops(single.unionByName(multi).where(is_term(F.col("term"))), stops).select(
+        "ID", "term", "pos", "start", "end")
 
 
 def doc_terms(toks: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import extension_of, html_to_text, is_unallocated, strip_control, tokens_of
+from ..functions.text import extension_of, html_to_text, is_term, is_unallocated, strip_control, tokens_of
 from ..functions.text import type_priority
 from .fields import leaves
 
@@ -117,7 +117,7 @@ def drop_empty(docs: DataFrame, stop_terms: list[str], mode: str = "coded") -> D
     ``coded``: only unallocated and slack documents are tested; ``all``:
     every document. The stop list is a bounded literal set."""
     stops = F.array(*[F.lit(t) for t in sorted(set(stop_terms))]).cast("array<string>")
-    has_token = F.exists(tokens_of(F.col("body")), lambda t: ~F.array_contains(stops, t))
+    has_token = F.exists(tokens_of(F.col("body")), lambda t: ~F.array_contains(stops, t) & is_term(t))
     if mode == "all":
         return docs.where(has_token)
     return docs.where(has_token | ~(F.col("is_unallocated") | F.col("is_slack")))

@@ -23,8 +23,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions.text import DOT_MASK, SENTENCE_END, SENTENCE_RE, TOKEN_DOT_RE, TOKEN_OR_GAP_RE
-from ..functions.text import TOKEN_START_RE, html_escape, tokens_of
-from ..functions.text import in_system_dir
+from ..functions.text import html_escape, in_system_dir, is_term, tokens_of
 from ..session import bounded_broadcast, default_parallelism
 from . import query as Q
 from .analysis import CHUNK_CHARS, _add_bases, chunks_of, remove_stops
@@ -144,7 +143,7 @@ def sentence_table(docs: DataFrame, chunk_chars: int = CHUNK_CHARS) -> DataFrame
 def sentence_tokens(sents: DataFrame, stops: DataFrame) -> DataFrame:
     """(ID, term, pos, s_idx): the postings of the sentences, stop words removed."""
     toks = sents.select("ID", "s_idx", "first_pos", F.posexplode(tokens_of(F.col("sentence"))).alias("k", "term"))
-    return remove_stops(toks, stops).select("ID", "term", (F.col("first_pos") + F.col("k")).alias("pos"), "s_idx")
+    return remove_stops(toks.where(is_term(F.col("term"))), stops).select("ID", "term", (F.col("first_pos") + F.col("k")).alias("pos"), "s_idx")
 
 
 def matches(postings: DataFrame, stats: QueryTermStats) -> DataFrame:

@@ -23,7 +23,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import TOKEN_RE
+from ..functions.constants import MAX_TOKEN_LENGTH
+from ..functions.text import QUERY_TOKEN_RE
 from . import fields as M
 from . import patterns as P
 from ..session import bounded_broadcast, literal_frame
@@ -84,10 +85,11 @@ class Context:
 
 def analyze(text: str, stops: frozenset[str] = frozenset()) -> list[tuple[str, int]]:
     """Query text analysed the way bodies are: ``(term, position)`` of its
-    lower-cased tokens, stop words left out with their positions kept."""
-    import regex  # the body pattern as it is; the standard module lacks its classes
-    found = enumerate(regex.findall(TOKEN_RE, text.lower()))
-    return [(t, i) for i, t in found if t not in stops]
+    lower-cased tokens, stop words and overlong tokens left out with their
+    positions kept."""
+    import regex  # the standard module lacks the classes of the pattern
+    found = enumerate(m.group() for m in regex.finditer(QUERY_TOKEN_RE, text.lower()))
+    return [(t, i) for i, t in found if t not in stops and len(t) <= MAX_TOKEN_LENGTH]
 
 
 # ------------------------------------------------------ one pass for a tree

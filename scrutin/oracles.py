@@ -118,6 +118,17 @@ def _c1():
     return with_ctes(EVIDENCE, TOKENS, body="SELECT ID, CAST(pos AS INTEGER) AS pos, term FROM raw_tok")
 
 
+@oracle("c1_mixed_scripts")
+def _c1_mixed():
+    """Scripts without spaces are set apart before words are taken."""
+    apart = "regexp_replace({}, '({})', ' \\1 ', 'g')"
+    text = "lower(translate(body, 'aeohtd', '書ばアーกこ'))"
+    for script in ("[\\p{Han}\\p{Hiragana}]", "[\\p{Katakana}ー]+", "\\p{Thai}+"):
+        text = apart.format(text, script)
+    return with_ctes(EVIDENCE, body=f"""SELECT ID, CAST(generate_subscripts(a, 1) - 1 AS INTEGER) AS pos, unnest(a) AS term
+FROM (SELECT ID, regexp_extract_all({text}, {q(TOKEN_RE)}) AS a FROM ev)""")
+
+
 @oracle("c2_stop_removal")
 def _c2():
     return with_ctes(EVIDENCE, TOKENS, body="SELECT ID, CAST(pos AS INTEGER) AS pos, term FROM tok")
