@@ -603,15 +603,41 @@ def q_b11_byte_ngrams(spark, sf_dir):
     return T.byte_ngram_counts(d)
 
 
-def q_b12_filetype_model(spark, sf_dir):
+def _lang_model(spark, sf_dir):
+    """A classifier of the documents' languages by their bytes, saved and loaded."""
+    import hashlib
+    from . import CODE_VERSION
     from .operators import filetype as T
+    from .plans.index import _BUILD_LOCK, _built, _files_key, _touch
+    from .session import scratch_path
     from .sources.tables import read_table
     d = read_table(spark, sf_dir, "documents").select(
         F.col("doc_id").cast("string").alias("ID"), F.encode("text", "UTF-8").alias("content"),
         F.col("lang").alias("label"))
-    counts = T.byte_ngram_counts(d)
-    model = T.train_classifier(counts, d.select("ID", "label"))
-    return T.predict(model, counts)
+    files = _files_key(spark, f"{sf_dir.rstrip('/')}/documents.parquet")
+    path = scratch_path(spark, "filetype", hashlib.md5(f"{sf_dir}|{CODE_VERSION}|{files}".encode()).hexdigest()[:12])
+    with _BUILD_LOCK:
+        if not _built(spark, path):
+            T.save_classifier(T.train_classifier(d.where("label is not null")), path)
+            _touch(spark, f"{path}/_BUILT")
+    return T.load_classifier(path), d
+
+
+def q_b12_filetype_model(spark, sf_dir):
+    from .operators import filetype as T
+    model, d = _lang_model(spark, sf_dir)
+    return T.predict(model, d).select("ID", "predicted")
+
+
+def q_b14_record_job(spark, sf_dir):
+    """Extensions of the record job's documents: those of unallocated records
+    are of the predicted class."""
+    from .operators import docs as D
+    from .operators import filetype as T
+    from .sources.stoplist import default_stop_terms
+    classifier = T.classes(_lang_model(spark, sf_dir)[0])
+    docs = D.records_to_docs(_records(spark, sf_dir), default_stop_terms(), classifier=classifier)
+    return docs.select("ID", "extension", "is_unallocated", "is_slack")
 
 
 def _classified(spark, sf_dir):
@@ -955,6 +981,7 @@ QUERIES = {
     "b12_filetype_model": q_b12_filetype_model,
     "b13_class_extension": q_b13_class_extension,
     "b14_unallocated_override": q_b14_unallocated_override,
+    "b14_record_job": q_b14_record_job,
     "b15_type_priority": q_b15_type_priority,
     "b16_ingest_counters": q_b16_ingest_counters,
     "b17_display_times": q_b17_display_times,

@@ -76,15 +76,18 @@ def to_documents(recs: DataFrame) -> DataFrame:
     slack document (``name:slack``, size = slack size, no extension, text
     from the tail bytes). Requires ``file_id``/``slack_id`` (A2) and the
     columns of :func:`parse_metadata`."""
+    # a classified record carries the extension of its type
+    ext = F.coalesce("extension_override", extension_of(F.col("name"))) if "extension_override" in recs.columns \
+        else extension_of(F.col("name"))
     base = recs.select("file_id", "slack_id", "path", "name", "modified", "created", "accessed",
-                       "file_size", "slack_size", "content")
+                       "file_size", "slack_size", "content", ext.alias("ext"))
     def doc(id_, name, ext, size, body, slack):
         return F.struct(F.col(id_).alias("ID"), name.alias("name"), "path", ext.alias("extension"),
                         F.col(size).alias("size"), "created", "modified", "accessed", body.alias("body"),
                         F.lit(slack).alias("is_slack"))
 
     # one scan: a record is exploded to its file and, if it has any, its slack
-    file_doc = doc("file_id", F.col("name"), extension_of(F.col("name")), "file_size",
+    file_doc = doc("file_id", F.col("name"), F.col("ext"), "file_size",
                    extract_text(F.col("name"), F.expr("substring(content, 1, file_size)")), False)
     slack_doc = doc("slack_id", F.concat("name", F.lit(":slack")), F.lit(""), "slack_size",
                     scrape_text(F.expr("substring(content, file_size + 1, slack_size)")), True)

@@ -45,7 +45,7 @@ def test_entry(spark):
 def test_every_query_has_an_oracle_or_is_listed():
     without = set(E.queries()) - set(ORACLES)
     optional = {n for n in without if n.startswith("op") or n == "pipeline"}  # tested in tests/llm
-    assert without - optional == {"a8_map_json", "b12_filetype_model"}
+    assert without - optional == {"a8_map_json", "b12_filetype_model", "b14_record_job"}
 
 
 @pytest.mark.parametrize("name", sorted(n for n in ORACLES if n not in E.LLM_ORACLE_SQL))
