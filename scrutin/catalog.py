@@ -205,6 +205,17 @@ def q_a5_open_index(spark, sf_dir):
     return ix.corpus.select(F.md5(F.lit("evidence")).alias("Id"), F.col("num_docs").alias("NumDocs"))
 
 
+def q_a5_describe(spark, sf_dir):
+    """The index of the evidence view and a path without one: whether the id
+    is that of the path, and the defined error."""
+    from .plans.index import describe
+    path = index_for(spark, sf_dir).path
+    both = [(p, describe(spark, p)) for p in (path, path + "-none")]
+    rows = [d.select((F.col("Id") == F.md5(F.lit(p).cast("binary"))).alias("id_of_path"), "NumDocs",
+                     F.coalesce("Error", F.lit("")).alias("error")) for p, d in both]
+    return rows[0].unionByName(rows[1])
+
+
 # ------------------------------------------------------------ F: hits
 
 _HITS: dict = {}  # (application, index path) -> ranked hits of the flagship query
@@ -216,8 +227,15 @@ def _hit_parts(spark, sf_dir):
     from .operators import hits as H
     ctx = _ctx(spark, sf_dir)
     q = Q.Terms(FLAGSHIP_TERMS)
-    key = (spark.sparkContext.applicationId, ctx.index.path)
-    if key not in _HITS:
+    from .plans.index import _fs_path
+    key = (spark.sparkContext.applicationId, ctx.index.path, ctx.index.version)
+
+    def there(file):
+        fs, p = _fs_path(spark, file)
+        return fs.exists(p)
+
+    # drop_intermediates may have deleted what the kept plan reads
+    if key not in _HITS or not all(there(f) for f in _HITS[key].inputFiles()[:1]):
         _HITS[key] = H.rank_hits(ctx, q, REF_DATE_MS)
     return ctx, q, _HITS[key]
 
@@ -376,6 +394,16 @@ def q_g8_distances(spark, sf_dir):
     return d.select("ID", "cell", r6(F.col("distance")).alias("distance"))
 
 
+def q_g8_nearest_cells(spark, sf_dir):
+    """The three nearest cells of every document on the initial map."""
+    from .operators import som as S
+    _, cr = _cluster(spark, sf_dir)
+    b = S.Blocks.of(cr.cfg, cr.dims)
+    docs, groups = S.grouped(cr.vectors, cr.vectors.count())
+    near = S.nearest_k(docs, groups, S.initial_blocks(spark, b), b, 3)
+    return near.select("ID", "rank", "cell", r6(F.col("distance")).alias("distance"))
+
+
 def q_g9_nearest_cell(spark, sf_dir):
     from .operators import som as S
     cr, w = _init_w(spark, sf_dir)
@@ -757,6 +785,11 @@ def q_a8_map_json(spark, sf_dir):
     return _map_doc(spark, sf_dir)
 
 
+def q_a8_map_facts(spark, sf_dir):
+    from .operators import export as X
+    return X.map_facts(_map_doc(spark, sf_dir))
+
+
 def q_a9_map_json_source(spark, sf_dir):
     import uuid
     from .operators import export as X
@@ -833,6 +866,12 @@ def q_h4_comment_search(spark, sf_dir):
     return B.search_comments(c, ["des", "the"]).select("conv_id", "turn")
 
 
+def q_h3_bookmark_ids(spark, sf_dir):
+    """Bookmarks of all documents with their ids."""
+    from .operators import bookmarks as B
+    return B.bookmarks_for_docs(_bookmarks(spark, sf_dir), _docs(spark, sf_dir).select("ID"))
+
+
 def q_h5_bookmark_limit(spark, sf_dir):
     from .operators import bookmarks as B
     return B.limit_bookmarks(_bookmarks(spark, sf_dir), 3).drop("Bookmark")
@@ -944,6 +983,7 @@ QUERIES = {
     "g5_vector_stats": q_g5_vector_stats,
     "g6_g7_initial_weights": q_g6_g7_initial_weights,
     "g8_distances": q_g8_distances,
+    "g8_nearest_cells": q_g8_nearest_cells,
     "g9_nearest_cell": q_g9_nearest_cell,
     "g10_neighbourhood_counts": q_g10_neighbourhood_counts,
     "g11_epoch_update": q_g11_epoch_update,
@@ -992,6 +1032,7 @@ QUERIES = {
     "a6_doc_vectors_sink": q_a6_doc_vectors_sink,
     "a7_assignments_sink": q_a7_assignments_sink,
     "a8_map_json": q_a8_map_json,
+    "a8_map_facts": q_a8_map_facts,
     "a9_map_json_source": q_a9_map_json_source,
     "a10_document_csv": q_a10_document_csv,
     "a11_hit_csv": q_a11_hit_csv,
@@ -1000,6 +1041,7 @@ QUERIES = {
     "h1_create_bookmark": q_h1_create_bookmark,
     "h2_bookmarks_for_docs": q_h2_bookmarks_for_docs,
     "h3_all_bookmarks": q_h3_all_bookmarks,
+    "h3_bookmark_ids": q_h3_bookmark_ids,
     "h4_comment_search": q_h4_comment_search,
     "h5_bookmark_limit": q_h5_bookmark_limit,
     "h6_results_bookmarks": q_h6_results_bookmarks,
@@ -1007,5 +1049,6 @@ QUERIES = {
     "h8_bookmarked_flag": q_h8_bookmarked_flag,
     "i1_streaming_ingest": q_i1_streaming_ingest,
     "a5_open_index": q_a5_open_index,
+    "a5_describe": q_a5_describe,
     "a14_fetch_document": q_a14_fetch_document,
 }

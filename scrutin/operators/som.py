@@ -516,6 +516,54 @@ def nearest_cells(docs: DataFrame, groups: int, blocks: DataFrame, b: Blocks) ->
     return found.select("ID", "cell", F.greatest("distance", F.lit(0.0)).alias("distance"))
 
 
+def nearest_k(docs: DataFrame, groups: int, blocks: DataFrame, b: Blocks, k: int) -> DataFrame:
+    """(ID, rank, cell, distance) of the ``k`` nearest cells, equals by
+    cell. Cells are tried in parts, by norm; a part is skipped when
+    ``(|x| − |w|)²``, which no distance is below, exceeds the kth best of every
+    document of the batch (documents are taken by their norm, too)."""
+    schema = [("ID", pa.string()), ("cell", pa.int32()), ("distance", pa.float64())]
+    part, many = 128, 1024
+
+    def kernel(vec, mat, first):
+        if not len(vec):
+            return _table(schema, [[], [], []])
+        offsets, flat = _lists(vec)
+        sizes, ids = np.diff(offsets), np.asarray(vec.column("ID").to_pylist(), dtype=object)
+        s2 = (mat * mat).sum(axis=1)
+        by_norm, by_size = np.argsort(s2, kind="stable"), np.argsort(sizes, kind="stable")
+        out_id, out_cell, out_dist = [], [], []
+        for i in range(0, len(by_size), many):
+            rows = by_size[i:i + many]
+            x = np.zeros((len(rows), mat.shape[1]))
+            for r, doc in enumerate(rows):
+                x[r, flat[offsets[doc]:offsets[doc + 1]]] = 1.0
+            n = sizes[rows].astype(float)
+            dist = np.full((len(rows), k), np.inf)
+            cell = np.full((len(rows), k), np.iinfo(np.int32).max, dtype=np.int64)
+            # parts nearest in norm come first
+            parts = [by_norm[j:j + part] for j in range(0, len(by_norm), part)]
+            middle = np.sqrt(n).mean()
+            for p in sorted(parts, key=lambda p: abs(np.sqrt(s2[p]).mean() - middle)):
+                lo, hi = np.sqrt(s2[p]).min(), np.sqrt(s2[p]).max()
+                gap = np.maximum(np.maximum(lo - np.sqrt(n), np.sqrt(n) - hi), 0.0)
+                if (gap * gap > dist[:, -1] + 1e-9).all():
+                    continue
+                d = n[:, None] + s2[p][None, :] - 2.0 * (x @ mat[p].T)
+                both, cells = np.hstack([dist, d]), np.hstack([cell, np.broadcast_to(p + first, d.shape)])
+                order = np.lexsort((cells, both), axis=1)[:, :k]
+                dist, cell = np.take_along_axis(both, order, axis=1), np.take_along_axis(cells, order, axis=1)
+            held = np.isfinite(dist)
+            out_id.append(np.repeat(ids[rows], held.sum(axis=1)))
+            out_cell.append(cell[held])
+            out_dist.append(dist[held])
+        return _table(schema, [np.concatenate(out_id).tolist(), np.concatenate(out_cell).astype(np.int32), np.concatenate(out_dist)])
+
+    found = _meet(docs, groups, blocks, b, kernel, "ID string, cell int, distance double")
+    rank = F.row_number().over(Window.partitionBy("ID").orderBy("distance", "cell"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select(
+        "ID", "rank", "cell", F.greatest("distance", F.lit(0.0)).alias("distance"))
+
+
 def block_counts(docs: DataFrame, groups: int, blocks: DataFrame, b: Blocks) -> DataFrame:
     """Counts of one epoch, (winner, idx, cnt); idx = -1 counts documents."""
     schema = [("winner", pa.int32()), ("idx", pa.int32()), ("cnt", pa.int64())]

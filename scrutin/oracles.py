@@ -413,6 +413,12 @@ def _a5():
     return with_ctes(EVIDENCE, body="SELECT md5('evidence') AS Id, COUNT(*) AS NumDocs FROM ev")
 
 
+@oracle("a5_describe")
+def _a5_describe():
+    return with_ctes(EVIDENCE, body="SELECT true AS id_of_path, COUNT(*) AS NumDocs, '' AS error FROM ev "
+                                    "UNION ALL SELECT true, NULL, 'no finished index'")
+
+
 @oracle("a14_fetch_document")
 def _a14():
     return with_ctes(EVIDENCE, body="SELECT ID, name, path, body_len, body FROM ev WHERE ID = '42'")
@@ -751,6 +757,12 @@ def _g8():
     return _som("SELECT ID, cell, round(greatest(d, 0.0), 6) AS distance FROM d_0")
 
 
+@oracle("g8_nearest_cells")
+def _g8_nearest():
+    return _som("""SELECT ID, CAST(row_number() OVER (PARTITION BY ID ORDER BY d, cell) AS INTEGER) AS rank, cell,
+round(greatest(d, 0.0), 6) AS distance FROM d_0 QUALIFY rank <= 3""")
+
+
 @oracle("g9_nearest_cell")
 def _g9():
     return _som("SELECT ID, winner AS cell, round(dist, 6) AS distance FROM win_0")
@@ -859,6 +871,16 @@ def _colored(body: str) -> str:
     return "WITH RECURSIVE " + ",\n".join([*som_ctes(), COLORS]) + "\n" + body
 
 
+@oracle("a8_map_facts")
+def _a8_map_facts():
+    return _colored("""SELECT 'cell' AS kind, CAST(s.cell AS BIGINT) AS a, CAST(s.num AS BIGINT) AS b,
+       (SELECT string_agg(term, ' ' ORDER BY rank) FROM tops t WHERE t.cell = s.cell) AS text FROM stats2 s
+UNION ALL SELECT 'region', cell, region, NULL FROM regs
+UNION ALL SELECT 'color', region, color, NULL FROM colored
+UNION ALL SELECT 'neighbour', region, other, NULL FROM adj
+UNION ALL SELECT 'difference', a, b, CASE WHEN sign < 0 THEN '-' ELSE '' END || term FROM sdiffs WHERE a < b""")
+
+
 @oracle("g20_region_colors")
 def _g20():
     return _colored("SELECT CAST(region AS INTEGER) AS region, color FROM colored")
@@ -1140,6 +1162,11 @@ def _h3():
     return with_ctes(EVIDENCE, BOOKMARKS, body="SELECT Comment, Created, ID FROM bm")
 
 
+@oracle("h3_bookmark_ids")
+def _h3_ids():
+    return with_ctes(EVIDENCE, BOOKMARKS, body="SELECT 'b' || lpad(substring(Comment, 6), 4, '0') AS Bookmark, Comment, Created, ID FROM bm")
+
+
 @oracle("h4_comment_search")
 def _h4():
     return (f"SELECT conv_id, turn FROM conversations WHERE "

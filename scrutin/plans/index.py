@@ -216,6 +216,18 @@ def open_index(spark: SparkSession, path: str) -> Index:
                  t["doc_stats"], corpus, t["sentences"], t["grams"], t["deletes"], t["fields"], manifest)
 
 
+def describe(spark: SparkSession, path: str) -> DataFrame:
+    """A5: one row on the index at a path: (Id, NumDocs, Version, Error). The
+    id is that of the path; without a finished index there, Error says so and
+    the numbers are null."""
+    manifest = G.latest(spark, path)
+    found = manifest is not None and bool(manifest["generations"])
+    number = lambda k: F.lit(manifest[k] if found else None).cast("long")
+    return spark.range(1).select(F.md5(F.lit(path).cast("binary")).alias("Id"), number("num_docs").alias("NumDocs"),
+                                 number("version").alias("Version"),
+                                 F.lit(None if found else "no finished index").cast("string").alias("Error"))
+
+
 def _fs_path(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)

@@ -62,6 +62,28 @@ def test_map_of_many_blocks_equals_one_block(spark, monkeypatch, map_data):
     assert sorted(map(tuple, S.cell_rows(S.blocks_from(w, b), b).collect())) == sorted(map(tuple, w.collect()))
 
 
+def test_nearest_k_cells_against_brute_force(spark, monkeypatch, map_data):
+    """In one block and in blocks of three cells; ties go to the lower cell."""
+    import numpy as np
+    from scrutin.operators import som as S
+    cfg, vec = map_data
+    rows = {r["ID"]: r["features"] for r in vec.collect() if r["features"]}
+    mat = S.initial_matrix(cfg, 11)
+    mat[3], mat[17] = mat[5], mat[5]
+    want = set()
+    for i, f in rows.items():
+        x = np.zeros(11)
+        x[f] = 1
+        d = [(round(float(((x - w) ** 2).sum()), 9), c) for c, w in enumerate(mat)]
+        want |= {(i, r, c, v) for r, (v, c) in enumerate(sorted(d)[:4], 1)}
+    for size in (16 << 20, 8 * 11 * 3):
+        monkeypatch.setattr(S, "BLOCK_BYTES", size)
+        b = S.Blocks.of(cfg, 11)
+        docs, groups = S.grouped(vec, len(rows))
+        near = S.nearest_k(docs, groups, S.blocks_from(S.matrix_frame(spark, mat), b), b, 4)
+        assert {(r["ID"], r["rank"], r["cell"], round(r["distance"], 9)) for r in near.collect()} == want
+
+
 def test_training_against_the_dense_form(spark, map_data):
     """Epochs as one dense step each, from the same counts."""
     import numpy as np
