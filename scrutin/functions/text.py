@@ -35,7 +35,7 @@ QUERY_TOKEN_RE = "(?V1)" + _token_pattern(lambda c, r: f"[{c}&&[{r}]]", lambda c
 TOKEN_OR_GAP_RE = TOKEN_RE + r"|[^\p{L}\p{M}\p{N}_]+"
 # A dot between word characters belongs to a token and ends no sentence; it is
 # masked (same length) while a text is split.
-TOKEN_DOT_RE = rf"(?<={WORD})\.(?={WORD})"
+TOKEN_DOT_RE = rf"\.(?={WORD})(?<={WORD}\.)"
 DOT_MASK = "\ue000"
 # Where a sentence ends, in text that is not masked.
 SENTENCE_END = rf"(?:[!?\n]|\.(?!(?<={WORD}\.){WORD}))"
