@@ -12,11 +12,17 @@ without a license of their own take the license of the nearest directory at
 or above theirs that has one. Paths are joined by equality on ancestor
 directories; a directory's ancestors are as many as its path has parts.
 
-Only statements that hold one of the ``telling_words`` are exploded to words.
-The bound is exact: of each template the commonest words are left out as long
-as their squared weights stay below ``SIMILAR`` squared, and by Cauchy-Schwarz
-a statement that holds no other word of it has a cosine below ``SIMILAR``. So
-has one whose words outside the collection outweigh those in it too far.
+Only statements that can reach ``SIMILAR`` are exploded to words; the others
+are left out inside their row, by exact bounds. First, a statement must hold
+one of the ``telling_words``: of each template the commonest words are left out
+as long as their squared weights stay below ``SIMILAR`` squared, and by
+Cauchy-Schwarz a statement without any other word of it has a cosine below
+``SIMILAR``. Then its words are counted: a word that is not common adds at most
+its weight times its largest weight in a template to the product, the common
+ones together at most their norm times the largest norm that common words have
+in a template; and the norm is that of the words inside the collection and at
+least that of equally frequent words outside. What is left is bounded once more
+with the common words' exact product with each template.
 
 Edge cases: null and empty texts have no license of their own; a null path is
 a file without directory (nothing to inherit); of equally similar templates
@@ -192,54 +198,84 @@ def telling_words(templates=TEMPLATES) -> list[str]:
     return sorted(telling)
 
 
-def _holds(words: list[str]) -> str:
-    """Pattern of all texts with one of ``words`` as a word (and of some others:
-    words begin anywhere but after a letter, as 'b' of '2.0b' is one)."""
-    plain = [w for w in words if "." not in w]
-    dotted = [re.escape(w) for w in words if "." in w]
-    ends = [f"(?:{'|'.join(plain)})(?![a-z])"] * bool(plain) + [f"(?:{'|'.join(dotted)})(?![0-9])"] * bool(dotted)
-    return f"(?<![a-z])(?:{'|'.join(ends)})"
-
-
 def _literal_map(pairs) -> Column:
     return F.create_map(*[F.lit(x) for p in pairs for x in p])
 
 
-def _reaches(unit: Column, templates=TEMPLATES) -> Column:
-    """Whether a text of so many words inside and outside the collection can
-    reach ``SIMILAR``. A word inside adds at most its weight times its largest
-    weight in a template to the product; the norm is at least that of the words
-    outside, and this is least if each is as frequent as the others."""
+def _possible(units: Column, templates=TEMPLATES) -> Column:
+    """Those of some statements that can reach ``SIMILAR``."""
     rows, idf, other = template_weights(templates)
-    least = (SIMILAR - 10 ** -DIGITS) ** 2
+    least = SIMILAR - 10 ** -DIGITS - 1e-9  # rounding to DIGITS lifts a cosine by half a digit at most
     most: dict[str, float] = {}
-    for _, w, x in rows:
-        most[w] = max(most.get(w, 0.0), idf[w] * x)
-    light = sorted(w for w in most if w in COMMON)
-    heavy = sorted(w for w in most if w not in COMMON)
-
-    def can(words: Column) -> Column:
-        out = F.filter(words, lambda w: ~w.isin(sorted(idf)))
-        inside = (F.size(F.filter(words, lambda w: w.isin(light))) * max((most[w] for w in light), default=0.0)
-                  + F.size(F.filter(words, lambda w: w.isin(heavy))) * max((most[w] for w in heavy), default=0.0))
-        n = F.size(out).cast("double")
-        return inside * inside * F.size(F.array_distinct(out)) >= n * n * (least * other * other)
-
-    # an array of one, so the words are cut once
-    return F.exists(F.array(F.regexp_extract_all(unit, F.lit(f"({_WORDS})"))), can)
-
-
-def statements(text: str, templates=TEMPLATES) -> Column:
-    """The statements of a text that hold a telling word: sentences of lines,
-    and blocks (lines up to one without a word, such as joined comment lines)
-    and their sentences."""
+    light: dict[int, dict[str, float]] = {}
+    for t, w, x in rows:
+        most[w] = max(most.get(w, 0.0), x)
+        if w in COMMON:
+            light.setdefault(t, {})[w] = x * idf[w]
+    norm = max((math.sqrt(sum((x / idf[w]) ** 2 for w, x in v.items())) for v in light.values()), default=0.0)
+    # templates whose common words weigh no more than another's say nothing new
+    vectors = [v for v in {tuple(sorted(v.items())): v for v in light.values()}.values()]
+    vectors = [v for v in vectors if not any(
+        u is not v and all(u.get(w, 0.0) >= x for w, x in v.items()) for u in vectors)]
+    common = sorted({w for v in vectors for w in v})
+    inside, telling = sorted(idf), telling_words(templates)
+    # of a word inside: its inverse document frequency, and its largest part of a product if it is not common
+    known = _literal_map([(w, f) for w, f in sorted(idf.items())])
+    heavy = _literal_map([(w, 0.0 if w in COMMON else most[w] * idf[w]) for w in inside])
+    shared = _literal_map([(w, 1.0 if w in COMMON else 0.0) for w in inside])
+
+    def flushed(acc: Column, word: Column, n: Column) -> Column:
+        seen = acc["w"] != ""
+        weight = F.when(seen, acc["n"] * known[acc["w"]]).otherwise(0.0)
+        return F.struct(word.alias("w"), n.alias("n"), (acc["k"] + seen.cast("double")).alias("k"),
+                        (acc["heavy"] + F.when(seen, acc["n"] * heavy[acc["w"]]).otherwise(0.0)).alias("heavy"),
+                        (acc["light"] + F.when(seen, weight * weight * shared[acc["w"]]).otherwise(0.0)).alias("light"),
+                        (acc["inner"] + weight * weight).alias("inner"))
+
+    def count(acc: Column, word: Column) -> Column:
+        more = F.struct(acc["w"].alias("w"), (acc["n"] + 1).alias("n"), acc["k"].alias("k"), acc["heavy"].alias("heavy"),
+                        acc["light"].alias("light"), acc["inner"].alias("inner"))
+        return F.when(acc["w"] == word, more).otherwise(flushed(acc, word, F.lit(1.0)))
+
+    start = F.struct(F.lit("").alias("w"), F.lit(0.0).alias("n"), *[F.lit(0.0).alias(c) for c in ("k", "heavy", "light", "inner")])
+    cut = F.transform(units, lambda u: F.struct(u.alias("u"), F.regexp_extract_all(u, F.lit(f"({_WORDS})")).alias("w")))
+    told = F.filter(cut, lambda x: F.exists(x["w"], lambda w: w.isin(telling)))
+    parted = F.transform(told, lambda x: F.struct(
+        x["u"].alias("u"), F.sort_array(F.filter(x["w"], lambda w: w.isin(inside))).alias("i"),
+        F.size(x["w"]).cast("double").alias("n"), F.size(F.array_distinct(x["w"])).cast("double").alias("d")))
+    summed = F.transform(parted, lambda x: F.struct(
+        x["u"].alias("u"), x["i"].alias("i"), (x["n"] - F.size(x["i"])).alias("n"), x["d"].alias("d"),
+        F.aggregate(x["i"], start, count, lambda acc: flushed(acc, F.lit(""), F.lit(0.0))).alias("s")))
+    # words outside, as evenly frequent as can be
+    outer = lambda x: F.when(x["n"] > 0, x["n"] * x["n"] / (x["d"] - x["s"]["k"]) * (other * other)).otherwise(0.0)
+    needed = lambda x: F.sqrt(x["s"]["inner"] + outer(x)) * least
+    near = F.filter(summed, lambda x: x["s"]["heavy"] + F.sqrt(x["s"]["light"]) * norm >= needed(x))
+    if not vectors:
+        return F.transform(near, lambda x: x["u"])
+    words = F.array(*[F.lit(w) for w in common])
+    exact = F.transform(near, lambda x: F.struct(x["u"].alias("u"), (needed(x) - x["s"]["heavy"]).alias("left"), F.transform(
+        words, lambda c: F.size(F.filter(x["i"], lambda w: w == c))).alias("tf")))
+
+    def product(tf: Column) -> Column:
+        sums = []
+        for v in vectors:
+            total = F.lit(0.0)
+            for w, x in v.items():
+                total = total + F.element_at(tf, common.index(w) + 1) * x
+            sums.append(total)
+        return F.array_max(F.array(*sums))
+
+    return F.transform(F.filter(exact, lambda x: product(x["tf"]) >= x["left"]), lambda x: x["u"])
+
+
+def statements(text: str) -> Column:
+    """The statements of a text: sentences of lines, and blocks (lines up to
+    one without a word, such as joined comment lines) and their sentences."""
     body = F.lower(F.coalesce(F.col(text), F.lit("")))
-    holds = _holds(telling_words(templates))
-    ends = r"(?<=[.!?;])[ \t]+"
-    told = lambda units: F.filter(units, lambda s: s.rlike(holds))
-    blocks = F.filter(told(F.split(body, r"\n(?:[^a-z0-9\n]*\n)+")), lambda b: b.contains("\n"))
+    ends = r"[ \t](?<=[.!?;][ \t])[ \t]*"  # blanks behind the end of a sentence
+    blocks = F.filter(F.split(body, r"\n(?:[^a-z0-9\n]*\n)+"), lambda b: b.contains("\n"))
     joined = F.transform(blocks, lambda b: F.regexp_replace(b, r"\n[^a-z0-9\n]*", " "))
-    cut = F.concat(told(F.split(body, rf"\n|{ends}")), joined, told(F.flatten(F.transform(joined, lambda b: F.split(b, ends)))))
+    cut = F.concat(F.split(body, rf"\n|{ends}"), joined, F.flatten(F.transform(joined, lambda b: F.split(b, ends))))
     return F.array_distinct(cut)
 
 
@@ -253,8 +289,8 @@ def own_licenses(df: DataFrame, path: str = "path", text: str = "text", template
     marked = plain.withColumn("__row", F.monotonically_increasing_id())
     whole = F.when(F.coalesce(F.col(path), F.lit("")).rlike(_LICENSE_FILE),
                    F.array(F.lower(F.coalesce(F.col(text), F.lit("")))))
-    units = F.array_union(statements(text, templates), F.coalesce(whole, F.array().cast("array<string>")))
-    units = F.filter(units, lambda s: _reaches(s, templates))
+    units = F.array_union(statements(text), F.coalesce(whole, F.array().cast("array<string>")))
+    units = _possible(units, templates)
     # rows are numbered once, in a table, so both uses see the same numbers
     marked = written(marked.withColumn("__units", units).drop(text))
     unit = marked.filter(F.size("__units") > 0).select("__row", F.posexplode("__units").alias("__u", "__s"))

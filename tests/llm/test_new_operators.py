@@ -277,3 +277,45 @@ def test_op12_edge_cases(spark, monkeypatch, anchors, tile, tasks):
     got = [tuple(r) for r in negatives.hard_negatives(df, F.col("vec_id") % 100 == 0).collect()]
     assert len(got) == len(set(got)) and set(got) == brute_negatives(rows)
     assert negatives.hard_negatives(df.limit(0), F.col("vec_id") % 100 == 0).collect() == []
+
+
+# ------------------------------------------------------------------ op 10
+
+
+def test_op10_bounds_drop_no_statement(spark):
+    """Every statement that reaches a template is kept by the bounds, on
+    fragments of all templates with common and foreign words mixed in; few of
+    the others are."""
+    import collections
+    import math
+    import random
+    from scrutin.llm import license
+    rows, idf, other = license.template_weights(license.TEMPLATES)
+    inverse = collections.defaultdict(list)
+    for t, w, x in rows:
+        inverse[w].append((t, x))
+
+    def reach(words):
+        bag = collections.Counter(words)
+        norm = math.sqrt(sum((n * idf.get(w, other)) ** 2 for w, n in bag.items()))
+        dots = collections.Counter()
+        for w, n in bag.items():
+            for t, x in inverse[w]:
+                dots[t] += n * idf[w] * x
+        return max(dots.values(), default=0.0) / norm if norm else 0.0
+
+    rng, common = random.Random(7), sorted(license.COMMON)
+    units = []
+    for _, t in license.TEMPLATES:
+        words = re.findall(license._WORDS, t.lower())
+        part = [w for w in words if rng.random() < rng.choice([.5, .8, 1])]
+        noise = [rng.choice([f"x{rng.randrange(50)}", rng.choice(common)]) for _ in range(rng.randrange(0, 12))]
+        units.append(" ".join(rng.sample(part + noise, len(part + noise))))
+    units += [" ".join(rng.choice([*common, f"y{rng.randrange(300)}"]) for _ in range(rng.choice([3, 20, 400]))) for _ in range(600)]
+    units = sorted(set(units))
+    df = spark.createDataFrame([(units[i::8],) for i in range(8)], "u array<string>")
+    kept = {u for r in df.select(license._possible(F.col("u")).alias("u")).collect() for u in r.u}
+    true = {u for u in units if round(reach(re.findall(license._WORDS, u)), license.DIGITS) >= license.SIMILAR}
+    assert true <= kept and len(true) > 200
+    prose = [u for u in units if re.search(r"\by\d", u)]
+    assert len([u for u in prose if u in kept]) < .1 * len(prose)
