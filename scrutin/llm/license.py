@@ -293,21 +293,23 @@ def own_licenses(df: DataFrame, path: str = "path", text: str = "text", template
     units = _possible(units, templates)
     # rows are numbered once, in a table, so both uses see the same numbers
     marked = written(marked.withColumn("__units", units).drop(text))
-    unit = marked.filter(F.size("__units") > 0).select("__row", F.posexplode("__units").alias("__u", "__s"))
-    word = unit.select("__row", "__u", F.explode(F.regexp_extract_all("__s", F.lit(f"({_WORDS})"))).alias("w"))
-    bag = word.groupBy("__row", "__u", "w").agg(F.count(F.lit(1)).alias("tf"))
+    unit = marked.select("__row", F.explode("__units").alias("__s")).withColumn("__u", F.md5("__s"))
+    # a statement is compared once, however many files hold it
+    texts = written(unit.groupBy("__u").agg(F.first("__s").alias("__s")))
+    word = texts.select("__u", F.explode(F.regexp_extract_all("__s", F.lit(f"({_WORDS})"))).alias("w"))
+    bag = word.groupBy("__u", "w").agg(F.count(F.lit(1)).alias("tf"))
     bag = bag.withColumn("x", F.col("tf") * F.coalesce(_literal_map(sorted(idf.items()))[F.col("w")], F.lit(other)))
-    norm = bag.groupBy("__row", "__u").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    dots = bag.join(weights, "w").groupBy("__row", "__u", "t").agg(
+    norm = bag.groupBy("__u").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
+    dots = bag.join(weights, "w").groupBy("__u", "t").agg(
         F.sum(F.col("x") * F.col("weight")).alias("dot"), F.count(F.lit(1)).alias("hits"))
     lone = _lone(templates)
     if lone:  # a word alone, such as a name in other use, is no statement
         dots = dots.filter((F.col("hits") > 1) | ~F.col("t").isin(sorted(lone)))
-    cosine = dots.join(norm, ["__row", "__u"]).withColumn("score", F.round(F.col("dot") / F.col("norm"), DIGITS))
+    cosine = dots.join(norm, "__u").withColumn("score", F.round(F.col("dot") / F.col("norm"), DIGITS))
     named = cosine.filter(F.col("score") >= SIMILAR).withColumn("license", F.array(*[F.lit(n) for n in names])[F.col("t")])
     # each statement names its most similar template's license, then the file takes the best of them
-    by_unit = named.groupBy("__row", "__u").agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("v"))
-    best = written(by_unit.groupBy("__row").agg(F.min(F.struct(
+    by_unit = written(named.groupBy("__u").agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("v")))
+    best = written(unit.join(by_unit, "__u").groupBy("__row").agg(F.min(F.struct(
         F.col("v.license").isin(*WEAK).alias("weak"), F.col("v.s").alias("s"), F.col("v.license").alias("license"))).alias("b")))
     out = marked.drop("__units").join(best, "__row", "left")
     return out.select(*[F.col(f"`{c}`") for c in plain.columns if c != text], F.col("b.license").alias("license"),
