@@ -589,7 +589,7 @@ def test_op10_names_usual_headers_and_license_files(spark):
 @pytest.mark.parametrize("name", sorted(llm.ORACLE_SQL))
 def test_oracles(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "labels", "embeddings"):
+    for t in ("documents", "pages", "labels", "embeddings", "benchmark", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF_SMALL}/{t}.parquet')")
     rel = con.sql(llm.ORACLE_SQL[name])
     cols, want = rel.columns, rel.fetchall()
