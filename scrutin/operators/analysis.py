@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import TOKEN_OR_GAP_RE, TOKEN_START_RE, is_term, tokens_of
-from ..session import bounded_broadcast, default_parallelism
+from ..session import bounded_broadcast, tasks_for
 
 CHUNK_CHARS = 1 << 16
 
@@ -41,7 +41,7 @@ def by_document(docs: DataFrame, num_partitions: int | None = None,
     """(ID, multi, chunk, text) — bodies cut into chunks and spread over
     tasks by (ID, chunk): the only shuffle of the text. ``multi`` marks
     documents longer than one chunk (only those need chunk bases)."""
-    n = num_partitions or default_parallelism(docs.sparkSession)
+    n = num_partitions or tasks_for(docs)
     ch = docs.select("ID", (F.length("body") > chunk_chars).alias("multi"), F.posexplode(
         chunks_of(F.col("body"), chunk_chars, chunk_pattern(chunk_chars))).alias("chunk", "text"))
     return ch.repartition(n, "ID", "chunk")

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..functions.text import DOT_MASK, SENTENCE_END, SENTENCE_RE, TOKEN_DOT_RE, TOKEN_OR_GAP_RE
 from ..functions.text import html_escape, in_system_dir, is_term, tokens_of
-from ..session import bounded_broadcast, default_parallelism
+from ..session import bounded_broadcast, tasks_for
 from . import query as Q
 from .analysis import CHUNK_CHARS, _add_bases, chunks_of, remove_stops
 
@@ -94,7 +94,7 @@ def sentence_chunks(docs: DataFrame, chunk_chars: int = CHUNK_CHARS) -> DataFram
     """(ID, multi, chunk, text) spread over tasks by (ID, chunk)."""
     ch = docs.select("ID", (F.length("body") > chunk_chars).alias("multi"), F.posexplode(
         chunks_of(F.col("body"), chunk_chars, sentence_chunk_pattern(chunk_chars))).alias("chunk", "text"))
-    return ch.repartition(default_parallelism(docs.sparkSession), "ID", "chunk")
+    return ch.repartition(tasks_for(docs), "ID", "chunk")
 
 
 def sentences(chunks: DataFrame) -> DataFrame:

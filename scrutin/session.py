@@ -110,16 +110,30 @@ def default_parallelism(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions", "8")), 1)
 
 
-#: Estimated bytes up to which a table is spread by a shuffle.
-SPREAD_BYTES = 256 << 20
+#: Estimated bytes up to which a table is spread by a shuffle; bytes of a task
+#: that texts are dealt to.
+SPREAD_BYTES, TASK_BYTES = 256 << 20, 64 << 20
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """The planner's estimate of a table's size (no job is run)."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def tasks_for(df: DataFrame) -> int:
+    """Tasks to deal a table to: ``spark.sql.shuffle.partitions``, and more
+    where one would get over ``TASK_BYTES`` of it. An estimate of petabytes is
+    none: rows that are not read from files have no size the planner knows."""
+    size = estimated_bytes(df)
+    least = default_parallelism(df.sparkSession)
+    return max(least, -(-size // TASK_BYTES)) if size < 1 << 53 else least
 
 
 def spread(df: DataFrame) -> DataFrame:
     """A small table over ``spark.sql.shuffle.partitions`` tasks, where it may
     be packed into one file and so into one task; tables estimated above
     ``SPREAD_BYTES`` have splits of their own and are not shuffled."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(default_parallelism(df.sparkSession)) if size <= SPREAD_BYTES else df
+    return df.repartition(default_parallelism(df.sparkSession)) if estimated_bytes(df) <= SPREAD_BYTES else df
 
 
 # Rows below which a side may be broadcast; sides are counted before they are

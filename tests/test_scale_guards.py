@@ -133,3 +133,19 @@ def test_literal_frames_stay_in_the_jvm(spark):
     assert "ExistingRDD" not in plan and sorted(r["term"] for r in df.collect()) == ["a", "b"]
     assert literal_frame(spark, [], "term").count() == 0
     assert df.where(F.col("term") == "a").count() == 1
+
+
+def test_texts_are_dealt_to_tasks_by_their_size(spark, tmp_path, monkeypatch):
+    """More tasks than the session's partitions where texts are large."""
+    from scrutin import session
+    from scrutin.operators import analysis as A
+    from scrutin.operators import hits as H
+    spark.range(2000).select(F.col("id").cast("string").alias("ID"), F.sha2(F.col("id").cast("string"), 256).alias("body")) \
+        .write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    assert session.tasks_for(docs) == 4
+    rows = spark.createDataFrame([("1", "a b")], "ID string, body string")
+    assert session.tasks_for(rows) == 4 and A.raw_tokens(A.by_document(rows)).count() == 2
+    monkeypatch.setattr(session, "TASK_BYTES", 10_000)
+    assert session.tasks_for(docs) > 10
+    assert A.by_document(docs).rdd.getNumPartitions() == H.sentence_chunks(docs).rdd.getNumPartitions() == session.tasks_for(docs)
