@@ -24,11 +24,23 @@ from ..functions import constants as K
 NUM_FEATURES = 256 + 256 * 256
 
 
+#: Rows whose features are in memory together.
+SLICE_ROWS = 128
+
+
+def in_slices(batches):
+    """Arrow batches in pieces of ``SLICE_ROWS`` rows: a content's features may
+    take many times its bytes."""
+    for b in batches:
+        for at in range(0, b.num_rows, SLICE_ROWS):
+            yield b.slice(at, SLICE_ROWS)
+
+
 def byte_ngram_counts(docs: DataFrame, id_col: str = "ID", content_col: str = "content") -> DataFrame:
     """(ID, feature, count); feature b for byte b, 256 + 256·a + b for
     the adjacent pair (a, b). Empty content yields no rows (class 0)."""
     def run(batches):
-        for b in batches:
+        for b in in_slices(batches):
             ids = b.column(b.schema.get_field_index(id_col)).to_pylist()
             col = b.column(b.schema.get_field_index(content_col))
             out_id, out_f, out_c = [], [], []
@@ -67,7 +79,7 @@ def byte_vectors(docs: DataFrame, id_col: str = "ID", content_col: str = "conten
     parts = [("type", pa.int8()), ("size", pa.int32()), ("indices", pa.list_(pa.int32())), ("values", pa.list_(pa.float64()))]
 
     def run(batches):
-        for b in batches:
+        for b in in_slices(batches):
             rows = [_features(v) for v in b.column(1).to_pylist()]
             vec = pa.StructArray.from_arrays(
                 [pa.array([0] * len(rows), pa.int8()), pa.array([NUM_FEATURES] * len(rows), pa.int32()),
@@ -124,7 +136,7 @@ def _classes(model, df: DataFrame, content_col: str, where_col: str | None = Non
         return int(np.argmax(val @ w[idx] + b)) + 1
 
     def run(batches):
-        for b in batches:
+        for b in in_slices(batches):
             content = b.column(names.index(content_col)).to_pylist()
             wanted = b.column(names.index(where_col)).to_pylist() if where_col else [True] * len(content)
             out = [one(c) if w else None for c, w in zip(content, wanted)]
