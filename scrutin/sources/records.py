@@ -34,9 +34,10 @@ RECORD_SCHEMA = "file string, idx long, metadata string, content binary"
 RANGE_BYTES, HEADER_BYTES, BATCH_BYTES = 64 << 20, 1 << 16, 8 << 20
 
 
-def records_view(documents: DataFrame) -> DataFrame:
-    """(seq, metadata, content) — one record per document."""
-    ev = evidence_view(documents).withColumn("doc_id", F.col("ID").cast("long") / 2)
+def records_view(documents: DataFrame, *more) -> DataFrame:
+    """(seq, metadata, content) — one record per document, with ``more``
+    columns of the document."""
+    ev = evidence_view(documents, *more).withColumn("doc_id", F.col("ID").cast("long") / 2)
     content = F.encode(F.col("body"), "UTF-8")
     total = F.octet_length(content)
     size = F.when((F.col("doc_id") % 10 == 0) & (total > 200), total - 200).otherwise(total)
@@ -44,22 +45,31 @@ def records_view(documents: DataFrame) -> DataFrame:
         F.col("path"), F.struct(F.col("name").alias("name")).alias("name"),
         F.struct(size.alias("size"), F.col("modified").alias("mtime"), F.col("created").alias("crtime"),
                  F.col("accessed").alias("atime")).alias("meta")))
-    return ev.select(F.col("doc_id").cast("long").alias("seq"), meta.alias("metadata"), content.alias("content"))
+    return ev.select(F.col("doc_id").cast("long").alias("seq"), meta.alias("metadata"), content.alias("content"),
+                     *[c for c in ev.columns if c.startswith("_")])
 
 
 def described_records(documents: DataFrame) -> DataFrame:
     """:func:`records_view` whose metadata has further keys, nested ones and
     lists among them: origin, tags, the time of acquisition as text, counts
     and a checksum, as a forensic tool writes them."""
-    d = documents.select(F.col("doc_id").alias("seq"), "lang", "source", "n_chars", F.md5("text").alias("md5"))
-    base = records_view(documents).join(d, "seq")
-    acquired = F.date_format(F.timestamp_seconds(F.lit(1300000000) + F.col("seq") * 7200), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    seq = F.col("doc_id")
+    acquired = F.date_format(F.timestamp_seconds(F.lit(1300000000) + seq * 7200), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     more = F.to_json(F.struct(
         F.struct("lang", F.col("source").alias("corpus")).alias("origin"), F.array("lang", "source").alias("tags"),
         acquired.alias("acquired"), F.struct(F.col("n_chars").alias("chars"), (F.col("n_chars") / 4).alias("words")).alias("count"),
-        F.struct(F.array(F.struct("md5")).alias("sums")).alias("hash"), (F.col("seq") % 3 == 0).alias("deleted")))
-    both = F.concat(F.expr("substring(metadata, 1, length(metadata) - 1)"), F.lit(","), F.expr("substring(more, 2)"))
-    return base.withColumn("more", more).select("seq", both.alias("metadata"), "content")
+        F.struct(F.array(F.struct(F.md5("text").alias("md5"))).alias("sums")).alias("hash"), (seq % 3 == 0).alias("deleted")))
+    both = F.concat(F.expr("substring(metadata, 1, length(metadata) - 1)"), F.lit(","), F.expr("substring(_more, 2)"))
+    documents = documents.where(seq.isNotNull())
+    # a number that several documents share is described by each of them; they
+    # alone are joined, other contents stay where they are
+    again = documents.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
+    if again.isEmpty():
+        return records_view(documents, more.alias("_more")).select("seq", both.alias("metadata"), "content")
+    again = bounded_broadcast(again)
+    once, shared = documents.join(again, "doc_id", "left_anti"), documents.join(again, "doc_id", "left_semi")
+    joined = records_view(shared).join(shared.select(seq.alias("seq"), more.alias("_more")), "seq")
+    return records_view(once, more.alias("_more")).unionByName(joined).select("seq", both.alias("metadata"), "content")
 
 
 # ------------------------------------------------------------------ A1 source
