@@ -21,11 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, **options) -> DataFrame:
     """``df`` written to the shared checkpoint folder and read again: cuts
     lineage, survives lost executors and fixes the rows for later passes."""
     ensure_checkpoint_dir(df.sparkSession)
-    return materialize(df)
+    return materialize(df, **options)
 
 
 def forget(df: DataFrame) -> None:

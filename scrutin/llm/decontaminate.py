@@ -15,7 +15,8 @@ A text never leaves the task that reads it and nothing is shuffled but the
 windows, so a source, passage or word that fills a third of the corpus weighs
 on no task more than its texts do. The windows are broadcast in blocks of at
 most ``WINDOWS``; more windows mean more passes over the index, each written
-to the shared folder.
+to the shared folder. A segment is a row group of its file, so what a task
+holds is a few segments however large its share of the files is.
 
 Edge cases: null and empty texts have no words and no hits; items that are
 null or without a word have no window; an item without an id hits words but is
@@ -40,6 +41,8 @@ from .common import table, written
 SEGMENT, PART = 4 << 20, 8 << 20
 #: Windows that are broadcast at once (some 20 MB), candidates held at once.
 WINDOWS, CANDIDATES = 100_000, 1 << 20
+#: How the index is written: writers hold, and readers open, a row group at once.
+BY_SEGMENT = {"parquet.block.row.count.limit": 1}
 #: A word after A-Z are lower-cased.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -101,7 +104,8 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
                     [one(part.column(0)), one(pa.array(n_words)), one(terms), one(pa.array(counts)), one(pa.array(gaps))],
                     names=schema.names)
 
-    return written(docs.select(F.col(f"`{key}`").alias("d"), F.col(f"`{text}`").alias("t")).mapInArrow(run, schema))
+    return written(docs.select(F.col(f"`{key}`").alias("d"), F.col(f"`{text}`").alias("t")).mapInArrow(run, schema),
+                   **BY_SEGMENT)
 
 
 def windows(items: DataFrame, key: str = "item_id", text: str = "text", n: int = 10) -> DataFrame:
@@ -294,7 +298,7 @@ def matches(index: DataFrame, items: DataFrame, slop: int | None = None, doc: st
     for b in range(max(blocks, 1)):
         rows = dealt.filter(F.col("b") == b).select("item", "window").toArrow()  # about WINDOWS rows
         index = _pass(index, spark.sparkContext.broadcast(Windows(rows)), slop)
-        index = written(index) if b + 1 < blocks else index
+        index = written(index, **BY_SEGMENT) if b + 1 < blocks else index
     kind = index.schema["docs"].dataType.elementType
     span = T.ArrayType(T.StructType([T.StructField("begin", T.LongType()), T.StructField("end", T.LongType())]))
     schema = T.StructType([T.StructField(doc, kind), T.StructField("n_words", T.LongType()),
