@@ -123,7 +123,7 @@ def drop_empty(docs: DataFrame, stop_terms: list[str], mode: str = "coded") -> D
     has_token = F.exists(tokens_of(F.col("body")), lambda t: ~F.array_contains(stops, t) & is_term(t))
     if mode == "all":
         return docs.where(has_token)
-    return docs.where(has_token | ~(F.col("is_unallocated") | F.col("is_slack")))
+    return docs.where(~(F.col("is_unallocated") | F.col("is_slack")) | has_token)  # others are not tokenised
 
 
 def ingest_counters(records: DataFrame) -> DataFrame:
